@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from colligate.llm import warc
+from colligate.llm import language, secrets, warc
 
 QUERIES = {
+    "op5_secrets": secrets.op5_secrets,
+    "op6_language": language.op6_language,
     "op10_warc": warc.op10_warc,
 }
 
