@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from colligate.llm import language, secrets, warc
+from colligate.llm import language, packing, secrets, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op5_secrets": secrets.op5_secrets,
     "op6_language": language.op6_language,
     "op10_warc": warc.op10_warc,
