@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from colligate.llm import language, packing, secrets, warc
+from colligate.llm import language, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_quality": quality.op2_quality,
     "op5_secrets": secrets.op5_secrets,
     "op6_language": language.op6_language,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality": quality.SQL,
     "op10_warc": warc.SQL,
 }
