@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from colligate.llm import language, packing, quality, secrets, warc
+from colligate.llm import language, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality": quality.op2_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_secrets": secrets.op5_secrets,
     "op6_language": language.op6_language,
     "op10_warc": warc.op10_warc,
