@@ -23,16 +23,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligate.llm.common import shared_path, slices, table, text_column
+from colligate.llm.graph import with_first
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 4 << 20
 MIN_DEDUP_BYTES = 100
-#: Parts that the records of one payload are dealt to while their first is found.
-SALTS = 256
 
 # Fixed values of the seekable format and of WARC 1.1.
 SEEK_TABLE_MAGIC, SEEKABLE_MAGIC, RECORD_MAP_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -128,16 +127,6 @@ class Reader:
         return fields, block
 
 
-def with_first(df: DataFrame, key: Column, order: Column, dedup: Column) -> DataFrame:
-    """Adds ``first``: the smallest ``order`` among the rows of the same ``key``
-    where ``dedup`` holds, else null. Rows of a frequent key are dealt to
-    ``SALTS`` parts, and each part learns the smallest of all parts."""
-    rows = df.withColumns({"_key": F.when(dedup, key), "_order": order}).withColumn("_salt", F.pmod(F.xxhash64("_order"), F.lit(SALTS)))
-    parts = rows.filter("_key is not null").groupBy("_key", "_salt").agg(F.min("_order").alias("first"))
-    first = parts.groupBy("_key").agg(F.min("first").alias("first"), F.collect_list("_salt").alias("_salts")).select("_key", F.explode("_salts").alias("_salt"), "first")
-    return rows.join(first, ["_key", "_salt"], "left").drop("_key", "_salt", "_order")
-
-
 def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_dedup_bytes: int = MIN_DEDUP_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
     """Writes a WARC record per row into bundles of about ``bundle_bytes`` at ``path``."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), text_column(url_col).alias("url"), text_column(payload_col).alias("payload")).filter("page_id is not null")
