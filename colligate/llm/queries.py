@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colligate.llm import jaccard, language, neighbours, packing, quality, secrets, toxicity, warc
+from colligate.llm import jaccard, language, neighbours, packing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_secrets": secrets.op5_secrets,
     "op6_language": language.op6_language,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_warc": warc.op10_warc,
