@@ -34,10 +34,11 @@ from colligate.llm.common import slices, table, text_column
 BLANK = "▁"
 #: Words whose paths a task keeps at once.
 KEPT_WORDS = 300_000
+_FIGURES = "²³¹¼½¾"
 #: Where an input splits, finest first: words and runs of other characters, each with the
 #: blanks in front; or what lies between blanks; or nowhere.
 _SPLITS = [
-    re.compile(rf"{BLANK}*[^\W\d_]+|{BLANK}*(?:[\d_]|[^\w{BLANK}])+|{BLANK}+"),
+    re.compile(rf"{BLANK}*[^\W\d_{_FIGURES}]+|{BLANK}*(?:[\d_{_FIGURES}]|[^\w{BLANK}])+|{BLANK}+"),
     re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+"),
     re.compile(r".+", re.DOTALL),
 ]
