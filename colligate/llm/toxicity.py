@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
 Two Zstandard dictionaries are trained, one on ordinary text and one on what is
-characteristic of toxic text (byte strings several times as frequent among toxic
-documents). The toxic compressor has both, the ordinary one its own alone, so that a
+characteristic of toxic text (byte strings significantly
+and several times more frequent among toxic documents). The toxic compressor has both, the ordinary one its own alone, so that a
 window's two compressed lengths differ only where a characteristic string occurs.
-A text is cut into overlapping windows; the shares of windows whose lengths
+A text is cut into windows, one for each
+word or part of a long one; the shares of windows whose lengths
 differ by at least some thresholds, and their mean and largest difference, are
 calibrated to a score between 0 and 1 by logistic regression, on labelled
 documents that no dictionary has seen. Labels and text decide everything.
@@ -33,13 +34,14 @@ from pyspark.sql import functions as F
 from colligate.llm.common import crc32_mod, slices, table, text_column
 
 MAX_TOXIC, MAX_ORDINARY, MAX_TRAIN_CHARS = 3000, 3000, 20_000
-WINDOW, STEP = 32, 24
+#: Longest window, in bytes; windows whose lengths a task keeps at once.
+WINDOW, KEPT_WINDOWS = 32, 300_000
 #: Bytes of the dictionaries, and of the strings compared between the classes.
-TOXIC_BYTES, ORDINARY_BYTES, GRAM = 4096, 512, 6
-#: A string is characteristic if so many times as frequent among toxic documents,
-#: and found in this share of them at least.
-LEAST_RATIO, LEAST_SHARE = 3.0, 0.01
-THRESHOLDS = (2, 4, 6)
+TOXIC_BYTES, ORDINARY_BYTES, GRAM, SAMPLES = 2048, 512, 6, 60_000
+#: A string is characteristic if the share of toxic documents with it is so many times
+#: that of ordinary ones, and so many standard deviations above chance.
+LEAST_RATIO, LEAST_DEVIATIONS = 4.0, 6.0
+THRESHOLDS = (2, 3, 4, 5)
 #: Makes every window compressible, so that lengths differ by single bytes.
 TAIL = bytes(64)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -51,11 +53,19 @@ def plain(text: str) -> bytes:
 
 
 def windows(data: bytes) -> list[bytes]:
-    return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - (WINDOW - STEP)), STEP)]
+    """Each word with a blank at either end; of a word over ``WINDOW`` bytes, overlapping parts."""
+    out = []
+    for word in data.split():
+        if len(word) <= WINDOW:
+            out.append(b" " + word + b" ")
+        else:
+            padded = b" " + word + b" "
+            out += [padded[i : i + WINDOW] for i in range(0, len(padded) - WINDOW // 2, WINDOW // 2)]
+    return out or [b"  "]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    parameters = zstandard.ZstdCompressionParameters(window_log=13, hash_log=13, chain_log=13, search_log=5, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    parameters = zstandard.ZstdCompressionParameters(window_log=13, hash_log=13, chain_log=13, search_log=5, min_match=5, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
@@ -92,12 +102,14 @@ def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
     grams, n = _frequencies(toxic)
-    keep = n >= max(2, LEAST_SHARE * len(toxic))
-    grams, n = grams[keep], n[keep]
     others, m = _frequencies(ordinary)
     at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
     rest = np.where(others[at] == grams, m[at], 0) if len(others) else np.zeros(len(grams))
-    characteristic = grams[n / len(toxic) >= LEAST_RATIO * (rest + 0.5) / max(1, len(ordinary))]
+    # both by ratio and by how far the number is from what chance gives
+    share = (n + rest) / (len(toxic) + len(ordinary))
+    chance = share * len(toxic)
+    far = (n - chance) / np.sqrt(np.maximum(chance * (1 - share), 0.3)) >= LEAST_DEVIATIONS
+    characteristic = grams[far & (n / len(toxic) >= LEAST_RATIO * (rest + 0.5) / len(ordinary))]
     found: list[bytes] = []
     for text in toxic:
         hit = np.isin(_grams(text), characteristic)
@@ -105,15 +117,14 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Dictionarie
         found += [text[a : b + GRAM - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     rng = np.random.default_rng(7)
     rng.shuffle(found)
-    samples, size = [b""], 0
+    samples = [b""]
     for s in found:  # strings are joined to samples that are long enough to train on
         if len(samples[-1]) >= WINDOW:
             samples.append(b"")
         samples[-1] += s
-        size += len(s)
-    plain_windows = [w for t in ordinary for w in windows(t)]
-    rng.shuffle(plain_windows)
-    return Dictionaries(_trained(TOXIC_BYTES, samples), _trained(ORDINARY_BYTES, plain_windows[:60_000]))
+    parts = [t[i : i + WINDOW] for t in ordinary for i in range(0, len(t), WINDOW)]
+    rng.shuffle(parts)
+    return Dictionaries(_trained(TOXIC_BYTES, samples), _trained(ORDINARY_BYTES, parts[:SAMPLES]))
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
@@ -130,10 +141,20 @@ class Features:
     def __init__(self, dictionaries: Dictionaries) -> None:
         self.ordinary = _compressor(dictionaries.ordinary)
         self.toxic = _compressor(dictionaries.toxic + dictionaries.ordinary)
+        self.known: dict[bytes, int] = {}
+
+    def gain(self, window: bytes) -> int:
+        """By how many bytes the toxic dictionary shortens a window."""
+        data = window + TAIL
+        return len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
 
     def of(self, text: str) -> list[float]:
-        one, two = self.ordinary.compress, self.toxic.compress
-        gain = np.array([len(one(w)) - len(two(w)) for w in (x + TAIL for x in windows(plain(text)))], np.float64)
+        own = windows(plain(text))
+        if len(self.known) > KEPT_WINDOWS:
+            self.known.clear()
+        for w in set(own).difference(self.known):
+            self.known[w] = self.gain(w)
+        gain = np.fromiter(map(self.known.__getitem__, own), np.float64, len(own))
         shares = [np.log1p(100 * (gain >= k).mean()) for k in THRESHOLDS]
         counts = [np.log1p((gain >= k).sum()) for k in THRESHOLDS]
         return [*shares, *counts, gain.mean(), np.maximum(gain - 1, 0).mean(), gain.max() / 8, np.log(len(gain))]
@@ -173,13 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, ordinary = ([plain(t) for _, y, t in sample if y == k] for k in (1, 0))
     if not toxic or not ordinary:
         rows.unpersist()
-        return Model(None, np.zeros(0), np.zeros(0), np.zeros(0))
+        return Model(None, *[np.zeros(0)] * 3)
     dictionaries = train_dictionaries(toxic, ordinary)
     fitted = sorted(map(tuple, features(rows.filter("_fold = 1"), dictionaries, "_text", {"_h": F.col("_h"), "_y": F.col("_y")}).collect()))
     rows.unpersist()
     y = np.array([r[1] for r in fitted], np.float64)
     if not 0 < y.sum() < len(y):
-        return Model(None, np.zeros(0), np.zeros(0), np.zeros(0))
+        return Model(None, *[np.zeros(0)] * 3)
     x = np.array([r[2] for r in fitted])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     # the sample's share of toxic rows is not the corpus's: rows are weighed by the offset of the prior
