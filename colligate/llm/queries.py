@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from colligate.llm import jaccard, language, neighbours, packing, pieces, quality, secrets, toxicity, warc
+from colligate.llm import extraction, jaccard, language, neighbours, packing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality": quality.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_extraction": extraction.op4_extraction,
     "op5_secrets": secrets.op5_secrets,
     "op6_language": language.op6_language,
     "op7_sentencepiece": pieces.op7_sentencepiece,
