@@ -1,14 +1,72 @@
-"""A corpus pipeline over ``documents``, in stages that each call one operator."""
+"""A corpus pipeline over ``documents``, in stages that each call one operator.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's ``docs``. All but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colligate import ship
+from colligate.llm import jaccard, language, packing, secrets, toxicity
+from colligate.llm.common import shared_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language can be told; those without a letter go, and so
+    do null texts. The profiles are learned from the documents that aren't held out."""
+    profiles = language.learned(spark, sf_dir)
+    found = language.identify(docs, profiles, keep=["text", "lang", "source", "n_chars"])
+    return found.filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that aren't predicted to be toxic."""
+    scored = toxicity.score(docs, toxicity.learned(spark, sf_dir), keep={c: F.col(c) for c in COLUMNS})
+    return scored.filter("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group that is linked by sharing
+    80 % or more of their five-word shingles."""
+    kept = jaccard.link(docs, width=5, percent=80).filter("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by its kind; keeps every document."""
+    hidden = secrets.redact(docs.select(*COLUMNS))
+    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place in it."""
+    return packing.pack(docs.select("doc_id", "text"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", identify_language),
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
-ORACLE_SQL: str | None = None
+#: Models, merges and a search decide the rows; tests hold the stages against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents`` one after another."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents``, each one's rows written and read again."""
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out, path = stage(spark, docs, sf_dir), shared_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs
