@@ -20,7 +20,7 @@ SURFACE_FIELDS = (1, 2, 3, 4)
 
 
 def parse_fields(text: str) -> tuple[int, ...]:
-    """A selection such as ``2,3``, ``23`` or ``f2/f4`` as sorted field numbers."""
+    """A selection such as ``2,3``, ``23`` or ``2f/4f`` as sorted field numbers."""
     if not text or re.fullmatch(r"(?:[1-4][fF]?|[,./:+\-_ \t])*", text) is None:
         raise OptionError(f"not a selection of fields 1 to 4: {text!r}")
     found = tuple(sorted(set(map(int, re.findall("[1-4]", text)))))
