@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from colligate.llm.common import slices, table, text_column
 
 BLANK = "▁"
-#: Words whose paths a task keeps at once.
-KEPT_WORDS = 300_000
+#: Words whose paths, and arcs whose weights, a task keeps at once.
+KEPT_WORDS, KEPT_ARCS = 600_000, 600_000
 _FIGURES = "²³¹¼½¾"
 #: Where an input splits, finest first: words and runs of other characters, each with the
 #: blanks in front; or what lies between blanks; or nowhere.
@@ -65,10 +66,18 @@ class Transducer:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.hidden = {i for i, p in enumerate(proto.pieces) if p.type in (kind.CONTROL, kind.UNUSED)}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN)
+        # what each id shows; None is a byte of a longer character
+        self.shown: list[str | None] = [p.replace(BLANK, " ") for p in self.text]
+        for b, i in self.byte.items():
+            self.shown[i] = chr(b) if b < 0x80 else None
+        for i in self.hidden:
+            self.shown[i] = ""
+        self.shown[self.unknown] = " ⁇ "
         self.longest = max(map(len, self.id))
         # the finest split that no piece goes across
         self.split = next(r for r in _SPLITS if all(r.fullmatch(p) and len(r.findall(p)) == 1 for p in self.id))
         self.words: dict[str, bytes] = {}
+        self.known: dict[tuple[str, str], bool] = {}
         # pieces in the order in which merges prefer them, and the two parts of each
         order = sorted((p for p in self.score if len(p) > 1), key=lambda p: (-self.score[p], self.id[p]))
         self.rank = {p: i for i, p in enumerate(order)}
@@ -108,27 +117,34 @@ class Transducer:
             else:
                 return True
 
-    def path(self, word: str) -> list[str]:
-        """The shortest path over a word: its pieces, and characters without one."""
-        arcs, finite, longest = self.arcs, self.finite, self.longest
-        last: list[str] = [""]
-        for end in range(1, len(word) + 1):
+    def extend(self, last: list[str], word: str) -> None:
+        """``last`` has the last piece of the shortest path to each of the word's first places;
+        the others are added."""
+        arcs, known, longest = self.arcs, self.known, self.longest
+        for end in range(len(last), len(word) + 1):
             start = end - longest if end > longest else 0  # the longest piece first
             while start < end - 1:
                 piece = word[start:end]
-                if piece in arcs and (not start or finite(last[start], piece)):
-                    break
+                if piece in arcs:
+                    if not start:
+                        break
+                    arc = (last[start], piece)
+                    finite = known.get(arc)
+                    if finite is None:
+                        finite = known[arc] = self.finite(*arc)
+                    if finite:
+                        break
                 start += 1
             last.append(word[start:end])
-        out, end = [], len(word)
+
+    def ids_of(self, last: list[str]) -> bytes:
+        """The ids along the shortest path to the last place."""
+        pieces, end = [], len(last) - 1
         while end:
-            out.append(last[end])
+            pieces.append(last[end])
             end -= len(last[end])
-        return out[::-1]
-
-    def ids_of(self, word: str) -> bytes:
         ids: list[int] = []
-        for piece in self.path(word):
+        for piece in reversed(pieces):
             own = self.id.get(piece)
             if own is not None:
                 ids.append(own)
@@ -136,38 +152,57 @@ class Transducer:
                 ids += [self.byte[b] for b in piece.encode("utf-8", "replace")]
             else:
                 ids.append(self.unknown)
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Composes the words, in order, so that one starts where it parts from the one before."""
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        new = sorted(words.difference(self.words))
+        if len(self.known) > KEPT_ARCS:
+            self.known.clear()
+        before, last = "", [""]
+        for word in new:
+            shared = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            self.extend(last, word)
+            self.words[word] = self.ids_of(last)
+            before = word
 
     def normalised(self, text: str) -> str:
         text = text.replace(" ", BLANK)
         return BLANK + text if self.prefix and text else text
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self.split.findall(self.normalised(t)) for t in texts]
+        self.learn({w for own in split for w in own})
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, own)), "<u4") for own in split]
+
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text."""
-        words = self.words
-        if len(words) > KEPT_WORDS:
-            words.clear()
-        own = self.split.findall(self.normalised(text))
-        for w in set(own).difference(words):
-            words[w] = self.ids_of(w)
-        return np.frombuffer(b"".join(map(words.__getitem__, own)), "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: the transducer read from its output side."""
-        out: list[str] = []
-        raw = bytearray()
-        for i in [*map(int, ids), -1]:
-            if i in self.of_byte:
-                raw.append(self.of_byte[i])
-                continue
-            if raw:
-                out.append(_bytes_to_text(bytes(raw)))
-                raw.clear()
-            if i == -1 or i in self.hidden:
-                continue
-            out.append(" ⁇ " if i == self.unknown else self.text[i])
-        text = "".join(out).replace(BLANK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        ids = [int(i) for i in ids] if isinstance(ids, list) else ids.tolist()
+        shown = [self.shown[i] for i in ids]
+        if None in shown:  # bytes of characters beyond ASCII, runs of which are read together
+            at = 0
+            while at < len(shown):
+                end = at
+                while end < len(shown) and shown[end] is None:
+                    end += 1
+                if end > at:
+                    raw = bytes(self.of_byte[i] for i in ids[at:end])
+                    shown[at:end] = [_bytes_to_text(raw), *[""] * (end - at - 1)]
+                at = end + 1
+        text = "".join(shown)
+        first = next((i for i in ids if i not in self.hidden), None)
+        return text[1:] if self.prefix and first is not None and self.text[first].startswith(BLANK) else text
 
 
 def _bytes_to_text(raw: bytes) -> str:
@@ -199,9 +234,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", 2 << 20):
             texts = part.column("_text").to_pylist()
-            found = [machine.encode(t) for t in texts]
+            found = machine.encode_all(texts)
             columns = [
                 part.column("_id"),
                 pa.array([len(f) for f in found], pa.int64()),
