@@ -24,14 +24,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligate.llm.common import slices, table, text_column
+from colligate.llm.common import slices, stored, table, text_column
 
 #: A node is template if this many aligned pages, and this share of them, repeat its text.
 LEAST_PAGES, LEAST_SHARE = 2, 0.5
-#: Bytes of pivots that are broadcast; beyond it, pages are joined with them by shuffling.
+#: Bytes of pivots and templates that are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Share of a block's text in links from which on the block is a list of links.
 LINK_SHARE = 0.5
@@ -252,7 +252,7 @@ def main_text(root: Node, template: set[int]) -> str:
     return " ".join("".join(out).split())
 
 
-def _host(url: str):
+def _host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
@@ -273,12 +273,18 @@ class Pivots:
         return found
 
 
-def with_pivots(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, html, pivot) of rows (page_id, url, html)."""
-    rows = pages.withColumn("host", F.coalesce(_host("url"), F.lit("")))
-    first = rows.filter(F.trim("html") != "").groupBy("host").agg(F.min_by("html", F.struct("page_id", "html")).alias("pivot"))
-    size = first.agg(F.coalesce(F.sum(F.octet_length("pivot") + 64), F.lit(0)).alias("n")).first()["n"]
-    return rows.join(F.broadcast(first) if size <= BROADCAST_BYTES else first, "host", "left")
+def pivots_of(rows: DataFrame) -> DataFrame:
+    """(host, pivot) of rows (page_id, html, host): the HTML of each host's pivot."""
+    ids = rows.filter("trim(html) <> ''").groupBy("host").agg(F.min("page_id").alias("page_id"))
+    found = rows.join(_small(ids, F.lit(64)), ["host", "page_id"]).filter("trim(html) <> ''")
+    return stored(found.groupBy("host").agg(F.min("html").alias("pivot")), "pivots")
+
+
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` to be broadcast, if its rows' sizes add up to no more than ``BROADCAST_BYTES``;
+    otherwise Spark joins by shuffling, and splits hosts with many pages."""
+    n = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
 def induce(paired: DataFrame) -> DataFrame:
@@ -309,7 +315,7 @@ def induce(paired: DataFrame) -> DataFrame:
         if seen:
             yield result()
 
-    counts = paired.filter("pivot is not null").select("host", "html", "pivot").mapInArrow(count, "host string, node int, pages long, equal long")
+    counts = paired.select("host", "html", "pivot").mapInArrow(count, "host string, node int, pages long, equal long")
     total = counts.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal"))
     return total.filter((F.col("equal") >= LEAST_PAGES) & (F.col("equal") >= LEAST_SHARE * F.col("pages"))).select("host", "node")
 
@@ -317,8 +323,12 @@ def induce(paired: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), text_column(html_col).alias("html"))
-    paired = with_pivots(rows)
-    template = induce(paired).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    hosted = rows.withColumn("host", F.coalesce(_host("url"), F.lit("")))
+    pivots = pivots_of(hosted)
+    nodes = induce(hosted.join(_small(pivots, F.octet_length("pivot")), "host")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    # only hosts with a template need their pivot again
+    wrappers = stored(pivots.join(nodes, "host"), "wrappers")
+    paired = hosted.join(_small(wrappers, F.octet_length("pivot") + 4 * F.size("template")), "host", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = Pivots()
@@ -334,8 +344,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(root, constant))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    out = paired.join(template, "host", "left").select("page_id", "url", "host", "html", "pivot", "template")
-    return out.mapInArrow(work, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("page_id", id_col)
+    return paired.select("page_id", "url", "host", "html", "pivot", "template").mapInArrow(work, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("page_id", id_col)
 
 
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
