@@ -2,14 +2,14 @@
 
 Documents are sets of hashed word shingles. Sets that are equal become one. The
 shingles are ordered: rare ones by hash, then frequent ones (``frequent`` or more
-documents have them near the front) by hash; whatever counts as frequent, two sets
-of sufficient similarity share a shingle of their prefixes under one order. Sets
+documents have them near the front) by the number of these documents; whatever counts as frequent, two sets
+of sufficient similarity share ``SHARED`` shingles of their prefixes under one order. Sets
 with the same size and the same prefix collapse into one group; groups that share
-a prefix shingle and are of compatible sizes are pairs of groups; their members
+prefix shingles and are of compatible sizes are pairs of groups; their members
 are expanded and verified on their full sets.
 
 The groups that share a much shared shingle aren't paired at once: each is first
-verified against the first of its size class. Only what these links have not
+verified against the first of them. Only what these links have not
 connected is then paired and expanded, so that a cluster of near copies costs links in
 proportion to its members. Only rows that can be linked are read a second time.
 No link between different sets is lost: every pair that shares a prefix shingle
@@ -24,30 +24,38 @@ unique, and a null id is left out; other columns are ignored. Shingles with equa
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from colligate.llm.common import slices, stored, table, text_column
+from colligate.llm.common import arrow_batches, slices, stored, table, text_column
 from colligate.llm.graph import components, with_first
 from colligate.llm.shingles import shingle_sets
 
-#: Documents from which on a shingle counts as frequent.
-FREQUENT = 24
+#: Documents from which on a shingle counts as frequent, and how many of the most frequent
+#: shingles are broadcast (12 bytes each). Others are ordered as rare ones: that changes how
+#: many candidates there are, not the result.
+FREQUENT, FREQUENT_KEPT = 24, 500_000
+#: Shingles of their prefixes that two sets must share to be verified.
+SHARED = 12
 #: Rare shingles that are kept beyond a prefix, in case some of it turn out frequent.
 SPARE = 8
+#: Rows, texts or pairs of sets, that a Python step is handed at once.
+BATCH_ROWS = 512
 #: Ids that are broadcast at most; beyond it, texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
 
-def prefix_length(n: Column | np.ndarray | int, percent: int):
-    """n - ceil(n * percent / 100) + 1, in whole numbers."""
-    return n - (n * percent + 99) // 100 + 1 if not isinstance(n, Column) else n - F.floor((n * percent + 99) / 100) + 1
+def prefix_length(n: int, percent: int) -> int:
+    """Sets that are similar enough share ``SHARED`` shingles of prefixes of this length, or
+    all that they have to share, if that is less."""
+    return min(n, n - (n * percent + 99) // 100 + SHARED)
 
 
 def front(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -74,11 +82,11 @@ def shingle_fronts(df: DataFrame, width: int, percent: int) -> DataFrame:
             sets = shingle_sets(_strings(part.column("text")), width)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(front(sets, percent), pa.list_(pa.int64()))],
+                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([f.tobytes() for f in front(sets, percent)], pa.binary())],
                 names=["id", "n", "digest", "front"],
             )
 
-    return df.mapInArrow(work, "id long, n long, digest binary, front array<long>")
+    return df.mapInArrow(work, "id long, n long, digest binary, front binary")
 
 
 def _strings(column: pa.Array) -> pa.Array:
@@ -97,15 +105,35 @@ def full_sets(df: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(work, "id long, n long, shingles binary")
 
 
-def tokens_of(sets: DataFrame) -> DataFrame:
-    """(id, n, pos, token) of every shingle of full sets."""
+def prefixes(sets: DataFrame, column: str, hot: Broadcast, percent: int) -> DataFrame:
+    """(id, n, prefix, class, digest, lacking) of rows (id, n, ``column``), the column the bytes of
+    sorted shingles. The prefix is the first of them: rare ones by hash, then hot ones by their number and hash;
+    sets of compatible sizes are of one size class or of neighbouring ones. A row whose
+    known shingles don't decide its prefix is lacking, and has none."""
+    # sizes at most 100 / percent apart are at most one class apart
+    step = math.log(100 / percent) * (1 + 1e-9)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "shingles", 1 << 20):
-            arrays = [np.frombuffer(x.as_py(), np.int64) for x in part.column("shingles")]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.array(arrays, pa.list_(pa.int64()))], names=["id", "n", "tokens"])
-
-    return sets.mapInArrow(work, "id long, n long, tokens array<long>").select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+        known, number = hot.value
+        for part in slices(batches, "known"):
+            found, classes, keys, lacks = [], [], [], []
+            for n, data in zip(part.column("n").to_pylist(), part.column("known"), strict=True):
+                own, most = np.frombuffer(data.as_buffer(), np.int64), prefix_length(n, percent)
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                often = known[at] == own if len(known) else np.zeros(len(own), bool)
+                rare = own[~often][:most]
+                lacks.append(len(rare) < most and len(own) < n)
+                if lacks[-1]:
+                    prefix = rare[:0]
+                else:
+                    rest = own[often]
+                    prefix = np.concatenate([rare, rest[np.lexsort((rest, number[at[often]]))[: most - len(rare)]]])
+                found.append(prefix)
+                classes.append(math.floor(math.log(n) / step) if step else n)
+                keys.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.array(found, pa.list_(pa.int64())), pa.array(classes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lacks, pa.bool_())], names=["id", "n", "prefix", "class", "digest", "lacking"])
+
+    return sets.select("id", "n", F.col(column).alias("known")).mapInArrow(work, "id long, n long, prefix array<long>, class long, digest binary, lacking boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,75 +155,98 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _met(one: DataFrame, two: DataFrame, on: str, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (id, n, c) of one and two that agree in ``on``, could be
-    similar by their sizes, and are not known to be connected."""
-    left = one.select(on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = two.select(on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return left.join(right, on).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit).select("a", "b")
+def _without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """``df`` without the rows with these ids, which are broadcast only if they are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_anti")
+
+
+def _front_tokens(sets: DataFrame) -> DataFrame:
+    """(token) of every shingle in ``front``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "front"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(part.column("front").to_pylist()), np.int64))], names=["token"])
+
+    return sets.select("front").mapInArrow(work, "token long")
+
+
+def _met(rows: DataFrame, percent: int, shared: int) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (id, n, s, key, next, c) that share at least ``shared`` keys, or all that
+    they have to share, could be similar by their sizes less what they have alone (s), and
+    are not known to be connected."""
+    left = rows.select("key", "next", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("c").alias("ca"))
+    right = rows.select("key", F.col("next").alias("next_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("c").alias("cb"))
+    # of two prefixes, the one that ends first shows all that its set shares of it
+    most = F.least("na", "nb", F.greatest(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")))
+    fit = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    # sets of one class also meet under the next one
+    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit & ~(F.col("next") & F.col("next_b")))
+    least = F.least(F.lit(shared), F.floor((percent * F.greatest("na", "nb") + 99) / 100))
+    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).filter(F.col("k") >= least).select("a", "b")
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``df``: the size of its set and the
     smallest id that links lead to."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    with arrow_batches(df.sparkSession, BATCH_ROWS):
+        return _link(df, id_col, text_col, width, percent, frequent)
+
+
+def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, frequent: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_column(text_col).alias("text")).filter("id is not null")
     fronts = stored(shingle_fronts(docs, width, percent), "fronts")
     one = stored(with_first(fronts.select("id", "n", "digest"), F.struct("n", "digest"), F.col("id"), F.col("n") > 0).select("id", "n", "first"), "copies")
-    p = prefix_length(F.col("n"), percent)
-
-    # one row per different set; which of its first shingles others have, too
-    sets = fronts.join(one.filter("id = first").select("id"), "id").select("id", "n", "front")
-    sets = stored(sets.withColumn("whole", F.size("front") == F.col("n")), "sets")
-    fronts_ = sets.select("id", "n", "whole", F.size("front").alias("size"), F.posexplode("front").alias("pos", "token"))
-    shared = stored(fronts_.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    seen = fronts_.join(shared, "token").withColumn("hot", (F.col("df") >= frequent).cast("int"))
-    by_place = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = seen.withColumns({"before": F.coalesce(F.sum("hot").over(by_place), F.lit(0)), "n_hot": F.sum("hot").over(Window.partitionBy("id"))})
-    # place in the order: rare ones first
-    place = F.when(F.col("hot") == 0, F.col("pos") - F.col("before")).otherwise(F.col("size") - F.col("n_hot") + F.col("before"))
-    seen = stored(seen.select("id", "n", "token", "hot", (place < p).alias("front"), (~F.col("whole") & (F.col("size") - F.col("n_hot") < p)).alias("lacking")), "seen")
-
-    # sets of which too little is known are read whole
-    lacking = stored(seen.filter("lacking").select("id").distinct(), "lacking")
-    prefixes = seen.filter("front and not lacking").select("id", "n", "token")
-    if not lacking.isEmpty():
-        hot = shared.filter(F.col("df") >= frequent).select("token", F.lit(1).alias("hot"))
-        whole = tokens_of(full_sets(docs, lacking, width)).join(hot, "token", "left").fillna(0, ["hot"])
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("hot", "token"))
-        more = stored(whole.withColumn("rank", rank).filter(F.col("rank") <= p).select("id", "n", "token"), "more")
-        # these shingles may lie in prefixes of other sets, too, where none was known to share them
-        rest = fronts_.join(lacking, "id", "left_anti").join(more.select("token").distinct(), "token", "left_semi").select("id", "n", "token")
-        prefixes = prefixes.union(more).union(rest).distinct()
+    # one row per different set, and the shingles that many of them have in front
+    sets = _without(fronts, one.filter("id <> first").select("id")).filter("n > 0").select("id", "n", "front")
+    often = _front_tokens(sets).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") >= frequent)
+    found = often.orderBy(F.desc("df"), "token").limit(FREQUENT_KEPT).toArrow()
+    shingles, numbers = (found.column(c).to_numpy() for c in ("token", "df"))
+    by_hash = np.argsort(shingles)
+    hot = df.sparkSession.sparkContext.broadcast((shingles[by_hash], numbers[by_hash].astype(np.int32)))
+    decided = stored(prefixes(sets, "front", hot, percent), "prefixes")
+    lacking = decided.filter("lacking").select("id")
+    known = decided.filter("not lacking").drop("lacking")
+    if not lacking.isEmpty():  # sets of which too little is known are read whole
+        whole = stored(full_sets(docs, lacking, width), "whole")  # so that no task has two Python steps
+        known = known.union(stored(prefixes(whole, "shingles", hot, percent).drop("lacking"), "prefixes"))
 
     # groups: sets of one size and with one prefix, named by their smallest id
-    keyed = prefixes.groupBy("id", "n").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
-    name = F.struct("n", F.sha2(F.array_join(F.col("prefix").cast("array<string>"), ","), 256))
-    member = stored(with_first(keyed, name, F.col("id"), F.lit(True)).select("id", "n", F.col("first").alias("g")), "members")
-    grouped = prefixes.join(member.filter("id = g").select("id"), "id").withColumn("c", F.col("id"))
-    sizes = grouped.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
-    grouped = stored(grouped.join(sizes, "token").select("id", "n", "token", "c", (F.col("k") >= frequent).alias("busy")), "groups")
-
-    # first: members with their group's first, all groups of a shingle that few share,
-    # and the groups of one that many share with the first of their size class
-    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if 0 < percent < 100 else F.col("n")
-    busy, calm = grouped.filter("busy").withColumn("class", size_class), grouped.filter("not busy")
-    lead = busy.groupBy("token", "class").agg(F.min("id").alias("lead"))
-    stars = busy.join(lead, ["token", "class"]).filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    group_pairs = stored(_met(calm, calm, "token", percent).distinct(), "group-pairs")
+    member = stored(with_first(known.select("id", "n", "digest"), F.struct("n", "digest"), F.col("id"), F.lit(True)).select("id", "n", F.col("first").alias("g")), "members")
+    # a key is a shingle with the set's size class, and with the next one
+    leaders = _without(known, member.filter("id <> g").select("id"))
+    places = leaders.select("id", "class", F.posexplode("prefix").alias("pos", "token"))
+    keyed = places.select("id", "pos", "token", F.posexplode(F.array("class", F.col("class") + 1)).alias("up", "class")).select("id", "pos", "up", F.xxhash64("token", "class").alias("key"))
+    sharing = stored(keyed.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter("k > 1"), "sharing")
+    facts = leaders.select("id", "n", F.size("prefix").alias("m"))
+    # shingles of its prefix that a set shares with none of compatible size; groups of
+    # several sets share them among themselves
+    several = member.filter("id <> g").select(F.col("g").alias("id")).distinct().withColumn("several", F.lit(True))
+    common = sharing.groupBy("id").agg(F.countDistinct("pos").alias("in_common"))
+    own_only = facts.join(common, "id").join(several, "id", "left").select("id", "n", F.when(F.col("several"), 0).otherwise(F.col("m") - F.col("in_common")).alias("s"))
+    grouped = stored(sharing.join(own_only, "id").select("id", "n", "s", "key", (F.col("up") == 1).alias("next"), F.col("id").alias("c"), (F.col("k") >= frequent).alias("busy")), "groups")
+
+    # first: members with their group's first, all groups of a key that few share, and
+    # the groups of one that many share with the first of them
+    busy, calm = grouped.filter("busy"), grouped.filter("not busy")
+    lead = busy.groupBy("key").agg(F.min("id").alias("lead"))
+    stars = busy.join(lead, "key").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    group_pairs = stored(_met(calm, percent, SHARED), "group-pairs")
     own = member.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
     first = stored(own.union(group_pairs).union(stars).distinct(), "pairs")
     links, labels = _linked(docs, first, width, percent, None)
 
     # then: the members of those groups that these links have not connected
     named = stored(member.join(labels, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")), "named")
-    crowd = busy.select("token", F.col("id").alias("g")).join(named, "g")
-    apart = crowd.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("token")
-    crowd = stored(crowd.join(apart, "token"), "crowd")
+    crowded = busy.select("id").distinct()
+    crowd = grouped.join(crowded, "id", "left_semi").select("key", "next", "s", F.col("id").alias("g")).join(named, "g")
+    apart = crowd.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("key")
+    crowd = stored(crowd.join(apart, "key"), "crowd")
     whole_groups = group_pairs.union(own.select("a", F.col("a").alias("b")).distinct())
     left = whole_groups.join(named.withColumnRenamed("g", "a"), "a").select("b", F.col("id").alias("x"), F.col("c").alias("cx"))
     spread = left.join(named.withColumnRenamed("g", "b"), "b").filter((F.col("x") != F.col("id")) & (F.col("cx") != F.col("c")))
-    pairs = _met(crowd, crowd, "token", percent).union(spread.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
+    pairs = _met(crowd, percent, SHARED).union(spread.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
     pairs = stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links, labels = _linked(docs, pairs, width, percent, links)

@@ -11,14 +11,14 @@ _R = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_R, -1, 1 << 64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R)) | np.uint64(1)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R)) | np.uint64(1)
 _BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]  # A-Z as a-z
 _BYTES[_SPACE] = 0
 
@@ -34,7 +34,7 @@ _cache: dict[int, np.ndarray] = {}
 
 def _powers_of(base: int, n: int) -> np.ndarray:
     if len(_cache.get(base, ())) < n:
-        _cache[base] = _powers(base, max(n, 1 << 22))
+        _cache[base] = _powers(base, max(n, 1 << 20))
     return _cache[base][:n]
 
 
@@ -55,25 +55,25 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     sums = np.add.reduceat(_BYTES[data] * _powers_of(_R, len(data)), at)
-    return _mix(sums * _powers_of(_INVERSE, len(data))[at]), np.searchsorted(at, offsets)
+    return mix(sums * _powers_of(_INVERSE, len(data))[at]), np.searchsorted(at, offsets)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingles of ``width`` words of each text; of a shorter text
     its whole word sequence, of one without a word nothing."""
     words, starts = word_hashes(texts)
-    odd = _mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    odd = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
     grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for i in range(width):
         grams += words[i : i + len(grams)] * odd[i]
-    grams = _mix(grams).view(np.int64)
+    grams = mix(grams).view(np.int64)
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= width:
             out.append(np.unique(grams[a : b - width + 1]))
         elif b > a:
             short = (words[a:b] * odd[: b - a]).sum(keepdims=True) + np.uint64(b - a)
-            out.append(_mix(short).view(np.int64))
+            out.append(mix(short).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
     return out
