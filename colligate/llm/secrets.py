@@ -43,7 +43,7 @@ WINDOW = 20
 #: Bits a character that a window of ``WINDOW`` must have, by class of the candidate.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.5, "base64": 3.7}
 ALLOW = re.compile(
-    r"[A-Za-z]+(?:[-_/+=]+[A-Za-z]*)*[0-9]{0,4}"  # words, also joined ones and one number at the end
+    r"[A-Za-z][A-Za-z_/+=-]*[0-9]{0,4}"  # words, also joined ones and one number at the end
     r"|[0-9+/_=-]+"  # numbers and dates
     r"|.*(?:EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH).*"  # placeholders
 )
@@ -64,14 +64,14 @@ def entropy_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
     counts: dict[str, int] = {}
     total, log_width, found = 0.0, math.log2(width), []
     for i, ch in enumerate(s):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += table_[c + 1] - table_[c]
         if i >= width:
             old = s[i - width]
             c = counts[old]
             counts[old] = c - 1
             total += table_[c - 1] - table_[c]
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += table_[c + 1] - table_[c]
         if i >= width - 1 and log_width - total / width >= least - 1e-9:
             start = i - width + 1
             if found and start <= found[-1][1]:

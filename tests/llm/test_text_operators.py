@@ -1,5 +1,7 @@
 import hashlib
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -99,6 +101,12 @@ def test_entropy_windows_are_incremental():
     assert {k for a, b in secrets.entropy_windows(s, 20, 3.0) for k in range(a, b)} == want
 
 
+@pytest.mark.parametrize("text", ["Title" + "-" * 100 + "2nd", "a" + "_" * 100 + "1x", "AAAA" + "/" * 100 + "8AAA", "a-_" * 50 + "1x"])
+def test_long_runs_of_separators_end(text):
+    code = f"from colligate.llm import secrets; print(secrets.find_spans({text!r}))"
+    assert subprocess.run([sys.executable, "-c", code], timeout=60, capture_output=True, text=True, check=True).stdout == "([], [])\n"
+
+
 def test_redact(spark):
     out = secrets.redact(docs(spark, *SECRETS)).orderBy("doc_id").collect()
     assert out[0]["text"] is None and out[2]["text"] == "[ASSIGN]\" x" and out[11]["text"] == SECRETS[11]
