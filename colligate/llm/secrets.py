@@ -6,9 +6,11 @@ then by kind in the order of ``KINDS``. Base kinds are the leftmost
 non-overlapping matches of their patterns, those that are too short dropped.
 ``entropy`` spans are the windows of candidate strings (runs of letters, digits
 and ``+/_=-``) whose entropy reaches the threshold of the candidate's class,
-merged; the entropy is kept up to date by counts as the window moves. An
-allow-list suppresses candidates that are words, numbers, dates or placeholders,
-and an entropy span that meets a base span gives way to it.
+merged; the entropy is kept up to date by counts as the window moves. Candidates
+are what base spans leave of a run, each part on its own. An
+allow-list suppresses candidates that are words, numbers, dates or placeholders;
+letters whose case changes as often as in random keys aren't words. Random letters
+of one case can't be told from words by these means and are left.
 
 Defined results: a null or empty text has no span; the length of a text is not
 limited; equal rows give equal results; other columns are kept by ``redact`` and
@@ -39,14 +41,19 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 starts where the whole run doe
 
 #: Every access key and hex run of sufficient length lies in such a run.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+JOINTS = "+/_=-"
 WINDOW = 20
 #: Bits a character that a window of ``WINDOW`` must have, by class of the candidate.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.5, "base64": 3.7}
 ALLOW = re.compile(
-    r"[A-Za-z][A-Za-z_/+=-]*[0-9]{0,4}"  # words, also joined ones and one number at the end
-    r"|[0-9+/_=-]+"  # numbers and dates
+    r"[0-9+/_=-]+"  # numbers and dates
     r"|.*(?:EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH).*"  # placeholders
 )
+#: Words, also joined ones and one number at the end.
+WORDS = re.compile(r"[A-Za-z][A-Za-z_/+=-]*[0-9]{0,4}")
+#: Where case changes inside a word; with so many changes in a window, letters aren't words.
+CASE = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z][A-Z])(?=[a-z])")
+CASE_CHANGES = 5
 _CLOGC = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
 
@@ -56,6 +63,16 @@ def character_class(s: str) -> str:
     return "alnum" if s.isalnum() else "base64"
 
 
+def is_allowed(s: str) -> bool:
+    """Whether a candidate is words, a number, a date or a placeholder."""
+    if ALLOW.fullmatch(s):
+        return True
+    if not WORDS.fullmatch(s):
+        return False
+    changes = [m.start() for m in CASE.finditer(s)]
+    return all(b - a >= WINDOW for a, b in zip(changes, changes[CASE_CHANGES - 1 :], strict=False))
+
+
 def entropy_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
     """The merged windows of ``s`` with an entropy of ``least`` or more."""
     if len(s) < width:
@@ -102,21 +119,40 @@ def _in_run(run: str, at: int) -> list[tuple[int, int, int]]:
 
 def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans and all spans of a text, as (start, kind, end)."""
-    base, candidates = _assigns(text), []
+    base, runs = _assigns(text), []
     for m in RUN.finditer(text):
         run, at = m.group(0), m.start()
         base += _in_run(run, at)
-        if len(run) >= WINDOW and not run.isalpha() and not ALLOW.fullmatch(run):
-            candidates.append((run, at))
+        if len(run) >= WINDOW:
+            runs.append((run, at))
     base.sort()
     more = []
-    for run, at in candidates:
-        for a, b in entropy_windows(run, WINDOW, THRESHOLDS[character_class(run)]):
-            if not any(s < at + b and at + a < e for s, _, e in base):
-                more.append((at + a, 3, at + b))
+    for part, bare, at in _outside(runs, base):
+        if len(part) >= WINDOW and not is_allowed(bare):
+            more += [(at + a, 3, at + b) for a, b in entropy_windows(part, WINDOW, THRESHOLDS[character_class(part)])]
     return base, sorted(base + more)
 
 
+def _outside(runs: list[tuple[str, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int]]:
+    """(part, it without separators beside a base span, place): what the spans of
+    ``base`` leave of ``runs`` (run, place), both ordered by place."""
+    k = done = 0
+    for run, at in runs:
+        end = at + len(run)
+        start = max(at, done)
+        while k < len(base) and base[k][0] < end:
+            s, _, e = base[k]
+            if s > start:
+                part = run[start - at : s - at]
+                yield part, part.rstrip(JOINTS) if start == at else part.strip(JOINTS), start
+            done = max(done, e)
+            start = max(start, e)
+            k += 1
+        if start < end:
+            part = run[start - at :]
+            yield part, part if start == at else part.lstrip(JOINTS), start
+
+
 def as_string(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
