@@ -9,7 +9,8 @@ of all pages is counted in every task that has some. A page's text is that of it
 slots: of ``article`` or ``main`` elements where there are any, which are content
 whatever repeats, else of its body without template nodes and lists of links; always without
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and comments of
-readers, known by element, role, class and id.
+readers, known by element, role, and what a class or id calls the element itself; a
+named element or form that wraps the page's content stays.
 
 Defined results: null and empty pages have an empty text; broken markup is
 read leniently, with the implied ends of paragraphs and items; a page without or
@@ -43,29 +44,37 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS |= {t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 SCOPES = frozenset("ul ol dl table tbody thead article section div main aside nav body html td th blockquote".split())
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe object embed svg math button select textarea input dialog menu title xmp noembed noframes canvas audio video".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+DROPPED = frozenset("head nav header footer aside script style noscript template iframe object embed svg button select textarea input dialog menu title noembed noframes canvas audio video".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer gdpr "
     "header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related "
     "replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 
+READERS = frozenset("comment comments disqus replies reply respond".split())
+#: Words of a class that say what an element has or lacks, not what it is.
+ABOUT = frozenset("has have is no non not with without hide show enable disable enabled disabled".split())
+#: Last words of a class that name no more than a container of what stands before.
+HOLDERS = frozenset("area bar block body box col column container content group holder inner item items list outer panel section unit wrap wrapper".split())
+#: Why an element is dropped: whatever it holds, or unless it wraps the page's content.
+ALWAYS, NAMED, COMMENTS = 1, 2, 3
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
-_NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
     """An element: ``text`` holds its own texts, ``children`` both kinds in order."""
 
-    __slots__ = ("children", "dropped", "own", "shape", "tag")
+    __slots__ = ("children", "dropped", "own", "shape", "size", "tag")
 
-    def __init__(self, tag: str, dropped: bool) -> None:
+    def __init__(self, tag: str, dropped: int) -> None:
         self.tag, self.dropped = tag, dropped
         self.children: list[Node | str] = []
         self.own: str | None = None
-        self.shape = 0
+        self.shape, self.size = 0, 1
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -76,25 +85,71 @@ class Node:
         return self.own
 
 
-def is_dropped(tag: str, attributes: str) -> bool:
+def _name(token: str) -> str | None:
+    """The word of ``NAMES`` that a class or id says the element is: the whole token, or
+    its last word (before those of ``HOLDERS``) where it isn't about another element."""
+    if token.lower() in NAMES:
+        return token.lower()
+    words = [w.lower() for w in _PARTS.findall(token)]
+    while words and (words[-1] in HOLDERS or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words and words[-1] in NAMES and not ABOUT.intersection(words) else None
+
+
+def drop_reason(tag: str, attributes: str) -> int:
+    """0 if an element stays, else ``ALWAYS``, ``NAMED`` or ``COMMENTS``."""
     if tag in DROPPED:
-        return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+        return ALWAYS
+    found = NAMED if tag == "form" else 0
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
+        return found
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "hidden":
+            return ALWAYS
+        if name not in ("class", "id", "role", "style", "aria-hidden"):
+            continue
+        value = value.strip("\"'")
+        if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
+            return ALWAYS
+        if name == "role" and value.lower() == "form":
+            found = max(found, NAMED)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(p.lower() in NAMES for p in _PARTS.findall(value)):
-            return True
-    return False
+            return ALWAYS
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            for word in filter(None, map(_name, value.split())):
+                found = max(found, COMMENTS if word in READERS else NAMED)
+    return found
+
+
+def _keep_wrappers(root: Node, named: list[Node]) -> None:
+    """Takes back the drop of elements that have ``main``, the page's only ``article`` or
+    most of its text; readers' comments stay only where they have ``main``."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and c.dropped != ALWAYS]
+    sums: dict[int, tuple[int, int, int]] = {}
+    for node in reversed(order):
+        size = mains = articles = 0
+        for c in node.children:
+            if isinstance(c, str):
+                size += len(c.strip())
+            elif id(c) in sums:
+                n = sums[id(c)]
+                size, mains, articles = size + n[0], mains + n[1], articles + n[2]
+        sums[id(node)] = size, mains + (node.tag == "main"), 1 if node.tag == "article" else articles
+    total = sums[id(root)]
+    for node in named:
+        size, mains, articles = sums.get(id(node), (0, 0, 0))
+        if mains or node.dropped == NAMED and (articles == total[2] == 1 or 2 * size > total[0]):
+            node.dropped = 0
 
 
 def parse(page: str) -> Node:
     """A lenient tree of a page."""
-    root = Node("#root", False)
+    root, named = Node("#root", 0), []
     stack, at, n = [root], 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -123,7 +178,9 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in SCOPES and stack[k].tag != tag and (closed == "p" or stack[k].tag in ("ul", "ol", "dl", "table")):
                     break
-        node = Node(tag, is_dropped(tag, m[3] if m[2] else m[6]))
+        node = Node(tag, drop_reason(tag, m[3] if m[2] else m[6]))
+        if node.dropped > ALWAYS:
+            named.append(node)
         stack[-1].children.append(node)
         if tag in VOID or (m[3] or m[6] or "").endswith("/"):
             continue
@@ -133,34 +190,49 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
+    if named:
+        _keep_wrappers(root, named)
     return root
 
 
 def numbered(root: Node) -> list[Node]:
-    """All elements, parents first; sets each one's ``shape``, equal for equal trees of tags."""
+    """All elements, parents first; sets each one's ``size``, and ``shape``, equal for equal trees of tags."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += reversed(node.elements())
     for node in reversed(order):
-        node.shape = hash((node.tag, *(c.shape for c in node.elements())))
+        inner = node.elements()
+        node.shape, node.size = hash((node.tag, *(c.shape for c in inner))), 1 + sum(c.size for c in inner)
     return order
 
 
 def match(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> int:
-    """Size of the largest common top-down subtree (simple tree matching)."""
+    """Size of the largest common top-down subtree (simple tree matching) of numbered
+    trees; ``sizes`` gets those of the pairs below whose shapes differ."""
+    todo = [(a, b, False)]
+    while todo:
+        p, q, ready = todo.pop()
+        if p.tag != q.tag or p.shape == q.shape or (id(p), id(q)) in sizes:
+            continue
+        if ready:
+            sizes[id(p), id(q)] = 1 + sum(w for _, _, w in _children(p, q, sizes))
+            continue
+        todo.append((p, q, True))
+        _, x, y = _ends(p, q)
+        todo += [(c, d, False) for c in x for d in y]
+    return _size(a, b, sizes)
+
+
+def _size(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> int:
     if a.tag != b.tag:
         return 0
-    key = (id(a), id(b))
-    if key not in sizes:
-        sizes[key] = 1 + sum(w for _, _, w in _children(a, b, sizes))
-    return sizes[key]
+    return a.size if a.shape == b.shape else sizes[id(a), id(b)]
 
 
-def _children(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[tuple[Node, Node, int]]:
-    """The matched children with their weights. Equal trees at either end are matched
-    first, which no other matching beats."""
+def _ends(a: Node, b: Node) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """The equal trees at either end of the children, and the other children of both."""
     x, y = a.elements(), b.elements()
     head = 0
     while head < min(len(x), len(y)) and x[head].shape == y[head].shape:
@@ -168,12 +240,19 @@ def _children(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[tuple
     tail = 0
     while tail < min(len(x), len(y)) - head and x[-1 - tail].shape == y[-1 - tail].shape:
         tail += 1
-    pairs = [(p, q, match(p, q, sizes)) for p, q in [*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)]]
-    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    equal = [*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)]
+    return equal, x[head : len(x) - tail], y[head : len(y) - tail]
+
+
+def _children(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[tuple[Node, Node, int]]:
+    """The matched children with their weights, after ``match``. Equal trees at either end
+    are matched first, which no other matching beats."""
+    equal, x, y = _ends(a, b)
+    pairs = [(p, q, p.size) for p, q in equal]
     if not x or not y:
         return pairs
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    weight = [[match(p, q, sizes) for q in y] for p in x]
+    weight = [[_size(p, q, sizes) for q in y] for p in x]
     for i in range(1, len(x) + 1):
         for j in range(1, len(y) + 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight[i - 1][j - 1])
@@ -192,6 +271,7 @@ def _children(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[tuple
 def align(pivot: Node, page: Node) -> list[tuple[Node, Node]]:
     """Pairs (pivot's node, page's node) of the largest common top-down subtree."""
     sizes: dict[tuple[int, int], int] = {}
+    match(pivot, page, sizes)
     out, todo = [], [(pivot, page)]
     while todo:
         a, b = todo.pop()

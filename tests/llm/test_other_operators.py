@@ -28,6 +28,27 @@ def test_article(spark):
     assert extract(spark, ("http://h/1", PAGE), (None, None), ("x", ""), ("http://h/1", "<p>unclosed")) == [(text, len(text)), ("", 0), ("", 0), ("unclosed", 8)]
 
 
+@pytest.mark.parametrize("attributes", ["class='site-content sidebar-right'", "class=has-sidebar", "id='page-with-comments'", "class='header-fixed'", "class=no-ads", "class='left-sidebar'", "title='hidden part'", "data-hidden=1 data-id=ad"])
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_wrappers_of_the_content_stay(attributes, article):
+    page = f"<body><div class=ad>Buy</div><div {attributes}><{article}>The main text of this page <math><mi>x</mi></math><xmp><b></xmp></{article}><div class='reader-comments'>no</div></div>"
+    assert extraction.main_text(extraction.parse(page), set()).startswith("The main text of this page x <b>")
+    assert not {"no", "Buy"} & set(extraction.main_text(extraction.parse(page), set()).split())
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "site-footer", "comment-list", "navMenu", "share-box widget-3"])
+def test_named_parts_go(name):
+    page = f"<body><form id=all><p>The main text of this page, longer than the rest</p><div class='{name}'>no <article>no</article><article>no</article></div></form>"
+    assert extraction.main_text(extraction.parse(page), set()) == "The main text of this page, longer than the rest"
+
+
+def test_deep_pages_are_matched():
+    a, b = (extraction.parse("<div>" * 3000 + x) for x in ("<p>1<i>2</i>", "<p>1<b>2</b>"))
+    for r in (a, b):
+        extraction.numbered(r)
+    assert len(extraction.align(a, b)) == 3002
+
+
 def test_template_is_what_repeats(spark):
     rng = random.Random(1)
     words = lambda: " ".join(rng.choice("abcdefgh") * 4 for _ in range(9))
