@@ -6,8 +6,10 @@ order. Over all pages of the host, the share of aligned pages that repeat a pivo
 node's own text decides what the node is: constant nodes are template, varying ones
 are slots of content. The counts are sums per host and node, so that a host with a third
 of all pages is counted in every task that has some. A page's text is that of its
-slots: of ``article`` or ``main`` elements where there are any, which are content
-whatever repeats, else of its body without template nodes and lists of links; always without
+slots: in its ``article`` elements, unless these are cards beside a longer main text, else
+in ``main``, else in its body without lists of links; always without template nodes (a word
+marked up inside a varying text is part of that, and an article of which the template
+would leave less than half is content) and without
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and comments of
 readers, known by element, role, and what a class or id calls the element itself; a
 named element or form that wraps the page's content stays.
@@ -293,22 +295,64 @@ def _links(node: Node, inside: bool = False) -> tuple[int, int]:
     return linked, total
 
 
+def _outermost(root: Node, tag: str) -> list[Node]:
+    """The elements of a tag that aren't dropped or inside another one, in order."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.dropped:
+            continue
+        if node.tag == tag:
+            found.append(node)
+        else:
+            todo += reversed(node.elements())
+    return found
+
+
+def _whole_blocks(root: Node, template: set[int]) -> set[int]:
+    """``template`` without the inline elements inside a text that stays."""
+    cut, todo = set(), [(root, False)]
+    while todo:
+        x, flowing = todo.pop()
+        flowing = flowing and x.tag in INLINE
+        if id(x) in template and not flowing:
+            cut.add(id(x))
+        elif x.own_text():
+            flowing = True
+        todo += [(c, flowing) for c in x.elements()]
+    return cut
+
+
+def _text_size(nodes: list[Node], template: set[int]) -> int:
+    """Characters of the texts below ``nodes`` that are neither dropped nor template."""
+    size, todo = 0, list(nodes)
+    while todo:
+        x = todo.pop()
+        if not x.dropped:
+            size += 0 if id(x) in template else len(x.own_text())
+            todo += x.elements()
+    return size
+
+
+def _are_cards(articles: list[Node], around: list[Node], template: set[int]) -> bool:
+    """Whether articles, several or mostly of links, hold less than half of the text around them."""
+    if len(articles) == 1:
+        linked, total = _links(articles[0])
+        if linked < LINK_SHARE * total:
+            return False
+    return 2 * _text_size(articles, template) < _text_size(around, template)
+
+
 def main_text(root: Node, template: set[int]) -> str:
     """The text of a page; ``template`` has the ids (Python's) of template nodes."""
-    mains: list[Node] = []
-    for wanted in ("article", "main"):
-        todo = [root]
-        while todo:
-            node = todo.pop()
-            if node.dropped:
-                continue
-            if node.tag == wanted:
-                mains.append(node)
-                continue
-            todo += reversed(node.elements())
-        if mains:
-            break
+    if template:
+        template = _whole_blocks(root, template)
+    mains, articles = _outermost(root, "main"), _outermost(root, "article")
+    if articles and not _are_cards(articles, mains or [root], template):
+        mains = articles
     strict = not mains
+    if mains and template and 2 * _text_size(mains, template) < _text_size(mains, set()):
+        template = set()
     out: list[str] = []
     todo: list[Node | str] = list(reversed(mains or [root]))
     while todo:
@@ -324,7 +368,7 @@ def main_text(root: Node, template: set[int]) -> str:
             if total and linked >= LINK_SHARE * total:
                 out.append(" ")
                 continue
-        children = x.children if not strict or id(x) not in template else x.elements()
+        children = x.elements() if id(x) in template else x.children
         edge = "" if x.tag in INLINE else " "
         todo.append(edge)
         todo += reversed(children)

@@ -60,6 +60,25 @@ def test_template_is_what_repeats(spark):
     assert all(t == f"Site name {bodies[0]} Imprint line" for t, _ in got[6:])  # equal pages make nothing template
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_template_inside_the_content(spark, tag):
+    rng = random.Random(2)
+    words = lambda: " ".join(rng.choice("abcdefgh") * 4 for _ in range(30))
+    bodies = [words() for _ in range(6)]
+    page = lambda body: f"<body><{tag}><p><b>Note</b> {body}</p><div>Sign up for our letters</div></{tag}></body>"
+    copy = lambda i: f"<body><div>{i}</div><{tag}><p>All of this text is the same</p></{tag}></body>"
+    got = extract(spark, *[("http://one/", page(b)) for b in bodies], *[("http://two/", copy(i)) for i in range(4)])
+    assert [t for t, _ in got] == [f"Note {b}" for b in bodies] + ["All of this text is the same"] * 4
+
+
+@pytest.mark.parametrize("tag", ["main", "div"])
+def test_cards_are_not_the_main_text(tag):
+    text = "The main text of this page is long. " * 9
+    cards = "".join(f"<article><a href=/{i}>Story {i}</a></article>" for i in range(3))
+    assert "The main text of this page is long." in extraction.main_text(extraction.parse(f"<body><{tag}><p>{text}</p><div>{cards}</div></{tag}></body>"), set())
+    assert extraction.main_text(extraction.parse(f"<body><div>x</div><article>{text}</article><article>more</article></body>"), set()) == f"{text}more"
+
+
 def test_tree_matching():
     a, b = (extraction.parse(x) for x in ("<ul><li>1<li>2</ul><p>x</p>", "<p>y</p><ul><li>1<li>3<li>4</ul><p>x</p>"))
     for r in (a, b):
