@@ -13,7 +13,7 @@ result decides which other blocks the test does not rule out.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part; equal vectors are ranked by id; a query with fewer
-candidates than wanted gets all; an empty table gives no row. Scores are inner
+candidates than wanted gets all; of equal vectors only the rows that can be ranked are indexed; an empty table gives no row. Scores are inner
 products of the original vectors in double precision.
 """
 
@@ -176,6 +176,22 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
 
 
+def distinct(rows: DataFrame, most: int) -> DataFrame:
+    """(vec_id, x) of the rows with the ``most`` smallest ids of each vector. Equal vectors are ranked
+    by id, so with one more than are wanted (a query is left out itself) no result differs, and a
+    group of copies takes no more room than that."""
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf.sort_values("vec_id")
+                yield pdf[(pdf.groupby([v.tobytes() for v in pdf["x"]]).cumcount() < most).to_numpy()]
+
+    ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, most)
+    groups = rows.mapInPandas(smallest, "vec_id long, x array<double>").groupBy("x").agg(ids.alias("ids"))
+    return stored(groups.select(F.explode("ids").alias("vec_id"), "x"), "distinct")
+
+
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = DEFAULT_TOP, miss: float = MISS, block_rows: int = BLOCK_ROWS, dimensions: int = DIMENSIONS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of every row where
     ``is_query`` (a condition on ``vec_id``), among all other rows."""
@@ -184,11 +200,13 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     sizes = rows.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("norm")).orderBy(F.desc("n"), "size").first()
     if sizes is None:
         return df.sparkSession.createDataFrame([], result)
-    size, n, norm = sizes["size"], sizes["n"], math.sqrt(sizes["norm"])
+    size, norm = sizes["size"], math.sqrt(sizes["norm"])
     rows = rows.filter(F.size("x") == size)
+    kept = distinct(rows, top + 1)
+    n = kept.count()
     space, ratio = Space(size, norm, dimensions), chi_square_quantile(1 - miss, dimensions)
     depth = max(0, math.ceil(math.log2(n / block_rows)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("x").toPandas()
+    sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("x").toPandas()
     splitter = Splitter(space.rows(_matrix(sample["x"])), depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +214,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
             if len(pdf):
                 yield pdf.assign(block=splitter.block(space.rows(_matrix(pdf["x"]))))
 
-    placed = stored(rows.mapInPandas(place, "vec_id long, x array<double>, block long"), "placed")
+    schema = "vec_id long, x array<double>, block long"
+    placed = stored(kept.mapInPandas(place, schema), "placed")
 
     def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -225,7 +244,7 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
         return found.groupBy("query_id").agg(F.slice(ordered, 1, top).alias("best"))
 
-    asked = placed.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "block")
+    asked = stored(rows.filter(is_query).mapInPandas(place, schema), "asked").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "block")
     home = stored(visit(asked.withColumn("known", F.lit(None).cast("double"))), "home")
     kth = best(home).select("query_id", F.when(F.size("best") == top, -F.get("best", F.lit(top - 1))["s"]).alias("known"))
     again = asked.join(kth, "query_id", "left")

@@ -172,6 +172,24 @@ def test_neighbours(spark):
     assert len(few) == 2
 
 
+def test_copies_of_a_vector(spark):
+    """A third of all rows are copies; no piece of work gets more of them than can be ranked."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((900, 8))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    kept = neighbours.distinct(neighbours.valid(df, "vec_id", "embedding"), 6)
+    copies = {r["vec_id"] for r in kept.collect() if r["vec_id"] % 3 == 0}
+    assert copies == {0, 3, 6, 9, 12, 15} and kept.count() == 600 + 6
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, top=5, block_rows=100, miss=1e-9).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 900, 20):
+        score = np.round(x @ x[q], 9)
+        score[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(900), -score))[:5].tolist()
+
+
 def test_chi_square():
     assert neighbours.chi_square_quantile(0.95, 1) == pytest.approx(3.841459, rel=1e-6)
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507313, rel=1e-6)
