@@ -3,21 +3,24 @@
 Documents are sets of hashed word shingles. Sets that are equal become one. The
 shingles are ordered: rare ones by hash, then frequent ones (``frequent`` or more
 documents have them near the front) by the number of these documents; whatever counts as frequent, two sets
-of sufficient similarity share ``SHARED`` shingles of their prefixes under one order. Sets
-with the same size and the same prefix collapse into one group; groups that share
-prefix shingles and are of compatible sizes are pairs of groups; their members
+of sufficient similarity share a shingle of their prefixes under one order. A prefix
+is as long as the partner's size asks for: shorter against sets of the same size or larger, and of a pair
+the first shingle that both share must leave enough of both sets behind it.
+Sets with the same size and the same prefix collapse into one group; groups that share
+prefix shingles and fit by size and place are pairs of groups; their members
 are expanded and verified on their full sets.
 
 The groups that share a much shared shingle aren't paired at once: each is first
-verified against the first of them. Only what these links have not
-connected is then paired and expanded, so that a cluster of near copies costs links in
+verified against the one with the fewest rarer shingles, which is nearest to what they have in common.
+What these links have not connected is paired by size and place of the shared shingle first (as groups again),
+and only the places that fit are expanded, so that a cluster of near copies costs links in
 proportion to its members. Only rows that can be linked are read a second time.
-No link between different sets is lost: every pair that shares a prefix shingle
+No link between different sets is lost: every pair that shares a prefix shingle and fits
 is verified or lies in one component.
 
 Defined results: null, empty and blank texts have the empty set and link with
-nothing; equal rows are linked; texts of any length are read whole; ids must be
-unique, and a null id is left out; other columns are ignored. Shingles with equal
+nothing; equal rows are linked; texts of any length are read whole; ids name texts: rows with one id
+and equal texts are all returned, different texts under one id may share their classes; a null id is left out; other columns are ignored. Shingles with equal
 64-bit hashes count as equal.
 """
 
@@ -31,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligate.llm.common import arrow_batches, slices, stored, table, text_column
@@ -42,8 +45,6 @@ from colligate.llm.shingles import shingle_sets
 #: shingles are broadcast (12 bytes each). Others are ordered as rare ones: that changes how
 #: many candidates there are, not the result.
 FREQUENT, FREQUENT_KEPT = 24, 500_000
-#: Shingles of their prefixes that two sets must share to be verified.
-SHARED = 12
 #: Rare shingles that are kept beyond a prefix, in case some of it turn out frequent.
 SPARE = 8
 #: Rows, texts or pairs of sets, that a Python step is handed at once.
@@ -53,9 +54,14 @@ BROADCAST_IDS = 1_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """Sets that are similar enough share ``SHARED`` shingles of prefixes of this length, or
-    all that they have to share, if that is less."""
-    return min(n, n - (n * percent + 99) // 100 + SHARED)
+    """Shingles in the prefix of a set of ``n``: sets that are similar enough share one of
+    their prefixes of this length."""
+    return n - (n * percent + 99) // 100 + 1
+
+
+def _short_length(n: Column, percent: int) -> Column:
+    """The same against partners that aren't smaller, with which more must be shared."""
+    return n - F.ceil(2 * percent * n / (100 + percent) - 1e-9) + 1
 
 
 def front(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -170,19 +176,37 @@ def _front_tokens(sets: DataFrame) -> DataFrame:
     return sets.select("front").mapInArrow(work, "token long")
 
 
-def _met(rows: DataFrame, percent: int, shared: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (id, n, s, key, next, c) that share at least ``shared`` keys, or all that
-    they have to share, could be similar by their sizes less what they have alone (s), and
-    are not known to be connected."""
-    left = rows.select("key", "next", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("c").alias("ca"))
-    right = rows.select("key", F.col("next").alias("next_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("c").alias("cb"))
-    # of two prefixes, the one that ends first shows all that its set shares of it
-    most = F.least("na", "nb", F.greatest(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")))
-    fit = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-    # sets of one class also meet under the next one
-    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit & ~(F.col("next") & F.col("next_b")))
-    least = F.least(F.lit(shared), F.floor((percent * F.greatest("na", "nb") + 99) / 100))
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).filter(F.col("k") >= least).select("a", "b")
+def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, n, pos, up, ...) under the names that pairs of them get."""
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "pos", "up", *more))) for side in ("a", "b"))
+    return left, right
+
+
+def _fits(percent: int) -> Column:
+    """Whether two sets could be similar, if the shingle that they share is the first one: their
+    sizes, and what lies behind it. Sets of one class also meet under the next one."""
+    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent) - 1e-9)
+    behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return ((F.col("up_a") == 0) | (F.col("up_b") == 0)) & (behind >= least)
+
+
+def _calm_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (id, n, pos, up, key) that share a key and fit."""
+    left, right = _sides(rows, "id")
+    return left.join(right, "key").filter((F.col("id_a") < F.col("id_b")) & _fits(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _busy_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The same of rows (..., c) with keys that many share, without pairs in one component ``c``. Rows of
+    one key, size and place are a group; pairs of groups that fit are expanded."""
+    by = ["key", "n", "pos", "up"]
+    left, right = _sides(rows.groupBy(*by).agg(F.min("c").alias("c1"), F.max("c").alias("c2")), "c1", "c2")
+    order = F.struct("n_a", "pos_a", "up_a") <= F.struct("n_b", "pos_b", "up_b")
+    several = F.least("c1_a", "c1_b") < F.greatest("c2_a", "c2_b")
+    groups = left.join(right, "key").filter(order & several & _fits(percent)).select("key", "n_a", "pos_a", "up_a", "n_b", "pos_b", "up_b")
+    one, two = _sides(rows, "id", "c")
+    met = groups.join(one, ["key", "n_a", "pos_a", "up_a"]).join(two, ["key", "n_b", "pos_b", "up_b"]).filter("c_a <> c_b")
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
@@ -214,40 +238,38 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
 
     # groups: sets of one size and with one prefix, named by their smallest id
     member = stored(with_first(known.select("id", "n", "digest"), F.struct("n", "digest"), F.col("id"), F.lit(True)).select("id", "n", F.col("first").alias("g")), "members")
-    # a key is a shingle with the set's size class, and with the next one
-    leaders = _without(known, member.filter("id <> g").select("id"))
-    places = leaders.select("id", "class", F.posexplode("prefix").alias("pos", "token"))
-    keyed = places.select("id", "pos", "token", F.posexplode(F.array("class", F.col("class") + 1)).alias("up", "class")).select("id", "pos", "up", F.xxhash64("token", "class").alias("key"))
-    sharing = stored(keyed.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter("k > 1"), "sharing")
-    facts = leaders.select("id", "n", F.size("prefix").alias("m"))
-    # shingles of its prefix that a set shares with none of compatible size; groups of
-    # several sets share them among themselves
-    several = member.filter("id <> g").select(F.col("g").alias("id")).distinct().withColumn("several", F.lit(True))
-    common = sharing.groupBy("id").agg(F.countDistinct("pos").alias("in_common"))
-    own_only = facts.join(common, "id").join(several, "id", "left").select("id", "n", F.when(F.col("several"), 0).otherwise(F.col("m") - F.col("in_common")).alias("s"))
-    grouped = stored(sharing.join(own_only, "id").select("id", "n", "s", "key", (F.col("up") == 1).alias("next"), F.col("id").alias("c"), (F.col("k") >= frequent).alias("busy")), "groups")
+    own = member.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
+    # a key is a shingle with the set's size class, and with the next one, whose sets are larger
+    leaders = _without(known, own.select(F.col("b").alias("id")))
+    places = leaders.select("id", "n", "class", F.posexplode("prefix").alias("pos", "token"))
+    keyed = places.select("id", "n", "pos", "token", F.posexplode(F.array("class", F.col("class") + 1)).alias("up", "class"))
+    keyed = keyed.filter((F.col("up") == 0) | (F.col("pos") < _short_length(F.col("n"), percent))).select("id", "n", "pos", "up", F.xxhash64("token", "class").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
+    sharing = stored(keyed.join(shared, "key").withColumn("busy", F.col("k") >= frequent).drop("k"), "sharing")
 
     # first: members with their group's first, all groups of a key that few share, and
-    # the groups of one that many share with the first of them
-    busy, calm = grouped.filter("busy"), grouped.filter("not busy")
-    lead = busy.groupBy("key").agg(F.min("id").alias("lead"))
-    stars = busy.join(lead, "key").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    group_pairs = stored(_met(calm, percent, SHARED), "group-pairs")
-    own = member.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
+    # the groups of one that many share with the one that has it nearest to its front
+    busy, calm = sharing.filter("busy").drop("busy"), sharing.filter("not busy").drop("busy")
+    lead = busy.groupBy("key").agg(F.min(F.struct("pos", "id", "n")).alias("lead")).select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("m"))
+    near = (F.col("id") != F.col("lead")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    stars = busy.join(lead, "key").filter(near).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    group_pairs = stored(_calm_pairs(calm, percent), "group-pairs")
     first = stored(own.union(group_pairs).union(stars).distinct(), "pairs")
     links, labels = _linked(docs, first, width, percent, None)
 
     # then: the members of those groups that these links have not connected
     named = stored(member.join(labels, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")), "named")
-    crowded = busy.select("id").distinct()
-    crowd = grouped.join(crowded, "id", "left_semi").select("key", "next", "s", F.col("id").alias("g")).join(named, "g")
+    crowd = busy.withColumnRenamed("id", "g").join(named.select("id", "g", "c"), "g").drop("g")
     apart = crowd.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("key")
-    crowd = stored(crowd.join(apart, "key"), "crowd")
-    whole_groups = group_pairs.union(own.select("a", F.col("a").alias("b")).distinct())
-    left = whole_groups.join(named.withColumnRenamed("g", "a"), "a").select("b", F.col("id").alias("x"), F.col("c").alias("cx"))
-    spread = left.join(named.withColumnRenamed("g", "b"), "b").filter((F.col("x") != F.col("id")) & (F.col("cx") != F.col("c")))
-    pairs = _met(crowd, percent, SHARED).union(spread.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
-    pairs = stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    pairs = _busy_pairs(stored(crowd.join(apart, "key"), "crowd"), percent)
+    several = own.select("a").distinct()
+    if not several.isEmpty():
+        # groups of several members, with themselves and with what they were paired with
+        whole = several.select("a", F.col("a").alias("b")).union(group_pairs.join(several, "a", "left_semi")).union(group_pairs.join(several.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")).distinct()
+        left = whole.join(named.select(F.col("g").alias("a"), F.col("id").alias("x"), F.col("c").alias("cx")), "a")
+        spread = left.join(named.select(F.col("g").alias("b"), "id", "c"), "b").filter((F.col("x") != F.col("id")) & (F.col("cx") != F.col("c")))
+        pairs = pairs.union(spread.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))).distinct()
+    pairs = stored(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links, labels = _linked(docs, pairs, width, percent, links)
     out = one.join(labels.select(F.col("id").alias("first"), "component"), "first", "left")

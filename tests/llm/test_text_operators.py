@@ -220,6 +220,34 @@ def test_components(spark, width, percent, frequent):
     assert got == brute_components(texts, width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_near_copies_and_shared_passages(spark, width, percent):
+    """Copies of one text with more and more words replaced, texts that share a passage but
+    not enough of it, and longer ones that hold another: everything lies under crowded keys."""
+    import random
+
+    rng = random.Random(width)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    base, passage = [word() for _ in range(120)], [word() for _ in range(40)]
+    texts = []
+    for edits in (0, 1, 1, 2, 2, 3, 3, 3, 4, 5, 6, 8) * 8:
+        own = list(base)
+        for _ in range(edits):
+            own[rng.randrange(len(own))] = word()
+        texts.append(" ".join(own + [word()] * rng.randint(0, 2)))
+    texts += [" ".join(passage + [word() for _ in range(n)]) for n in (0, 0, 1, 2, 3, 4, 6, 9, 20) * 5]
+    rng.shuffle(texts)
+    got = sorted(map(tuple, jaccard.link(docs(spark, *texts), width=width, percent=percent, frequent=6).collect()))
+    assert got == brute_components(texts, width, percent)
+
+
+def test_repeated_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text), (5, text), (2, text), (None, text), (9, "other words here"), (9, "other words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.link(df).collect())) == [(2, 26, 2), (5, 26, 2), (5, 26, 2), (9, 1, 9), (9, 1, 9)]
+
+
 def test_no_documents(spark):
     assert jaccard.link(docs(spark, "a").limit(0)).count() == 0
 
