@@ -14,9 +14,10 @@ The groups that share a much shared shingle aren't paired at once: each is first
 verified against the one with the fewest rarer shingles, which is nearest to what they have in common.
 What these links have not connected is paired by size and place of the shared shingle first (as groups again),
 and only the places that fit are expanded, so that a cluster of near copies costs links in
-proportion to its members. Only rows that can be linked are read a second time.
-No link between different sets is lost: every pair that shares a prefix shingle and fits
-is verified or lies in one component.
+proportion to its members. A pair is then held against sketches, the parities of both sets' shingles
+by hash: sets differ in no fewer shingles than their sketches do in bits. Only rows that can be linked are read a
+second time. No link between different sets is lost: every pair that shares a prefix shingle and fits
+is ruled out by its sketches, verified or lies in one component.
 
 Defined results: null, empty and blank texts have the empty set and link with
 nothing; equal rows are linked; texts of any length are read whole; ids name texts: rows with one id
@@ -37,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligate.llm.common import arrow_batches, slices, stored, table, text_column
+from colligate.llm.common import arrow_batches, discard, slices, stored, table, text_column
 from colligate.llm.graph import components, with_first
 from colligate.llm.shingles import shingle_sets
 
@@ -47,6 +48,8 @@ from colligate.llm.shingles import shingle_sets
 FREQUENT, FREQUENT_KEPT = 24, 500_000
 #: Rare shingles that are kept beyond a prefix, in case some of it turn out frequent.
 SPARE = 8
+#: Bits of a sketch: about as many as the set has shingles, between these.
+SKETCH_LEAST, SKETCH_MOST = 256, 4096
 #: Rows, texts or pairs of sets, that a Python step is handed at once.
 BATCH_ROWS = 512
 #: Ids that are broadcast at most; beyond it, texts are joined by shuffling.
@@ -66,7 +69,7 @@ def _short_length(n: Column, percent: int) -> Column:
 
 def front(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """Of each sorted set its first shingles, until a prefix and ``SPARE`` more of them
-    aren't found in three or more different sets of this list."""
+    (and an eighth of it) aren't found in three or more different sets of this list."""
     different = list({s.tobytes(): s for s in sets}.values())
     merged, counts = np.unique(np.concatenate(different), return_counts=True) if different else (np.zeros(0, np.int64),) * 2
     common = merged[counts >= 3]
@@ -76,23 +79,33 @@ def front(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
             out.append(s)
             continue
         rare = np.cumsum(~np.isin(s, common, assume_unique=True))
-        out.append(s[: int(np.searchsorted(rare, prefix_length(len(s), percent) + SPARE)) + 1])
+        most = prefix_length(len(s), percent)
+        out.append(s[: int(np.searchsorted(rare, most + most // 8 + SPARE)) + 1])
     return out
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of how many shingles have each remainder, as the bits of 64-bit numbers. Half
+    as many bits are the two halves' exclusive or."""
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << max(0, len(s) - 1).bit_length()))
+    odd = np.bincount(s & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_fronts(df: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, digest, front) of every row (id, text): the set's size, a 128-bit digest, and its first shingles."""
+    """(id, n, digest, front, sketch) of every row (id, text): the set's size, a 128-bit digest, its first
+    shingles, and its sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(_strings(part.column("text")), width)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([f.tobytes() for f in front(sets, percent)], pa.binary())],
-                names=["id", "n", "digest", "front"],
+                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([f.tobytes() for f in front(sets, percent)], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))],
+                names=["id", "n", "digest", "front", "sketch"],
             )
 
-    return df.mapInArrow(work, "id long, n long, digest binary, front binary")
+    return df.mapInArrow(work, "id long, n long, digest binary, front binary, sketch array<long>")
 
 
 def _strings(column: pa.Array) -> pa.Array:
@@ -161,6 +174,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches (id, n, sketch) don't rule out that they are similar enough."""
+    one, two = (sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")) for side in ("a", "b"))
+    # sizes that fit make one sketch at most twice as long as the other
+    halved = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
+    both = f"zip_with({halved.format('s_a', 's_b')}, {halved.format('s_b', 's_a')}, (p, q) -> bit_count(p ^ q))"
+    differ = F.expr(f"aggregate({both}, 0, (sum, n) -> sum + n)")
+    fit = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return pairs.join(one, "a").join(two, "b").filter(fit).select("a", "b")
+
+
 def _without(df: DataFrame, ids: DataFrame) -> DataFrame:
     """``df`` without the rows with these ids, which are broadcast only if they are few."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_anti")
@@ -221,6 +245,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
 def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, frequent: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_column(text_col).alias("text")).filter("id is not null")
     fronts = stored(shingle_fronts(docs, width, percent), "fronts")
+    sketches = fronts.select("id", "n", "sketch").filter("n > 0")
     one = stored(with_first(fronts.select("id", "n", "digest"), F.struct("n", "digest"), F.col("id"), F.col("n") > 0).select("id", "n", "first"), "copies")
     # one row per different set, and the shingles that many of them have in front
     sets = _without(fronts, one.filter("id <> first").select("id")).filter("n > 0").select("id", "n", "front")
@@ -229,12 +254,13 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
     shingles, numbers = (found.column(c).to_numpy() for c in ("token", "df"))
     by_hash = np.argsort(shingles)
     hot = df.sparkSession.sparkContext.broadcast((shingles[by_hash], numbers[by_hash].astype(np.int32)))
-    decided = stored(prefixes(sets, "front", hot, percent), "prefixes")
+    done = [decided := stored(prefixes(sets, "front", hot, percent), "prefixes")]
     lacking = decided.filter("lacking").select("id")
     known = decided.filter("not lacking").drop("lacking")
     if not lacking.isEmpty():  # sets of which too little is known are read whole
-        whole = stored(full_sets(docs, lacking, width), "whole")  # so that no task has two Python steps
-        known = known.union(stored(prefixes(whole, "shingles", hot, percent).drop("lacking"), "prefixes"))
+        done.append(whole := stored(full_sets(docs, lacking, width), "whole"))  # so that no task has two Python steps
+        done.append(late := stored(prefixes(whole, "shingles", hot, percent).drop("lacking"), "prefixes"))
+        known = known.union(late)
 
     # groups: sets of one size and with one prefix, named by their smallest id
     member = stored(with_first(known.select("id", "n", "digest"), F.struct("n", "digest"), F.col("id"), F.lit(True)).select("id", "n", F.col("first").alias("g")), "members")
@@ -246,6 +272,7 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
     keyed = keyed.filter((F.col("up") == 0) | (F.col("pos") < _short_length(F.col("n"), percent))).select("id", "n", "pos", "up", F.xxhash64("token", "class").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
     sharing = stored(keyed.join(shared, "key").withColumn("busy", F.col("k") >= frequent).drop("k"), "sharing")
+    discard(*done)
 
     # first: members with their group's first, all groups of a key that few share, and
     # the groups of one that many share with the one that has it nearest to its front
@@ -255,7 +282,7 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
     stars = busy.join(lead, "key").filter(near).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
     group_pairs = stored(_calm_pairs(calm, percent), "group-pairs")
     first = stored(own.union(group_pairs).union(stars).distinct(), "pairs")
-    links, labels = _linked(docs, first, width, percent, None)
+    links, labels = _linked(docs, first, sketches, width, percent, None)
 
     # then: the members of those groups that these links have not connected
     named = stored(member.join(labels, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")), "named")
@@ -271,16 +298,18 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
         pairs = pairs.union(spread.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))).distinct()
     pairs = stored(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        links, labels = _linked(docs, pairs, width, percent, links)
+        links, labels = _linked(docs, pairs, sketches, width, percent, links)
     out = one.join(labels.select(F.col("id").alias("first"), "component"), "first", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int, percent: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The links among ``pairs`` and the known ones, and their components."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(full_sets(docs, stored(ends, "ends"), width), "sets")
-    links = stored(verified(pairs, sets, percent), "links")
+    maybe = stored(plausible(pairs, sketches, percent), "plausible")
+    ends = stored(maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct(), "ends")
+    sets = stored(full_sets(docs, ends, width), "sets")
+    links = stored(verified(maybe, sets, percent), "links")
+    discard(sets, ends, maybe)
     links = links if known is None else links.union(known)
     return links, components(links)
 
