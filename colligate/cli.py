@@ -1,31 +1,42 @@
 """Commands: ``pair``, ``weigh`` and ``emit``, over files that Spark reads.
 
-``python -m colligate.cli pair [-a | -w N] [-o | -u] [-O OUT] FILE...``
-``python -m colligate.cli weigh [-p FIELDS | -s] [-k REGEX] [-M METHOD] [-O OUT] FILE``
-``python -m colligate.cli emit -c CONFIG [-T FORMAT] [-W MIN_CW] [-Z MIN_Z] [-O OUT] FILE``
-
-Without ``-O`` the result goes to standard output. Of contradicting options the last wins.
+``python -m colligate.cli pair [-a | -w N] [-o | -u] [-O OUT] [FILE...]``
+``python -m colligate.cli weigh [-p FIELDS | -s] [-k REGEX] [-M METHOD] [-U UNITS] [-O OUT] [FILE]``
+``python -m colligate.cli emit [-c CONFIG] [-T FORMAT] [-W MIN_CW] [-Z MIN_Z] [-O OUT] [FILE]``
+
+Without a file, or for ``-``, standard input is read: it is copied to the shared folder, piece by piece,
+so that Spark can read it in parallel. Without ``-O`` the result goes to standard output. Of contradicting
+options the last wins. ``-U`` writes the units of each edge as rows (patterns and unit id) to a folder, and leaves
+them out of the edges' lines: for edges with more units than a line should hold.
 """
 
 from __future__ import annotations
 
 import argparse
 import math
+import os
 import re
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colligate import ship
 from colligate.errors import ColligateError, OptionError
 from colligate.functions.tokens import DEFAULT_FIELDS, parse_fields
 from colligate.operators.pairs import pair
-from colligate.plans.config import load_config, override
-from colligate.plans.weigh import KEYED, corpus, weigh, with_unit_ids
+from colligate.plans.config import Config, load_config, override
+from colligate.plans.weigh import KEYED, corpus, edge_units, weigh, with_unit_ids
 from colligate.sinks import graph as sinks
+from colligate.sinks.store import shared_folder
 from colligate.sources.text import parse_units, read_edges, read_lines, read_pairs, rejected_units
 
 VERSION = "0.1.0"
+#: Where a configuration is looked for if none is named; without that file, defaults hold.
+DEFAULT_CONFIG = "config/emit-config.json"
+#: Bytes of standard input that are copied at once.
+PIECE = 1 << 20
 
 
 def positive(text: str) -> int:
@@ -59,16 +70,34 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("-k", "--key")
     w.add_argument("-M", "--method", type=int, default=7)
     e = commands.add_parser("emit", help="a graph or table of edges")
-    e.add_argument("-c", "--config", required=True)
+    w.add_argument("-U", "--units", help="a folder for the units of each edge")
+    e.add_argument("-c", "--config")
     e.add_argument("-T", "--format")
     e.add_argument("-W", "--min-cw", type=number)
     e.add_argument("-Z", "--min-z", type=number)
     for c in (p, w, e):
         c.add_argument("-O", "--output", help="a folder for text files")
-        c.add_argument("files", nargs="+" if c is p else 1)
+        c.add_argument("files", nargs="*" if c is p else "?", default=[] if c is p else "-")
     return top
 
 
+def _paths(spark: SparkSession, files: list[str] | str) -> list[str]:
+    """The files; standard input, once, as a file in the shared folder."""
+    named = [files] if isinstance(files, str) else files or ["-"]
+    copied = _copied_input(spark) if "-" in named else ""
+    return [copied if f == "-" else f for f in named]
+
+
+def _copied_input(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/input-{uuid.uuid4().hex}.txt")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    while piece := sys.stdin.buffer.read(PIECE):
+        out.write(bytearray(piece))
+    out.close()
+    return path.toString()
+
+
 def _out(lines: DataFrame, output: str | None, *order: str) -> None:
     lines = lines.orderBy(*order) if order else lines
     if output:
@@ -81,21 +110,30 @@ def _out(lines: DataFrame, output: str | None, *order: str) -> None:
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     ship(spark)
     if args.command == "pair":
-        units = parse_units(read_lines(spark, args.files))
-        for r in rejected_units(units).limit(100).collect():  # a few warnings, not a result
+        units = parse_units(read_lines(spark, _paths(spark, args.files)))
+        for r in rejected_units(units).toLocalIterator():
             print(f"colligate: unit without a token: {r['unit_id']}", file=sys.stderr)
         _out(sinks.pair_lines(pair(units, args.window, args.ordered)), args.output)
     elif args.command == "weigh":
         fields = parse_fields(args.fields) if args.fields is not None else DEFAULT_FIELDS
         if args.method in KEYED and args.key is None:
             raise OptionError(f"method {args.method} needs a key")
-        c = corpus(read_pairs(spark, *args.files), fields)
-        edges = with_unit_ids(weigh(c, args.key, args.method), c, args.key)
+        c = corpus(read_pairs(spark, *_paths(spark, args.files)), fields)
+        edges = weigh(c, args.key, args.method)
+        if args.units:
+            rows = edge_units(c, args.key).orderBy("pattern1", "pattern2", "ord")
+            rows.select(F.concat_ws("\t", "pattern1", "pattern2", "unit_id")).write.text(args.units)
+            edges = edges.withColumn("unit_ids", F.lit(None).cast("array<string>"))
+        else:
+            edges = with_unit_ids(edges, c, args.key)
         _out(sinks.edge_lines(sinks.numbered(edges, "pattern1", "pattern2")), args.output, "row")
     else:
-        with open(args.config, encoding="utf-8") as f:
-            config = override(load_config(f.read(), args.config), args.format, args.min_cw, args.min_z)
-        edges = sinks.numbered(read_edges(spark, *args.files), "ord")
+        config, path = Config(), args.config or DEFAULT_CONFIG
+        if args.config or os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                config = load_config(f.read(), path)
+        config = override(config, args.format, args.min_cw, args.min_z)
+        edges = sinks.numbered(read_edges(spark, *_paths(spark, args.files)), "ord")
         _out(sinks.lines(edges, config), args.output, "section", "row")
 
 

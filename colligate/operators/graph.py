@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
-from colligate.sinks.store import stored
+from colligate.operators.pairs import pair_table, unit_ends
+from colligate.sinks.store import discard, stored
 
 
-def prune(edges: DataFrame, min_cw: float | None = None, min_z: float | None = None) -> DataFrame:
+def prune(edges: DataFrame, min_cw: float | None = None, min_z: float | None = None, min_ctf: int | None = None) -> DataFrame:
     """Edges that reach the thresholds; each is inclusive and optional."""
-    for name, least in (("cw", min_cw), ("z", min_z)):
+    for name, least in (("ctf", min_ctf), ("cw", min_cw), ("z", min_z)):
         if least is not None:
             edges = edges.filter(F.col(name) >= least)
     return edges
@@ -22,6 +25,11 @@ def exclude(edges: DataFrame, pattern: str) -> DataFrame:
     return edges.filter(~F.col("token1").rlike(pattern) & ~F.col("token2").rlike(pattern))
 
 
+def touching(edges: DataFrame, pattern: str) -> DataFrame:
+    """Edges one of whose tokens has the (Java) regular expression."""
+    return edges.filter(F.col("token1").rlike(pattern) | F.col("token2").rlike(pattern))
+
+
 def top_edges(edges: DataFrame, k: int, by: str = "z") -> DataFrame:
     """The ``k`` edges with the largest values, ties to the smaller tokens."""
     return edges.orderBy(F.desc(by), "token1", "token2").limit(k)
@@ -60,14 +68,17 @@ def components(edges: DataFrame) -> DataFrame:
     links = edges.select(F.col("token1").alias("a"), F.col("token2").alias("b"))
     both = stored(links.union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    last = labels
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         sunk = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("component").alias("d"))
         new = stored(sunk.join(up, "c").select("id", "old", F.least("c", "d").alias("component")), "labels")
+        discard(last)
         if new.filter("old <> component").isEmpty():
+            discard(both)
             return new.select("id", "component")
-        labels = new.select("id", "component")
+        last, labels = new, new.select("id", "component")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -105,7 +116,9 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         left = stored(min_degree(now, k), "core")
         m = left.count()
         if m == n:
+            discard(left)
             break
+        discard(now)
         now, n = left, m
     return now
 
@@ -114,7 +127,18 @@ def transitions(units: DataFrame, begin: str = "<BOS>", end: str = "<EOS>") -> D
     """(x, y, af, p): how often y follows x in units (ord, unit_id, tokens), and of all that follows x."""
     framed = units.select(F.concat(F.array(F.lit(begin)), "tokens", F.array(F.lit(end))).alias("t"))
     steps = framed.select(F.explode(F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("x"), F.expr("slice(t, 2, size(t) - 1)").alias("y"))).alias("s"))
-    af = steps.groupBy(F.col("s.x").alias("x"), F.col("s.y").alias("y")).agg(F.count("*").alias("af"))
+    return _shares(steps.select("s.x", "s.y"))
+
+
+def transitions_of_table(df: DataFrame, unit: str, token: Column, order: Sequence[str], begin: str = "<BOS>", end: str = "<EOS>") -> DataFrame:
+    """The same of a table with a row per token, where a unit may be as long as the table."""
+    inner = pair_table(df, unit, token, order, 1, True, with_counts=False).select(F.col("token1").alias("x"), F.col("token2").alias("y"))
+    ends = unit_ends(df, unit, token, order).select(F.explode(F.array(F.struct(F.lit(begin).alias("x"), F.col("first").alias("y")), F.struct(F.col("last").alias("x"), F.lit(end).alias("y")))).alias("e"))
+    return _shares(inner.union(ends.select("e.x", "e.y")))
+
+
+def _shares(steps: DataFrame) -> DataFrame:
+    af = steps.groupBy("x", "y").agg(F.count("*").alias("af"))
     total = af.groupBy("x").agg(F.sum("af").alias("n"))
     return af.join(total, "x").select("x", "y", "af", (F.col("af") / F.col("n")).alias("p"))
 
@@ -126,3 +150,14 @@ def distribution(edges: DataFrame, column: str = "z", bins: int = 10) -> DataFra
     place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col(column) - F.col("_low")) / step), F.lit(bins - 1))).otherwise(0)
     counted = edges.crossJoin(F.broadcast(bounds)).groupBy(place.cast("int").alias("bin"), "_low", "_high").agg(F.count("*").alias("n"))
     return counted.select("bin", (F.col("_low") + F.col("bin") * step).alias("low"), (F.col("_low") + (F.col("bin") + 1) * step).alias("high"), "n")
+
+
+def summary(edges: DataFrame, column: str = "z", shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """One row about a column's distribution: n, mean, sd (of a sample), least, largest, skewness and
+    kurtosis (in excess of the normal one, both of the population) and, as an array, the percentiles of ``shares``.
+    Percentiles are computed exactly, from counts of equal values that Spark merges."""
+    x = F.col(column)
+    return edges.agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("least"), F.max(x).alias("largest"),
+        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"), F.percentile(x, F.array(*map(F.lit, shares))).alias("percentiles"),
+    )

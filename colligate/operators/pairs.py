@@ -6,18 +6,48 @@ the unit id, is the scope of pairing. fq1 and fq2 count a token in its whole row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
+from colligate.sinks.store import numbered
 
 #: Different tokens of a unit from which on all-pairs is refused (not cut).
 MAX_UNIT_TYPES = 100_000
+#: Rows of a table that are walked in one piece.
+PIECE_ROWS = 65_536
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_runs(tokens: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """For each different token, ``use`` of all places (t, i) sorted by token, where its own start, and
+    how many they are. The tokens are sorted once."""
+    places = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k)["t"] != F.get(s, k - 1)["t"]))
+        return let(starts, lambda at: F.transform(at, lambda k, j: use(s, k, F.coalesce(F.get(at, j + 1), F.size(s)) - k)))
+
+    return F.when(F.size(tokens) > 0, let(places, runs))
 
 
 def counted(tokens: Column) -> Column:
-    """The different tokens, first seen first, each with its count."""
-    return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("t"), F.size(F.filter(tokens, lambda x: x == t)).cast("long").alias("c")))
+    """The different tokens (i, t, c), first seen first, each with its first place and its count."""
+    return F.array_sort(_in_runs(tokens, lambda s, k, n: F.struct(F.get(s, k)["i"].alias("i"), F.get(s, k)["t"].alias("t"), n.cast("long").alias("c"))))
+
+
+def counted_places(tokens: Column) -> Column:
+    """All tokens (i, t, c) in order, each with its count."""
+    all_ = _in_runs(tokens, lambda s, k, n: F.transform(F.slice(s, k + 1, n), lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), n.cast("long").alias("c"))))
+    return F.array_sort(F.flatten(all_))
 
 
 def pair(units: DataFrame, window: int | None = None, ordered: bool = False, max_unit_types: int = MAX_UNIT_TYPES) -> DataFrame:
@@ -35,19 +65,52 @@ def pair(units: DataFrame, window: int | None = None, ordered: bool = False, max
     if once:
         fine = F.size(F.array_distinct("tokens")) <= max_unit_types
         sized = sized.withColumn("tokens", F.when(F.coalesce(fine, F.lit(True)), F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("too many different tokens in unit "), F.col("unit_id")))))
-        rows = sized.select(*rest, counted(F.col("tokens")).alias("_t"))
-    else:
-        # a count per place, by position among the different tokens
-        with_counts = sized.select(*rest, "tokens", F.map_from_entries(counted(F.col("tokens"))).alias("_c"))
-        rows = with_counts.select(*rest, F.transform("tokens", lambda t: F.struct(t.alias("t"), F.col("_c")[t].alias("c"))).alias("_t"))
+    rows = sized.select(*rest, (counted if once else counted_places)(F.col("tokens")).alias("_t"))
+    # each place and those behind it; the generators drop the array before the rows multiply
     last = F.size("_t") if window is None else F.lit(window)
-    left = rows.select(*rest, "_t", F.posexplode("_t").alias("_i", "_a"))
-    both = left.select(*rest, "_a", F.explode(F.slice("_t", F.col("_i") + 2, last)).alias("_b"))
+    left = rows.select(*rest, F.explode(F.transform("_t", lambda x, i: F.struct(x["t"].alias("t"), x["c"].alias("c"), F.slice("_t", i + 2, last).alias("more")))).alias("_a"))
+    both = left.select(*rest, F.col("_a.t").alias("t"), F.col("_a.c").alias("c"), F.explode("_a.more").alias("_b"))
     if ordered:
-        first, second = F.col("_a"), F.col("_b")
-    else:
-        first, second = F.least("_a", "_b"), F.greatest("_a", "_b")  # by token, then by count: equal tokens have equal counts
-    return both.select(*rest, first.alias("x"), second.alias("y")).select(*rest, F.col("x.t").alias("token1"), F.col("y.t").alias("token2"), F.col("x.c").alias("fq1"), F.col("y.c").alias("fq2"))
+        return both.select(*rest, F.col("t").alias("token1"), F.col("_b.t").alias("token2"), F.col("c").alias("fq1"), F.col("_b.c").alias("fq2"))
+    swap = F.col("_b.t") < F.col("t")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("t", "_b.t", "token1"), ("_b.t", "t", "token2"), ("c", "_b.c", "fq1"), ("_b.c", "c", "fq2"))]
+    return both.select(*rest, *ends)
+
+
+def _events(df: DataFrame, unit: str, token: Column, order: Sequence[str]) -> DataFrame:
+    """(unit_id, t, o): the rows with a unit and a token."""
+    return df.filter(F.col(unit).isNotNull() & token.isNotNull()).select(F.col(unit).cast("string").alias("unit_id"), token.alias("t"), F.struct(*order).alias("o"))
+
+
+def pair_table(df: DataFrame, unit: str, token: Column, order: Sequence[str], window: int = 1, ordered: bool = False, with_counts: bool = True) -> DataFrame:
+    """(unit_id, token1, token2, fq1, fq2): what ``pair`` gives with a window, of a table with a row per
+    token, where a unit may be as long as the table. Rows are sorted by unit and order over all
+    partitions and numbered; pieces of equal size, each with the first rows of the next one, are
+    walked. Without ``with_counts`` fq1 and fq2 are left out."""
+    if window < 1:
+        raise OptionError("a window is a positive number of tokens")
+    events = _events(df, unit, token, order)
+    placed = numbered(events, "unit_id", "o").select("unit_id", "t", "row")
+    size = max(PIECE_ROWS, 16 * window)
+    piece = F.floor(F.col("row") / size)
+    own = placed.select("*", piece.alias("piece"), F.lit(True).alias("own"))
+    ahead = placed.filter((F.col("row") % size < window) & (F.col("row") >= size)).select("*", (piece - 1).alias("piece"), F.lit(False).alias("own"))
+    next_ = Window.partitionBy("piece").orderBy("row").rowsBetween(1, window)
+    met = own.union(ahead).withColumn("more", F.collect_list(F.struct("unit_id", "t")).over(next_)).filter("own")
+    pairs = met.select("unit_id", "t", F.explode(F.filter("more", lambda x: x["unit_id"] == F.col("unit_id"))).alias("b")).select("unit_id", "t", F.col("b.t").alias("u"))
+    first, second = (F.col("t"), F.col("u")) if ordered else (F.least("t", "u"), F.greatest("t", "u"))
+    pairs = pairs.select("unit_id", first.alias("token1"), second.alias("token2"))
+    if not with_counts:
+        return pairs
+    counts = events.groupBy("unit_id", "t").agg(F.count("*").alias("c"))
+    for i in (1, 2):
+        pairs = pairs.join(counts.select("unit_id", F.col("t").alias(f"token{i}"), F.col("c").alias(f"fq{i}")), ["unit_id", f"token{i}"])
+    return pairs.select("unit_id", "token1", "token2", "fq1", "fq2")
+
+
+def unit_ends(df: DataFrame, unit: str, token: Column, order: Sequence[str]) -> DataFrame:
+    """(unit_id, first, last): the first and the last token of each unit of such a table."""
+    return _events(df, unit, token, order).groupBy("unit_id").agg(F.min_by("t", "o").alias("first"), F.max_by("t", "o").alias("last"))
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:

@@ -13,23 +13,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colligate.errors import ColligateError, OptionError
+from colligate.errors import OptionError
 from colligate.functions.ere import to_java
 from colligate.functions.tokens import DEFAULT_FIELDS, project
+from colligate.operators.pairs import counted, let
 
 METHODS = (1, 7, 12, 16)
 KEYED = (7, 12)
+NO_FREQUENCIES = "the key's patterns have no frequencies"
 EDGE_COLUMNS = ["token1", "token2", "ctf", "cdf", "df1", "idf1", "fq1", "df2", "idf2", "fq2", "cw", "z"]
 
 
 @dataclass(frozen=True)
 class Corpus:
     """What a corpus' pairs say: rows (unit_id, pattern, token, ord, cnt) of tokens, rows
-    (unit_id, pattern1, pattern2, ord) of pairs, both once per unit, and the number of units."""
+    (unit_id, pattern1, pattern2, ord) of pairs, both once per unit, and the number of units.
+
+    Of units, ``patterns`` has rows (ord, unit_id, p) with their different patterns, so that a key's
+    units are known, and combined, before any pair is made. Where each unit is one row, a token's
+    ``first`` says whether it is the first one of its pattern in its unit."""
 
     tokens: DataFrame
     pairs: DataFrame
     units: DataFrame  # one row: n
+    patterns: DataFrame | None = None
+    one_row: bool = False
 
 
 def corpus(pairs: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS) -> Corpus:
@@ -42,17 +50,29 @@ def corpus(pairs: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS) -> Corpus:
     return Corpus(tokens, both, pairs.agg(F.countDistinct("unit_id").alias("n")))
 
 
-def corpus_of_units(units: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS) -> Corpus:
+def corpus_of_units(units: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS, one_row: bool = False) -> Corpus:
     """The same of units (ord, unit_id, tokens), for pairs of different tokens in any order, without
-    making raw pairs: patterns are combined once per row, tokens counted in a linear table."""
+    making raw pairs: patterns are combined once per row. With ``one_row`` a unit id has one row
+    only (as ``units_from_table`` makes them), so that nothing need be told apart by unit ids."""
     rows = units.filter(F.size(F.array_distinct("tokens")) > 1)
-    counted = rows.select("ord", "unit_id", F.explode("tokens").alias("token")).groupBy("ord", "unit_id", "token").agg(F.count("*").alias("c"))
-    tokens = counted.groupBy("unit_id", "token").agg(F.min("ord").alias("ord"), F.min_by("c", "ord").alias("cnt")).withColumn("pattern", project(F.col("token"), fields))
-    patterns = rows.select("ord", "unit_id", F.sort_array(F.array_distinct(F.transform("tokens", lambda t: project(t, fields)))).alias("p"))
-    left = patterns.select("ord", "unit_id", "p", F.posexplode("p").alias("i", "pattern1"))
-    both = left.select("ord", "unit_id", "pattern1", F.explode(F.expr("slice(p, i + 2, size(p))")).alias("pattern2"))
-    both = both.groupBy("unit_id", "pattern1", "pattern2").agg(F.min("ord").alias("ord"))
-    return Corpus(tokens, both, rows.agg(F.countDistinct("unit_id").alias("n")))
+    seen = rows.select("ord", "unit_id", F.explode(counted(F.col("tokens"))).alias("e")).select("ord", "unit_id", F.col("e.t").alias("token"), F.col("e.c").alias("cnt"))
+    if one_row:
+        # a unit's tokens by pattern, so that each pattern has a first one
+        named = F.array_sort(F.transform(counted(F.col("tokens")), lambda x: F.struct(project(x["t"], fields).alias("pattern"), x["t"].alias("token"), x["c"].alias("cnt"))))
+        firsts = lambda s: F.transform(s, lambda x, i: F.struct(x["pattern"].alias("pattern"), x["token"].alias("token"), x["cnt"].alias("cnt"), ((i == 0) | (F.get(s, i - 1)["pattern"] != x["pattern"])).alias("first")))
+        seen = rows.select("ord", "unit_id", F.explode(let(named, firsts)).alias("e")).select("ord", "unit_id", "e.*")
+    else:
+        seen = seen.groupBy("unit_id", "token").agg(F.min("ord").alias("ord"), F.min_by("cnt", "ord").alias("cnt")).withColumn("pattern", project(F.col("token"), fields))
+    patterns = rows.select("ord", "unit_id", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: project(t, fields)))).alias("p"))
+    number = F.count("*") if one_row else F.countDistinct("unit_id")
+    return Corpus(seen, combined(patterns, one_row), rows.agg(number.alias("n")), patterns, one_row)
+
+
+def combined(patterns: DataFrame, one_row: bool) -> DataFrame:
+    """(unit_id, pattern1, pattern2, ord) of rows (ord, unit_id, p), once per unit."""
+    left = patterns.select("ord", "unit_id", F.explode(F.transform("p", lambda x, i: F.struct(x.alias("p1"), F.slice("p", i + 2, F.size("p")).alias("more")))).alias("e"))
+    both = left.select("ord", "unit_id", F.col("e.p1").alias("pattern1"), F.explode("e.more").alias("pattern2"))
+    return both if one_row else both.groupBy("unit_id", "pattern1", "pattern2").agg(F.min("ord").alias("ord"))
 
 
 def token_stats(c: Corpus, selected: DataFrame | None = None) -> DataFrame:
@@ -60,11 +80,14 @@ def token_stats(c: Corpus, selected: DataFrame | None = None) -> DataFrame:
     token (most units, then the smallest), null fq where a count is missing.
     ``selected`` (unit_id) are the local units; without it, local is global."""
     tokens = c.tokens.withColumn("_sel", F.lit(True)) if selected is None else c.tokens.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left").fillna(False, ["_sel"])
-    variants = tokens.groupBy("pattern", "token").agg(F.count("*").alias("vdf"), F.sum("cnt").alias("fq"), F.sum(F.when(F.col("_sel"), F.col("cnt")).otherwise(0)).alias("local"), F.bool_and(F.col("cnt").isNotNull()).alias("known"))
-    units = c.tokens.select("pattern", "unit_id").distinct().groupBy("pattern").agg(F.count("*").alias("df"))
-    merged = variants.groupBy("pattern").agg(F.min_by("token", F.struct(-F.col("vdf"), "token")).alias("token"), F.sum("fq").alias("fq"), F.sum("local").alias("local"), F.bool_and("known").alias("known"))
+    firsts = F.count_if("first") if c.one_row else F.lit(0)
+    variants = tokens.groupBy("pattern", "token").agg(F.count("*").alias("vdf"), F.sum("cnt").alias("fq"), F.sum(F.when(F.col("_sel"), F.col("cnt")).otherwise(0)).alias("local"), F.bool_and(F.col("cnt").isNotNull()).alias("known"), firsts.alias("df"))
+    merged = variants.groupBy("pattern").agg(F.min_by("token", F.struct(-F.col("vdf"), "token")).alias("token"), F.sum("fq").alias("fq"), F.sum("local").alias("local"), F.bool_and("known").alias("known"), F.sum("df").alias("df"))
+    if not c.one_row:
+        units = c.tokens.select("pattern", "unit_id").distinct().groupBy("pattern").agg(F.count("*").alias("df"))
+        merged = merged.drop("df").join(units, "pattern")
     n = c.units.select(F.col("n").alias("_n"))
-    return merged.join(units, "pattern").crossJoin(F.broadcast(n)).select("pattern", "token", "df", F.log(F.col("_n") / F.col("df")).alias("idf"), F.when(F.col("known"), F.col("fq")).alias("fq"), F.when(F.col("known"), F.col("local")).alias("fq_local"))
+    return merged.crossJoin(F.broadcast(n)).select("pattern", "token", "df", F.log(F.col("_n") / F.col("df")).alias("idf"), F.when(F.col("known"), F.col("fq")).alias("fq"), F.when(F.col("known"), F.col("local")).alias("fq_local"))
 
 
 def matching_patterns(c: Corpus, key: str) -> DataFrame:
@@ -73,15 +96,23 @@ def matching_patterns(c: Corpus, key: str) -> DataFrame:
 
 
 def key_units(c: Corpus, key: str) -> DataFrame:
-    """(unit_id) with a pair of which a pattern matches the key."""
+    """(unit_id) with a pair of which a pattern matches the key: of units, those with a row that has
+    such a pattern and another one."""
+    if c.patterns is not None:
+        found = c.patterns.filter((F.size("p") > 1) & F.exists("p", lambda x: x.rlike(to_java(key)))).select("unit_id")
+        return found if c.one_row else found.distinct()
     ends = c.pairs.select("unit_id", F.explode(F.array("pattern1", "pattern2")).alias("pattern")).distinct()
     return ends.join(matching_patterns(c, key), "pattern", "left_semi").select("unit_id").distinct()
 
 
-def pair_stats(c: Corpus, selected: DataFrame | None = None) -> DataFrame:
-    """(pattern1, pattern2, gdf, ctf): units of each pair, and those of them that are selected."""
+def pair_stats(c: Corpus, selected: DataFrame | None = None, with_gdf: bool = True) -> DataFrame:
+    """(pattern1, pattern2, gdf, ctf): units of each pair, and those of them that are selected.
+    Without ``with_gdf``, which is null then, only the selected units are combined."""
     if selected is None:
         return c.pairs.groupBy("pattern1", "pattern2").agg(F.count("*").alias("gdf")).withColumn("ctf", F.col("gdf"))
+    if not with_gdf:
+        rows = c.pairs.join(selected, "unit_id", "left_semi") if c.patterns is None else combined(c.patterns.join(selected, "unit_id", "left_semi"), c.one_row)
+        return rows.groupBy("pattern1", "pattern2").agg(F.count("*").alias("ctf")).withColumn("gdf", F.lit(None).cast("long"))
     marked = c.pairs.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left")
     return marked.groupBy("pattern1", "pattern2").agg(F.count("*").alias("gdf"), F.count("_sel").alias("ctf")).filter("ctf > 0")
 
@@ -119,20 +150,21 @@ def standardized(scored: DataFrame) -> DataFrame:
 def weigh(c: Corpus, key: str | None = None, method: int = 7) -> DataFrame:
     """Edges with their patterns; ``ordered`` gives them their order, ``with_unit_ids`` their units.
 
-    Methods 7 and 12 need a key whose patterns have frequencies. A key that selects no unit
-    gives no edge."""
+    Methods 7 and 12 need a key whose patterns have frequencies; the rows raise an error if they
+    don't. A key that selects no unit gives no edge. gdf is null where a key is given and the method
+    doesn't need it: then only the key's units are combined."""
     if method not in METHODS:
         raise OptionError(f"no such method: {method}")
     if method in KEYED and key is None:
         raise OptionError(f"method {method} needs a key")
     selected = None if key is None else key_units(c, key)
     stats = token_stats(c, selected)
-    pairs = pair_stats(c, selected)
+    pairs = pair_stats(c, selected, method == 16)
     if method in KEYED:
-        stats = stats.persist()
-        key_fq = key_frequency(stats, c, key)
-        if not selected.isEmpty() and not (key_fq.first()["key_fq"] or 0) > 0:
-            raise ColligateError("the key's patterns have no frequencies")
+        # one row; an error where units are selected and their patterns have no frequency
+        found = key_frequency(stats, c, key).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("_pairs"))))
+        fine = (F.col("_pairs") == 0) | (F.coalesce("key_fq", F.lit(0)) > 0)
+        key_fq = found.select(F.when(fine, F.col("key_fq")).otherwise(F.raise_error(F.lit(NO_FREQUENCIES))).alias("key_fq"))
     else:
         key_fq = c.units.select(F.lit(None).cast("long").alias("key_fq"))
     one, two = (stats.select(F.col("pattern").alias(f"pattern{i}"), F.col("token").alias(f"token{i}"), F.col("df").alias(f"df{i}"), F.col("idf").alias(f"idf{i}"), F.col("fq_local").alias(f"fq{i}")) for i in (1, 2))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colligate.functions import tokens as t
 from colligate.operators import graph
-from colligate.operators.pairs import pair, pair_counts
+from colligate.operators.pairs import pair, pair_counts, pair_table
 from colligate.plans import weigh as w
 from colligate.plans.config import Config
 from colligate.sinks import graph as sinks
@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BRAND, TYPE, BRAND_TYPE = (3,), (4,), (3, 4)
 KEY, KEY_SQL = "^Brand#1[1-3]$", "^Brand#1[1-3]$"
 METRICS = ["idf1", "idf2", "cw", "z"]
+CORE = 8
 
 
 def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +34,24 @@ def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units_from_table(items, "l_orderkey", F.col("token"), ["l_linenumber", "l_partkey"])
 
 
+EVENT_ORDER = ["ts", "event_id"]
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id")
+
+
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id")
-    return units_from_table(events, "user_id", F.col("event_type"), ["ts", "event_id"])
+    return units_from_table(events(spark, sf_dir), "user_id", F.col("event_type"), EVENT_ORDER)
+
+
+def event_pairs(window: int, ordered: bool = False) -> Query:
+    """Counts of pairs of events that follow each other closely."""
+    return lambda spark, sf_dir: pair_counts(pair_table(events(spark, sf_dir), "user_id", F.col("event_type"), EVENT_ORDER, window, ordered, with_counts=False))
+
+
+def corpus_of_orders(spark: SparkSession, sf_dir: str, fields: Sequence[int]) -> w.Corpus:
+    return w.corpus_of_units(order_units(spark, sf_dir), fields, one_row=True)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -44,7 +60,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def edges(fields: Sequence[int], method: int, key: str | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = w.weigh(w.corpus_of_units(order_units(spark, sf_dir), fields), key, method)
+        found = w.weigh(corpus_of_orders(spark, sf_dir, fields), key, method)
         return rounded(found.select(*w.EDGE_COLUMNS), *METRICS)
 
     return query
@@ -52,7 +68,7 @@ def edges(fields: Sequence[int], method: int, key: str | None = None) -> Query:
 
 def of_edges(then: Callable[[DataFrame], DataFrame], fields: Sequence[int] = BRAND, method: int = 16) -> Query:
     """A query on the edges of all orders."""
-    return lambda spark, sf_dir: then(w.weigh(w.corpus_of_units(order_units(spark, sf_dir), fields), None, method))
+    return lambda spark, sf_dir: then(w.weigh(corpus_of_orders(spark, sf_dir, fields), None, method))
 
 
 def of_units(units: Callable[[SparkSession, str], DataFrame], then: Callable[[DataFrame], DataFrame]) -> Query:
@@ -60,7 +76,7 @@ def of_units(units: Callable[[SparkSession, str], DataFrame], then: Callable[[Da
 
 
 def of_corpus(then: Callable[[w.Corpus], DataFrame], fields: Sequence[int] = BRAND) -> Query:
-    return lambda spark, sf_dir: then(w.corpus_of_units(order_units(spark, sf_dir), fields))
+    return lambda spark, sf_dir: then(corpus_of_orders(spark, sf_dir, fields))
 
 
 def projections(units: DataFrame) -> DataFrame:
@@ -74,20 +90,29 @@ def local_stats(c: w.Corpus) -> DataFrame:
     return w.token_stats(c, w.key_units(c, KEY)).select("pattern", "token", "df", "fq", "fq_local")
 
 
-def table_rows(found: DataFrame) -> DataFrame:
-    config = Config(format="md", columns=("token1", "token2", "raw_token1", "ctf", "df1", "fq2"), table_label_fields=(3, 4), table_label_separator=":")
-    edges_ = sinks.numbered(found.withColumn("unit_ids", F.lit(None).cast("array<string>")), "pattern1", "pattern2")
-    return sinks.table_lines(edges_, config).filter("section = 1").select(F.col("line"))
+def table_rows(format: str) -> Callable[[DataFrame], DataFrame]:
+    config = Config(format=format, columns=("token1", "token2", "raw_token1", "ctf", "df1", "fq2"), table_label_fields=(3, 4), table_label_separator=":")
+
+    def rows(found: DataFrame) -> DataFrame:
+        edges_ = sinks.numbered(found.withColumn("unit_ids", F.lit(None).cast("array<string>")), "pattern1", "pattern2")
+        return sinks.table_lines(edges_, config).filter("section = 1").select(F.col("line"))
+
+    return rows
+
+
+def z_summary(found: DataFrame) -> DataFrame:
+    about = graph.summary(found, "z", (0.25, 0.5, 0.75)).selectExpr("n", "least", "largest", "skewness", "kurtosis", *(f"percentiles[{i}] as p{p}" for i, p in enumerate((25, 50, 75))))
+    return rounded(about, *about.columns[1:])
 
 
 QUERIES: dict[str, Query] = {
     "pair_unordered": of_units(order_units, lambda u: pair(u).select("unit_id", "token1", "token2", "fq1", "fq2")),
     "pair_ordered": of_units(event_units, lambda u: pair_counts(pair(u, ordered=True))),
-    "pair_window3": of_units(event_units, lambda u: pair_counts(pair(u, window=3))),
-    "pair_adjacent": of_units(event_units, lambda u: pair_counts(pair(u, window=1))),
-    "pair_adjacent_ordered": of_units(event_units, lambda u: pair_counts(pair(u, window=1, ordered=True))),
+    "pair_window3": event_pairs(3),
+    "pair_adjacent": event_pairs(1),
+    "pair_adjacent_ordered": event_pairs(1, True),
     "pattern_project": of_units(order_units, projections),
-    "pattern_fallback": of_units(event_units, lambda u: u.select(F.explode("tokens").alias("token")).distinct().select("token", t.project(F.col("token"), (2, 3)).alias("p23"), t.project(F.col("token"), (1, 2)).alias("p12"))),
+    "pattern_fallback": of_units(events, lambda e: e.select(F.col("event_type").alias("token")).filter("token is not null").distinct().select("token", t.project(F.col("token"), (2, 3)).alias("p23"), t.project(F.col("token"), (1, 2)).alias("p12"))),
     "unit_count": of_corpus(lambda c: c.units),
     "token_stats": of_corpus(lambda c: rounded(w.token_stats(c).select("pattern", "token", "df", "idf", "fq"), "idf")),
     "pair_gdf": of_corpus(lambda c: w.pair_stats(c).select("pattern1", "pattern2", "gdf"), BRAND_TYPE),
@@ -110,11 +135,17 @@ QUERIES: dict[str, Query] = {
     "nodes_font_fq": of_edges(lambda e: rounded(graph.with_font_size(graph.nodes(e), "fq").select("id", "font_size"), "font_size")),
     "nodes_font_idf": of_edges(lambda e: rounded(graph.with_font_size(graph.nodes(e), "idf", 6, 18).select("id", "font_size"), "font_size")),
     "nodes_font_degree": of_edges(lambda e: rounded(graph.with_font_size(graph.nodes(graph.prune(e, min_z=0.5)), "degree").select("id", "degree", "font_size"), "font_size")),
-    "table_md_rows": of_edges(table_rows),
-    "transitions": of_units(event_units, lambda u: rounded(graph.transitions(u), "p")),
+    "table_md_rows": of_edges(table_rows("md")),
+    "table_html_rows": of_edges(table_rows("html")),
+    "table_tex_rows": of_edges(table_rows("tex")),
+    "edges_awk_compound": of_edges(lambda e: rounded(graph.prune(e, min_cw=1.0, min_z=0.5, min_ctf=2).select(*w.EDGE_COLUMNS), *METRICS), BRAND_TYPE),
+    "edges_one_endpoint": of_edges(lambda e: graph.touching(e, "Brand#1[0-9]").select("token1", "token2", "ctf")),
+    "node_labels": of_edges(lambda e: graph.nodes(e).select("id", t.label(F.col("id"), (4, 2), ":").alias("label"), F.array_join(t.label_fields(F.col("id")), "|").alias("fields"))),
+    "transitions": of_units(events, lambda e: rounded(graph.transitions_of_table(e, "user_id", F.col("event_type"), EVENT_ORDER), "p")),
     "graph_components": of_edges(lambda e: graph.components(graph.prune(e, min_z=1.0))),
-    "graph_kcore": of_edges(lambda e: graph.k_core(graph.prune(e, min_z=0.0), 12).select("token1", "token2")),
-    "z_distribution": of_edges(lambda e: graph.distribution(e, "ctf", 8).select("bin", "n")),
+    "graph_kcore": of_edges(lambda e: graph.k_core(graph.prune(e, min_z=0.0), CORE).select("token1", "token2")),
+    "z_distribution": of_edges(lambda e: graph.distribution(e, "z", 8).select("bin", "n"), BRAND_TYPE),
+    "z_summary": of_edges(z_summary, BRAND_TYPE),
 }
 
 
@@ -141,23 +172,23 @@ def _pattern(fields: Sequence[int], token: str = "t") -> str:
 
 def stats_sql(fields: Sequence[int], key: str | None = None) -> str:
     """CTEs up to ``st`` (a row per pattern) and ``pr`` (a row per pair)."""
-    sel = "select u from te group by u" if key is None else f"select distinct u from pp where regexp_matches(p1, '{key}') or regexp_matches(p2, '{key}')"
-    return f"""{POS}, te as (
+    sel = "select distinct u from te" if key is None else f"select distinct u from pp where regexp_matches(p1, '{key}') or regexp_matches(p2, '{key}')"
+    return f"""{POS}, te as materialized (
   select u, t, c, {_pattern(fields)} as p from once where u in (select u from once group by u having count(*) > 1)
-), pp as (
+), pp as materialized (
   select distinct a.u, least(a.p, b.p) as p1, greatest(a.p, b.p) as p2 from te a join te b on a.u = b.u and a.p <> b.p
-), sel as ({sel}
+), sel as materialized ({sel}
 ), n as (select count(distinct u) as n from te
 ), va as (
   select p, t, count(*) as v from te group by p, t
 ), rp as (
   select p, t from (select p, t, row_number() over (partition by p order by v desc, t) as k from va) where k = 1
-), st as (
+), st as materialized (
   select te.p, rp.t, count(distinct te.u) as df, ln((select n from n) / count(distinct te.u)) as idf, sum(te.c) as fq,
-         sum(case when te.u in (select u from sel) then te.c else 0 end) as lq
-  from te join rp on te.p = rp.p group by te.p, rp.t
-), pr as (
-  select p1, p2, count(*) as gdf, count(*) filter (where u in (select u from sel)) as ctf from pp group by p1, p2
+         sum(case when sel.u is not null then te.c else 0 end) as lq
+  from te join rp on te.p = rp.p left join sel on sel.u = te.u group by te.p, rp.t
+), pr as materialized (
+  select p1, p2, count(*) as gdf, count(sel.u) as ctf from pp left join sel on sel.u = pp.u group by p1, p2
 )"""
 
 
@@ -174,9 +205,9 @@ def edges_sql(fields: Sequence[int], method: int, key: str | None = None) -> str
   select p1, p2, a.t as token1, b.t as token2, ctf, gdf, a.df as df1, a.idf as idf1, a.lq as fq1, b.df as df2, b.idf as idf2, b.lq as fq2,
          {weight} * sqrt(a.idf * b.idf) as cw
   from pr join st a on a.p = p1 join st b on b.p = p2 where ctf > 0
-), sd as (
+), sd as materialized (
   select avg(cw) as m, coalesce(stddev_samp(cw), 0) as s from sc
-), ed as (
+), ed as materialized (
   select p1, p2, token1, token2, cast(ctf as bigint) as ctf, cast(ctf as bigint) as cdf, cast(df1 as bigint) as df1, idf1, cast(fq1 as bigint) as fq1,
          cast(df2 as bigint) as df2, idf2, cast(fq2 as bigint) as fq2, cw, case when s > 0 then (cw - m) / s else 0 end as z
   from sc cross join sd
@@ -202,6 +233,15 @@ def _edges(fields: Sequence[int], method: int, key: str | None = None, tail: str
     return edges_sql(fields, method, key) + EDGES + tail
 
 
+#: Rounds that take away nodes of a low degree; one each suffices for these nodes, of which there are 25.
+CORE_ROUNDS = 25
+
+
+def _peeled(i: int) -> str:
+    ends = f"select id from (select token1 as id from k{i} union all select token2 from k{i}) group by id having count(*) >= {CORE}"
+    return f""", k{i + 1} as materialized (select token1, token2 from k{i} where token1 in ({ends}) and token2 in ({ends}))"""
+
+
 def _stats(fields: Sequence[int], select: str, key: str | None = None) -> str:
     return f"with {stats_sql(fields, key)} {select}"
 
@@ -239,6 +279,13 @@ ORACLE_SQL: dict[str, str] = {
     "nodes_font_degree": edges_sql(BRAND, 16) + NODES.format(where="where z >= 0.5") + SIZE.format(by="degree", a="7.0", b="32.0", more="degree,"),
     "table_md_rows": edges_sql(BRAND, 16) + """select '| ' || split_part(token1, '/', 3) || ':' || split_part(token1, '/', 4) || ' | ' || split_part(token2, '/', 3) || ':' || split_part(token2, '/', 4)
   || ' | ' || token1 || ' | ' || ctf || ' | ' || df1 || ' | ' || fq2 || ' |' as line from ed""",
+    "table_html_rows": edges_sql(BRAND, 16) + """select '    <tr><td>' || split_part(token1, '/', 3) || ':' || split_part(token1, '/', 4) || '</td><td>' || split_part(token2, '/', 3) || ':' || split_part(token2, '/', 4)
+  || '</td><td>' || token1 || '</td><td class="numeric">' || ctf || '</td><td class="numeric">' || df1 || '</td><td class="numeric">' || fq2 || '</td></tr>' as line from ed""",
+    "table_tex_rows": edges_sql(BRAND, 16) + r"""select replace(replace(split_part(token1, '/', 3) || ':' || split_part(token1, '/', 4) || ' & ' || split_part(token2, '/', 3) || ':' || split_part(token2, '/', 4)
+  || ' & ' || token1, '#', '\#'), '_', '\_') || ' & ' || ctf || ' & ' || df1 || ' & ' || fq2 || ' \\' as line from ed""",
+    "edges_awk_compound": _edges(BRAND_TYPE, 16, None, " where ed.ctf >= 2 and ed.cw >= 1.0 and ed.z >= 0.5"),
+    "edges_one_endpoint": edges_sql(BRAND, 16) + "select token1, token2, ctf from ed where regexp_matches(token1, 'Brand#1[0-9]') or regexp_matches(token2, 'Brand#1[0-9]')",
+    "node_labels": edges_sql(BRAND, 16) + NODES.format(where="") + "select id, split_part(id, '/', 4) || ':' || split_part(id, '/', 2) as label, replace(id, '/', '|') as fields from nd",
     "transitions": f"""with {EVENTS}, fr as (
   select u, i, t from ev union all select distinct u, 0, '<BOS>' from ev union all select u, max(i) + 1, '<EOS>' from ev group by u
 ), af as (
@@ -249,6 +296,12 @@ ORACLE_SQL: dict[str, str] = {
 ), re as (
   select a as id, a as r from lk union select re.id, lk.b from re join lk on re.r = lk.a
 ) select id, min(r) as component from re group by id""",
-    "z_distribution": edges_sql(BRAND, 16) + """, bo as (select min(ctf) as lo, max(ctf) as hi from ed)
-select cast(case when hi > lo then least(floor((ctf - lo) / ((hi - lo) / 8)), 7) else 0 end as integer) as bin, count(*) as n from ed cross join bo group by 1""",
+    "graph_kcore": edges_sql(BRAND, 16) + ", k0 as materialized (select token1, token2 from ed where z >= 0)" + "".join(_peeled(i) for i in range(CORE_ROUNDS)) + f" select token1, token2 from k{CORE_ROUNDS}",
+    "z_distribution": edges_sql(BRAND_TYPE, 16) + """, bo as (select min(z) as lo, max(z) as hi from ed)
+select cast(case when hi > lo then least(floor((z - lo) / ((hi - lo) / 8)), 7) else 0 end as integer) as bin, count(*) as n from ed cross join bo group by 1""",
+    "z_summary": edges_sql(BRAND_TYPE, 16) + """, mo as (select avg(z) as m from ed)
+select count(*) as n, round(min(z), 6) + 0.0 as least, round(max(z), 6) + 0.0 as largest,
+       round(avg((z - m) ** 3) / avg((z - m) ** 2) ** 1.5, 6) + 0.0 as skewness, round(avg((z - m) ** 4) / avg((z - m) ** 2) ** 2 - 3, 6) + 0.0 as kurtosis,
+       round(quantile_cont(z, 0.25), 6) + 0.0 as p25, round(quantile_cont(z, 0.5), 6) + 0.0 as p50, round(quantile_cont(z, 0.75), 6) + 0.0 as p75
+from ed cross join mo""",
 }

@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
@@ -20,27 +20,13 @@ from colligate.functions import formats as f
 from colligate.functions.tokens import label, label_fields
 from colligate.operators.graph import nodes, prune, with_font_size
 from colligate.plans.config import Config
+from colligate.sinks.store import numbered
 
 FORMAT_NAME, FORMAT_VERSION = "colligate/graph", 1
 NUMERIC = frozenset("ctf cdf df1 idf1 fq1 df2 idf2 fq2 cw z".split())
 LINES = "section int, row long, line string"
 
 
-def numbered(edges: DataFrame, *order: str | Column) -> DataFrame:
-    """Adds ``row``, 0 and on in the order given. Rows are numbered within sorted partitions and
-    shifted by what the earlier ones hold, so no task gets them all."""
-    from colligate.sinks.store import stored
-
-    parts = stored(edges.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "ordered")
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    sizes = {r[0]: r[1] for r in parts.groupBy(part.alias("p")).count().collect()}  # one number per partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    shift = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else None
-    return parts.withColumn("row", (shift[part] + place).cast("long") if before else F.lit(0).cast("long")).drop("_m")
-
-
 def _lines(df: DataFrame, section: int, order: str, write: Callable[[dict], str]) -> DataFrame:
     """A line per row, written by ``write`` from the row as a dictionary."""
 
@@ -176,48 +162,64 @@ def table_lines(edges: DataFrame, config: Config) -> DataFrame:
 
 
 PAGE_HEAD = """<!doctype html>
-<html lang="en">
 <meta charset="utf-8">
-<title>Co-occurrence graph</title>
-<style>
-  body { margin: 0; font: 14px sans-serif; }
-  svg { width: 100vw; height: 100vh; }
-  line { stroke: #888; stroke-opacity: 0.6; }
-  circle { fill: white; stroke: #333; }
-  text { text-anchor: middle; dominant-baseline: central; pointer-events: none; }
-</style>
-<svg></svg>
-<script src="https://cdn.jsdelivr.net/npm/d3@7"></script>
+<title>Graph of co-occurrences</title>
+<body style="margin:0">
+<canvas id="sheet"></canvas>
+<pre id="about" style="position:fixed;left:1em;bottom:1em;margin:0;background:#fffc"></pre>
 <script>"""
-PAGE_FOOT = """const view = d3.select("svg");
-const layer = view.append("g");
-view.call(d3.zoom().on("zoom", event => layer.attr("transform", event.transform)));
-view.append("defs").append("marker").attr("id", "tip").attr("viewBox", "0 0 8 8").attr("refX", 18).attr("refY", 4)
-  .attr("markerWidth", 7).attr("markerHeight", 7).attr("orient", "auto").append("path").attr("d", "M0,0 L8,4 L0,8 z");
-const strongest = Math.max(1e-9, ...graph.links.map(link => Math.abs(link.z)));
-const lines = layer.selectAll("line").data(graph.links).enter().append("line")
-  .attr("stroke-width", link => 0.5 + 3.5 * Math.abs(link.z) / strongest)
-  .attr("marker-end", graph.directed ? "url(#tip)" : null);
-lines.append("title").text(link => `ctf: ${link.ctf}\\ncdf: ${link.cdf}\\ncw: ${link.cw}\\nz: ${link.z}\\nunit_ids: ${link.unit_ids.join(", ")}`);
-const marks = layer.selectAll("g.node").data(graph.nodes).enter().append("g").attr("class", "node");
-marks.append("circle").attr("r", node => Math.max(8, 0.7 * node.font_size));
-marks.append("text").text(node => node.label).style("font-size", node => `${node.font_size}px`);
-marks.append("title").text(node => `${node.id}\\ndf: ${node.df}\\nidf: ${node.idf}\\nfq: ${node.fq}\\ndegree: ${node.degree}`);
-const box = view.node().getBoundingClientRect();
-const layout = d3.forceSimulation(graph.nodes)
-  .force("link", d3.forceLink(graph.links).id(node => node.id).distance(distance))
-  .force("charge", d3.forceManyBody().strength(-180))
-  .force("center", d3.forceCenter(box.width / 2, box.height / 2))
-  .on("tick", () => {
-    lines.attr("x1", l => l.source.x).attr("y1", l => l.source.y).attr("x2", l => l.target.x).attr("y2", l => l.target.y);
-    marks.attr("transform", node => `translate(${node.x},${node.y})`);
-  });
-marks.call(d3.drag()
-  .on("start", (event, node) => { layout.alphaTarget(0.3).restart(); node.fx = node.x; node.fy = node.y; })
-  .on("drag", (event, node) => { node.fx = event.x; node.fy = event.y; })
-  .on("end", (event, node) => { layout.alphaTarget(0); node.fx = node.fy = null; }));
-</script>
-</html>"""
+PAGE_FOOT = """// Nodes start on a spiral; sweeps over the edges then pull or push both ends towards the wanted
+// length, and sweeps over a grid of cells push apart nodes that are close.
+const at = new Map(graph.nodes.map((n, i) => [n.id, {n, x: 30 * Math.sqrt(i) * Math.cos(2.4 * i), y: 30 * Math.sqrt(i) * Math.sin(2.4 * i)}]));
+const spots = [...at.values()], ends = graph.links.map(e => ({e, a: at.get(e.source), b: at.get(e.target)}));
+function shift(a, b, want, share) {
+  const dx = b.x - a.x, dy = b.y - a.y, far = Math.hypot(dx, dy) || 1e-3, k = share * (far - want) / far / 2;
+  a.x += k * dx; a.y += k * dy; b.x -= k * dx; b.y -= k * dy;
+}
+for (let sweep = 0; sweep < 240; sweep++) {
+  const share = 0.5 * (1 - sweep / 240), cells = new Map();
+  for (const {a, b} of ends) if (a !== b) shift(a, b, distance, share);
+  for (const p of spots) {
+    const key = Math.floor(p.x / distance) + " " + Math.floor(p.y / distance);
+    if (!cells.has(key)) cells.set(key, []);
+    cells.get(key).push(p);
+  }
+  for (const own of cells.values()) for (let i = 0; i < own.length; i++) for (let j = i + 1; j < own.length; j++)
+    if (Math.hypot(own[i].x - own[j].x, own[i].y - own[j].y) < distance) shift(own[i], own[j], distance, share);
+}
+const sheet = document.getElementById("sheet"), pen = sheet.getContext("2d"), about = document.getElementById("about");
+let frame;
+function draw() {
+  sheet.width = innerWidth; sheet.height = innerHeight;
+  const xs = spots.map(p => p.x), ys = spots.map(p => p.y), edge = 50;
+  const span = v => { let lo = Infinity, hi = -Infinity; for (const x of v) { lo = Math.min(lo, x); hi = Math.max(hi, x); } return [lo, Math.max(1, hi - lo)]; };
+  const [left, wide] = span(xs), [top, high] = span(ys);
+  frame = p => [edge + (p.x - left) / wide * (sheet.width - 2 * edge), edge + (p.y - top) / high * (sheet.height - 2 * edge)];
+  const heaviest = ends.reduce((m, {e}) => Math.max(m, Math.abs(e.z)), 0) || 1;
+  for (const {e, a, b} of ends) {
+    const [x, y] = frame(a), [u, v] = frame(b);
+    pen.strokeStyle = "#9ab"; pen.lineWidth = 1 + 5 * Math.abs(e.z) / heaviest;
+    pen.beginPath(); pen.moveTo(x, y); pen.lineTo(u, v); pen.stroke();
+    if (graph.directed) { pen.fillStyle = "#357"; pen.fillRect(x + 0.8 * (u - x) - 3, y + 0.8 * (v - y) - 3, 6, 6); }
+  }
+  pen.textAlign = "center"; pen.textBaseline = "middle";
+  for (const p of spots) {
+    const [x, y] = frame(p);
+    pen.font = p.n.font_size + "px sans-serif";
+    pen.lineWidth = 4; pen.strokeStyle = "#fff"; pen.strokeText(p.n.label, x, y);
+    pen.fillStyle = "#123"; pen.fillText(p.n.label, x, y);
+  }
+}
+const told = (o, names) => names.map(k => k + ": " + (Array.isArray(o[k]) ? o[k].join(", ") : o[k])).join("\\n");
+onresize = draw;
+sheet.onmousemove = m => {
+  let best = null, reach = 20;
+  for (const p of spots) { const [x, y] = frame(p), d = Math.hypot(m.offsetX - x, m.offsetY - y); if (d < reach) { reach = d; best = told(p.n, ["id", "df", "idf", "fq", "degree"]); } }
+  if (!best) for (const {e, a, b} of ends) { const [x, y] = frame(a), [u, v] = frame(b), d = Math.hypot(m.offsetX - (x + u) / 2, m.offsetY - (y + v) / 2); if (d < reach) { reach = d; best = told(e, ["source", "target", "ctf", "cdf", "cw", "z", "unit_ids"]); } }
+  about.textContent = best || "";
+};
+draw();
+</script>"""
 #: Pixels of an edge for each unit of a configured length, and of one without.
 LENGTH_PIXELS, DEFAULT_PIXELS = 55, 78
 

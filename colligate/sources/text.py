@@ -14,10 +14,12 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(ord, value): the lines of the files in the order given. Only a line feed ends one."""
+    """(ord, value): the lines of the files in the order given. Only a line feed ends one. ``ord`` has the
+    file's number and the line's place in it."""
+
     def one(i: int, path: str) -> DataFrame:
         lines = spark.read.option("lineSep", "\n").text(path)
-        return lines.select((F.lit(i).cast("long") * (1 << 50) + F.monotonically_increasing_id()).alias("ord"), "value")
+        return lines.select(F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line")).alias("ord"), "value")
 
     return reduce(DataFrame.unionByName, [one(i, p) for i, p in enumerate(paths)])
 

@@ -32,11 +32,12 @@ def write_pairs(pairs: DataFrame, path: str, checkpoint: str, trigger: dict | No
 
 def reweigh(pairs: DataFrame, path: str, checkpoint: str, use: Callable[[DataFrame, int], None], trigger: dict | None = None, **options) -> StreamingQuery:
     """Appends each batch of pairs to ``path`` and hands ``use`` the edges of all that is there.
-    A batch that is repeated after a failure replaces its own folder."""
+    A batch that is repeated after a failure replaces its own folder. Rows are in the order of the
+    batches, and of the rows in each."""
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        all_pairs = df.sparkSession.read.parquet(path).withColumn("ord", F.xxhash64("batch", "unit_id"))
+        df.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        all_pairs = df.sparkSession.read.parquet(path).withColumn("ord", F.struct("batch", "place"))
         fields = options.get("fields")
         use(weigh(corpus(all_pairs, fields) if fields else corpus(all_pairs), options.get("key"), options.get("method", 16)), number)
 

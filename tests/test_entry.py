@@ -1,4 +1,6 @@
+import io
 import json
+import sys
 
 import pytest
 
@@ -28,10 +30,30 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps({"format": "json"}))
     assert main(["emit", "-c", str(tmp_path / "c.json"), "-Z", "0", str(tmp_path / "edges.tsv")]) == 0
     assert len(json.loads(capsys.readouterr().out)["edges"]) == 2
+    assert main(["weigh", "-p", "1", "-M", "1", "-U", str(tmp_path / "units"), str(pairs)]) == 0
+    assert all(line.count("\t") == 11 for line in capsys.readouterr().out.splitlines())
+    assert "A\tB\tu1\nA\tB\tu2\nA\tB\tu3\n" in "".join(p.read_text() for p in sorted((tmp_path / "units").glob("part-*")))
     assert main(["weigh", str(pairs)]) == 1
     assert main(["emit", "-c", str(tmp_path / "none.json"), str(pairs)]) == 1
 
 
+def test_pipes(spark, tmp_path, capsys, monkeypatch):
+    def piped(*args, text):
+        monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(text.encode())))
+        assert main(list(args)) == 0
+        return capsys.readouterr()
+
+    monkeypatch.chdir(tmp_path)
+    lines = [f"e{i}" for i in range(120)]
+    said = piped("pair", text="\n".join([*lines, "u1 K K A B", "u2 ä K A B"]) + "\n")
+    assert said.err.count("without a token") == 120 and said.out.count("\n") == 9  # a warning for each
+    edges = piped("weigh", "-p", "1", "-M", "1", "-", text=said.out).out
+    assert piped("emit", text=edges).out.startswith('graph "G" {')  # no configuration: defaults
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / "emit-config.json").write_text('{"format": "md"}')
+    assert piped("emit", "-Z", "-9", text=edges).out.startswith("| token1 |")
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

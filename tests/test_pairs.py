@@ -48,6 +48,12 @@ def test_counts_of_pairs(spark):
     assert got == [("a", "b", 3, 2), ("b", "a", 1, 1)]
 
 
+def test_many_tokens_in_a_unit(spark):
+    t = [f"t{i % 3000}" for i in range(6000)]
+    got = pair(units(spark, "u " + " ".join(t)), 1).groupBy("fq1", "fq2").count().collect()
+    assert [tuple(r) for r in got] == [(2, 2, 5999)]
+
+
 def test_invalid_window():
     with pytest.raises(OptionError):
         pair(None, 0)
@@ -64,6 +70,7 @@ def test_lines(spark, tmp_path):
     two.write_bytes("u3 ä\rx y\n".encode())
     got = read_units(spark, str(one), str(two)).orderBy("ord")
     assert rows(got, "unit_id", "tokens") == [("u1", ["a", "b"]), ("u3", ["ä", "x", "y"])]
+    assert [r["ord"]["file"] for r in got.collect()] == [0, 1]
     assert rows(rejected_units(units(spark, "u1 a", "u2")), "unit_id") == [("u2",)]
 
 
