@@ -1,20 +1,25 @@
 """SentencePiece encoding and decoding as shortest paths of a weighted transducer.
 
-The model is compiled to a transducer: the normaliser (blanks become the
-meta symbol, one in front where the model asks for it) is its input side, one state
-per piece is reached by reading that piece, and characters without a piece read
-as their UTF-8 bytes' pieces. A path's weight in the tropical semiring is the sum of its arcs'
-weights; an arc from piece to piece is infinite where the byte-pair merges would have
-joined the two otherwise, and each arc costs one piece. The merges leave exactly one
-path of finite weight, which the composition with an input finds from left to right:
-for each position, the last piece of the shortest path to it.
+A model is compiled to three transducers over the tropical semiring (weights add up along a path, the least
+sum wins). The *normaliser* has a state for the start of a text, one inside it, and one for blanks that may
+have to go; its arcs read a character and write the normalised ones (a blank as the meta symbol, one more in front where
+the model asks for it). The *pieces* have one state per piece: an arc reads the characters of a piece and
+leads to that piece's state. Its weight depends on the model's kind. Of a byte-pair model it is one, or infinite where
+the merges would have joined something across the border of the two pieces before they are complete;
+of a unigram model it is the piece's negative score. The *byte fallback* reads a character without a piece
+and writes its UTF-8 bytes' pieces, or the unknown piece.
+
+Each input is composed with the three, and the least weight and the arc that gives it are kept for each
+place. Merges leave one state with a finite weight at each place, and a unigram's weights don't depend on the state, so one
+arc per place is the whole result.
 
 Where no piece goes across the border of two words, or of a word and other characters,
 an input splits into independent parts; paths of the last parts seen are kept.
 
 Defined results: a null text counts as empty and has no piece; texts of any length are
-encoded whole; ids that decode to bytes that aren't UTF-8 give U+FFFD; ids outside the
-model raise; other columns are ignored.
+encoded whole; of paths with equal weights that with the longer last piece wins; ids that decode to bytes that aren't UTF-8 give U+FFFD; ids outside the
+model raise; other columns are ignored. Models with a table of character mappings, and unigram models with
+pieces defined by the user, are refused.
 """
 
 from __future__ import annotations
@@ -33,31 +38,60 @@ from pyspark.sql import functions as F
 from colligate.llm.common import slices, table, text_column
 
 BLANK = "▁"
+INFINITE = float("inf")
 #: Words whose paths, and arcs whose weights, a task keeps at once.
 KEPT_WORDS, KEPT_ARCS = 600_000, 600_000
 _FIGURES = "²³¹¼½¾"
 #: Where an input splits, finest first: words and runs of other characters, each with the
-#: blanks in front; or what lies between blanks; or nowhere.
+#: blanks (@) in front; or what lies between blanks; or nowhere.
 _SPLITS = [
-    re.compile(rf"{BLANK}*[^\W\d_{_FIGURES}]+|{BLANK}*(?:[\d_{_FIGURES}]|[^\w{BLANK}])+|{BLANK}+"),
-    re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+"),
-    re.compile(r".+", re.DOTALL),
+    rf"[@]*[^\W\d_{_FIGURES}]+|[@]*(?:[\d_{_FIGURES}]|[^\w@])+|[@]+",
+    "[@]*[^@]+|[@]+",
+    "(?s:.+)",
 ]
+START, TEXT, GAP = range(3)
+
+
+class Normaliser:
+    """The normaliser's arcs: (state, whether a blank is read) -> (what is written, whether the character
+    itself follows, the next state)."""
+
+    def __init__(self, prefix: bool, squeeze: bool) -> None:
+        front = BLANK if prefix else ""
+        self.arcs = {(START, False): (front, True, TEXT), (TEXT, False): ("", True, TEXT)}
+        if squeeze:  # blanks in front and at the end go, others become one
+            self.arcs |= {(START, True): ("", False, START), (TEXT, True): ("", False, GAP), (GAP, True): ("", False, GAP), (GAP, False): (BLANK, True, TEXT)}
+        else:
+            self.arcs |= {(START, True): (front + BLANK, False, TEXT), (TEXT, True): (BLANK, False, TEXT)}
+
+    def compose(self, text: str, state: int) -> str:
+        """What the arcs write for an input that begins in ``state``."""
+        out, arcs = "", self.arcs
+        for ch in text:
+            written, itself, state = arcs[state, ch == " " or ch == BLANK]
+            out += written + ch if itself else written
+        return out
 
 
 class Transducer:
-    """A byte-pair model with byte fallback, compiled from a model file."""
+    """A byte-pair or unigram model, compiled from a model file or its bytes."""
 
-    def __init__(self, model_file: str) -> None:
+    def __init__(self, model: str | bytes) -> None:
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
-        with open(model_file, "rb") as f:
-            proto.ParseFromString(f.read())
-        kind = proto.SentencePiece.Type
-        if proto.trainer_spec.model_type != proto.trainer_spec.BPE or proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("only byte-pair models with the identity normaliser are compiled")
-        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        if isinstance(model, str):
+            with open(model, "rb") as f:
+                model = f.read()
+        proto.ParseFromString(model)
+        kind, rules = proto.SentencePiece.Type, proto.normalizer_spec
+        self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        if not self.merges and (proto.trainer_spec.model_type != proto.trainer_spec.UNIGRAM or any(p.type == kind.USER_DEFINED for p in proto.pieces)):
+            raise ValueError("only byte-pair models, and unigram ones without pieces of the user, are compiled")
+        if rules.precompiled_charsmap or not rules.escape_whitespaces:
+            raise ValueError("only models without a table of character mappings are compiled")
+        self.prefix = rules.add_dummy_prefix
+        self.normaliser = Normaliser(rules.add_dummy_prefix, rules.remove_extra_whitespaces)
         self.text = [p.piece for p in proto.pieces]
         self.kind = [p.type for p in proto.pieces]
         self.score = {p.piece: p.score for p in proto.pieces if p.type in (kind.NORMAL, kind.USER_DEFINED)}
@@ -73,17 +107,23 @@ class Transducer:
         for i in self.hidden:
             self.shown[i] = ""
         self.shown[self.unknown] = " ⁇ "
-        self.longest = max(map(len, self.id))
-        # the finest split that no piece goes across
-        self.split = next(r for r in _SPLITS if all(r.fullmatch(p) and len(r.findall(p)) == 1 for p in self.id))
+        # the finest split that no piece goes across; in a text, a blank is either character
+        whole = lambda split: all(re.fullmatch(split, p) and len(re.findall(split, p)) == 1 for p in self.id)
+        self.split = re.compile(next(x for x in _SPLITS if whole(x.replace("@", BLANK))).replace("@", f" {BLANK}"))
         self.words: dict[str, bytes] = {}
-        self.known: dict[tuple[str, str], bool] = {}
+        self.first: dict[str, bytes] = {}
+        self.known: dict[str, dict[str, float]] = {}  # weights of arcs by state
+        self.n_known = 0
+        # what a character without a piece weighs, in a unigram model
+        self.lost = 10 - min(self.score.values(), default=0.0)
         # pieces in the order in which merges prefer them, and the two parts of each
         order = sorted((p for p in self.score if len(p) > 1), key=lambda p: (-self.score[p], self.id[p]))
         self.rank = {p: i for i, p in enumerate(order)}
-        self.parts = {p: last for p in order if (last := self.last_merge(p))}
-        #: What an arc of the transducer may read: pieces that the merges make, and any character.
-        self.arcs = {*self.parts, *(p for p in self.id if len(p) == 1)}
+        self.parts = {p: last for p in order if (last := self.last_merge(p))} if self.merges else dict.fromkeys(order)
+        #: What an arc of the transducer may read (pieces that the merges make, and any character) is
+        #: true here, what only ends such a piece is false.
+        own = {*self.parts, *(p for p in self.id if len(p) == 1)}
+        self.arcs = {p[i:]: False for p in own for i in range(len(p))} | dict.fromkeys(own, True)
 
     def last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two parts that the merges join last to make a piece of its own
@@ -117,25 +157,37 @@ class Transducer:
             else:
                 return True
 
-    def extend(self, last: list[str], word: str) -> None:
-        """``last`` has the last piece of the shortest path to each of the word's first places;
-        the others are added."""
-        arcs, known, longest = self.arcs, self.known, self.longest
+    def weight(self, left: str, piece: str) -> float:
+        """The weight of the arc that reads ``piece`` in the state of ``left``, which is empty at the start."""
+        if not self.merges:
+            return -self.score[piece] if piece in self.score else self.lost
+        if left and not self.finite(left, piece):
+            return INFINITE
+        return 1.0 if piece in self.id else float(len(piece.encode("utf-8", "replace")))
+
+    def extend(self, last: list[str], least: list[float], word: str) -> None:
+        """``least`` has the least weight of a path to each of the word's first places, ``last`` the piece
+        that such a path reads last; the others are added."""
+        arcs, known = self.arcs, self.known
         for end in range(len(last), len(word) + 1):
-            start = end - longest if end > longest else 0  # the longest piece first
-            while start < end - 1:
+            best, chosen = INFINITE, ""
+            for start in range(end - 1, -1, -1):
                 piece = word[start:end]
-                if piece in arcs:
-                    if not start:
-                        break
-                    arc = (last[start], piece)
-                    finite = known.get(arc)
-                    if finite is None:
-                        finite = known[arc] = self.finite(*arc)
-                    if finite:
-                        break
-                start += 1
-            last.append(word[start:end])
+                readable = arcs.get(piece)
+                if readable or start == end - 1:
+                    state = last[start]
+                    try:
+                        weight = known[state][piece] + least[start]
+                    except KeyError:
+                        weight = known.setdefault(state, {})[piece] = self.weight(state, piece)
+                        self.n_known += 1
+                        weight += least[start]
+                    if weight < best or weight == best < INFINITE:  # the longer piece
+                        best, chosen = weight, piece
+                if readable is None:
+                    break  # nothing longer ends like this
+            last.append(chosen)
+            least.append(best)
 
     def ids_of(self, last: list[str]) -> bytes:
         """The ids along the shortest path to the last place."""
@@ -154,34 +206,40 @@ class Transducer:
                 ids.append(self.unknown)
         return array("I", ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Composes the words, in order, so that one starts where it parts from the one before."""
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        new = sorted(words.difference(self.words))
-        if len(self.known) > KEPT_ARCS:
+    def learn(self, words: set[str], known: dict[str, bytes], state: int) -> None:
+        """Composes the words, which begin in a state of the normaliser; in order, so that one starts where
+        it parts from the one before."""
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        if self.n_known > KEPT_ARCS:
             self.known.clear()
-        before, last = "", [""]
-        for word in new:
+            self.n_known = 0
+        new = sorted((self.normaliser.compose(w, state), w) for w in words.difference(known))
+        before, last, least = "", [""], [0.0]
+        for word, raw in new:
             shared = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :]
-            self.extend(last, word)
-            self.words[word] = self.ids_of(last)
+            del last[shared + 1 :], least[shared + 1 :]
+            self.extend(last, least, word)
+            known[raw] = self.ids_of(last)
             before = word
 
-    def normalised(self, text: str) -> str:
-        text = text.replace(" ", BLANK)
-        return BLANK + text if self.prefix and text else text
-
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [self.split.findall(self.normalised(t)) for t in texts]
-        self.learn({w for own in split for w in own})
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, own)), "<u4") for own in split]
+        split = [self.split.findall(t) for t in texts]
+        self.learn({own[0] for own in split if own}, self.first, START)
+        self.learn({w for own in split for w in own[1:]}, self.words, TEXT)
+        of_first, of_rest, out = self.first.__getitem__, self.words.__getitem__, []
+        for own in split:
+            found = np.frombuffer(b"".join([of_first(own[0]), *map(of_rest, own[1:])]) if own else b"", "<u4")
+            if not self.byte and len(found):  # runs of unknown characters are one piece
+                unknown = found == self.unknown
+                found = found[~(unknown & np.append(False, unknown[:-1]))]
+            out.append(found)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
