@@ -5,25 +5,11 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 def g(value: float, digits: int) -> str:
     return "%.*g" % (digits, value)
 
 
-def g_column(value: Column, digits: int) -> Column:
-    """``%.*g`` of a column; Java's ``%g`` pads with zeros."""
-
-    @F.pandas_udf("string")
-    def write(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else g(x, digits))
-
-    return write(value)
-
-
 def json_string(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)
 
