@@ -1,7 +1,11 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
-from colligate.operators.pairs import pair, pair_counts
+from colligate.operators import graph, pairs
+from colligate.operators.pairs import pair, pair_counts, pair_table
 from colligate.sources.text import convert_tagged, parse_units, read_units, rejected_units
 
 METHOD_LINES = ["u1 K K A B", "u2 K A B", "u3 A B C", "u4 C D"]
@@ -48,6 +52,26 @@ def test_counts_of_pairs(spark):
     assert got == [("a", "b", 3, 2), ("b", "a", 1, 1)]
 
 
+@pytest.mark.parametrize("ordered", [False, True])
+@pytest.mark.parametrize("window", [1, 3])
+def test_tables_give_what_units_give(spark, monkeypatch, window, ordered):
+    """Units longer than a piece, units of one row, nulls, and an order that isn't the table's."""
+    monkeypatch.setattr(pairs, "PIECE_ROWS", 16)
+    rng = random.Random(window)
+    seqs = {u: [rng.choice("abcd") for _ in range(n)] for u, n in (("u1", 100), ("u2", 1), ("u3", 7), ("u4", 0), ("u5", 40))}
+    table = [(u, i, t) for u, seq in seqs.items() for i, t in enumerate(seq)] + [("u1", 500, None), (None, 1, "a")]
+    rng.shuffle(table)
+    df = spark.createDataFrame(table, "u string, i int, t string")
+    lines = [f"{u} {' '.join(seq)}" for u, seq in seqs.items()]
+    want = sorted(rows(pair(units(spark, *lines), window, ordered), *ALL))
+    assert sorted(rows(pair_table(df, "u", F.col("t"), ["i"], window, ordered), *ALL)) == want
+    if ordered and window == 1:
+        whole = graph.transitions(units(spark, *(x for x in lines if " " in x.strip())))
+        assert sorted(map(tuple, graph.transitions_of_table(df, "u", F.col("t"), ["i"]).collect())) == sorted(map(tuple, whole.collect()))
+    with pytest.raises(OptionError):
+        pair_table(df, "u", F.col("t"), ["i"], 0)
+
+
 def test_many_tokens_in_a_unit(spark):
     t = [f"t{i % 3000}" for i in range(6000)]
     got = pair(units(spark, "u " + " ".join(t)), 1).groupBy("fq1", "fq2").count().collect()
