@@ -3,25 +3,32 @@
 Only the histogram of piece lengths, ``capacity`` numbers at most, reaches the
 driver. There bin completion branches and bounds over it: around the largest
 remaining length it enumerates undominated fillings, least waste and larger
-items first, applies one to as many sequences as the counts allow, and gives up
+items first (one dominates another if it holds that one's items in parts that fit into
+its own items), applies one to as many sequences as the counts allow, and gives up
 a branch when its waste exceeds what the incumbent leaves; the first incumbent
-is best-fit decreasing. The outcome, a bounded list of slots (length, range of
+is best-fit decreasing. The search ends when the incumbent reaches ``least_sequences``, a lower
+bound, or after ``nodes`` fillings; it first takes few fillings at each branch, then more, then all
+(and also one sequence at a time), as long as fillings are left. ``pack_histogram`` logs the gap to the bound. The outcome, a bounded list of slots (length, range of
 ranks, first sequence, offset), is applied to the pieces by Spark: a piece's
 rank among those of its length is its rank in its part plus the earlier parts'
 counts, so no length, however frequent, meets in one task.
 
 Defined results: a null or empty text is the end mark alone; equal rows are
 packed each; an empty table gives no row; columns other than id and text are
-ignored. Rows with equal ids are kept apart (pieces are ranked as rows).
+ignored. Rows with equal ids are kept apart (pieces are ranked as rows). Strings of the vocabulary's added
+tokens in a text get their ids, as its ``tokenizers`` file gives them.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
+import logging
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +39,11 @@ from colligate.llm.common import slices, stored, table, text_column
 
 CAPACITY = 1024
 END_ID = 2
-#: Branches that the search may take before it settles for its incumbent.
-SEARCH_NODES = 12_000
+#: Fillings that the search may make before it settles for its incumbent, and how many of them it
+#: takes at each branch: in the first pass, in the second, and so on; None is all.
+SEARCH_NODES, SEARCH_WIDTHS = 12_000, (4, 16, None)
+#: Steps after which the test of dominance gives up and keeps a filling.
+DOMINANCE_STEPS = 200
 #: Rows of one part, and fewest parts, when pieces are ranked.
 PART_ROWS, LEAST_PARTS = 16_384, 128
 
@@ -41,21 +51,22 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), seq
 
 
 @functools.cache
-def encoder(vocabulary: str | None = None):
-    """The byte-level BPE of 50k entries. Its vocabulary read as ranks gives the
-    ids that its ``tokenizers`` file gives, in a sixth of the CPU time."""
+def encoder(vocabulary: str | None = None, added: str | None = None):
+    """The byte-level BPE of 50k entries: its vocabulary read as ranks, and the added tokens of its
+    ``tokenizers`` file. It gives the ids which that file gives, in a sixth of the CPU time."""
     import public_tokenizers
     import tiktoken
 
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as lines:
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(added or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str, vocabulary: str | None = None) -> np.ndarray:
     """The ids of a text as little-endian unsigned 32-bit numbers, without an end mark."""
-    return np.array(encoder(vocabulary).encode_ordinary(text), "<u4")
+    return np.array(encoder(vocabulary).encode(text, allowed_special="all"), "<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -118,56 +129,126 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(sorted(items.items(), reverse=True)), n) for groups in open_.values() for items, n in groups]
 
 
-def fillings(counts: dict[int, int], room: int, most: int) -> Iterator[tuple[int, dict[int, int]]]:
-    """Up to ``most`` undominated ways to fill ``room``: (waste, items). Least waste
-    first; of equal waste, those with larger items first, so that a filling comes
-    before those it dominates, whose items fit into its own."""
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: by volume, and by dual feasible functions, which count a length as a share of
+    1/k wherever that many of its kind fit at most."""
+    best = -(-sum(x * c for x, c in counts.items()) // capacity)
+    for k in range(1, 64):
+        share = sum(c * (x * k if (k + 1) * x % capacity == 0 else (k + 1) * x // capacity * capacity) for x, c in counts.items())
+        best = max(best, -(-share // (k * capacity)))
+    return best
+
+
+def _dominates(a: dict[int, int], b: dict[int, int]) -> bool:
+    """Whether the items of ``b`` can be parted into groups that each fit into an item of ``a``. What both
+    have is matched with itself, which loses no way."""
+    room = {x: c - b.get(x, 0) for x, c in a.items() if c > b.get(x, 0)}
+    items = [x for x, c in sorted(b.items(), reverse=True) for _ in range(c - a.get(x, 0))]
+    if sum(items) > sum(x * c for x, c in room.items()):
+        return False
+    steps = DOMINANCE_STEPS
+
+    def place(i: int) -> bool:
+        nonlocal steps
+        if i == len(items):
+            return True
+        for x in sorted(r for r, c in room.items() if c and r >= items[i]):
+            steps -= 1
+            if steps < 0:
+                return False
+            left = x - items[i]
+            room[x] -= 1
+            room[left] = room.get(left, 0) + 1
+            if place(i + 1):
+                return True
+            room[x] += 1
+            room[left] -= 1
+        return False
+
+    return place(0)
+
+
+class Steps:
+    """How many fillings may still be made."""
+
+    def __init__(self, left: int) -> None:
+        self.left = left
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(counts: dict[int, int], room: int, steps: Steps) -> Iterator[tuple[int, dict[int, int]]]:
+    """The undominated ways to fill ``room``: (waste, items). Least waste first; of equal waste,
+    those with larger items first, so that a filling comes before those it dominates.
+    Whatever would fit into the waste is in the filling."""
     lengths = sorted((x for x, c in counts.items() if c and x <= room), reverse=True)
-    # below[i]: the sums, as bits, that lengths[i:] can make
-    below, mask = [1] * (len(lengths) + 1), (1 << (room + 1)) - 1
-    for i in range(len(lengths) - 1, -1, -1):
-        sums, left, step = below[i + 1], min(counts[lengths[i]], room // lengths[i]), 1
-        while left:
-            n = min(step, left)
-            sums |= sums << (n * lengths[i]) & mask
-            left, step = left - n, step * 2
-        below[i] = sums
-    given = 0
-
-    def exact(i: int, target: int) -> Iterator[dict[int, int]]:
+    mask = (1 << (room + 1)) - 1
+    given: list[dict[int, int]] = []
+
+    def reachable(free: list[int]) -> list[int]:
+        """For each i the sums, as bits, that free[i:] can make."""
+        below = [1] * (len(free) + 1)
+        for i in range(len(free) - 1, -1, -1):
+            sums, left, step = below[i + 1], min(counts[free[i]], room // free[i]), 1
+            while left:
+                n = min(step, left)
+                sums |= sums << (n * free[i]) & mask
+                left, step = left - n, step * 2
+            below[i] = sums
+        return below
+
+    def exact(free: list[int], below: list[int], i: int, target: int) -> Iterator[dict[int, int]]:
         if not target:
             yield {}
             return
-        while i < len(lengths) and (lengths[i] > target or not below[i] >> target & 1):
-            i += 1
-        for k in range(i, len(lengths)):
+        for k in range(i, len(free)):
             if not below[k] >> target & 1:
                 return  # fewer lengths make fewer sums
-            x = lengths[k]
+            x = free[k]
             for times in range(min(counts[x], target // x), 0, -1):
                 if below[k + 1] >> (target - times * x) & 1:
-                    for rest in exact(k + 1, target - times * x):
+                    for rest in exact(free, below, k + 1, target - times * x):
                         yield {x: times} | rest
 
-    for total in range(room, -1, -1):
-        if below[0] >> total & 1:
-            for items in exact(0, total):
-                waste = room - total
-                # dominated: one item more would fit
-                if any(x <= waste and counts[x] > items.get(x, 0) for x in lengths[-1:]):
-                    return
-                yield waste, items
-                given += 1
-                if given >= most:
-                    return
+    free, below = lengths, reachable(lengths)
+    for waste in range(room + 1):
+        forced = {x: counts[x] for x in lengths if x <= waste}
+        target = room - waste - sum(x * c for x, c in forced.items())
+        if target < 0:
+            return
+        if len(free) + len(forced) != len(lengths):
+            free = [x for x in lengths if x > waste]
+            below = reachable(free)
+        if not below[0] >> target & 1:
+            continue
+        for items in exact(free, below, 0, target):
+            if not steps.take():
+                return
+            whole = items | forced
+            if not any(_dominates(a, whole) for a in given):
+                given.append(whole)
+                yield waste, whole
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, width: int = 4) -> list[Pattern]:
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, widths: tuple[int | None, ...] = SEARCH_WIDTHS) -> list[Pattern]:
     """Bin completion over a histogram of lengths; patterns with their numbers of sequences."""
-    total = sum(x * c for x, c in histogram.items())
-    bound = math.ceil(total / capacity)
-    best = best_fit(histogram, capacity)
-    best_n = sum(n for _, n in best)
+    histogram = {x: c for x, c in histogram.items() if c}
+    bound = least_sequences(histogram, capacity)
+    best, steps = best_fit(histogram, capacity), Steps(nodes)
+    for width in widths:
+        if sum(n for _, n in best) <= bound or steps.left <= 0:
+            break
+        best = _search(histogram, capacity, best, bound, steps, width)
+    used = sum(n for _, n in best)
+    logging.getLogger(__name__).info("%d sequences; %d is a lower bound; %d of %d fillings left", used, bound, max(0, steps.left), nodes)
+    return best
+
+
+def _search(histogram: dict[int, int], capacity: int, best: list[Pattern], bound: int, steps: Steps, width: int | None) -> list[Pattern]:
+    """The best of the incumbent ``best`` and what the search finds."""
+    total, best_n, used = sum(x * c for x, c in histogram.items()), sum(n for _, n in best), 0
     counts = dict(histogram)
     path: list[tuple[Pattern, int]] = []  # with the waste so far
     choices: list[Iterator[Pattern]] = []
@@ -178,42 +259,42 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
             return
         one = dict(counts)
         one[largest] -= 1
-        for _, items in fillings(one, capacity - largest, width):
+        for _, items in islice(fillings(one, capacity - largest, steps), width):
             full = dict(items)
             full[largest] = full.get(largest, 0) + 1
-            yield tuple(sorted(full.items(), reverse=True)), min(counts[x] // n for x, n in full.items())
+            most = min(counts[x] // n for x, n in full.items())
+            pattern = tuple(sorted(full.items(), reverse=True))
+            yield pattern, most
+            if width is None and most > 1:
+                yield pattern, 1
+
+    def apply(option: Pattern, sign: int) -> None:
+        nonlocal used
+        items, n = option
+        used += sign * n
+        for x, times in items:
+            counts[x] -= sign * times * n
 
-    taken = used = 0
-    if best_n > bound:
-        choices.append(options())
-    while choices and taken < nodes and best_n > bound:
+    choices.append(options())
+    while choices and best_n > bound:
         option = next(choices[-1], None)
         if option is None:
             choices.pop()
             if path:
-                (items, n), _ = path.pop()
-                used -= n
-                for x, times in items:
-                    counts[x] += times * n
+                apply(path.pop()[0], -1)
             continue
-        taken += 1
         items, n = option
         waste = (path[-1][1] if path else 0) + n * (capacity - sum(x * t for x, t in items))
         if waste > (best_n - 1) * capacity - total:
             continue  # whatever follows, it isn't better than the incumbent
         path.append((option, waste))
-        used += n
-        for x, times in items:
-            counts[x] -= times * n
-        if not any(counts.values()):
-            if used < best_n:
-                best_n, best = used, [p for p, _ in path]
-            path.pop()
-            used -= n
-            for x, times in items:
-                counts[x] += times * n
+        apply(option, 1)
+        if any(counts.values()):
+            choices.append(options())
             continue
-        choices.append(options())
+        if used < best_n:
+            best_n, best = used, [p for p, _ in path]
+        apply(path.pop()[0], -1)
     return best
 
 
