@@ -29,15 +29,17 @@ class Corpus:
     """What a corpus' pairs say: rows (unit_id, pattern, token, ord, cnt) of tokens, rows
     (unit_id, pattern1, pattern2, ord) of pairs, both once per unit, and the number of units.
 
-    Of units, ``patterns`` has rows (ord, unit_id, p) with their different patterns, so that a key's
+    Of units, ``patterns`` has rows (ord, unit_id, p, tokens) with their different patterns, so that a key's
     units are known, and combined, before any pair is made. Where each unit is one row, a token's
-    ``first`` says whether it is the first one of its pattern in its unit."""
+    ``first`` says whether it is the first one of its pattern in its unit, and a key is looked for in
+    each row, so that nothing is joined."""
 
     tokens: DataFrame
     pairs: DataFrame
     units: DataFrame  # one row: n
     patterns: DataFrame | None = None
     one_row: bool = False
+    fields: Sequence[int] = DEFAULT_FIELDS
 
 
 def corpus(pairs: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS) -> Corpus:
@@ -55,31 +57,44 @@ def corpus_of_units(units: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS, on
     making raw pairs: patterns are combined once per row. With ``one_row`` a unit id has one row
     only (as ``units_from_table`` makes them), so that nothing need be told apart by unit ids."""
     rows = units.filter(F.size(F.array_distinct("tokens")) > 1)
-    seen = rows.select("ord", "unit_id", F.explode(counted(F.col("tokens"))).alias("e")).select("ord", "unit_id", F.col("e.t").alias("token"), F.col("e.c").alias("cnt"))
+    patterns = rows.select("ord", "unit_id", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: project(t, fields)))).alias("p"), "tokens")
     if one_row:
-        # a unit's tokens by pattern, so that each pattern has a first one
-        named = F.array_sort(F.transform(counted(F.col("tokens")), lambda x: F.struct(project(x["t"], fields).alias("pattern"), x["t"].alias("token"), x["c"].alias("cnt"))))
-        firsts = lambda s: F.transform(s, lambda x, i: F.struct(x["pattern"].alias("pattern"), x["token"].alias("token"), x["cnt"].alias("cnt"), ((i == 0) | (F.get(s, i - 1)["pattern"] != x["pattern"])).alias("first")))
-        seen = rows.select("ord", "unit_id", F.explode(let(named, firsts)).alias("e")).select("ord", "unit_id", "e.*")
-    else:
-        seen = seen.groupBy("unit_id", "token").agg(F.min("ord").alias("ord"), F.min_by("cnt", "ord").alias("cnt")).withColumn("pattern", project(F.col("token"), fields))
-    patterns = rows.select("ord", "unit_id", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: project(t, fields)))).alias("p"))
-    number = F.count("*") if one_row else F.countDistinct("unit_id")
-    return Corpus(seen, combined(patterns, one_row), rows.agg(number.alias("n")), patterns, one_row)
+        return Corpus(_token_rows(patterns, fields), combined(patterns, True), rows.agg(F.count("*").alias("n")), patterns, True, fields)
+    seen = rows.select("ord", "unit_id", F.explode(counted(F.col("tokens"))).alias("e")).select("ord", "unit_id", F.col("e.t").alias("token"), F.col("e.c").alias("cnt"))
+    seen = seen.groupBy("unit_id", "token").agg(F.min("ord").alias("ord"), F.min_by("cnt", "ord").alias("cnt")).withColumn("pattern", project(F.col("token"), fields))
+    return Corpus(seen, combined(patterns, False), rows.agg(F.countDistinct("unit_id").alias("n")), patterns, False, fields)
+
+
+def _token_rows(rows: DataFrame, fields: Sequence[int], *keep: str) -> DataFrame:
+    """(ord, unit_id, pattern, token, cnt, first) and the columns ``keep`` of units: their tokens by
+    pattern, so that each pattern has a first one."""
+    named = F.array_sort(F.transform(counted(F.col("tokens")), lambda x: F.struct(project(x["t"], fields).alias("pattern"), x["t"].alias("token"), x["c"].alias("cnt"))))
+    firsts = lambda s: F.transform(s, lambda x, i: F.struct(x["pattern"].alias("pattern"), x["token"].alias("token"), x["cnt"].alias("cnt"), ((i == 0) | (F.get(s, i - 1)["pattern"] != x["pattern"])).alias("first")))
+    return rows.select("ord", "unit_id", *keep, F.explode(let(named, firsts)).alias("e")).select("ord", "unit_id", *keep, "e.*")
 
 
-def combined(patterns: DataFrame, one_row: bool) -> DataFrame:
-    """(unit_id, pattern1, pattern2, ord) of rows (ord, unit_id, p), once per unit."""
-    left = patterns.select("ord", "unit_id", F.explode(F.transform("p", lambda x, i: F.struct(x.alias("p1"), F.slice("p", i + 2, F.size("p")).alias("more")))).alias("e"))
-    both = left.select("ord", "unit_id", F.col("e.p1").alias("pattern1"), F.explode("e.more").alias("pattern2"))
+def combined(patterns: DataFrame, one_row: bool, *keep: str) -> DataFrame:
+    """(unit_id, pattern1, pattern2, ord) of rows (ord, unit_id, p), once per unit, and the columns
+    ``keep`` where each unit is one row."""
+    left = patterns.select("ord", "unit_id", *keep, F.explode(F.transform("p", lambda x, i: F.struct(x.alias("p1"), F.slice("p", i + 2, F.size("p")).alias("more")))).alias("e"))
+    both = left.select("ord", "unit_id", *keep, F.col("e.p1").alias("pattern1"), F.explode("e.more").alias("pattern2"))
     return both if one_row else both.groupBy("unit_id", "pattern1", "pattern2").agg(F.min("ord").alias("ord"))
 
 
-def token_stats(c: Corpus, selected: DataFrame | None = None) -> DataFrame:
+def _marked(c: Corpus, key: str) -> DataFrame:
+    """The rows of ``patterns`` with ``_sel``: whether they have a pattern that matches and another one."""
+    return c.patterns.withColumn("_sel", (F.size("p") > 1) & F.exists("p", lambda x: x.rlike(to_java(key))))
+
+
+def token_stats(c: Corpus, selected: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """(pattern, token, df, idf, fq, fq_local): a row per pattern with its representative
     token (most units, then the smallest), null fq where a count is missing.
-    ``selected`` (unit_id) are the local units; without it, local is global."""
-    tokens = c.tokens.withColumn("_sel", F.lit(True)) if selected is None else c.tokens.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left").fillna(False, ["_sel"])
+    ``selected`` (unit_id) are the local units, or those of ``key`` where it is given and each unit
+    is one row; without both, local is global."""
+    if key is not None and c.one_row:
+        tokens = _token_rows(_marked(c, key), c.fields, "_sel")
+    else:
+        tokens = c.tokens.withColumn("_sel", F.lit(True)) if selected is None else c.tokens.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left").fillna(False, ["_sel"])
     firsts = F.count_if("first") if c.one_row else F.lit(0)
     variants = tokens.groupBy("pattern", "token").agg(F.count("*").alias("vdf"), F.sum("cnt").alias("fq"), F.sum(F.when(F.col("_sel"), F.col("cnt")).otherwise(0)).alias("local"), F.bool_and(F.col("cnt").isNotNull()).alias("known"), firsts.alias("df"))
     merged = variants.groupBy("pattern").agg(F.min_by("token", F.struct(-F.col("vdf"), "token")).alias("token"), F.sum("fq").alias("fq"), F.sum("local").alias("local"), F.bool_and("known").alias("known"), F.sum("df").alias("df"))
@@ -99,21 +114,28 @@ def key_units(c: Corpus, key: str) -> DataFrame:
     """(unit_id) with a pair of which a pattern matches the key: of units, those with a row that has
     such a pattern and another one."""
     if c.patterns is not None:
-        found = c.patterns.filter((F.size("p") > 1) & F.exists("p", lambda x: x.rlike(to_java(key)))).select("unit_id")
+        found = _marked(c, key).filter("_sel").select("unit_id")
         return found if c.one_row else found.distinct()
     ends = c.pairs.select("unit_id", F.explode(F.array("pattern1", "pattern2")).alias("pattern")).distinct()
     return ends.join(matching_patterns(c, key), "pattern", "left_semi").select("unit_id").distinct()
 
 
-def pair_stats(c: Corpus, selected: DataFrame | None = None, with_gdf: bool = True) -> DataFrame:
+def pair_stats(c: Corpus, selected: DataFrame | None = None, with_gdf: bool = True, key: str | None = None) -> DataFrame:
     """(pattern1, pattern2, gdf, ctf): units of each pair, and those of them that are selected.
     Without ``with_gdf``, which is null then, only the selected units are combined."""
     if selected is None:
         return c.pairs.groupBy("pattern1", "pattern2").agg(F.count("*").alias("gdf")).withColumn("ctf", F.col("gdf"))
+    in_rows = key is not None and c.one_row  # a row tells whether its unit is selected
     if not with_gdf:
-        rows = c.pairs.join(selected, "unit_id", "left_semi") if c.patterns is None else combined(c.patterns.join(selected, "unit_id", "left_semi"), c.one_row)
+        if c.patterns is None:
+            rows = c.pairs.join(selected, "unit_id", "left_semi")
+        else:
+            rows = combined(_marked(c, key).filter("_sel") if in_rows else c.patterns.join(selected, "unit_id", "left_semi"), c.one_row)
         return rows.groupBy("pattern1", "pattern2").agg(F.count("*").alias("ctf")).withColumn("gdf", F.lit(None).cast("long"))
-    marked = c.pairs.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left")
+    if in_rows:
+        marked = combined(_marked(c, key), True, "_sel").withColumn("_sel", F.when(F.col("_sel"), True))
+    else:
+        marked = c.pairs.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left")
     return marked.groupBy("pattern1", "pattern2").agg(F.count("*").alias("gdf"), F.count("_sel").alias("ctf")).filter("ctf > 0")
 
 
@@ -158,12 +180,12 @@ def weigh(c: Corpus, key: str | None = None, method: int = 7) -> DataFrame:
     if method in KEYED and key is None:
         raise OptionError(f"method {method} needs a key")
     selected = None if key is None else key_units(c, key)
-    stats = token_stats(c, selected)
-    pairs = pair_stats(c, selected, method == 16)
+    stats = token_stats(c, selected, key)
+    pairs = pair_stats(c, selected, method == 16, key)
     if method in KEYED:
         # one row; an error where units are selected and their patterns have no frequency
-        found = key_frequency(stats, c, key).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("_pairs"))))
-        fine = (F.col("_pairs") == 0) | (F.coalesce("key_fq", F.lit(0)) > 0)
+        found = key_frequency(stats, c, key).crossJoin(F.broadcast(selected.agg(F.count("*").alias("_selected"))))
+        fine = (F.col("_selected") == 0) | (F.coalesce("key_fq", F.lit(0)) > 0)
         key_fq = found.select(F.when(fine, F.col("key_fq")).otherwise(F.raise_error(F.lit(NO_FREQUENCIES))).alias("key_fq"))
     else:
         key_fq = c.units.select(F.lit(None).cast("long").alias("key_fq"))
