@@ -8,10 +8,11 @@ binary values of a table with one row each: Spark's own writers and commit
 protocol store them wherever Spark can write, and a lost task is written anew.
 
 Defined results: a null payload is an empty one, a null URL an empty one; an
-empty table gives no bundle; rows with a null id are left out of the archive
-(a record needs an identifier). Records with equal payloads of at least
+empty table gives no bundle. Records with equal payloads of at least
 ``min_dedup_bytes`` bytes become one response, that with the smallest id, and
-revisits of it. Further columns of the input are ignored.
+revisits of it. A row with a null id has a record without a number, which comes after all others and
+can't be looked up or referred to. Rows that repeat an id have a record each; with equal
+payloads they are of one kind. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,19 +36,19 @@ MIN_DEDUP_BYTES = 100
 
 # Fixed values of the seekable format and of WARC 1.1.
 SEEK_TABLE_MAGIC, SEEKABLE_MAGIC, RECORD_MAP_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
-RECORD_ID, WARC_DATE = "<urn:page:%d>", "1970-01-01T00:00:00Z"
+RECORD_ID, NO_ID, WARC_DATE = "<urn:page:%d>", "<urn:page:>", "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 BUNDLE_SCHEMA = "bundle_id string, n_records long, content binary"
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle_id string, frame int, frame_offset long, payload binary"
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit carries the digest and length of what it stands for."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {RECORD_ID % page_id}",
+        f"WARC-Record-ID: {NO_ID if page_id is None else RECORD_ID % page_id}",
         f"WARC-Date: {WARC_DATE}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -78,7 +79,7 @@ class Bundle:
         self.frame, self.filled, self.total = [], 0, 0
         self.zstd = zstandard.ZstdCompressor(level=3)
 
-    def add(self, page_id: int, data: bytes) -> None:
+    def add(self, page_id: int | None, data: bytes) -> None:
         self.where.append((page_id, len(self.sizes), self.filled))
         self.frame.append(data)
         self.filled += len(data)
@@ -129,11 +130,11 @@ class Reader:
 
 def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_dedup_bytes: int = MIN_DEDUP_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
     """Writes a WARC record per row into bundles of about ``bundle_bytes`` at ``path``."""
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), text_column(url_col).alias("url"), text_column(payload_col).alias("payload")).filter("page_id is not null")
-    ids = src.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n"))
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), text_column(url_col).alias("url"), text_column(payload_col).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    ids = src.select("page_id", "digest", F.octet_length("payload").alias("n"))
     repeats = with_first(ids, F.col("digest"), F.col("page_id"), F.col("n") >= min_dedup_bytes)
-    repeats = repeats.filter("first < page_id").select("page_id", "first").distinct()
-    rows = src.join(repeats, "page_id", "left")
+    repeats = repeats.filter("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
+    rows = src.join(repeats, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ended(b: Bundle) -> pa.RecordBatch:
@@ -143,17 +144,16 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
         bundle = Bundle(frame_bytes)
         for part in slices(batches, "payload"):
-            for page_id, url, payload, first in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "first")), strict=True):
-                data = payload.encode()
+            for page_id, url, payload, digest, first in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
                 one_line = url.replace("\r", "%0D").replace("\n", "%0A")
-                bundle.add(page_id, record(page_id, one_line, data, hashlib.sha256(data).hexdigest(), first))
+                bundle.add(page_id, record(page_id, one_line, payload.encode(), digest, first))
                 if bundle.total >= bundle_bytes:
                     yield ended(bundle)
                     bundle = Bundle(frame_bytes)
         if bundle.where:
             yield ended(bundle)
 
-    rows.mapInArrow(build, BUNDLE_SCHEMA).write.parquet(path)
+    rows.select("page_id", "url", "payload", "digest", "first").mapInArrow(build, BUNDLE_SCHEMA).write.parquet(path)
 
 
 def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
@@ -162,7 +162,7 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("bundle_id", pa.string()), ("frame", pa.int32()), ("frame_offset", pa.int64()), ("payload", pa.binary())])
-        number = lambda x: int(x[len("<urn:page:") : -1])
+        number = lambda x: None if x == NO_ID else int(x[len("<urn:page:") : -1])
         for batch in batches:
             for name, content in zip(batch.column("bundle_id").to_pylist(), batch.column("content"), strict=True):
                 reader = Reader(content.as_py())
@@ -205,7 +205,7 @@ def lookup(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column("bundle_id").to_pylist(), batch.column("content"), strict=True):
-            ids = list(Reader(content.as_py()).where)
+            ids = [i for i in Reader(content.as_py()).where if i is not None]
             yield pa.RecordBatch.from_pydict({"bundle_id": [name] * len(ids), "page_id": pa.array(ids, pa.int64())})
 
 
@@ -218,14 +218,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with p as (
-  select page_id, coalesce(html, '') as t from pages where page_id is not null
+  select page_id, coalesce(html, '') as t from pages
 ), q as (
   select page_id, octet_length(encode(t)) as payload_bytes, sha256(t) as payload_digest,
          min(page_id) over (partition by t) as f
   from p
 )
 select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
-       case when payload_bytes >= 100 and f < page_id then 'revisit' else 'response' end as record_type,
-       case when payload_bytes >= 100 and f < page_id then f end as refers_to
+       case when payload_bytes >= 100 and f is distinct from page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and f is distinct from page_id then f end as refers_to
 from q
 """
