@@ -5,18 +5,18 @@ characteristic of toxic text (byte strings significantly
 and several times more frequent among toxic documents). The toxic compressor has both, the ordinary one its own alone, so that a
 window's two compressed lengths differ only where a characteristic string occurs.
 A text is cut into windows, one for each
-word or part of a long one; the shares of windows whose lengths
-differ by at least some thresholds, and their mean and largest difference, are
-calibrated to a score between 0 and 1 by logistic regression, on labelled
-documents that no dictionary has seen. Labels and text decide everything.
+word or part of a long one. On labelled documents that no dictionary has seen, thresholds for the difference
+of a window's two lengths are fitted (those that few windows of ordinary documents reach), and the shares and
+numbers of windows that reach them, and their mean and largest difference, are calibrated to a score between 0 and 1 by
+logistic regression. Labels and text decide everything.
 
 The classifier is fitted on a bounded sample of labelled rows: ``MAX_TOXIC`` and
 ``MAX_ORDINARY`` documents, drawn by a hash of their ids, of at most
 ``MAX_TRAIN_CHARS`` characters each. Scoring reads every row's whole text.
 
 Defined results: a null or empty text, or one without a letter, is scored like a
-text without any characteristic string; without labels of both classes every
-score is 0; equal rows get equal scores; other columns are ignored.
+text without any characteristic string; where the samples of a class are too few to train a dictionary on, their
+last bytes are it; without labels of both classes every score is 0; equal rows get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,10 @@ TOXIC_BYTES, ORDINARY_BYTES, GRAM, SAMPLES = 2048, 512, 6, 60_000
 #: A string is characteristic if the share of toxic documents with it is so many times
 #: that of ordinary ones, and so many standard deviations above chance.
 LEAST_RATIO, LEAST_DEVIATIONS = 4.0, 6.0
-THRESHOLDS = (2, 3, 4, 5)
+#: Shares of the windows of ordinary documents that stay under each threshold.
+BELOW = (0.97, 0.99, 0.997, 0.999)
+#: Differences of lengths that are told apart, from the first to the last.
+LEAST_GAIN, MOST_GAIN = -8, 31
 #: Makes every window compressible, so that lengths differ by single bytes.
 TAIL = bytes(64)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -80,6 +83,7 @@ class Dictionaries:
 @dataclass(frozen=True)
 class Model:
     dictionaries: Dictionaries | None
+    thresholds: np.ndarray
     weights: np.ndarray  # of the standardised features, the last without one
     mean: np.ndarray
     scale: np.ndarray
@@ -148,31 +152,47 @@ class Features:
         data = window + TAIL
         return len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
 
-    def of(self, text: str) -> list[float]:
+    def of(self, text: str) -> np.ndarray:
+        """How many windows of a text have each difference of lengths."""
         own = windows(plain(text))
         if len(self.known) > KEPT_WINDOWS:
             self.known.clear()
         for w in set(own).difference(self.known):
-            self.known[w] = self.gain(w)
-        gain = np.fromiter(map(self.known.__getitem__, own), np.float64, len(own))
-        shares = [np.log1p(100 * (gain >= k).mean()) for k in THRESHOLDS]
-        counts = [np.log1p((gain >= k).sum()) for k in THRESHOLDS]
-        return [*shares, *counts, gain.mean(), np.maximum(gain - 1, 0).mean(), gain.max() / 8, np.log(len(gain))]
+            self.known[w] = min(MOST_GAIN, max(LEAST_GAIN, self.gain(w))) - LEAST_GAIN
+        return np.bincount(np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)), minlength=MOST_GAIN - LEAST_GAIN + 1)
 
 
-def features(df: DataFrame, dictionaries: Dictionaries, text_col: str, keep: dict[str, Column]) -> DataFrame:
-    """The columns ``keep`` and the features of each row."""
+def fitted_thresholds(counts: np.ndarray) -> np.ndarray:
+    """Different positive differences, of which the shares ``BELOW`` of the windows counted stay below."""
+    share = np.cumsum(counts) / max(1, counts.sum())
+    found = [int(np.searchsorted(share, b)) + 1 + LEAST_GAIN for b in BELOW]
+    return np.unique(np.clip(found, 1, MOST_GAIN))
+
+
+def described(counts: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """The features of texts, from their counts of windows by difference, a text a row."""
+    gain, n = np.arange(LEAST_GAIN, MOST_GAIN + 1), counts.sum(axis=1)
+    over = np.column_stack([counts[:, gain >= k].sum(axis=1) for k in thresholds])
+    mean = counts @ gain / n
+    most = np.where(counts > 0, gain, LEAST_GAIN).max(axis=1)
+    return np.column_stack([np.log1p(100 * over / n[:, None]), np.log1p(over), mean, counts @ np.maximum(gain - 1, 0) / n, most / 8])
+
+
+def features(df: DataFrame, dictionaries: Dictionaries, text_col: str, keep: dict[str, Column], thresholds: np.ndarray | None = None) -> DataFrame:
+    """(k0, k1, ..., features) of each row: the columns ``keep``, and the features of its text, or without
+    ``thresholds`` its counts of windows by difference."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features(dictionaries)
-        for part in slices(batches, "_text"):
-            found = [own.of(t) for t in part.column("_text").to_pylist()]
-            i = part.schema.get_field_index("_text")
-            yield part.remove_column(i).append_column("_features", pa.array(found, pa.list_(pa.float64())))
+        for part in slices(batches, "text"):
+            found = np.array([own.of(t) for t in part.column("text").to_pylist()])
+            found = found if thresholds is None else described(found, thresholds)
+            i = part.schema.get_field_index("text")
+            yield part.remove_column(i).append_column("features", pa.array(list(found.astype(np.float64)), pa.list_(pa.float64())))
 
-    rows = df.select(*(c.alias(name) for name, c in keep.items()), text_column(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(work, f"{fields}, _features array<double>")
+    rows = df.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), text_column(text_col).alias("text"))
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(work, f"{fields}features array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -189,38 +209,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``max_toxic + max_ordinary``, which bounds the broadcast and what the driver gets."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"), F.xxhash64(id_col).alias("_h")).filter("_id is not null and _y in (0, 1)")
     chosen = known.filter("_y = 1").orderBy("_h", "_id").limit(max_toxic).union(known.filter("_y = 0").orderBy("_h", "_id").limit(max_ordinary)).dropDuplicates(["_id"])
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).filter(F.length(text_col) <= MAX_TRAIN_CHARS).select("_y", F.pmod("_h", F.lit(2)).alias("_fold"), F.col(text_col).cast("string").alias("_text"), "_h").cache()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.length("_text") <= MAX_TRAIN_CHARS)
+    rows = texts.join(F.broadcast(chosen), "_id").select("_y", F.pmod("_h", F.lit(2)).alias("_fold"), "_text", "_h").cache()
     sample = sorted(map(tuple, rows.filter("_fold = 0").select("_h", "_y", "_text").collect()))
     toxic, ordinary = ([plain(t) for _, y, t in sample if y == k] for k in (1, 0))
     if not toxic or not ordinary:
         rows.unpersist()
-        return Model(None, *[np.zeros(0)] * 3)
+        return Model(None, *[np.zeros(0)] * 4)
     dictionaries = train_dictionaries(toxic, ordinary)
     fitted = sorted(map(tuple, features(rows.filter("_fold = 1"), dictionaries, "_text", {"_h": F.col("_h"), "_y": F.col("_y")}).collect()))
     rows.unpersist()
     y = np.array([r[1] for r in fitted], np.float64)
     if not 0 < y.sum() < len(y):
-        return Model(None, *[np.zeros(0)] * 3)
-    x = np.array([r[2] for r in fitted])
+        return Model(None, *[np.zeros(0)] * 4)
+    counts = np.array([r[2] for r in fitted])
+    thresholds = fitted_thresholds(counts[y == 0].sum(axis=0))
+    x = described(counts, thresholds)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     # the sample's share of toxic rows is not the corpus's: rows are weighed by the offset of the prior
     weights = logistic(np.column_stack([(x - mean) / scale, np.ones(len(x))]), y)
     share = known.agg(F.avg("_y")).first()[0]
     drawn = y.mean()
     weights[-1] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return Model(dictionaries, weights, mean, scale)
+    return Model(dictionaries, thresholds, weights, mean, scale)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns ``keep`` of every row, ``score`` and ``predicted``."""
-    keep = keep or {c: F.col(c) for c in docs.columns}
+    """The columns ``keep`` of every row, ``score`` and ``predicted``, which replace columns of these names."""
+    keep = {name: c for name, c in (keep or {c: F.col(f"`{c}`") for c in docs.columns}).items() if name.lower() not in ("score", "predicted")}
     if model.dictionaries is None:
         return docs.select(*(c.alias(name) for name, c in keep.items()), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     linear = F.lit(float(model.weights[-1]))
     for i, (w, m, s) in enumerate(zip(model.weights, model.mean, model.scale, strict=False)):
-        linear = linear + float(w) * (F.get("_features", F.lit(i)) - float(m)) / float(s)
-    out = features(docs, model.dictionaries, text_col, keep).withColumn("score", 1 / (1 + F.exp(-linear)))
-    return out.drop("_features").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        linear = linear + float(w) * (F.get("features", F.lit(i)) - float(m)) / float(s)
+    found = features(docs, model.dictionaries, text_col, keep, model.thresholds)
+    out = found.select(*(F.col(f"k{i}").alias(name) for i, name in enumerate(keep)), (1 / (1 + F.exp(-linear))).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
