@@ -87,8 +87,9 @@ def _marked(c: Corpus, key: str) -> DataFrame:
 
 
 def token_stats(c: Corpus, selected: DataFrame | None = None, key: str | None = None) -> DataFrame:
-    """(pattern, token, df, idf, fq, fq_local): a row per pattern with its representative
-    token (most units, then the smallest), null fq where a count is missing.
+    """(pattern, token, df, idf, fq, fq_local, in_local, n): a row per pattern with its representative
+    token (most units, then the smallest), null fq where a count is missing, the number of its
+    tokens in local units, and the number of all units.
     ``selected`` (unit_id) are the local units, or those of ``key`` where it is given and each unit
     is one row; without both, local is global."""
     if key is not None and c.one_row:
@@ -96,13 +97,13 @@ def token_stats(c: Corpus, selected: DataFrame | None = None, key: str | None =
     else:
         tokens = c.tokens.withColumn("_sel", F.lit(True)) if selected is None else c.tokens.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left").fillna(False, ["_sel"])
     firsts = F.count_if("first") if c.one_row else F.lit(0)
-    variants = tokens.groupBy("pattern", "token").agg(F.count("*").alias("vdf"), F.sum("cnt").alias("fq"), F.sum(F.when(F.col("_sel"), F.col("cnt")).otherwise(0)).alias("local"), F.bool_and(F.col("cnt").isNotNull()).alias("known"), firsts.alias("df"))
-    merged = variants.groupBy("pattern").agg(F.min_by("token", F.struct(-F.col("vdf"), "token")).alias("token"), F.sum("fq").alias("fq"), F.sum("local").alias("local"), F.bool_and("known").alias("known"), F.sum("df").alias("df"))
+    variants = tokens.groupBy("pattern", "token").agg(F.count("*").alias("vdf"), F.sum("cnt").alias("fq"), F.sum(F.when(F.col("_sel"), F.col("cnt")).otherwise(0)).alias("local"), F.bool_and(F.col("cnt").isNotNull()).alias("known"), firsts.alias("df"), F.count_if("_sel").alias("in_local"))
+    merged = variants.groupBy("pattern").agg(F.min_by("token", F.struct(-F.col("vdf"), "token")).alias("token"), F.sum("fq").alias("fq"), F.sum("local").alias("local"), F.bool_and("known").alias("known"), F.sum("df").alias("df"), F.sum("in_local").alias("in_local"))
     if not c.one_row:
         units = c.tokens.select("pattern", "unit_id").distinct().groupBy("pattern").agg(F.count("*").alias("df"))
         merged = merged.drop("df").join(units, "pattern")
     n = c.units.select(F.col("n").alias("_n"))
-    return merged.crossJoin(F.broadcast(n)).select("pattern", "token", "df", F.log(F.col("_n") / F.col("df")).alias("idf"), F.when(F.col("known"), F.col("fq")).alias("fq"), F.when(F.col("known"), F.col("local")).alias("fq_local"))
+    return merged.crossJoin(F.broadcast(n)).select("pattern", "token", "df", F.log(F.col("_n") / F.col("df")).alias("idf"), F.when(F.col("known"), F.col("fq")).alias("fq"), F.when(F.col("known"), F.col("local")).alias("fq_local"), "in_local", F.col("_n").alias("n"))
 
 
 def matching_patterns(c: Corpus, key: str) -> DataFrame:
@@ -184,14 +185,16 @@ def weigh(c: Corpus, key: str | None = None, method: int = 7) -> DataFrame:
     pairs = pair_stats(c, selected, method == 16, key)
     if method in KEYED:
         # one row; an error where units are selected and their patterns have no frequency
-        found = key_frequency(stats, c, key).crossJoin(F.broadcast(selected.agg(F.count("*").alias("_selected"))))
-        fine = (F.col("_selected") == 0) | (F.coalesce("key_fq", F.lit(0)) > 0)
+        hit = F.col("pattern").rlike(to_java(key))
+        total = F.when(F.bool_and(~hit | F.col("fq_local").isNotNull()), F.sum(F.when(hit, F.col("fq_local"))))
+        found = stats.agg(total.alias("key_fq"), F.coalesce(F.sum("in_local"), F.lit(0)).alias("_local"))
+        fine = (F.col("_local") == 0) | (F.coalesce("key_fq", F.lit(0)) > 0)
         key_fq = found.select(F.when(fine, F.col("key_fq")).otherwise(F.raise_error(F.lit(NO_FREQUENCIES))).alias("key_fq"))
-    else:
-        key_fq = c.units.select(F.lit(None).cast("long").alias("key_fq"))
-    one, two = (stats.select(F.col("pattern").alias(f"pattern{i}"), F.col("token").alias(f"token{i}"), F.col("df").alias(f"df{i}"), F.col("idf").alias(f"idf{i}"), F.col("fq_local").alias(f"fq{i}")) for i in (1, 2))
-    facts = pairs.join(one, "pattern1").join(two, "pattern2").crossJoin(F.broadcast(c.units.select(F.col("n").alias("_n")).crossJoin(key_fq)))
-    cw = score(method, F.col("ctf"), F.col("gdf"), F.col("idf1"), F.col("idf2"), F.col("_n"), F.col("key_fq"))
+    one, two = (stats.select(F.col("pattern").alias(f"pattern{i}"), F.col("token").alias(f"token{i}"), F.col("df").alias(f"df{i}"), F.col("idf").alias(f"idf{i}"), F.col("fq_local").alias(f"fq{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    facts = pairs.join(one, "pattern1").join(two, "pattern2")
+    if method in KEYED:
+        facts = facts.crossJoin(F.broadcast(key_fq))
+    cw = score(method, F.col("ctf"), F.col("gdf"), F.col("idf1"), F.col("idf2"), F.col("n1"), F.col("key_fq") if method in KEYED else F.lit(None))
     return standardized(facts.withColumn("cdf", F.col("ctf")).withColumn("cw", cw)).select(*EDGE_COLUMNS, "pattern1", "pattern2", "gdf")
 
 
