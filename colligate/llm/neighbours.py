@@ -4,16 +4,18 @@ Vectors are scaled so that the largest inner product is the smallest distance (o
 more coordinate lifts each to the largest norm), and projected to a few
 dimensions by Gaussian (2-stable) vectors: a projected squared distance is the true
 one times a chi-square variable. The projected space is split by a kd-tree whose
-upper part, fitted on a bounded sample of ``SAMPLE_ROWS`` rows, deals all rows to
-blocks of about ``BLOCK_ROWS``; each block is a kd-tree of its own. A query takes
+upper part, fitted on the projections of a sample of ``SAMPLE_ROWS`` rows or ``SAMPLE_PER_BLOCK`` for each
+block, deals all rows to blocks of about ``block_rows``; each block is a kd-tree of its own. A query takes
 the leaves in order of their projected distance and verifies their members on
 the original vectors, until the chi-square test says that a nearer neighbour is
 left with a probability under ``MISS``. It starts in its own block; the block's
-result decides which other blocks the test does not rule out.
+result decides which other blocks the test does not rule out: a descent of the upper part finds them, which
+visits no more of it than they ask for. What reaches the driver and the tasks is the sample and the upper part (16 bytes a block).
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part; equal vectors are ranked by id; a query with fewer
-candidates than wanted gets all; of equal vectors only the rows that can be ranked are indexed; an empty table gives no row. Scores are inner
+candidates than wanted gets all; rows that repeat an id and its vector count once, other vectors under one id are ranked each,
+and a query id with several gets the best of all of them; of equal vectors only the rows that can be ranked are indexed; an empty table gives no row. Scores are inner
 products of the original vectors in double precision.
 """
 
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from colligate.llm.common import stored, table
 
 DIMENSIONS, SEED = 8, 11
-SAMPLE_ROWS, BLOCK_ROWS, LEAF_ROWS = 20_000, 8_192, 64
+SAMPLE_ROWS, SAMPLE_PER_BLOCK, BLOCK_ROWS, LEAF_ROWS = 20_000, 16, 8_192, 128
 #: Chance that a true neighbour lies beyond the projected distance where a query stops.
 MISS = 0.05
 #: Queries of one piece of work.
-QUERY_ROWS = 1_024
+QUERY_ROWS = 4_096
+#: Pairs of query and block that a task finds at once.
+REACHED_ROWS = 1_000_000
 DEFAULT_TOP = 20
 
 
@@ -121,6 +125,22 @@ class Splitter:
         return node - 2**self.depth
 
 
+    def reached(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point's row, block) of every block whose cell is within the squared distance ``reach`` of a
+        point. All points go down together; a cell's distance adds up by axis as planes are crossed."""
+        row, node = np.arange(len(points)), np.ones(len(points), np.int64)
+        off = np.zeros(points.shape)  # how far the cell is from the point, by axis
+        for _ in range(self.depth):
+            axis = self.axis[node]
+            gap = points[row, axis] - self.at[node]
+            near = 2 * node + (gap >= 0)
+            beyond = off.copy()
+            beyond[np.arange(len(row)), axis] = np.maximum(np.abs(gap), off[np.arange(len(row)), axis])
+            crossed = (beyond**2).sum(axis=1) <= reach[row]
+            row, node, off = np.concatenate([row, row[crossed]]), np.concatenate([near, near[crossed] ^ 1]), np.concatenate([off, beyond[crossed]])
+        return row, node - 2**self.depth
+
+
 def bounds(low: np.ndarray, high: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Squared distance of each point from each box."""
     out = np.zeros((len(points), len(low)))
@@ -156,6 +176,9 @@ def search(space: Space, ids: np.ndarray, x: np.ndarray, own: np.ndarray, querie
             members, asked = leaves[leaf[rows[0]]], active[rows]
             inner = queries[asked] @ x[members].T
             inner[own[asked][:, None] == ids[members][None, :]] = -np.inf
+            # only queries with a member that could be among their best; equal ones are ranked by id
+            nearer = (inner >= np.maximum(best[asked, -1], known[asked])[:, None]).any(axis=1)
+            asked, inner = asked[nearer], inner[nearer]
             both = np.concatenate([best[asked], inner], axis=1)
             both_id = np.concatenate([best_id[asked], np.broadcast_to(ids[members], inner.shape)], axis=1)
             ranks = np.lexsort((both_id, -both), axis=1)[:, :top]
@@ -184,10 +207,10 @@ def distinct(rows: DataFrame, most: int) -> DataFrame:
     def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                pdf = pdf.sort_values("vec_id")
+                pdf = pdf.assign(v=[v.tobytes() for v in pdf["x"]]).drop_duplicates(["vec_id", "v"]).drop(columns="v").sort_values("vec_id")
                 yield pdf[(pdf.groupby([v.tobytes() for v in pdf["x"]]).cumcount() < most).to_numpy()]
 
-    ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, most)
+    ids = F.slice(F.sort_array(F.collect_set("vec_id")), 1, most)
     groups = rows.mapInPandas(smallest, "vec_id long, x array<double>").groupBy("x").agg(ids.alias("ids"))
     return stored(groups.select(F.explode("ids").alias("vec_id"), "x"), "distinct")
 
@@ -206,8 +229,15 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     n = kept.count()
     space, ratio = Space(size, norm, dimensions), chi_square_quantile(1 - miss, dimensions)
     depth = max(0, math.ceil(math.log2(n / block_rows)))
-    sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("x").toPandas()
-    splitter = Splitter(space.rows(_matrix(sample["x"])), depth)
+    blocks = 2**depth
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"p": list(space.rows(_matrix(pdf["x"])))})
+
+    sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE_ROWS, SAMPLE_PER_BLOCK * blocks)).select("x").mapInPandas(project, "p array<double>").toPandas()
+    splitter = Splitter(_matrix(sample["p"]), depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -217,16 +247,6 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     schema = "vec_id long, x array<double>, block long"
     placed = stored(kept.mapInPandas(place, schema), "placed")
 
-    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            p = space.rows(_matrix(pdf["x"])) if len(pdf) else np.zeros((0, dimensions))
-            for block, own in pd.DataFrame(p).groupby(pdf["block"].to_numpy()):
-                yield pd.DataFrame({"block": block, "axis": range(dimensions), "low": own.min().to_numpy(), "high": own.max().to_numpy()})
-
-    boxes = placed.mapInPandas(corners, "block long, axis int, low double, high double").groupBy("block", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("block", "axis").toPandas()
-    names = boxes["block"].to_numpy()[::dimensions]
-    low, high = (boxes[c].to_numpy().reshape(len(names), dimensions) for c in ("low", "high"))
-
     def find(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -241,7 +261,7 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         return data.groupBy("data_block", "data_piece").cogroup(work.groupBy("work_block", "work_piece")).applyInPandas(find, "query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
-        ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
+        ordered = F.array_distinct(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))))
         return found.groupBy("query_id").agg(F.slice(ordered, 1, top).alias("best"))
 
     asked = stored(rows.filter(is_query).mapInPandas(place, schema), "asked").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "block")
@@ -255,8 +275,13 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 continue
             q, known = _matrix(pdf["q"]), pdf["known"].fillna(-np.inf).to_numpy()
             reach = np.where(np.isfinite(known), ratio * space.distance(q, np.where(np.isfinite(known), known, 0)[:, None])[:, 0], np.inf)
-            row, block = np.nonzero((bounds(low, high, space.queries(q)) <= reach[:, None]) & (names[None, :] != pdf["block"].to_numpy()[:, None]))
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "q": pdf["q"].to_numpy()[row], "block": names[block], "known": pdf["known"].to_numpy()[row]})
+            points, step = space.queries(q), max(1, REACHED_ROWS // blocks)
+            for at in range(0, len(pdf), step):  # so few at once that all blocks of all of them fit
+                own = pdf.iloc[at : at + step]
+                row, block = splitter.reached(points[at : at + step], reach[at : at + step])
+                elsewhere = block != own["block"].to_numpy()[row]
+                row, block = row[elsewhere], block[elsewhere]
+                yield pd.DataFrame({"query_id": own["query_id"].to_numpy()[row], "q": own["q"].to_numpy()[row], "block": block, "known": own["known"].to_numpy()[row]})
 
     away = visit(again.mapInPandas(others, "query_id long, q array<double>, block long, known double"))
     merged = best(home.union(away)).select("query_id", F.posexplode("best").alias("pos", "b"))
