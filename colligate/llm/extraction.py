@@ -1,13 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with one of them, the pivot (its smallest page id with a
-text), by simple tree matching: the largest common top-down subtree, children in
-order. Over all pages of the host, the share of aligned pages that repeat a pivot
+Pages of one host fall into classes by the tags that they use; a class of ``CLASS_PAGES`` pages or more has a
+pivot of its own (its smallest page id), other pages are aligned with that of the host's largest class. A page is
+aligned with its pivot by simple tree matching: the largest common top-down subtree, children in
+order. Over all pages of the class, the share of aligned pages that repeat a pivot
 node's own text decides what the node is: constant nodes are template, varying ones
-are slots of content. The counts are sums per host and node, so that a host with a third
+are slots of content. The counts are sums per class and node, so that a host with a third
 of all pages is counted in every task that has some. A page's text is that of its
-slots: in its ``article`` elements, unless these are cards beside a longer main text, else
-in ``main``, else in its body without lists of links; always without template nodes (a word
+slots: of those in its ``main`` elements, else in its ``article`` elements, unless these are cards beside a longer text, else
+in its body; outside articles without lists of links; always without template nodes (a word
 marked up inside a varying text is part of that, and an article of which the template
 would leave less than half is content) and without
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and comments of
@@ -34,6 +35,8 @@ from colligate.llm.common import slices, stored, table, text_column
 
 #: A node is template if this many aligned pages, and this share of them, repeat its text.
 LEAST_PAGES, LEAST_SHARE = 2, 0.5
+#: Pages of a class that has a pivot of its own.
+CLASS_PAGES = 3
 #: Bytes of pivots and templates that are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Share of a block's text in links from which on the block is a list of links.
@@ -348,34 +351,45 @@ def main_text(root: Node, template: set[int]) -> str:
     if template:
         template = _whole_blocks(root, template)
     mains, articles = _outermost(root, "main"), _outermost(root, "article")
-    if articles and not _are_cards(articles, mains or [root], template):
-        mains = articles
-    strict = not mains
-    if mains and template and 2 * _text_size(mains, template) < _text_size(mains, set()):
+    chosen = mains
+    if articles and (not mains or not _inside(articles, mains)) and not _are_cards(articles, mains or [root], template):
+        chosen = articles
+    if chosen and template and 2 * _text_size(chosen, template) < _text_size(chosen, set()):
         template = set()
     out: list[str] = []
-    todo: list[Node | str] = list(reversed(mains or [root]))
+    todo: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(chosen or [root])]
     while todo:
-        x = todo.pop()
+        x, article = todo.pop()
         if isinstance(x, str):
             out.append(x)
             continue
         if x.dropped:
             out.append("" if x.tag in INLINE else " ")
             continue
-        if strict and x.tag in ("ul", "ol", "table", "div", "p"):
+        article = article or x.tag == "article"
+        if not article and x.tag in ("ul", "ol", "table", "div", "p"):
             linked, total = _links(x)
             if total and linked >= LINK_SHARE * total:
                 out.append(" ")
                 continue
         children = x.elements() if id(x) in template else x.children
         edge = "" if x.tag in INLINE else " "
-        todo.append(edge)
-        todo += reversed(children)
+        todo.append((edge, article))
+        todo += [(c, article) for c in reversed(children)]
         out.append(edge)
     return " ".join("".join(out).split())
 
 
+def _inside(nodes: list[Node], roots: list[Node]) -> bool:
+    """Whether all nodes are below the roots."""
+    below, todo = set(), list(roots)
+    while todo:
+        x = todo.pop()
+        below.add(id(x))
+        todo += x.elements()
+    return all(id(n) in below for n in nodes)
+
+
 def _host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -397,6 +411,17 @@ class Pivots:
         return found
 
 
+def sites(rows: DataFrame) -> DataFrame:
+    """Rows (page_id, html, host, ...) with ``host`` made the name of their class of pages on that host."""
+    shape = F.xxhash64(F.array_distinct(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))))
+    shaped = rows.withColumn("shape", shape)
+    classes = shaped.filter("trim(html) <> ''").groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    large = classes.filter(F.col("n") >= CLASS_PAGES).select("host", "shape", F.col("shape").alias("site"))
+    main = classes.groupBy("host").agg(F.max(F.struct("n", F.struct((-F.col("first")).alias("first"), "shape").alias("which"))).alias("most")).select("host", F.col("most.which.shape").alias("rest"))
+    named = shaped.join(_small(stored(large, "classes"), F.lit(64)), ["host", "shape"], "left").join(_small(stored(main, "classes"), F.lit(64)), "host", "left")
+    return named.withColumn("host", F.concat_ws(" ", "host", F.coalesce("site", "rest").cast("string"))).drop("shape", "site", "rest")
+
+
 def pivots_of(rows: DataFrame) -> DataFrame:
     """(host, pivot) of rows (page_id, html, host): the HTML of each host's pivot."""
     ids = rows.filter("trim(html) <> ''").groupBy("host").agg(F.min("page_id").alias("page_id"))
@@ -447,7 +472,7 @@ def induce(paired: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), text_column(html_col).alias("html"))
-    hosted = rows.withColumn("host", F.coalesce(_host("url"), F.lit("")))
+    hosted = sites(rows.withColumn("host", F.coalesce(_host("url"), F.lit(""))))
     pivots = pivots_of(hosted)
     nodes = induce(hosted.join(_small(pivots, F.octet_length("pivot")), "host")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
     # only hosts with a template need their pivot again
