@@ -21,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or else the one that
+    was set by ``setCheckpointDir``.
 
-    Only where that setting is absent, as in local tests, a temporary folder of
-    this machine is taken and set.
+    Only a session that runs in this process alone, as in tests, may have neither; it gets a temporary folder.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

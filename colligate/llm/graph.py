@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colligate.llm.common import stored
+from colligate.llm.common import discard, stored
 
 #: Parts that the rows of one key are dealt to while their smallest is found.
 SALTS = 256
@@ -29,11 +29,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    last = labels
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         sunk = labels.join(near, "id").select("id", "component", F.least("component", "c").alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("component").alias("d"))
         new = stored(sunk.join(up, "c", "left").select("id", F.col("component").alias("old"), F.least("c", F.coalesce("d", "c")).alias("component")), "labels")
+        discard(last)
         if new.filter("old <> component").isEmpty():
+            discard(both)
             return new.select("id", "component")
-        labels = new.select("id", "component")
+        last, labels = new, new.select("id", "component")

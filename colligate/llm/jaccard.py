@@ -288,7 +288,8 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
     named = stored(member.join(labels, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")), "named")
     crowd = busy.withColumnRenamed("id", "g").join(named.select("id", "g", "c"), "g").drop("g")
     apart = crowd.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("key")
-    pairs = _busy_pairs(stored(crowd.join(apart, "key"), "crowd"), percent)
+    crowd = stored(crowd.join(apart, "key"), "crowd")
+    pairs = _busy_pairs(crowd, percent)
     several = own.select("a").distinct()
     if not several.isEmpty():
         # groups of several members, with themselves and with what they were paired with
@@ -297,8 +298,10 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
         spread = left.join(named.select(F.col("g").alias("b"), "id", "c"), "b").filter((F.col("x") != F.col("id")) & (F.col("cx") != F.col("c")))
         pairs = pairs.union(spread.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))).distinct()
     pairs = stored(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(sharing, member, group_pairs, first, named, crowd)
     if not pairs.isEmpty():
         links, labels = _linked(docs, pairs, sketches, width, percent, links)
+    discard(fronts, pairs)
     out = one.join(labels.select(F.col("id").alias("first"), "component"), "first", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
 
@@ -316,3 +319,30 @@ def _linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int,
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+SQL = r"""
+with recursive d as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents where doc_id is not null
+), s as materialized (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as g
+  from d
+), k as materialized (
+  select g, any_value(len(g)) as n, min(doc_id) as a from (select doc_id, list_sort(g) as g from s) group by g
+), x as materialized (
+  select a, n, unnest(g) as g from k where n > 0
+), l as materialized (
+  select p.a, q.a as b from x p join x q on p.g = q.g and p.a < q.a and 100 * least(p.n, q.n) >= 90 * greatest(p.n, q.n)
+  group by p.a, q.a, p.n, q.n having 100 * count(*) >= 90 * (p.n + q.n - count(*))
+), e as materialized (
+  select a, b from l union all select b, a from l
+), r as (
+  select a, b from e union select r.a, e.b from r join e on r.b = e.a
+), c as (
+  select a, least(a, min(b)) as m from r group by a
+)
+select s.doc_id, cast(len(s.g) as bigint) as n_shingles, cast(case when len(s.g) = 0 then s.doc_id else coalesce(c.m, k.a) end as bigint) as component_id
+from s join k on list_sort(s.g) = k.g left join c on c.a = k.a
+"""

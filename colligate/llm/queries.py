@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": quality.SQL,
+    "op8_jaccard": jaccard.SQL,
     "op10_warc": warc.SQL,
 }

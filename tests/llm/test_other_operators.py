@@ -79,6 +79,45 @@ def test_cards_are_not_the_main_text(tag):
     assert extraction.main_text(extraction.parse(f"<body><div>x</div><article>{text}</article><article>more</article></body>"), set()) == f"{text}more"
 
 
+def test_main_around_an_article_is_kept():
+    page = "<body><p>Before</p><main><p>Lead</p><article>Body <ul><li><a href=/1>inner</a></ul></article><ul><li><a href=/2>More</a></ul><p>End</p></main><p>After</p></body>"
+    assert extraction.main_text(extraction.parse(page), set()) == "Lead Body inner End"
+    assert extraction.main_text(extraction.parse("<body><p>Before it</p><article>Body of the page</article></body>"), set()) == "Body of the page"
+
+
+def test_templates_decide(spark):
+    """Two layouts on one host, neither with a tag or name that tells: the text is what varies, and
+    would be another one without templates."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(2, 5) for _ in range(n))
+    one = lambda t: f"<body><div><span>Portal of news</span></div><div><p>{t}</p></div><div><span>Terms apply</span></div></body>"
+    two = lambda t: f"<body><table><tr><td>Portal of things</td><td><h2>{t[:9]}</h2>{t[9:]}</td></tr></table><section>All rights are ours</section></body>"
+    texts = [words(20) for _ in range(12)]
+    pages = [(one if i % 2 else two)(t) for i, t in enumerate(texts)]
+    got = [t for t, _ in extract(spark, *[("http://one/x", p) for p in pages])]
+    assert [t.replace(" ", "") for t in got] == [t.replace(" ", "") for t in texts]
+    withheld = [extraction.main_text(extraction.parse(p), set()) for p in pages]
+    assert all(len(w) > len(t) and w != t for w, t in zip(withheld, got, strict=True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_induction_against_brute_force(spark, seed):
+    """Pages with the shape of their pivot: a node is template if enough pages repeat its text."""
+    rng = random.Random(seed)
+    kinds = [rng.choice(["constant", "mostly", "half", "rarely", "varying"]) for _ in range(12)]
+    share = {"constant": 1.0, "mostly": 0.8, "half": 0.5, "rarely": 0.2, "varying": 0.0}
+    cells = [[f"fixed {j}" if rng.random() < share[k] else f"own {i} {j}" for j, k in enumerate(kinds)] for i in range(9)]
+    page = lambda row: "<body>" + "".join(f"<div><i>{t}</i></div>" for t in row) + "</body>"
+    rows = spark.createDataFrame([(i, "h", page(c), page(cells[0])) for i, c in enumerate(cells)], "page_id long, host string, html string, pivot string")
+    numbers = {x.own_text(): i for i, x in enumerate(extraction.numbered(extraction.parse(page(cells[0])))) if x.tag == "i"}
+    want = set()
+    for j, first in enumerate(cells[0]):
+        others = [c[j] for c in cells[1:] if c != cells[0]]
+        if others.count(first) >= max(extraction.LEAST_PAGES, extraction.LEAST_SHARE * len(others)):
+            want.add(numbers[first])
+    assert {r["node"] for r in extraction.induce(rows).collect()} == want
+
+
 def test_tree_matching():
     a, b = (extraction.parse(x) for x in ("<ul><li>1<li>2</ul><p>x</p>", "<p>y</p><ul><li>1<li>3<li>4</ul><p>x</p>"))
     for r in (a, b):
@@ -116,12 +155,16 @@ def test_trimmed_matching_is_optimal(seed):
 
 def test_warc(spark):
     big = "x" * 150
-    rows = [(1, "http://a\r\nb", big), (2, None, "s"), (3, "u", big), (4, "u", None), (5, "u", "s"), (0, "u", "é" * 60), (7, "u", big), (None, "u", "x")]
+    rows = [(1, "http://a\r\nb", big), (2, None, "s"), (3, "u", big), (4, "u", None), (5, "u", "s"), (0, "u", "é" * 60), (7, "u", big), (None, "u", "x"), (None, "v", big), (9, "u", "y" * 120), (9, "u", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(1))
     path = shared_path(spark, "test-warc")
     warc.write_bundles(df, path, frame_bytes=300, bundle_bytes=900)
     bundles = spark.read.parquet(path)
-    got = {r["page_id"]: r for r in warc.read_bundles(bundles).collect()}
+    read = warc.read_bundles(bundles).collect()
+    # a null id has a record, a repeated one a record for each row
+    assert len(read) == len(rows) and sorted((r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in read if r["page_id"] is None) == [("response", 0, 1), ("revisit", 1, 150)]
+    assert sorted((r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in read if r["page_id"] == 9) == [("response", 0, 120), ("revisit", 1, 150)]
+    got = {r["page_id"]: r for r in read if r["page_id"] not in (None, 9)}
     assert {i: (r["record_type"], r["refers_to"], r["payload_bytes"]) for i, r in got.items()} == {
         0: ("response", None, 120), 1: ("response", None, 150), 2: ("response", None, 1), 3: ("revisit", 1, 150), 4: ("response", None, 0), 5: ("response", None, 1), 7: ("revisit", 1, 150),
     }
@@ -172,6 +215,13 @@ def test_neighbours(spark):
     assert len(few) == 2
 
 
+def test_repeated_ids_of_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [0.9, 0.1]), (2, [0.2, 0.9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, F.col("vec_id") == 0, top=5).orderBy("rank").collect()]
+    assert got == [(1, 1, 0.9), (2, 1, 0.5), (3, 2, 0.2)]
+
+
 def test_copies_of_a_vector(spark):
     """A third of all rows are copies; no piece of work gets more of them than can be ranked."""
     rng = np.random.default_rng(1)
@@ -190,6 +240,19 @@ def test_copies_of_a_vector(spark):
         assert got[q] == np.lexsort((np.arange(900), -score))[:5].tolist()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_descent_reaches_every_block_in_range(seed):
+    """No block that holds a point within reach is missed, and no cell out of reach is visited."""
+    rng = np.random.default_rng(seed)
+    points, asked, reach = rng.standard_normal((400, 3)), rng.standard_normal((50, 3)), rng.uniform(0, 3, 50)
+    tree = neighbours.Splitter(points, 4)
+    block, found = tree.block(points), set(zip(*(x.tolist() for x in tree.reached(asked, reach)), strict=True))
+    for i in range(50):
+        near = ((points - asked[i]) ** 2).sum(axis=1) <= reach[i]
+        assert {(i, b) for b in block[near].tolist()} <= found and (i, int(tree.block(asked[i : i + 1])[0])) in found
+    assert len(found) < 50 * 16
+
+
 def test_chi_square():
     assert neighbours.chi_square_quantile(0.95, 1) == pytest.approx(3.841459, rel=1e-6)
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507313, rel=1e-6)
@@ -216,6 +279,62 @@ def test_pieces_equal_the_library():
         assert machine.decode(found) == s.decode(found.tolist())
 
 
+def test_normaliser_arcs():
+    n = pieces.Normaliser(prefix=True, squeeze=False)
+    assert n.compose(" a  b", pieces.START) == "▁▁a▁▁b" and n.compose(" a", pieces.TEXT) == "▁a" and n.compose("", pieces.START) == ""
+    n = pieces.Normaliser(prefix=True, squeeze=True)
+    assert n.compose("  a   b  ", pieces.START) == "▁a▁b" and n.compose("   ", pieces.START) == ""
+
+
+def model(scores, fallback, squeeze, kind="UNIGRAM"):
+    """A model put together by hand, nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    kinds = proto.SentencePiece.Type
+    proto.trainer_spec.model_type = getattr(proto.trainer_spec, kind)
+    proto.trainer_spec.byte_fallback = fallback
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = True, squeeze, True
+    for text, kind_ in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL), *[(f"<0x{b:02X}>", kinds.BYTE) for b in range(256) if fallback]):
+        proto.pieces.add(piece=text, score=0.0, type=kind_)
+    for text, score in scores.items():
+        proto.pieces.add(piece=text, score=score, type=kinds.NORMAL)
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("seed", range(3))
+def test_unigram_equals_the_library(fallback, squeeze, seed):
+    import sentencepiece
+
+    rng = random.Random(seed)
+    texts = {"▁", *"abcd", *("".join(rng.choices("abcd", k=rng.randint(2, 4))) for _ in range(30)), *("▁" + "".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(20)), "a▁b"}
+    scores = {t: -rng.uniform(1, 9) for t in sorted(texts)}
+    proto = model(scores, fallback, squeeze)
+    s, machine = sentencepiece.SentencePieceProcessor(model_proto=proto), pieces.Transducer(proto)
+    for _ in range(300):
+        text = "".join(rng.choices("abcd  é😀", k=rng.randint(0, 14)))
+        assert machine.encode(text).tolist() == s.encode(text), text
+
+
+def test_the_least_weight_wins():
+    """Of all ways to cut a word into pieces, the one with the least sum, tried one by one."""
+    rng = random.Random(7)
+    scores = {"▁": -2.0, "a": -3.0, "b": -2.5, "ab": -4.0, "ba": -3.5, "aab": -5.0, "▁a": -4.2, "bb": -4.9}
+    machine = pieces.Transducer(model(scores, True, False))
+
+    def best(word):
+        if not word:
+            return 0.0
+        return min(best(word[n:]) - scores[word[:n]] for n in range(1, 4) if word[:n] in scores)
+
+    for _ in range(60):
+        text = "".join(rng.choices("ab ", k=rng.randint(1, 8)))
+        ids = machine.encode(text).tolist()
+        assert sum(-scores[machine.text[i]] for i in ids) == pytest.approx(best("▁" + text.replace(" ", "▁")))
+
+
 def test_decoding_any_ids():
     s, machine, rng = library(), pieces.transducer(), random.Random(3)
     for _ in range(2000):
