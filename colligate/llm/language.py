@@ -163,17 +163,16 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(profiles.dimensions, profiles.seed)
-        centre = profiles.prototypes.mean(axis=0) if profiles.languages else None
         for part in slices(batches, "_text"):
             langs, scores = [], []
             for text in part.column("_text").to_pylist():
                 grams, counts = trigrams(text)
-                if not len(grams) or centre is None:
+                if not len(grams) or not profiles.languages:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
                 v = sum(vectors.bundle(grams[i : i + 8192], counts[i : i + 8192]).astype(np.float64) for i in range(0, len(grams), 8192))
-                near = profiles.prototypes @ (v / max(np.linalg.norm(v), 1e-12))
+                near = np.round(profiles.prototypes @ (v / max(np.linalg.norm(v), 1e-12)), 12)  # equal prototypes tie
                 best = int(near.argmax())
                 langs.append(profiles.languages[best])
                 scores.append(float(min(1.0, max(0.0, near[best]))))

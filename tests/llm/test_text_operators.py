@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from colligate.llm import jaccard, language, quality, secrets, toxicity
@@ -35,18 +36,19 @@ TEXTS = [None, "", " \n\t", "a", "a b c a b c", "x x x x", "one two three\none t
 
 
 def test_measures(spark):
-    df = docs(spark, *TEXTS).drop("n_words")
+    df = docs(spark, *TEXTS).selectExpr("*", "4 as Kept", "5 as _q", "6 as _q_text", "7 as m")
     got = quality.filter_quality(df).orderBy("doc_id").collect()
     for r, text in zip(got, TEXTS, strict=True):
         n, chars, symbols, lines, repeated = measured(text)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeated), text
         assert r["base_failed"] == (n < 50 or 100 * repeated > 50 * n) and not (r["base_failed"] and r["kept"])
-    assert got[9]["kept"] and not got[10]["kept"]
+        assert (r["_q"], r["_q_text"], r["m"], r["id"]) == (5, 6, 7, 2)
+    assert got[9]["kept"] is True and got[10]["kept"] is False and len(set(got[0].asDict())) == len(got[0])
     assert quality.filter_quality(df.limit(0)).count() == 0
 
 
 def test_order_never_decides(spark):
-    df = docs(spark, *TEXTS).drop("n_words")
+    df = docs(spark, *TEXTS)
     names = list(quality.rules())
     one, two = (quality.with_verdict(df, o).select("doc_id", "kept").orderBy("doc_id").collect() for o in (names, names[::-1]))
     assert one == two
@@ -55,7 +57,7 @@ def test_order_never_decides(spark):
 
 
 def test_no_python(spark):
-    plan = quality.with_verdict(docs(spark, "a").drop("n_words"), quality.rules())._jdf.queryExecution().executedPlan().toString()
+    plan = quality.with_verdict(docs(spark, "a"), quality.rules())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -150,8 +152,6 @@ def test_language(spark):
 
 
 def test_bundles_are_sums_of_bound_letters():
-    import numpy as np
-
     v = language.Vectors()
     grams, counts = language.trigrams("Aba ab")
     assert counts.sum() == len("\0aba\0ab\0") - 2
@@ -162,6 +162,33 @@ def test_bundles_are_sums_of_bound_letters():
     assert np.allclose(v.bundle(grams, counts), want)
 
 
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    df = spark.createDataFrame([(i, "one and the same text", x) for i, x in enumerate(["fr", "de", "en"])], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.identify(df, language.train(df)).collect()} == {"de"}
+
+
+def test_very_long_texts(spark):
+    """Texts beyond what one step is handed at once, whole, among short ones."""
+    import zlib
+
+    from colligate.llm import packing, pieces
+    from colligate.llm.common import SLICE_BYTES
+
+    long = " ".join(f"word{i % 977} of-{i}" for i in range(60_000)) + " token = abcdefghijklmnop"
+    assert len(long) > SLICE_BYTES
+    df = docs(spark, "a b c", long, None, long)
+    ids = packing.token_ids(long)
+    found = packing.pieces(df).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert dict(map(tuple, found))[1] == len(ids) + 1
+    assert [r["n_assign"] for r in secrets.scan(df).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+    encoded = pieces.encode(df, with_ids=False).orderBy("doc_id").collect()
+    assert [r["round_trip"] for r in encoded] == [True] * 4 and encoded[1]["ids_crc32"] == zlib.crc32(pieces.transducer().encode(long).astype("<u4").tobytes()) == encoded[3]["ids_crc32"]
+    assert [r["n_words"] for r in quality.with_verdict(df, quality.rules()).orderBy("doc_id").collect()] == [3, 120_003, 0, 120_003]
+    profile = language.Profiles(["en"], np.ones((1, 1024)) / 32, 1024, language.SEED)
+    assert [r["lang_pred"] for r in language.identify(df, profile).orderBy("doc_id").collect()] == ["en", "en", "und", "en"]
+    assert [tuple(r) for r in jaccard.link(df).orderBy("doc_id").collect()] == [(0, 1, 0), (1, brute_components([long], 5, 80)[0][1], 1), (2, 0, 2), (3, brute_components([long], 5, 80)[0][1], 1)]
+
+
 # toxicity
 
 
@@ -179,10 +206,22 @@ def test_toxicity(spark):
     unseen = [r for r in got if 160 <= r["doc_id"] < 240]
     assert sum(r["predicted"] == r["toxic"] for r in unseen) >= 0.95 * len(unseen)
     assert all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in got[-3:])
+    odd = df.selectExpr("*", "1 as _text", "2 as _features", "3 as score", "4 as _k0", "5 as _y", "6 as _h", "7 as _id")
+    again = toxicity.score(odd, toxicity.train(odd, df.select("doc_id", "toxic").filter("doc_id < 160"))).orderBy("doc_id").collect()
+    assert [(r["score"], r["_text"], r["_features"], r["_id"]) for r in again] == [(r["score"], 1, 2, 7) for r in got] and again[0].asDict().keys() >= {"_k0", "_y", "_h"}
     none = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic").filter("toxic = 0"))
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_thresholds_are_fitted():
+    counts = np.zeros(toxicity.MOST_GAIN - toxicity.LEAST_GAIN + 1)
+    counts[-toxicity.LEAST_GAIN : 5 - toxicity.LEAST_GAIN] = [9700, 150, 100, 40, 10]  # 0 to 4 bytes
+    assert toxicity.fitted_thresholds(counts).tolist() == [1, 3, 4]
+    assert toxicity.fitted_thresholds(counts * 0).tolist() == [1] or toxicity.fitted_thresholds(counts * 0).min() >= 1
+    x = toxicity.described(counts[None, :], np.array([1, 3]))[0]
+    assert x[:4] == pytest.approx(np.log1p([3, 0.5, 300, 50])) and x[-1] == 0.5
+
+
 # Jaccard join
 
 
@@ -252,13 +291,14 @@ def test_no_documents(spark):
     assert jaccard.link(docs(spark, "a").limit(0)).count() == 0
 
 
-def test_quality_against_sql(spark):
+@pytest.mark.parametrize("query,sql", [(quality.op2_quality, quality.SQL), (jaccard.op8_jaccard, jaccard.SQL)])
+def test_queries_against_sql(spark, query, sql):
     import os
 
     if not os.path.isdir(SF):
         pytest.skip("no tables")
     db = duckdb.connect()
     db.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
-    got = quality.op2_quality(spark, SF)
-    want = db.execute(f"select {', '.join(got.columns)} from ({quality.SQL})").fetchall()
+    got = query(spark, SF)
+    want = db.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
