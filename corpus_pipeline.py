@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns
 of ``documents``.
+
+Defined results: null texts and texts without a letter go in the first stage; nothing else goes there, also
+where no language can be learned. Without labels of both kinds nothing is rejected as toxic. A row without a
+doc_id is never a near duplicate of another. Rows that repeat a doc_id and its text count as
+copies, of which the one with the least other columns stays; different texts under one doc_id all stay.
+Tables may be empty, and may have more columns, which are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps documents whose language can be told; those without a letter go, and so
     do null texts. The profiles are learned from the documents that aren't held out."""
     profiles = language.learned(spark, sf_dir)
+    if not profiles.languages:  # whoever has a letter has a language, only not a known one
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = language.identify(docs, profiles, keep=["text", "lang", "source", "n_chars"])
     return found.filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
 
@@ -34,8 +42,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that is linked by sharing
     80 % or more of their five-word shingles."""
+    docs = docs.select(*COLUMNS)
     kept = jaccard.link(docs, width=5, percent=80).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if not again.isEmpty():
+        rows = named.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+        named = named.join(again, "doc_id", "left_anti").select(*COLUMNS).union(rows.select("doc_id", "text", "r.lang", "r.source", "r.n_chars"))
+    return named.union(docs.filter("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +71,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Models, merges and a search decide the rows; tests hold the stages against brute force.
+#: Models, merges and a search decide the rows; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
