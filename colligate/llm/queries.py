@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colligate.llm import extraction, jaccard, language, neighbours, packing, pieces, quality, secrets, toxicity, warc
+from colligate.llm import collocations, decontamination, extraction, jaccard, language, neighbours, packing, pieces, quality, ranking, secrets, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_warc": warc.op10_warc,
+    "op11_ranking": ranking.op11_ranking,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": quality.SQL,
     "op8_jaccard": jaccard.SQL,
     "op10_warc": warc.SQL,
+    "op11_ranking": ranking.SQL,
+    "op12_decontamination": decontamination.SQL,
+    "op13_collocations": collocations.SQL,
 }
