@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
@@ -88,11 +90,29 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(found.join(F.broadcast(first), "component", "left_semi").select(F.col("id").alias("token1")), "token1", "left_semi")
 
 
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, steps): the nodes that are connected with a node of ``starts`` (id), which are among them, and the least number of
+    edges to one. Each round goes one step from the nodes found in the last one; an undirected step leads to these, to the ones
+    before or to new ones, so that only the last two rounds are compared: work grows with what is reached, not with the graph's nodes."""
+    links = edges.select(F.col("token1").alias("a"), F.col("token2").alias("b"))
+    both = stored(links.union(links.select("b", "a")), "links")
+    rounds = [stored(starts.select("id").distinct(), "reached")]
+    while True:
+        step = both.join(rounds[-1].select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        for before in rounds[-2:]:
+            step = step.join(before, "id", "left_anti")
+        new = stored(step, "reached")
+        if new.isEmpty():
+            break
+        rounds.append(new)
+    discard(both, new)
+    return reduce(DataFrame.union, [r.select("id", F.lit(i).alias("steps")) for i, r in enumerate(rounds)])
+
+
 def component_of(edges: DataFrame, node: str) -> DataFrame:
     """The edges connected with a node."""
-    found = components(edges)
-    own = found.filter(F.col("id") == node).select("component")
-    return edges.join(found.join(F.broadcast(own), "component", "left_semi").select(F.col("id").alias("token1")), "token1", "left_semi")
+    found = reached(edges, edges.sparkSession.createDataFrame([(node,)], "id string"))
+    return edges.join(found.select(F.col("id").alias("token1")), "token1", "left_semi")
 
 
 def without_islands(edges: DataFrame, least_nodes: int) -> DataFrame:
@@ -123,6 +143,27 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
     return now
 
 
+def coreness(edges: DataFrame) -> DataFrame:
+    """(id, core): for each node the largest k whose k-core has it, of all k at once; an edge counts as often as it is there, a loop twice.
+
+    A node's number starts as its degree and sinks to the largest h such that h of its neighbours have h or more,
+    until none changes; neighbours are counted by their numbers, so that a node may have any number of them. Each round
+    is written to the shared folder."""
+    links = edges.select(F.col("token1").alias("a"), F.col("token2").alias("b"))
+    both = stored(links.union(links.select("b", "a")), "links")
+    now = stored(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("core")), "core")
+    while True:
+        near = both.join(now.select(F.col("id").alias("b"), "core"), "b").groupBy("a", "core").agg(F.count("*").alias("n"))
+        as_large = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("core")))
+        least = near.select(F.col("a").alias("id"), F.least("core", as_large).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
+        new = stored(now.join(least, "id").select("id", F.col("core").alias("old"), F.least("core", "h").alias("core")), "core")
+        discard(now)
+        now = new
+        if new.filter("old <> core").isEmpty():
+            discard(both)
+            return new.select("id", "core")
+
+
 def transitions(units: DataFrame, begin: str = "<BOS>", end: str = "<EOS>") -> DataFrame:
     """(x, y, af, p): how often y follows x in units (ord, unit_id, tokens), and of all that follows x."""
     framed = units.select(F.concat(F.array(F.lit(begin)), "tokens", F.array(F.lit(end))).alias("t"))
@@ -152,12 +193,66 @@ def distribution(edges: DataFrame, column: str = "z", bins: int = 10) -> DataFra
     return counted.select("bin", (F.col("_low") + F.col("bin") * step).alias("low"), (F.col("_low") + (F.col("bin") + 1) * step).alias("high"), "n")
 
 
+def quantiles(values: DataFrame, shares: Sequence[float], bins: int = 1024, few: int = 4096) -> list[float | None]:
+    """The exact quantiles of finite doubles (x): what lies at the place share * (n - 1) of the sorted values, between two of them in
+    proportion.
+
+    The range is cut into bins that are counted; a bin in which a place lies is cut again, from its least to its largest value, until it has
+    one value or so ``few`` that they are sorted. The driver gets ``bins`` counts a round for each bin that is cut."""
+    whole = values.agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    if not whole["n"]:
+        return [None] * len(shares)
+    places = [share * (whole["n"] - 1) for share in shares]
+    ranks = {int(r) for p in places for r in (math.floor(p), math.ceil(p))}
+    found: dict[int, float] = {}
+    cut = [(whole["low"], whole["high"], 0, whole["n"])]  # least, largest, how many come before, how many there are
+    while cut:
+        inside = {c: [r for r in ranks if c[2] <= r < c[2] + c[3]] for c in cut}
+        found |= {r: low for (low, high, _, _), own in inside.items() if low == high for r in own}
+        for low, high, before, n in (c for c in cut if c[0] < c[1] and c[3] <= few):
+            own = sorted(r["x"] for r in values.filter(F.col("x").between(low, high)).collect())
+            found |= {r: own[r - before] for r in inside[low, high, before, n]}
+        cut = [c for c in cut if c[0] < c[1] and c[3] > few]
+        if not cut:
+            break
+        which = F.lit(None).cast("struct<i:int,bin:int>")
+        for i, (low, high, _, _) in enumerate(cut):  # halves, so that no difference is infinite
+            bin_ = F.least(F.floor((F.col("x") / 2 - low / 2) / (high / 2 - low / 2) * bins), F.lit(bins - 1)).cast("int")
+            which = F.when(F.col("x").between(low, high), F.struct(F.lit(i).alias("i"), bin_.alias("bin"))).otherwise(which)
+        rows = values.select("x", which.alias("w")).filter("w is not null").groupBy("w").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        new = []
+        for i, c in enumerate(cut):
+            before = c[2]
+            for r in sorted((r for r in rows if r["w"]["i"] == i), key=lambda r: r["w"]["bin"]):
+                if any(before <= k < before + r["n"] for k in inside[c]):
+                    new.append((r["low"], r["high"], before, r["n"]))
+                before += r["n"]
+        cut = new
+    return [(math.floor(p) + 1 - p) * found[math.floor(p)] + (p - math.floor(p)) * found[math.ceil(p)] for p in places]
+
+
+def finite(rows: DataFrame, column: str) -> DataFrame:
+    """(x): the finite values of a column, as a table in the shared folder."""
+    x = F.col(column).cast("double")
+    return stored(rows.select(x.alias("x")).filter((F.col("x") < float("inf")) & (F.col("x") > float("-inf"))), "values")
+
+
+def quantile_table(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """(share, value): the quantiles of a column's finite values."""
+    values = finite(rows, column)
+    found = quantiles(values, shares)
+    discard(values)
+    return rows.sparkSession.createDataFrame([(float(s), v) for s, v in zip(shares, found, strict=True)], "share double, value double")
+
+
 def summary(edges: DataFrame, column: str = "z", shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """One row about a column's distribution: n, mean, sd (of a sample), least, largest, skewness and
-    kurtosis (in excess of the normal one, both of the population) and, as an array, the percentiles of ``shares``.
-    Percentiles are computed exactly, from counts of equal values that Spark merges."""
-    x = F.col(column)
-    return edges.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("least"), F.max(x).alias("largest"),
-        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"), F.percentile(x, F.array(*map(F.lit, shares))).alias("percentiles"),
+    """One row about the distribution of a column's finite values: n, mean, sd (of a sample), least, largest, skewness and
+    kurtosis (in excess of the normal one, both of the population) and, as an array, the quantiles of ``shares``."""
+    values = finite(edges, column)
+    about = values.agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("largest"),
+        F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"),
     )
+    row = (*about.first(), quantiles(values, shares))
+    discard(values)
+    return edges.sparkSession.createDataFrame([row], "n long, mean double, sd double, least double, largest double, skewness double, kurtosis double, percentiles array<double>")

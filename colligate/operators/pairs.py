@@ -1,23 +1,27 @@
 """Token pairs inside units.
 
-Everything happens inside a row (no shuffle), so units may be a stream. The row, not
-the unit id, is the scope of pairing. fq1 and fq2 count a token in its whole row.
+``pair`` works inside a row (no shuffle), so units may be a stream. The row, not
+the unit id, is the scope of pairing. fq1 and fq2 count a token in its whole row. Units that don't fit into a row are tables with
+a row per token: ``pair_table`` walks them in pieces, ``pair_types`` pairs their different tokens block by
+block, and ``ordered_pair_counts`` counts ordered pairs without making them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
-from colligate.sinks.store import numbered
-
-#: Different tokens of a unit from which on all-pairs is refused (not cut).
-MAX_UNIT_TYPES = 100_000
+from colligate.sinks.store import numbered, stored
+
+#: Places of a row that are paired with all behind them at once.
+STEP = 32
+#: Different tokens in a block of a unit, on average.
+BLOCK_TYPES = 1024
+#: Rows of a unit whose ordered pairs are made; more are counted by what precedes them.
+LEAF_ROWS = 64
 #: Rows of a table that are walked in one piece.
 PIECE_ROWS = 65_536
 
@@ -50,30 +54,37 @@ def counted_places(tokens: Column) -> Column:
     return F.array_sort(F.flatten(all_))
 
 
-def pair(units: DataFrame, window: int | None = None, ordered: bool = False, max_unit_types: int = MAX_UNIT_TYPES) -> DataFrame:
+def behind(rows: DataFrame, column: str, rest: Sequence[str], last: Column | None = None, outer: bool = False) -> DataFrame:
+    """(rest, a, b): each element of the array ``column`` with those behind it, at most ``last`` of them, in order.
+    ``STEP`` elements are handled at once, so that memory grows with the array, not with its pairs. With ``outer`` a row with a null array
+    gives one row with a null ``a``."""
+    explode = F.explode_outer if outer else F.explode
+    steps = rows.select(*rest, F.col(column).alias("_t"), explode(F.sequence(F.lit(0), F.floor((F.size(column) - 1) / STEP).cast("int"))).alias("_k"))
+    first, many = F.col("_k") * STEP, F.size("_t") if last is None else last
+    left = steps.select(*rest, explode(F.transform(F.slice("_t", first + 1, STEP), lambda x, i: F.struct(x.alias("x"), F.slice("_t", first + i + 2, many).alias("more")))).alias("_a"))
+    both = left.select(*rest, F.col("_a.x").alias("a"), explode("_a.more").alias("b"))
+    return both.filter("a is null or b is not null") if outer else both
+
+
+def pair(units: DataFrame, window: int | None = None, ordered: bool = False, with_rejected: bool = False) -> DataFrame:
     """(ord, unit_id, token1, token2, fq1, fq2) of units (ord, unit_id, tokens).
 
     Without a window: each unordered pair of different tokens once, or with ``ordered`` every pair of
     places. With one: every pair of places at most ``window`` apart; repeats and pairs
-    of equal tokens are kept. Unordered pairs are stored smaller token first.
+    of equal tokens are kept. Unordered pairs are stored smaller token first. A unit without a token has no row, or
+    ``with_rejected`` one with null tokens, so that one pass gives the pairs and what there is to warn of.
     """
     if window is not None and window < 1:
         raise OptionError("a window is a positive number of tokens")
     rest = [c for c in units.columns if c != "tokens"]
     sized = units.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")))
     once = window is None and not ordered
-    if once:
-        fine = F.size(F.array_distinct("tokens")) <= max_unit_types
-        sized = sized.withColumn("tokens", F.when(F.coalesce(fine, F.lit(True)), F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("too many different tokens in unit "), F.col("unit_id")))))
     rows = sized.select(*rest, (counted if once else counted_places)(F.col("tokens")).alias("_t"))
-    # each place and those behind it; the generators drop the array before the rows multiply
-    last = F.size("_t") if window is None else F.lit(window)
-    left = rows.select(*rest, F.explode(F.transform("_t", lambda x, i: F.struct(x["t"].alias("t"), x["c"].alias("c"), F.slice("_t", i + 2, last).alias("more")))).alias("_a"))
-    both = left.select(*rest, F.col("_a.t").alias("t"), F.col("_a.c").alias("c"), F.explode("_a.more").alias("_b"))
+    both = behind(rows if with_rejected else rows.filter("_t is not null"), "_t", rest, None if window is None else F.lit(window), with_rejected)
     if ordered:
-        return both.select(*rest, F.col("t").alias("token1"), F.col("_b.t").alias("token2"), F.col("c").alias("fq1"), F.col("_b.c").alias("fq2"))
-    swap = F.col("_b.t") < F.col("t")
-    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("t", "_b.t", "token1"), ("_b.t", "t", "token2"), ("c", "_b.c", "fq1"), ("_b.c", "c", "fq2"))]
+        return both.select(*rest, F.col("a.t").alias("token1"), F.col("b.t").alias("token2"), F.col("a.c").alias("fq1"), F.col("b.c").alias("fq2"))
+    swap = F.col("b.t") < F.col("a.t")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a.t", "b.t", "token1"), ("b.t", "a.t", "token2"), ("a.c", "b.c", "fq1"), ("b.c", "a.c", "fq2"))]
     return both.select(*rest, *ends)
 
 
@@ -108,6 +119,61 @@ def pair_table(df: DataFrame, unit: str, token: Column, order: Sequence[str], wi
     return pairs.select("unit_id", "token1", "token2", "fq1", "fq2")
 
 
+def pair_types(df: DataFrame, unit: str, token: Column, block_types: int = BLOCK_TYPES) -> DataFrame:
+    """(unit_id, token1, token2, fq1, fq2): each unordered pair of different tokens of a unit once, of a table with a row per
+    token, where a unit may have more tokens than fit into a row. A unit's different tokens are dealt to blocks by their hash, its blocks in
+    pairs to the cells of a triangle, and a cell pairs the tokens of its two blocks."""
+    events = df.filter(F.col(unit).isNotNull() & token.isNotNull()).select(F.col(unit).cast("string").alias("unit_id"), token.alias("t"))
+    types = events.groupBy("unit_id", "t").agg(F.count("*").alias("c"))
+    sizes = types.groupBy("unit_id").agg(F.ceil(F.count("*") / block_types).cast("int").alias("k"))
+    dealt = types.join(sizes, "unit_id").withColumn("own", F.pmod(F.xxhash64("t"), F.col("k")).cast("int"))
+    cells = dealt.select("unit_id", "t", "c", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    held = cells.groupBy("unit_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.sort_array(F.collect_list(F.struct("t", "c", "own"))).alias("held"))
+    sides = held.select("unit_id", (F.col("i") == F.col("j")).alias("same"), F.filter("held", lambda x: x["own"] == F.col("i")).alias("left"), F.filter("held", lambda x: x["own"] == F.col("j")).alias("right"))
+    each = sides.select("unit_id", "right", "same", F.posexplode("left").alias("p", "a"))
+    both = each.select("unit_id", "a", F.explode(F.when(F.col("same"), F.slice("right", F.col("p") + 2, F.size("right"))).otherwise(F.col("right"))).alias("b"))
+    one, two = F.least("a", "b"), F.greatest("a", "b")  # by token, which is their first field
+    return both.select("unit_id", one["t"].alias("token1"), two["t"].alias("token2"), one["c"].alias("fq1"), two["c"].alias("fq2"))
+
+
+def ordered_pair_counts(df: DataFrame, unit: str, token: Column, order: Sequence[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(token1, token2, n, n_units): how often token2 comes anywhere behind token1 in a unit, and in how many units, of a table
+    with a row per token, where a unit may be as long as the table.
+
+    Rows are sorted and numbered; pairs are made only within leaves of ``leaf_rows`` rows. Leaves are those of a
+    binary tree. Two rows of different leaves part at one node of it, on the left and on the right, so that the products of
+    the counts of tokens on either side of each node are what is missing: work grows with the rows and, for each node, with the
+    different tokens on its sides, not with the pairs."""
+    placed = numbered(_events(df, unit, token, order), "unit_id", "o").select("unit_id", "t", "row")
+    leaves = placed.withColumn("leaf", F.floor(F.col("row") / leaf_rows))
+    rows = leaves.groupBy("unit_id", "leaf").agg(F.sort_array(F.collect_list(F.struct("row", "t"))).alias("_t"))
+    near = behind(rows, "_t", ["unit_id"]).groupBy("unit_id", F.col("a.t").alias("token1"), F.col("b.t").alias("token2")).agg(F.count("*").alias("n"))
+    counts = leaves.groupBy("unit_id", "leaf", "t").agg(F.count("*").alias("c"))
+    long_units = leaves.groupBy("unit_id").agg(F.min("leaf").alias("first"), F.max("leaf").alias("last")).filter("first < last")
+    # above the highest bit in which a unit's first and last leaf differ, nothing of it parts
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.col("first").bitwiseXOR(F.col("last")))).cast("int") - 1)
+    sides = counts.join(long_units, "unit_id").select("unit_id", "t", "c", "leaf", F.explode(levels).alias("level"))
+    node, right = F.expr("shiftright(leaf, level + 1)"), F.expr("shiftright(leaf, level) & 1")
+    sums = stored(sides.groupBy("unit_id", "level", node.alias("node"), right.alias("right"), "t").agg(F.sum("c").alias("c")), "sides")
+    a, b = (sums.filter(f"right = {k}").select("unit_id", "level", "node", F.col("t").alias(f"token{k + 1}"), F.col("c").alias(f"c{k}")) for k in (0, 1))
+    far = a.join(b, ["unit_id", "level", "node"]).groupBy("unit_id", "token1", "token2").agg(F.sum(F.col("c0") * F.col("c1")).alias("n"))
+    return near.union(far).groupBy("unit_id", "token1", "token2").agg(F.sum("n").alias("n")).groupBy("token1", "token2").agg(F.sum("n").alias("n"), F.count("*").alias("n_units"))
+
+
+def run_counts(rows: DataFrame, node: Sequence[str], unit: str, order: Sequence[str | Column]) -> DataFrame:
+    """(node, runs): of rows in order, the runs of equal units among the rows of each node. Where a unit's rows of a node
+    are together, they are one run, and runs are units. Rows are sorted by node and order over all partitions; pieces of
+    equal size, each with the last row of the one before it, are walked, so that a node may have any share of the rows."""
+    placed = numbered(rows.select(*node, F.col(unit).alias("_unit"), F.struct(*order).alias("_o")), *node, "_o")
+    piece = F.floor(F.col("row") / PIECE_ROWS)
+    own = placed.select("*", piece.alias("piece"), F.lit(True).alias("own"))
+    before = placed.filter(F.col("row") % PIECE_ROWS == PIECE_ROWS - 1).select("*", (piece + 1).alias("piece"), F.lit(False).alias("own"))
+    here = F.struct(*node, "_unit")
+    last = F.lag(here).over(Window.partitionBy("piece").orderBy("row"))
+    starts = own.union(before).withColumn("_starts", F.coalesce(~last.eqNullSafe(here), F.lit(True))).filter("own")
+    return starts.groupBy(*node).agg(F.count_if("_starts").alias("runs"))
+
+
 def unit_ends(df: DataFrame, unit: str, token: Column, order: Sequence[str]) -> DataFrame:
     """(unit_id, first, last): the first and the last token of each unit of such a table."""
     return _events(df, unit, token, order).groupBy("unit_id").agg(F.min_by("t", "o").alias("first"), F.max_by("t", "o").alias("last"))

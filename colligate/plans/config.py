@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -186,3 +187,9 @@ def override(config: Config, format: str | None = None, min_cw: float | None = N
     """What the command line says goes before the file."""
     changed: dict[str, Any] = {k: v for k, v in (("min_cw", min_cw), ("min_z", min_z)) if v is not None}
     return replace(config, **changed, **({"format": output_format(format)} if format else {}))
+
+
+def as_read_config(config: Config, change: Callable[[str], str]) -> Config:
+    """The configuration with its texts changed, as those of files are by how they are read."""
+    texts = {k: change(v) for k, v in vars(config).items() if isinstance(v, str)}
+    return replace(config, **texts, headers=tuple(map(change, config.headers)))

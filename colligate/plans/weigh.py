@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from colligate.errors import OptionError
 from colligate.functions.ere import to_java
 from colligate.functions.tokens import DEFAULT_FIELDS, project
-from colligate.operators.pairs import counted, let
+from colligate.operators.pairs import behind, counted, let
 
 METHODS = (1, 7, 12, 16)
 KEYED = (7, 12)
@@ -76,8 +76,7 @@ def _token_rows(rows: DataFrame, fields: Sequence[int], *keep: str) -> DataFrame
 def combined(patterns: DataFrame, one_row: bool, *keep: str) -> DataFrame:
     """(unit_id, pattern1, pattern2, ord) of rows (ord, unit_id, p), once per unit, and the columns
     ``keep`` where each unit is one row."""
-    left = patterns.select("ord", "unit_id", *keep, F.explode(F.transform("p", lambda x, i: F.struct(x.alias("p1"), F.slice("p", i + 2, F.size("p")).alias("more")))).alias("e"))
-    both = left.select("ord", "unit_id", *keep, F.col("e.p1").alias("pattern1"), F.explode("e.more").alias("pattern2"))
+    both = behind(patterns, "p", ["ord", "unit_id", *keep]).select("ord", "unit_id", *keep, F.col("a").alias("pattern1"), F.col("b").alias("pattern2"))
     return both if one_row else both.groupBy("unit_id", "pattern1", "pattern2").agg(F.min("ord").alias("ord"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colligate.functions import tokens as t
 from colligate.operators import graph
-from colligate.operators.pairs import pair, pair_counts, pair_table
+from colligate.operators.pairs import ordered_pair_counts, pair, pair_counts, pair_table, pair_types, run_counts
 from colligate.plans import weigh as w
 from colligate.plans.config import Config
 from colligate.sinks import graph as sinks
@@ -24,6 +24,9 @@ BRAND, TYPE, BRAND_TYPE = (3,), (4,), (3, 4)
 KEY, KEY_SQL = "^Brand#1[1-3]$", "^Brand#1[1-3]$"
 METRICS = ["idf1", "idf2", "cw", "z"]
 CORE = 8
+BLOCK = 48
+SHARES = (0.0, 0.01, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0)
+STARTS = "%/Brand#11/%"
 
 
 def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +44,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id")
 
 
-def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units_from_table(events(spark, sf_dir), "user_id", F.col("event_type"), EVENT_ORDER)
+def supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of each return flag: three units that have all rows."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_suppkey")
+    return pair_types(items, "l_returnflag", F.col("l_suppkey").cast("string"), BLOCK)
 
 
 def event_pairs(window: int, ordered: bool = False) -> Query:
@@ -105,9 +110,16 @@ def z_summary(found: DataFrame) -> DataFrame:
     return rounded(about, *about.columns[1:])
 
 
+def reached_from(found: DataFrame) -> DataFrame:
+    kept = graph.prune(found, min_z=1.0)
+    return graph.reached(kept, graph.nodes(found).filter(F.col("id").like(STARTS)))
+
+
 QUERIES: dict[str, Query] = {
     "pair_unordered": of_units(order_units, lambda u: pair(u).select("unit_id", "token1", "token2", "fq1", "fq2")),
-    "pair_ordered": of_units(event_units, lambda u: pair_counts(pair(u, ordered=True))),
+    "pair_ordered": of_units(events, lambda e: ordered_pair_counts(e, "user_id", F.col("event_type"), EVENT_ORDER)),
+    "pair_blocks": supplier_pairs,
+    "event_runs": of_units(events, lambda e: run_counts(e, ["event_type"], "user_id", EVENT_ORDER)),
     "pair_window3": event_pairs(3),
     "pair_adjacent": event_pairs(1),
     "pair_adjacent_ordered": event_pairs(1, True),
@@ -144,6 +156,9 @@ QUERIES: dict[str, Query] = {
     "transitions": of_units(events, lambda e: rounded(graph.transitions_of_table(e, "user_id", F.col("event_type"), EVENT_ORDER), "p")),
     "graph_components": of_edges(lambda e: graph.components(graph.prune(e, min_z=1.0))),
     "graph_kcore": of_edges(lambda e: graph.k_core(graph.prune(e, min_z=0.0), CORE).select("token1", "token2")),
+    "graph_coreness": of_edges(lambda e: graph.coreness(graph.prune(e, min_z=0.0))),
+    "graph_reached": of_edges(reached_from),
+    "z_quantiles": of_edges(lambda e: rounded(graph.quantile_table(e, "z", SHARES), "value"), BRAND_TYPE),
     "z_distribution": of_edges(lambda e: graph.distribution(e, "z", 8).select("bin", "n"), BRAND_TYPE),
     "z_summary": of_edges(z_summary, BRAND_TYPE),
 }
@@ -242,6 +257,14 @@ def _peeled(i: int) -> str:
     return f""", k{i + 1} as materialized (select token1, token2 from k{i} where token1 in ({ends}) and token2 in ({ends}))"""
 
 
+def _all_cores() -> str:
+    """CTEs from ``c0``: edges of each k, peeled by as many rounds as there may be nodes."""
+    first = ", c0 as materialized (select k, token1, token2 from ed, (select unnest(range(1, 60)) as k) where z >= 0)"
+    ends = "select k, id from (select k, token1 as id from c{i} union all select k, token2 from c{i}) group by k, id having count(*) >= k"
+    rounds = [f", c{i + 1} as materialized (select c{i}.* from c{i} where (k, token1) in ({ends.format(i=i)}) and (k, token2) in ({ends.format(i=i)}))" for i in range(CORE_ROUNDS)]
+    return first + "".join(rounds)
+
+
 def _stats(fields: Sequence[int], select: str, key: str | None = None) -> str:
     return f"with {stats_sql(fields, key)} {select}"
 
@@ -249,6 +272,10 @@ def _stats(fields: Sequence[int], select: str, key: str | None = None) -> str:
 ORACLE_SQL: dict[str, str] = {
     "pair_unordered": f"with {POS} select cast(a.u as varchar) as unit_id, a.t as token1, b.t as token2, a.c as fq1, b.c as fq2 from once a join once b on a.u = b.u and a.t < b.t",
     "pair_ordered": _counts("a.i < b.i", "a.t", "b.t"),
+    "pair_blocks": """with tk as (select l_returnflag as u, cast(l_suppkey as varchar) as t, count(*) as c from lineitem group by all)
+select a.u as unit_id, a.t as token1, b.t as token2, a.c as fq1, b.c as fq2 from tk a join tk b on a.u = b.u and a.t < b.t""",
+    "event_runs": """with la as (select event_type, user_id, lag(user_id) over (partition by event_type order by ts, event_id) as l, row_number() over (partition by event_type order by ts, event_id) as i from events)
+select event_type, count_if(i = 1 or l is distinct from user_id)::bigint as runs from la group by event_type""",
     "pair_window3": _counts("b.i - a.i between 1 and 3", "least(a.t, b.t)", "greatest(a.t, b.t)"),
     "pair_adjacent": _counts("b.i - a.i = 1", "least(a.t, b.t)", "greatest(a.t, b.t)"),
     "pair_adjacent_ordered": _counts("b.i - a.i = 1", "a.t", "b.t"),
@@ -297,6 +324,14 @@ ORACLE_SQL: dict[str, str] = {
   select a as id, a as r from lk union select re.id, lk.b from re join lk on re.r = lk.a
 ) select id, min(r) as component from re group by id""",
     "graph_kcore": edges_sql(BRAND, 16) + ", k0 as materialized (select token1, token2 from ed where z >= 0)" + "".join(_peeled(i) for i in range(CORE_ROUNDS)) + f" select token1, token2 from k{CORE_ROUNDS}",
+    "graph_coreness": edges_sql(BRAND, 16) + _all_cores() + f"""select id, cast(max(k) as bigint) as core from (select token1 as id, 0 as k from ed where z >= 0 union all select token2, 0 from ed where z >= 0
+  union all select token1, k from c{CORE_ROUNDS} union all select token2, k from c{CORE_ROUNDS}) group by id""",
+    "graph_reached": edges_sql(BRAND, 16).replace("with ", "with recursive ", 1) + f""", lk as (
+  select token1 as a, token2 as b from ed where z >= 1.0 union select token2, token1 from ed where z >= 1.0
+), re as (
+  select id, 0 as steps from (select token1 as id from ed union select token2 from ed) where id like '{STARTS}' union select lk.b, re.steps + 1 from re join lk on re.id = lk.a where re.steps < 30
+) select id, min(steps) as steps from re group by id""",
+    "z_quantiles": edges_sql(BRAND_TYPE, 16) + " union all ".join(f"select {s!r}::double as share, round(quantile_cont(z, {s!r}), 6) + 0.0 as value from ed" for s in SHARES),
     "z_distribution": edges_sql(BRAND_TYPE, 16) + """, bo as (select min(z) as lo, max(z) as hi from ed)
 select cast(case when hi > lo then least(floor((z - lo) / ((hi - lo) / 8)), 7) else 0 end as integer) as bin, count(*) as n from ed cross join bo group by 1""",
     "z_summary": edges_sql(BRAND_TYPE, 16) + """, mo as (select avg(z) as m from ed)

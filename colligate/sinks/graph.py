@@ -261,9 +261,11 @@ def save(edges: DataFrame, config: Config, path: str) -> None:
     lines(edges, config).orderBy("section", "row").select("line").write.text(path)
 
 
-def pair_lines(pairs: DataFrame) -> DataFrame:
-    """(line) of pairs, columns separated by tabs."""
-    return pairs.select(F.concat_ws("\t", "unit_id", "token1", "token2", F.col("fq1").cast("string"), F.col("fq2").cast("string")).alias("line"))
+def pair_lines(pairs: DataFrame, rejected: str | None = None) -> DataFrame:
+    """(line) of pairs, columns separated by tabs. With the condition ``rejected``, also whether it holds for a row; the
+    line is the unit's id then."""
+    line = F.concat_ws("\t", "unit_id", "token1", "token2", F.col("fq1").cast("string"), F.col("fq2").cast("string"))
+    return pairs.select(line.alias("line")) if rejected is None else pairs.select(F.expr(rejected).alias("rejected"), line.alias("line"))
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:

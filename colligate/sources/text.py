@@ -1,27 +1,81 @@
-"""Units, pairs and edges from text files, and units from tables."""
+"""Units, pairs and edges from text files, and units from tables.
+
+Lines come in the order of the input: files in the order given, those of a folder by name, lines by place. Text is UTF-8, and anything
+else is refused; with the encoding ``bytes`` each byte is a character of its own (the first 256 of Unicode), so that
+files of any encoding keep their bytes and are compared by them; ``encoded`` gives the bytes back.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colligate.errors import OptionError
+
 BLANKS = " \t\r\n"
 COUNT = r"^\+?0*[1-9][0-9]*$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(ord, value): the lines of the files in the order given. Only a line feed ends one. ``ord`` has the
-    file's number and the line's place in it."""
+#: Encodings of text.
+UTF8, BYTES = "utf-8", "bytes"
+#: Files that are read one by one, so that partitions come in their order; lines of more files are sorted.
+MANY_FILES = 256
+
+
+def _check(encoding: str) -> None:
+    if encoding not in (UTF8, BYTES):
+        raise OptionError(f"no such encoding: {encoding}")
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path stands for, by name, as patterns that match nothing else."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in sorted(spark.read.text(path).inputFiles())]
+
+
+def read_lines(spark: SparkSession, paths: Sequence[str], encoding: str = UTF8) -> DataFrame:
+    """(ord, value): the lines of the files and folders in the order given, which is also that of the partitions.
+    Only a line feed ends one. ``ord`` has the file's number, where the part of it that a task reads starts, and the
+    line's place in the partition."""
+    _check(encoding)
+    files = [f for p in paths for f in _files(spark, p)]
+    place, start = F.monotonically_increasing_id().alias("line"), F.col("_metadata.file_block_start").alias("start")
+    if len(files) <= MANY_FILES:
+        each = [_text(spark, f).select(F.struct(F.lit(i).alias("file"), start, place).alias("ord"), "value") for i, f in enumerate(files)]
+        lines = reduce(DataFrame.unionByName, each) if each else spark.createDataFrame([], "ord struct<file:int,start:long,line:long>, value string")
+    else:
+        lines = reduce(DataFrame.unionByName, [_numbered_files(spark, p, i) for i, p in enumerate(paths)]).orderBy("ord")
+    if encoding == BYTES:
+        return lines.withColumn("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return lines.withColumn("value", _fatal(F.is_valid_utf8("value"), F.col("value"), "not UTF-8 (read it as bytes), line", F.to_json(F.col("ord"))))
+
+
+def _numbered_files(spark: SparkSession, path: str, i: int) -> DataFrame:
+    """(ord, value) of a folder of many files: their numbers are joined by name, with as many slashes behind the scheme as there may be."""
+    lines, slashes = _text(spark, path), "^([^:/]+):/+"
+    names = [re.sub(slashes, r"\1:/", f) for f in sorted(lines.inputFiles())]
+    numbers = spark.createDataFrame([(f, (i << 24) + k) for k, f in enumerate(names)], "_path string, file int")
+    placed = lines.select(F.regexp_replace("_metadata.file_path", slashes, "$1:/").alias("_path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value")
+    return placed.join(F.broadcast(numbers), "_path").select(F.struct("file", "start", "line").alias("ord"), "value")
+
+
+def encoded(lines: DataFrame, encoding: str, column: str = "line") -> DataFrame:
+    """Lines as they are written: of characters that stand for bytes, the bytes."""
+    return lines if encoding == UTF8 else lines.withColumn(column, F.encode(column, "ISO-8859-1").cast("string"))
 
-    def one(i: int, path: str) -> DataFrame:
-        lines = spark.read.option("lineSep", "\n").text(path)
-        return lines.select(F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line")).alias("ord"), "value")
 
-    return reduce(DataFrame.unionByName, [one(i, p) for i, p in enumerate(paths)])
+def as_read(text: str, encoding: str) -> str:
+    """A string from outside (an argument, a configuration) as the same string is read from files."""
+    return text if encoding == UTF8 else text.encode("utf-8", "surrogateescape").decode("latin-1")
 
 
 def _words(value: Column) -> Column:
@@ -37,9 +91,9 @@ def parse_units(lines: DataFrame) -> DataFrame:
     return words.select(*rest, F.get("_w", F.lit(0)).alias("unit_id"), F.expr("slice(_w, 2, size(_w))").alias("tokens"))
 
 
-def read_units(spark: SparkSession, *paths: str) -> DataFrame:
+def read_units(spark: SparkSession, *paths: str, encoding: str = UTF8) -> DataFrame:
     """Units that have a token."""
-    return parse_units(read_lines(spark, paths)).filter(F.size("tokens") > 0)
+    return parse_units(read_lines(spark, paths, encoding)).filter(F.size("tokens") > 0)
 
 
 def rejected_units(units: DataFrame) -> DataFrame:
@@ -56,9 +110,9 @@ def positive_count(text: Column) -> Column:
     return _fatal(F.coalesce(text.rlike(COUNT) & text.try_cast("long").isNotNull(), F.lit(False)), text.try_cast("long"), "not a positive count", text)
 
 
-def read_pairs(spark: SparkSession, *paths: str) -> DataFrame:
+def read_pairs(spark: SparkSession, *paths: str, encoding: str = UTF8) -> DataFrame:
     """(ord, unit_id, token1, token2, fq1, fq2) of lines of three or five columns."""
-    words = read_lines(spark, paths).withColumn("w", _words("value")).filter((F.size("w") > 0) & ~F.startswith(F.get("w", F.lit(0)), F.lit("#")))
+    words = read_lines(spark, paths, encoding).withColumn("w", _words("value")).filter((F.size("w") > 0) & ~F.startswith(F.get("w", F.lit(0)), F.lit("#")))
     at = lambda i: F.get("w", F.lit(i))
     checked = words.withColumn("w", _fatal(F.size("w").isin(3, 5), F.col("w"), "a pair has three or five columns", F.col("value")))
     count = lambda i: F.when(F.size("w") == 5, positive_count(at(i)))
@@ -107,8 +161,8 @@ def parse_edges(lines: DataFrame, strict: bool = False) -> DataFrame:
     return rows
 
 
-def read_edges(spark: SparkSession, *paths: str, strict: bool = False) -> DataFrame:
-    return parse_edges(read_lines(spark, paths), strict)
+def read_edges(spark: SparkSession, *paths: str, strict: bool = False, encoding: str = UTF8) -> DataFrame:
+    return parse_edges(read_lines(spark, paths, encoding), strict)
 
 
 def convert_tagged(units: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
+import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
 from colligate.operators import graph, pairs
-from colligate.operators.pairs import pair, pair_counts, pair_table
+from colligate.operators.pairs import ordered_pair_counts, pair, pair_counts, pair_table, pair_types
 from colligate.sources.text import convert_tagged, parse_units, read_units, rejected_units
 
 METHOD_LINES = ["u1 K K A B", "u2 K A B", "u3 A B C", "u4 C D"]
@@ -83,9 +85,62 @@ def test_invalid_window():
         pair(None, 0)
 
 
-def test_too_many_types_is_refused_not_cut(spark):
-    with pytest.raises(Exception, match="too many different tokens"):
-        pair(units(spark, "u a b c"), max_unit_types=2).collect()
+@pytest.mark.parametrize("ordered", [False, True])
+def test_steps_of_long_rows(spark, ordered, monkeypatch):
+    rng = random.Random(3)
+    t = [f"t{rng.randint(0, 60)}" for _ in range(150)]
+    want = [(a, b) for i, a in enumerate(t) for b in t[i + 1 :]] if ordered else [tuple(sorted(p)) for p in itertools.combinations(dict.fromkeys(t), 2)]
+    got = pair(units(spark, "u " + " ".join(t), "v x"), ordered=ordered).collect()
+    assert [(r["token1"], r["token2"]) for r in got] == want  # also the order
+    assert all((r["fq1"], r["fq2"]) == (t.count(r["token1"]), t.count(r["token2"])) for r in got)
+
+
+def test_rejected_units_come_in_the_same_pass(spark):
+    got = pair(units(spark, "e1", "u a b", "one a", "e2"), with_rejected=True).select("unit_id", "token1", "token2").collect()
+    assert list(map(tuple, got)) == [("e1", None, None), ("u", "a", "b"), ("e2", None, None)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_of_types_equal_rows(spark, block):
+    rng = random.Random(block)
+    seqs = {"hot": [rng.choice([f"t{k}" for k in range(40)]) for _ in range(200)], "u": ["a", "b", "a"], "one": ["x"], "two": ["x", "x"]}
+    table = [(u, t, "extra") for u, seq in seqs.items() for t in seq] + [("hot", None, ""), (None, "a", "")]
+    rng.shuffle(table)
+    df = spark.createDataFrame(table, "u string, t string, unit_id string")
+    want = sorted(rows(pair(units(spark, *(f"{u} {' '.join(seq)}" for u, seq in seqs.items()))), *ALL))
+    assert sorted(rows(pair_types(df, "u", F.col("t"), block), *ALL)) == want
+    assert pair_types(df.filter("u = 'no'"), "u", F.col("t"), block).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 7, 64])
+def test_ordered_counts_equal_pairs(spark, leaf):
+    rng = random.Random(leaf)
+    seqs = {f"u{k}": [rng.choice("abcde") for _ in range(rng.randint(0, 9))] for k in range(8)} | {"hot": [rng.choice("abcdef") for _ in range(130)], "many": [f"t{k}" for k in range(20)]}
+    table = [(u, i, t) for u, seq in seqs.items() for i, t in enumerate(seq)] + [("hot", 7000, None), (None, 1, "a")]
+    rng.shuffle(table)
+    df = spark.createDataFrame(table, "u string, i int, t string")
+    counts, found = Counter(), set()
+    for u, seq in seqs.items():
+        for a, b in itertools.combinations(seq, 2):
+            counts[a, b] += 1
+            found.add((u, a, b))
+    own = Counter((a, b) for _, a, b in found)
+    got = ordered_pair_counts(df, "u", F.col("t"), ["i"], leaf).collect()
+    assert {(r["token1"], r["token2"]): (r["n"], r["n_units"]) for r in got} == {k: (n, own[k]) for k, n in counts.items()}
+
+
+@pytest.mark.parametrize("piece", [2, 5, 65_536])
+def test_runs(spark, monkeypatch, piece):
+    monkeypatch.setattr(pairs, "PIECE_ROWS", piece)
+    rng = random.Random(piece)
+    data = [(rng.choice(["p", "p", "p", "q", None]), rng.choice(["u1", "u2", None]), i) for i in range(60)]
+    want, last = Counter(), {}
+    for node, unit, _ in data:
+        want[node] += node not in last or last[node] != unit
+        last[node] = unit
+    df = spark.createDataFrame(rng.sample(data, len(data)), "node string, u string, i int")
+    assert dict(map(tuple, pairs.run_counts(df, ["node"], "u", ["i"]).collect())) == want
+    assert pairs.run_counts(df.filter("i < 0"), ["node"], "u", ["i"]).count() == 0
 
 
 def test_lines(spark, tmp_path):

@@ -166,6 +166,50 @@ def test_structure(spark):
     assert ends(graph.min_degree(e, 3)) == []
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_coreness_equals_peeling(spark, seed):
+    rng = random.Random(seed)
+    links = [(f"n{rng.randint(0, 14)}", f"n{rng.randint(0, 14)}") for _ in range(40)] + [("hub", f"m{k}") for k in range(20)] + [("z", "z")]
+    e = spark.createDataFrame(links, "token1 string, token2 string")
+    want, left, k = {}, list(links), 0
+    while left:
+        k += 1
+        while True:
+            degree = {}
+            for a, b in left:
+                degree[a] = degree.get(a, 0) + 1
+                degree[b] = degree.get(b, 0) + 1
+            kept = [(a, b) for a, b in left if degree[a] >= k and degree[b] >= k]
+            if len(kept) == len(left):
+                break
+            left = kept
+        want |= {x: k for pair_ in left for x in pair_}
+    want = {x: want.get(x, 0) for pair_ in links for x in pair_}
+    assert dict(map(tuple, graph.coreness(e).collect())) == want
+    assert sorted(map(tuple, graph.k_core(e, 3).select("token1", "token2").collect())) == sorted((a, b) for a, b in links if want[a] >= 3 and want[b] >= 3)
+    assert graph.coreness(e.limit(0)).count() == 0
+
+
+def test_reached(spark):
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d"), ("d", "a"), ("d", "e"), ("x", "y"), ("q", "q")], "token1 string, token2 string")
+    starts = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    assert dict(map(tuple, graph.reached(e, starts("a")).collect())) == {"a": 0, "b": 1, "d": 1, "c": 2, "e": 2}
+    assert dict(map(tuple, graph.reached(e, starts("b", "e", "q", "none", "e")).collect())) == {"b": 0, "e": 0, "q": 0, "none": 0, "a": 1, "c": 1, "d": 1}
+    assert graph.component_of(e, "none").count() == 0 and graph.component_of(e, "e").count() == 5
+
+
+@pytest.mark.parametrize("bins,few", [(2, 1), (3, 5), (1024, 4096), (7, 0)])
+def test_quantiles(spark, bins, few):
+    rng = random.Random(bins)
+    values = [rng.gauss(0, 1) for _ in range(300)] + [0.25] * 200 + [1e308, -1e308, 5e-324, 1e-300, 2.0]
+    shares = [0, 0.001, 0.25, 0.5, 0.7, 0.999, 1]
+    s = sorted(values)
+    want = [(math.floor(p) + 1 - p) * s[math.floor(p)] + (p - math.floor(p)) * s[math.ceil(p)] for p in (q * (len(s) - 1) for q in shares)]
+    df = graph.finite(spark.createDataFrame([(v,) for v in [*values, None, math.inf, math.nan]], "v double"), "v")
+    assert graph.quantiles(df, shares, bins, few) == want
+    assert graph.quantiles(df.limit(0), [0.5]) == [None]
+
+
 def test_summary(spark):
     values = [1.0, 2.0, 2.0, 3.0, 9.0]
     r = graph.summary(spark.createDataFrame([(v,) for v in values], "z double"), "z", [0.5, 1.0]).first()
