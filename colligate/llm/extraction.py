@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,7 +66,9 @@ HOLDERS = frozenset("area bar block body box col column container content group
 #: Why an element is dropped: whatever it holds, or unless it wraps the page's content.
 ALWAYS, NAMED, COMMENTS = 1, 2, 3
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+#: A comment, a declaration or a tag; where quotes aren't closed, a tag ends with the next ``>``. Nothing is
+#: tried twice, and no tag is looked for behind the last ``>`` of a page.
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -156,45 +159,57 @@ def parse(page: str) -> Node:
     """A lenient tree of a page."""
     root, named = Node("#root", 0), []
     stack, at, n = [root], 0, len(page)
+    last, last_data, open_ = page.rfind(">") + 1, page.rfind("]]>"), Counter()
+
+    def close(k: int) -> None:
+        open_.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last else None
         if m is None:
-            stack[-1].children.append(entities.unescape(page[at:]))
+            comment = page.find("<!--", at)
+            stack[-1].children.append(entities.unescape(page[at : n if comment < 0 else comment]))
             break
         if m.start() > at:
             stack[-1].children.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:-3])
+            if m[0].startswith("<!--") and not m[0].endswith(">"):
+                break  # a comment that isn't closed
+            if m[0].startswith("<![CDATA[") and m.start() < last_data:
+                at = page.find("]]>", m.start()) + 3
+                stack[-1].children.append(page[m.start() + 9 : at - 3])
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         for closed in ENDS.get(tag, ()):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[closed] > 0 else ():
                 if stack[k].tag == closed:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES and stack[k].tag != tag and (closed == "p" or stack[k].tag in ("ul", "ol", "dl", "table")):
                     break
-        node = Node(tag, drop_reason(tag, m[3] if m[2] else m[6]))
+        # what is pressed inside a paragraph is a word of it
+        node = Node(tag, 0 if tag == "button" and open_["p"] > 0 else drop_reason(tag, m[3] if m[2] else m[6]))
         if node.dropped > ALWAYS:
             named.append(node)
         stack[-1].children.append(node)
         if tag in VOID or (m[3] or m[6] or "").endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*+>", re.IGNORECASE).search(page, at, last)
             node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
             continue
         stack.append(node)
+        open_[tag] += 1
     if named:
         _keep_wrappers(root, named)
     return root
@@ -285,17 +300,19 @@ def align(pivot: Node, page: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-def _links(node: Node, inside: bool = False) -> tuple[int, int]:
-    """(characters in links, characters) of a subtree."""
-    linked = total = 0
-    todo = [(node, inside)]
+def _links(roots: list[Node]) -> dict[int, tuple[int, int]]:
+    """By element below ``roots``: (characters in links, characters) of its subtree."""
+    order, todo = [], list(roots)
     while todo:
-        x, within = todo.pop()
-        within = within or x.tag == "a"
-        size = len(x.own_text())
-        total, linked = total + size, linked + size * within
-        todo += [(c, within) for c in x.elements()]
-    return linked, total
+        x = todo.pop()
+        order.append(x)
+        todo += x.elements()
+    found: dict[int, tuple[int, int]] = {}
+    for x in reversed(order):
+        inner = [found[id(c)] for c in x.elements()]
+        total = len(x.own_text()) + sum(n for _, n in inner)
+        found[id(x)] = (total if x.tag == "a" else sum(n for n, _ in inner)), total
+    return found
 
 
 def _outermost(root: Node, tag: str) -> list[Node]:
@@ -340,7 +357,7 @@ def _text_size(nodes: list[Node], template: set[int]) -> int:
 def _are_cards(articles: list[Node], around: list[Node], template: set[int]) -> bool:
     """Whether articles, several or mostly of links, hold less than half of the text around them."""
     if len(articles) == 1:
-        linked, total = _links(articles[0])
+        linked, total = _links(articles)[id(articles[0])]
         if linked < LINK_SHARE * total:
             return False
     return 2 * _text_size(articles, template) < _text_size(around, template)
@@ -357,6 +374,7 @@ def main_text(root: Node, template: set[int]) -> str:
     if chosen and template and 2 * _text_size(chosen, template) < _text_size(chosen, set()):
         template = set()
     out: list[str] = []
+    links = _links(chosen or [root])
     todo: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(chosen or [root])]
     while todo:
         x, article = todo.pop()
@@ -368,8 +386,8 @@ def main_text(root: Node, template: set[int]) -> str:
             continue
         article = article or x.tag == "article"
         if not article and x.tag in ("ul", "ol", "table", "div", "p"):
-            linked, total = _links(x)
-            if total and linked >= LINK_SHARE * total:
+            linked, total = links[id(x)]
+            if total and linked >= (1 if x.tag == "p" else LINK_SHARE) * total:
                 out.append(" ")
                 continue
         children = x.elements() if id(x) in template else x.children

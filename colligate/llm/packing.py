@@ -64,9 +64,23 @@ def encoder(vocabulary: str | None = None, added: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.cache
+def library_encoder(added: str | None = None):
+    """The ``tokenizers`` file itself."""
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(added or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def token_ids(text: str, vocabulary: str | None = None) -> np.ndarray:
-    """The ids of a text as little-endian unsigned 32-bit numbers, without an end mark."""
-    return np.array(encoder(vocabulary).encode(text, allowed_special="all"), "<u4")
+    """The ids of a text as little-endian unsigned 32-bit numbers, without an end mark. Texts that the fast encoder can't split
+    (runs of about a million blanks exhaust its stack) are encoded from the ``tokenizers`` file, which gives the same ids."""
+    try:
+        ids = encoder(vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        ids = library_encoder().encode(text, add_special_tokens=False).ids
+    return np.array(ids, "<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

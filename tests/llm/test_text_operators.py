@@ -2,13 +2,14 @@ import hashlib
 import re
 import subprocess
 import sys
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
-from colligate.llm import jaccard, language, quality, secrets, toxicity
+from colligate.llm import extraction, jaccard, language, packing, quality, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -302,3 +303,32 @@ def test_queries_against_sql(spark, query, sql):
     got = query(spark, SF)
     want = db.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_100_000 + "b", "x é" + "\t" * 1_100_000])
+def test_long_runs_of_blanks_have_the_ids_of_the_file(text):
+    assert packing.token_ids(text).tolist() == packing.library_encoder().encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "x<" + "a" * 1_000_000, "<![CDATA[>" * 100_000, "<!" * 500_000, "</script" * 130_000 + "<script>", "<div>" * 60_000 + "</x>" * 60_000, '<a ">' * 100_000, "<!--" * 300_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    extraction.main_text(extraction.parse(page), set())
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Use <button>Save</button> now</p>", "Use Save now"),
+        ("<main><p>Intro text here.</p><p>See <a>a long linked reference</a></p></main>", "Intro text here. See a long linked reference"),
+        ("<main><p>Intro text here.</p><p><a>one</a> <a>two</a></p></main>", "Intro text here."),
+        ("<!--><article>body</article>", "body"),
+        ("<!---><p>x", "x"),
+        ("<p>a<!-- <p>b</p>", "a"),
+        ("<p>a</p> 1 < 2 <!-- c", "a 1 < 2"),
+        ("<p><![CDATA[x<y]]>z</p>", "x<yz"),
+    ],
+)
+def test_words_in_paragraphs_stay(page, text):
+    assert extraction.main_text(extraction.parse(page), set()) == text
