@@ -28,9 +28,10 @@ from colligate.errors import ColligateError, OptionError
 from colligate.functions.tokens import DEFAULT_FIELDS, parse_fields
 from colligate.operators.pairs import pair
 from colligate.plans.config import Config, as_read_config, load_config, override
-from colligate.plans.weigh import KEYED, corpus, edge_units, weigh, with_unit_ids
+from colligate.plans.weigh import KEYED, corpus, edge_units, weigh
 from colligate.sinks import graph as sinks
 from colligate.sinks.store import shared_folder
+from colligate.sources.files import write_pieces
 from colligate.sources.text import BYTES, UTF8, as_read, encoded, parse_units, read_edges, read_lines, read_pairs
 
 VERSION = "0.1.0"
@@ -102,12 +103,12 @@ def _copied_input(spark: SparkSession) -> str:
     return path.toString()
 
 
-def _print(line: str, encoding: str) -> None:
+def _print(line: str, encoding: str, end: str = "\n") -> None:
     if encoding == UTF8:
-        sys.stdout.write(line + "\n")
+        sys.stdout.write(line + end)
     else:
         sys.stdout.flush()
-        sys.stdout.buffer.write(line.encode("latin-1") + b"\n")
+        sys.stdout.buffer.write((line + end).encode("latin-1"))
 
 
 def _out(lines: DataFrame, args: argparse.Namespace, *order: str) -> None:
@@ -151,6 +152,16 @@ def _pair(units: DataFrame, args: argparse.Namespace) -> None:
     fs.delete(both, True)
 
 
+def _weighed(pieces: DataFrame, args: argparse.Namespace) -> None:
+    """Writes edges whose lines come in pieces; a line stays in one file, and a task sorts its pieces without holding them."""
+    if args.output:
+        ranges = pieces.repartitionByRange("row").sortWithinPartitions("row", "place", "ord")
+        write_pieces(encoded(ranges.select("text"), args.encoding, "text").select(F.col("text").cast("binary")), args.output)
+        return
+    for row in pieces.orderBy("row", "place", "ord").toLocalIterator():
+        _print(row["text"], args.encoding, "")
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     ship(spark)
     if args.command == "pair":
@@ -162,13 +173,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         c = corpus(read_pairs(spark, *_paths(spark, args.files), encoding=args.encoding), fields)
         args.key = args.key and as_read(args.key, args.encoding)
         edges = weigh(c, args.key, args.method)
+        edges = sinks.numbered(edges, "pattern1", "pattern2")
         if args.units:
             rows = edge_units(c, args.key).orderBy("pattern1", "pattern2", "ord")
             encoded(rows.select(F.concat_ws("\t", "pattern1", "pattern2", "unit_id").alias("line")), args.encoding).write.text(args.units)
-            edges = edges.withColumn("unit_ids", F.lit(None).cast("array<string>"))
+            _out(sinks.edge_lines(edges.withColumn("unit_ids", F.lit(None).cast("array<string>"))), args, "row")
         else:
-            edges = with_unit_ids(edges, c, args.key)
-        _out(sinks.edge_lines(sinks.numbered(edges, "pattern1", "pattern2")), args, "row")
+            _weighed(sinks.edge_pieces(edges, edge_units(c, args.key)), args)
     else:
         config, path = Config(), args.config or DEFAULT_CONFIG
         if args.config or os.path.exists(path):

@@ -276,3 +276,14 @@ def edge_lines(edges: DataFrame) -> DataFrame:
         return "\t".join([*values, *(e["unit_ids"] if e["unit_ids"] is not None else [])])
 
     return _lines(edges, 0, "row", edge).select("row", "line")
+
+
+def edge_pieces(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """(row, place, ord, text): the lines of ``edge_lines`` in pieces, whose order is that of these columns: an edge's
+    numbers, each of its units (pattern1, pattern2, unit_id, ord), a line feed. No row has more than one unit."""
+    kind = units.schema["ord"].dataType.simpleString()
+    own = ["row", "pattern1", "pattern2"]
+    heads = edge_lines(edges.withColumn("unit_ids", F.lit(None).cast("array<string>"))).select("row", F.lit(0).alias("place"), F.lit(None).cast(kind).alias("ord"), F.col("line").alias("text"))
+    tails = edges.select(*own).join(units, ["pattern1", "pattern2"]).select("row", F.lit(1).alias("place"), "ord", F.concat(F.lit("\t"), "unit_id").alias("text"))
+    ends = edges.select("row", F.lit(2).alias("place"), F.lit(None).cast(kind).alias("ord"), F.lit("\n").alias("text"))
+    return heads.union(tails).union(ends)
