@@ -8,7 +8,7 @@ non-overlapping matches of their patterns, those that are too short dropped.
 and ``+/_=-``) whose entropy reaches the threshold of the candidate's class,
 merged; the entropy is kept up to date by counts as the window moves. Candidates
 are what base spans leave of a run, each part on its own. An
-allow-list suppresses candidates that are words, numbers, dates or placeholders;
+allow-list suppresses candidates that are words, numbers, dates or examples, and windows that touch a filler such as ``xxxx``;
 letters whose case changes as often as in random keys aren't words. Random letters
 of one case can't be told from words by these means and are left.
 
@@ -47,8 +47,10 @@ WINDOW = 20
 THRESHOLDS = {"hex": 2.9, "alnum": 3.5, "base64": 3.7}
 ALLOW = re.compile(
     r"[0-9+/_=-]+"  # numbers and dates
-    r"|.*(?:EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH).*"  # placeholders
+    r"|.*(?:EXAMPLE|example).*"  # said to be no secret
 )
+#: Fillers: no window that touches one is a secret.
+FILLERS = re.compile(r"[xX]{4,}|0123456789|abcdefgh|ABCDEFGH")
 #: Words, also joined ones and one number at the end.
 WORDS = re.compile(r"[A-Za-z][A-Za-z_/+=-]*[0-9]{0,4}")
 #: Where case changes inside a word; with so many changes in a window, letters aren't words.
@@ -64,7 +66,7 @@ def character_class(s: str) -> str:
 
 
 def is_allowed(s: str) -> bool:
-    """Whether a candidate is words, a number, a date or a placeholder."""
+    """Whether a candidate is words, a number, a date or an example."""
     if ALLOW.fullmatch(s):
         return True
     if not WORDS.fullmatch(s):
@@ -129,10 +131,19 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     more = []
     for part, bare, at in _outside(runs, base):
         if len(part) >= WINDOW and not is_allowed(bare):
-            more += [(at + a, 3, at + b) for a, b in entropy_windows(part, WINDOW, THRESHOLDS[character_class(part)])]
+            least = THRESHOLDS[character_class(part)]
+            more += [(at + s + a, 3, at + s + b) for s, own in _between_fillers(part) for a, b in entropy_windows(own, WINDOW, least)]
     return base, sorted(base + more)
 
 
+def _between_fillers(part: str) -> list[tuple[int, str]]:
+    """(place, text) of what fillers leave of a candidate; where there is one, what is left must not be words or a number itself."""
+    cuts = [m.span() for m in FILLERS.finditer(part)]
+    starts, ends = [0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(part)]
+    found = [(a, part[a:b]) for a, b in zip(starts, ends, strict=True) if b - a >= WINDOW]
+    return [(a, own) for a, own in found if not cuts or not is_allowed(own.strip(JOINTS))]
+
+
 def _outside(runs: list[tuple[str, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int]]:
     """(part, it without separators beside a base span, place): what the spans of
     ``base`` leave of ``runs`` (run, place), both ordered by place."""

@@ -332,3 +332,18 @@ def test_broken_pages_take_time_in_proportion(page):
 )
 def test_words_in_paragraphs_stay(page, text):
     assert extraction.main_text(extraction.parse(page), set()) == text
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("Zq8vN2xLp0Rt7YwKb3Hd9Mf4QQ", [(0, 26)]),
+        ("Zq8vN2xLp0Rt7YwKb3Hd9Mf4QQxxxxW3rT9", [(0, 26)]),
+        ("W3xxxxZq8vN2xLp0Rt7YwKb3Hd9Mf4QQ", [(6, 32)]),
+        ("Zq8vN2xLp0XXXXXt7YwKb3Hd9Mf4QQ", []),
+        ("Zq8vN2xLp0Rt7YwKb3Hd9Mf4EXAMPLEKEY", []),
+        ("some_long_words_joined_xxxxxx_and_more_words_behind", []),
+    ],
+)
+def test_fillers_suppress_the_windows_that_touch_them(text, spans):
+    assert [(s, e) for s, k, e in secrets.find_spans(text)[1] if k == 3] == spans
