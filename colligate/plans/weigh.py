@@ -189,11 +189,16 @@ def weigh(c: Corpus, key: str | None = None, method: int = 7) -> DataFrame:
         found = stats.agg(total.alias("key_fq"), F.coalesce(F.sum("in_local"), F.lit(0)).alias("_local"))
         fine = (F.col("_local") == 0) | (F.coalesce("key_fq", F.lit(0)) > 0)
         key_fq = found.select(F.when(fine, F.col("key_fq")).otherwise(F.raise_error(F.lit(NO_FREQUENCIES))).alias("key_fq"))
+    return scored_edges(stats, pairs, method, key_fq if method in KEYED else None)
+
+
+def scored_edges(stats: DataFrame, pairs: DataFrame, method: int, key_fq: DataFrame | None = None) -> DataFrame:
+    """Edges of a row per pattern (pattern, token, df, idf, fq_local, n) and a row per pair (pattern1, pattern2, gdf, ctf)."""
     one, two = (stats.select(F.col("pattern").alias(f"pattern{i}"), F.col("token").alias(f"token{i}"), F.col("df").alias(f"df{i}"), F.col("idf").alias(f"idf{i}"), F.col("fq_local").alias(f"fq{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     facts = pairs.join(one, "pattern1").join(two, "pattern2")
-    if method in KEYED:
+    if key_fq is not None:
         facts = facts.crossJoin(F.broadcast(key_fq))
-    cw = score(method, F.col("ctf"), F.col("gdf"), F.col("idf1"), F.col("idf2"), F.col("n1"), F.col("key_fq") if method in KEYED else F.lit(None))
+    cw = score(method, F.col("ctf"), F.col("gdf"), F.col("idf1"), F.col("idf2"), F.col("n1"), F.lit(None) if key_fq is None else F.col("key_fq"))
     return standardized(facts.withColumn("cdf", F.col("ctf")).withColumn("cw", cw)).select(*EDGE_COLUMNS, "pattern1", "pattern2", "gdf")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +30,12 @@ LINES = "section int, row long, line string"
 def _lines(df: DataFrame, section: int, order: str, write: Callable[[dict], str]) -> DataFrame:
     """A line per row, written by ``write`` from the row as a dictionary."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-            yield pd.DataFrame({"section": section, "row": pdf[order].astype("int64"), "line": [write(r) for r in rows]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [pa.array([section] * batch.num_rows, pa.int32()), batch.column(order).cast(pa.int64()), pa.array(map(write, batch.to_pylist()), pa.string())]
+            yield pa.RecordBatch.from_arrays(rows, names=["section", "row", "line"])
 
-    return df.mapInPandas(work, LINES)
+    return df.mapInArrow(work, LINES)
 
 
 def _fixed(spark: SparkSession, section: int, *lines: str) -> DataFrame:

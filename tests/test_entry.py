@@ -7,7 +7,11 @@ import pytest
 import __spark_entry__ as entry
 from colligate.cli import main
 from colligate.queries import ORACLE_SQL, QUERIES
-from colligate.streaming.pairs import reweigh, stream_pairs, write_pairs
+from colligate.errors import OptionError
+from colligate.operators.pairs import pair
+from colligate.plans.weigh import corpus, weigh
+from colligate.sources.text import read_units
+from colligate.streaming.pairs import count_stream, reweigh, stream_pairs, weigh_counts, write_pairs
 
 
 def test_names():
@@ -81,3 +85,22 @@ def test_against_sql(spark, name):
     norm = lambda rows: sorted((tuple(float(f"{v:.6g}") if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     want = db.execute(f"select {', '.join(cols)} from ({ORACLE_SQL[name]})").fetchall()
     assert norm(map(tuple, got.select(*cols).collect())) == norm(want)
+
+
+@pytest.mark.parametrize("method", [1, 16])
+def test_counts_follow_the_stream(spark, tmp_path, method):
+    """Batches that repeat units, patterns and pairs add only what is new; the edges equal those of all pairs at once."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    batches = [["u1 A/x B/x A/y C/x", "u2 A/x B/y"], ["u2 A/x C/x B/y", "u3 B/x C/x", "u1 A/x B/x"], ["u4 D/x A/y", "u5 D/x"]]
+    for i, lines in enumerate(batches):
+        (folder / f"{i}.txt").write_text("".join(f"{x}\n" for x in lines))
+        count_stream(stream_pairs(spark, str(folder)), str(tmp_path / "counts"), str(tmp_path / "log"), (1,)).awaitTermination()
+        rows = lambda e: {(r["pattern1"], r["pattern2"]): tuple(r) for r in e.collect()}
+        files = [str(folder / f"{k}.txt") for k in range(i + 1)]
+        want, got = rows(weigh(corpus(pair(read_units(spark, *files)), (1,)), None, method)), rows(weigh_counts(spark, str(tmp_path / "counts"), method))
+        assert set(got) == set(want)
+        for key, row in want.items():
+            assert all(a == pytest.approx(b) for a, b in zip(got[key], row, strict=True)), (key, got[key], row)
+    with pytest.raises(OptionError):
+        weigh_counts(spark, str(tmp_path / "counts"), 7)

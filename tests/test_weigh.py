@@ -250,6 +250,13 @@ def test_sinks(spark):
     assert '"directed":true' in d3 and "const distance = 78;" in d3 and '"target":"D/d/X/g"' in d3
 
 
+def test_large_counts_beside_missing_ones(spark):
+    big = 2**53 + 1
+    rows = [(0, "a", "b", big, big, 1, 0.5, None, 1, 0.5, big, 1.0, 0.0, None), (1, "a", "c", 1, 1, 1, 0.5, 7, 1, 0.5, None, 1.0, 0.0, ["u"])]
+    e = spark.createDataFrame(rows, "row long, token1 string, token2 string, ctf long, cdf long, df1 long, idf1 double, fq1 long, df2 long, idf2 double, fq2 long, cw double, z double, unit_ids array<string>")
+    assert [r["line"] for r in sinks.edge_lines(e).orderBy("row").collect()] == [f"a\tb\t{big}\t{big}\t1\t0.5\t-\t1\t0.5\t{big}\t1\t0", "a\tc\t1\t1\t1\t0.5\t7\t1\t0.5\t-\t1\t0\tu"]
+
+
 def test_save(spark, tmp_path):
     e = sinks.numbered(edges_of_fields(spark), "pattern1", "pattern2")
     sinks.save(e, Config(), str(tmp_path / "dot"))
