@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from colligate.errors import OptionError
 from colligate.functions.ere import to_java
 from colligate.functions.tokens import DEFAULT_FIELDS, project
-from colligate.operators.pairs import behind, counted, let
+from colligate.operators.pairs import behind, counted, let, run_counts
 
 METHODS = (1, 7, 12, 16)
 KEYED = (7, 12)
@@ -202,6 +202,25 @@ def scored_edges(stats: DataFrame, pairs: DataFrame, method: int, key_fq: DataFr
     return standardized(facts.withColumn("cdf", F.col("ctf")).withColumn("cw", cw)).select(*EDGE_COLUMNS, "pattern1", "pattern2", "gdf")
 
 
+def weigh_runs(pairs: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS, method: int = 16) -> DataFrame:
+    """Edges of pair rows (ord, unit_id, token1, token2, fq1, fq2) whose df, gdf and ctf count runs of a unit's lines instead of different
+    units, as a program does that remembers the last unit only: where a unit's lines are apart, it counts again. Equal to
+    ``weigh`` without a key where they are together. The number of units, and fq, don't depend on it."""
+    if method not in METHODS or method in KEYED:
+        raise OptionError(f"no method without a key: {method}")
+    c = corpus(pairs, fields)
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"token{i}").alias("token")) for i in (1, 2)))
+    touched = pairs.select("ord", "unit_id", F.explode(sides).alias("e")).select("ord", "unit_id", "e.*").withColumn("pattern", project(F.col("token"), fields))
+    df = run_counts(touched, ["pattern"], "unit_id", ["ord", "side"]).withColumnRenamed("runs", "df")
+    variants = run_counts(touched, ["pattern", "token"], "unit_id", ["ord", "side"])
+    named = variants.groupBy("pattern").agg(F.min_by("token", F.struct(-F.col("runs"), "token")).alias("token"))
+    fq = c.tokens.groupBy("pattern").agg(F.when(F.bool_and(F.col("cnt").isNotNull()), F.sum("cnt")).alias("fq_local"))
+    stats = df.join(named, "pattern").join(fq, "pattern").crossJoin(F.broadcast(c.units)).withColumn("idf", F.log(F.col("n") / F.col("df")))
+    both = pairs.select("ord", "unit_id", project(F.col("token1"), fields).alias("p"), project(F.col("token2"), fields).alias("q")).filter("p <> q")
+    found = run_counts(both.select("ord", "unit_id", F.least("p", "q").alias("pattern1"), F.greatest("p", "q").alias("pattern2")), ["pattern1", "pattern2"], "unit_id", ["ord"])
+    return scored_edges(stats, found.withColumnsRenamed({"runs": "gdf"}).withColumn("ctf", F.col("gdf")), method)
+
+
 def ordered(edges: DataFrame) -> DataFrame:
     """Edges by their patterns' bytes."""
     return edges.orderBy("pattern1", "pattern2")

@@ -7,7 +7,7 @@ from colligate.errors import OptionError
 from colligate.operators import graph
 from colligate.operators.pairs import pair
 from colligate.plans.config import Config, load_config, override
-from colligate.plans.weigh import EDGE_COLUMNS, corpus, corpus_of_units, key_units, raw_pair_stats, weigh, with_unit_ids
+from colligate.plans.weigh import EDGE_COLUMNS, corpus, corpus_of_units, key_units, raw_pair_stats, weigh, weigh_runs, with_unit_ids
 from colligate.sinks import graph as sinks
 from colligate.sources.text import parse_edges, parse_units, read_pairs
 
@@ -250,6 +250,31 @@ def test_sinks(spark):
     assert '"directed":true' in d3 and "const distance = 78;" in d3 and '"target":"D/d/X/g"' in d3
 
 
+@pytest.mark.parametrize("together", [True, False])
+def test_runs_of_units(spark, together):
+    rng = random.Random(7)
+    data = [(f"u{rng.randint(1, 6)}", *rng.sample(["A/x", "A/y", "B/x", "C/x", "D/x"], 2)) for _ in range(60)]
+    data = sorted(data) if together else data
+    rows = spark.createDataFrame([(i, u, a, b, 1, 1) for i, (u, a, b) in enumerate(data)], "ord long, unit_id string, token1 string, token2 string, fq1 long, fq2 long").repartition(3)
+    got = {(r["pattern1"], r["pattern2"]): r for r in weigh_runs(rows, (1,), 1).collect()}
+    last, df, gdf = {}, {}, {}
+    for u, a, b in data:
+        p, q = a[0], b[0]
+        for counts, node in ((df, p), (df, q), *([(gdf, (min(p, q), max(p, q)))] if p != q else [])):
+            if last.get(node) != u:
+                counts[node] = counts.get(node, 0) + 1
+                last[node] = u
+    assert {k: (r["ctf"], r["cdf"]) for k, r in got.items()} == {k: (n, n) for k, n in gdf.items()}
+    n = len({u for u, _, _ in data})
+    for (p, q), r in got.items():
+        assert (r["df1"], r["df2"]) == (df[p], df[q]) and r["idf1"] == pytest.approx(math.log(n / df[p]))
+    if together:
+        want = {(r["pattern1"], r["pattern2"]): tuple(r)[:12] for r in weigh(corpus(rows, (1,)), None, 1).select(*EDGE_COLUMNS, "pattern1", "pattern2").collect()}
+        assert set(want) == set(got)
+        for k, row in want.items():
+            assert all(a == pytest.approx(b, nan_ok=True) for a, b in zip(tuple(got[k])[:12], row, strict=True))
+
+
 def test_large_counts_beside_missing_ones(spark):
     big = 2**53 + 1
     rows = [(0, "a", "b", big, big, 1, 0.5, None, 1, 0.5, big, 1.0, 0.0, None), (1, "a", "c", 1, 1, 1, 0.5, 7, 1, 0.5, None, 1.0, 0.0, ["u"])]
