@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-``filter_quality`` estimates each rule's cost (seconds over a bounded sample of
-rows) and selectivity (the share it rejects), orders the rules by rejection per
+``filter_quality`` estimates each rule's cost (seconds over a sample of about
+``SAMPLE_ROWS`` rows, drawn with a share of their number and dealt to ``SAMPLE_TASKS`` tasks) and selectivity (the share it rejects), orders the rules by rejection per
 cost, and evaluates them in one ``CASE`` that stops at the first rule that rejects. The order decides how much is
 computed, never the verdict.
 
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from colligate.llm.common import table, text_column
 
-#: Rows of the sample on which costs and selectivities are estimated, 1 in how many rows it
-#: is drawn from, and how often a rule is evaluated on each in the job that is timed: so often that
-#: what the job itself costs is small beside it.
-SAMPLE_ROWS, SAMPLE_ONE_IN, REPEATS = 512, 16, 64
+#: Rows of the sample on which costs and selectivities are estimated (expected: each row is drawn on its
+#: own), the tasks that share it, and how often a rule is evaluated on each row in the job that is timed: so
+#: often that what the job itself costs is small beside it.
+SAMPLE_ROWS, SAMPLE_TASKS, REPEATS = 512, 8, 64
+SEED = 7
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -121,12 +122,17 @@ def by_rejection(costs: dict[str, tuple[float, float]]) -> list[str]:
     return sorted(costs, key=lambda x: (-costs[x][1] / costs[x][0], costs[x][0], x))
 
 
-def filter_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: dict[str, str] | None = None) -> DataFrame:
+def sampled(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(t, m) of about ``SAMPLE_ROWS`` rows, whatever their ids; only these leave their partitions."""
+    share = min(1.0, SAMPLE_ROWS / max(1, df.count()))
+    return df.select(text_column(text_col).alias("t")).sample(share, SEED).withColumn("m", F.expr(measures())).repartition(SAMPLE_TASKS)
+
+
+def filter_quality(df: DataFrame, text_col: str = "text", named: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the base measures, ``base_failed`` and ``kept``; the order of the
-    rules is learned on a sample of ``SAMPLE_ROWS`` rows that pass the base rules."""
+    rules is learned on those of a sample that pass the base rules."""
     named = named or rules()
-    rows = df.filter(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE_ONE_IN)) == 0).select(text_column(text_col).alias("t")).limit(SAMPLE_ROWS)
-    sample = rows.withColumn("m", F.expr(measures())).cache()
+    sample = sampled(df, text_col).cache()
     order = by_rejection(estimate(sample.filter(f"not {base_failed()}"), named))
     sample.unpersist()
     return with_verdict(df, order, named, text_col)
