@@ -71,6 +71,13 @@ def text_column(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def within_share(number: Column, wanted: int, n: int) -> Column:
+    """Whether a 64-bit hash is among the smallest, which about ``wanted`` of ``n`` different ones are."""
+    if n <= wanted:
+        return F.lit(True)
+    return number < F.lit((wanted << 64) // n - (1 << 63))
+
+
 def crc32_mod(name: str, n: int) -> Column:
     """crc32 of an id written as text, modulo ``n``."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % n

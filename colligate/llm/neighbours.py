@@ -4,8 +4,8 @@ Vectors are scaled so that the largest inner product is the smallest distance (o
 more coordinate lifts each to the largest norm), and projected to a few
 dimensions by Gaussian (2-stable) vectors: a projected squared distance is the true
 one times a chi-square variable. The projected space is split by a kd-tree whose
-upper part, fitted on the projections of a sample of ``SAMPLE_ROWS`` rows or ``SAMPLE_PER_BLOCK`` for each
-block, deals all rows to blocks of about ``block_rows``; each block is a kd-tree of its own. A query takes
+upper part, fitted on the projections of a sample of about ``SAMPLE_ROWS`` rows or ``SAMPLE_PER_BLOCK`` for each
+block (a share of all rows by hash), deals all rows to blocks of about ``block_rows``; each block is a kd-tree of its own. A query takes
 the leaves in order of their projected distance and verifies their members on
 the original vectors, until the chi-square test says that a nearer neighbour is
 left with a probability under ``MISS``. It starts in its own block; the block's
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligate.llm.common import stored, table
+from colligate.llm.common import stored, table, within_share
 
 DIMENSIONS, SEED = 8, 11
 SAMPLE_ROWS, SAMPLE_PER_BLOCK, BLOCK_ROWS, LEAF_ROWS = 20_000, 16, 8_192, 128
@@ -236,7 +236,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
             if len(pdf):
                 yield pd.DataFrame({"p": list(space.rows(_matrix(pdf["x"])))})
 
-    sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE_ROWS, SAMPLE_PER_BLOCK * blocks)).select("x").mapInPandas(project, "p array<double>").toPandas()
+    wanted = max(SAMPLE_ROWS, SAMPLE_PER_BLOCK * blocks)
+    sample = kept.filter(within_share(F.xxhash64("vec_id", "x"), wanted, n)).select("x").mapInPandas(project, "p array<double>").toPandas()
     splitter = Splitter(_matrix(sample["p"]), depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
