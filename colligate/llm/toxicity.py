@@ -21,6 +21,7 @@ last bytes are it; without labels of both classes every score is 0; equal rows g
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligate.llm.common import crc32_mod, slices, table, text_column
+from colligate.llm.common import crc32_mod, slices, table, text_column, within_share
 
 MAX_TOXIC, MAX_ORDINARY, MAX_TRAIN_CHARS = 3000, 3000, 20_000
 #: Longest window, in bytes; windows whose lengths a task keeps at once.
@@ -204,11 +205,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
     return w
 
 
+def _first(known: DataFrame, most: int, n: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of ``n`` with different ids. Those that can't be
+    among them are left out before they are ordered, so that few more come to one task."""
+    margin = most + 8 * math.isqrt(most) + 64
+    return known.filter(within_share(F.col("_h"), margin, n)).orderBy("_h", "_id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
     """A model from ``labels`` (0 or 1) joined with ``docs``. The sampled ids are at most
     ``max_toxic + max_ordinary``, which bounds the broadcast and what the driver gets."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"), F.xxhash64(id_col).alias("_h")).filter("_id is not null and _y in (0, 1)")
-    chosen = known.filter("_y = 1").orderBy("_h", "_id").limit(max_toxic).union(known.filter("_y = 0").orderBy("_h", "_id").limit(max_ordinary)).dropDuplicates(["_id"])
+    different = known.distinct()
+    sizes = {r["_y"]: r["n"] for r in different.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    first = [_first(different.filter(F.col("_y") == y), most, sizes.get(y, 0)) for y, most in ((1, max_toxic), (0, max_ordinary))]
+    chosen = first[0].union(first[1]).dropDuplicates(["_id"])
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.length("_text") <= MAX_TRAIN_CHARS)
     rows = texts.join(F.broadcast(chosen), "_id").select("_y", F.pmod("_h", F.lit(2)).alias("_fold"), "_text", "_h").cache()
     sample = sorted(map(tuple, rows.filter("_fold = 0").select("_h", "_y", "_text").collect()))
