@@ -46,6 +46,7 @@ from colligate.llm.shingles import shingle_sets
 #: shingles are broadcast (12 bytes each). Others are ordered as rare ones: that changes how
 #: many candidates there are, not the result.
 FREQUENT, FREQUENT_KEPT = 24, 500_000
+DF_BINS = 64
 #: Rare shingles that are kept beyond a prefix, in case some of it turn out frequent.
 SPARE = 8
 #: Bits of a sketch: about as many as the set has shingles, between these.
@@ -200,6 +201,19 @@ def _front_tokens(sets: DataFrame) -> DataFrame:
     return sets.select("front").mapInArrow(work, "token long")
 
 
+def _most_frequent(often: DataFrame) -> DataFrame:
+    """The rows (token, df) of the highest ``df``, ``FREQUENT_KEPT`` at most: all above the first
+    of ``DF_BINS`` steps for each doubling with which there would be more."""
+    step = F.floor(F.log2("df") * DF_BINS)
+    kept, least = 0, None
+    for row in sorted(often.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        kept += row["k"]
+        if kept > FREQUENT_KEPT:
+            break
+        least = row["step"]
+    return often.filter(step >= least) if least is not None else often.limit(0)
+
+
 def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     """The rows (key, n, pos, up, ...) under the names that pairs of them get."""
     left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "pos", "up", *more))) for side in ("a", "b"))
@@ -249,8 +263,9 @@ def _link(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, f
     one = stored(with_first(fronts.select("id", "n", "digest"), F.struct("n", "digest"), F.col("id"), F.col("n") > 0).select("id", "n", "first"), "copies")
     # one row per different set, and the shingles that many of them have in front
     sets = _without(fronts, one.filter("id <> first").select("id")).filter("n > 0").select("id", "n", "front")
-    often = _front_tokens(sets).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") >= frequent)
-    found = often.orderBy(F.desc("df"), "token").limit(FREQUENT_KEPT).toArrow()
+    often = stored(_front_tokens(sets).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") >= frequent), "often")
+    found = _most_frequent(often).toArrow()
+    discard(often)
     shingles, numbers = (found.column(c).to_numpy() for c in ("token", "df"))
     by_hash = np.argsort(shingles)
     hot = df.sparkSession.sparkContext.broadcast((shingles[by_hash], numbers[by_hash].astype(np.int32)))
