@@ -1,21 +1,20 @@
 """Graphs and tables as text.
 
 Each sink is a DataFrame (section, row, line), made of edges and nodes by Spark in
-parallel; ``save`` writes it as text files in order, ``render`` gives one string for a
-graph that fits the driver. Edges keep the order of their column ``row`` (see
+parallel, with expressions that stay in the JVM; ``save`` writes it as text files in order,
+``render`` gives one string for a graph that fits the driver. Edges keep the order of their column ``row`` (see
 ``numbered``), nodes that of their ids.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
+from colligate.functions import columns as c
 from colligate.functions import formats as f
 from colligate.functions.tokens import label, label_fields
 from colligate.operators.graph import nodes, prune, with_font_size
@@ -27,15 +26,13 @@ NUMERIC = frozenset("ctf cdf df1 idf1 fq1 df2 idf2 fq2 cw z".split())
 LINES = "section int, row long, line string"
 
 
-def _lines(df: DataFrame, section: int, order: str, write: Callable[[dict], str]) -> DataFrame:
-    """A line per row, written by ``write`` from the row as a dictionary."""
+def _text(*parts: str | Column) -> Column:
+    """The parts, strings as they are, in one line."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [pa.array([section] * batch.num_rows, pa.int32()), batch.column(order).cast(pa.int64()), pa.array(map(write, batch.to_pylist()), pa.string())]
-            yield pa.RecordBatch.from_arrays(rows, names=["section", "row", "line"])
 
-    return df.mapInArrow(work, LINES)
+def _lines(df: DataFrame, section: int, order: str, line: Column) -> DataFrame:
+    return df.select(F.lit(section).alias("section"), F.col(order).cast("long").alias("row"), line.alias("line"))
 
 
 def _fixed(spark: SparkSession, section: int, *lines: str) -> DataFrame:
@@ -61,8 +58,21 @@ def sized_nodes(edges: DataFrame, config: Config) -> DataFrame:
     return numbered(named, "id")
 
 
-def _int(x: float | int | None) -> str:
-    return "null" if x is None else str(int(x))
+def _int(column: str, missing: str = "null") -> Column:
+    return F.coalesce(F.col(column).cast("bigint").cast("string"), F.lit(missing))
+
+
+def _g(column: str, digits: int = 17) -> Column:
+    return F.coalesce(c.g(F.col(column), digits), F.lit("null"))
+
+
+def _units(separator: str) -> Column:
+    return F.coalesce(F.array_join("unit_ids", separator), F.lit(""))
+
+
+def _comma() -> Column:
+    """A comma behind all lines but the last."""
+    return F.when(F.col("last"), F.lit("")).otherwise(F.lit(","))
 
 
 def json_lines(edges: DataFrame, config: Config) -> DataFrame:
@@ -73,25 +83,24 @@ def json_lines(edges: DataFrame, config: Config) -> DataFrame:
         f'  "directed": {json.dumps(config.directed)},', '  "nodes": [',
     ]
 
-    def node(n: dict) -> str:
-        fields = ", ".join(map(s, n["fields"]))
-        return f'    {{"id": {s(n["id"])}, "label": {s(n["label"])}, "fields": [{fields}], "df": {_int(n["df"])}, "idf": {f.g(n["idf"], 17)}, "fq": {_int(n["fq"])}, "degree": {_int(n["degree"])}, "font_size": {f.g(n["font_size"], 17)}}}' + "," * (not n["last"])
-
-    def edge(e: dict) -> str:
-        units = ", ".join(map(s, e["unit_ids"] if e["unit_ids"] is not None else []))
-        return (
-            f'    {{"source": {s(e["token1"])}, "target": {s(e["token2"])}, "ctf": {_int(e["ctf"])}, "cdf": {_int(e["cdf"])}, '
-            f'"df1": {_int(e["df1"])}, "idf1": {f.g(e["idf1"], 17)}, "fq1": {_int(e["fq1"])}, "df2": {_int(e["df2"])}, "idf2": {f.g(e["idf2"], 17)}, "fq2": {_int(e["fq2"])}, '
-            f'"cw": {f.g(e["cw"], 17)}, "z": {f.g(e["z"], 17)}, "unit_ids": [{units}]}}' + "," * (not e["last"])
-        )
-
+    strings = lambda column: F.coalesce(F.array_join(F.transform(column, c.json_string), ", "), F.lit(""))
+    text = lambda column: c.json_string(F.col(column))
+    node = _text(
+        '    {"id": ', text("id"), ', "label": ', text("label"), ', "fields": [', strings("fields"), '], "df": ', _int("df"), ', "idf": ', _g("idf"),
+        ', "fq": ', _int("fq"), ', "degree": ', _int("degree"), ', "font_size": ', _g("font_size"), "}", _comma(),
+    )
+    edge = _text(
+        '    {"source": ', text("token1"), ', "target": ', text("token2"), *(x for n in ("ctf", "cdf") for x in (f', "{n}": ', _int(n))),
+        *(x for i in (1, 2) for x in (f', "df{i}": ', _int(f"df{i}"), f', "idf{i}": ', _g(f"idf{i}"), f', "fq{i}": ', _int(f"fq{i}"))),
+        ', "cw": ', _g("cw"), ', "z": ', _g("z"), ', "unit_ids": [', strings("unit_ids"), "]}", _comma(),
+    )
     parts = [_lines(_last(sized_nodes(edges, config)), 1, "row", node), _lines(_last(edges), 3, "row", edge)]
     return _union(_fixed(spark, 0, *head), parts[0], _fixed(spark, 2, "  ],", '  "edges": ['), parts[1], _fixed(spark, 4, "  ]", "}"))
 
 
-def _tooltip(e: dict, config: Config) -> str:
-    shown = {"ctf": lambda: _int(e["ctf"]), "cdf": lambda: _int(e["cdf"]), "cw": lambda: f.g(e["cw"], 17), "z": lambda: f.g(e["z"], 17), "unit_ids": lambda: ", ".join(e["unit_ids"] if e["unit_ids"] is not None else [])}
-    return "\n".join(f"{name}: {write()}" for name, write in shown.items() if name in config.tooltip)
+def _tooltip(config: Config) -> Column:
+    shown = {"ctf": _int("ctf"), "cdf": _int("cdf"), "cw": _g("cw"), "z": _g("z"), "unit_ids": _units(", ")}
+    return F.concat_ws("\n", *(_text(f"{name}: ", value) for name, value in shown.items() if name in config.tooltip))
 
 
 def dot_lines(edges: DataFrame, config: Config) -> DataFrame:
@@ -103,36 +112,32 @@ def dot_lines(edges: DataFrame, config: Config) -> DataFrame:
     head = [f"{'digraph' if config.directed else 'graph'} {q(config.graph_name)} {{", f"  graph [{', '.join(graph)}];", f"  node [{', '.join(text(('shape', config.node_shape), ('fontname', config.node_fontname)))}];", f"  edge [{', '.join(edge_)}];"]
     joint = " -> " if config.directed else " -- "
 
-    def node(n: dict) -> str:
-        return f"  {q(n['id'])} [label={q(n['label'])}, fontsize={f.g(n['font_size'], 17)}];"
-
-    def edge(e: dict) -> str:
-        about = []
-        if config.edge_label != "none":
-            value = e[config.edge_label]
-            about.append(f'label="{f.g(value, 6) if config.edge_label in ("cw", "z") else _int(value)}"')
-        if config.tooltip:
-            about.append(f"tooltip={q(_tooltip(e, config))}")
-        return f"  {q(e['token1'])}{joint}{q(e['token2'])} [{', '.join(about)}];"
-
+    quoted = lambda column: c.dot_string(F.col(column))
+    node = _text("  ", quoted("id"), " [label=", quoted("label"), ", fontsize=", _g("font_size"), "];")
+    about: list[Column] = []
+    if config.edge_label != "none":
+        about.append(_text('label="', _g(config.edge_label, 6) if config.edge_label in ("cw", "z") else _int(config.edge_label), '"'))
+    if config.tooltip:
+        about.append(_text("tooltip=", c.dot_string(_tooltip(config))))
+    edge = _text("  ", quoted("token1"), joint, quoted("token2"), " [", F.concat_ws(", ", *about), "];")
     return _union(_fixed(spark, 0, *head), _lines(sized_nodes(edges, config), 1, "row", node), _lines(edges, 2, "row", edge), _fixed(spark, 3, "}"))
 
 
-def cells(e: dict, config: Config) -> list[str]:
+def cells(config: Config) -> list[Column]:
     """The texts of an edge's table cells, not escaped; labels come with the row."""
 
-    def cell(column: str) -> str:
+    def cell(column: str) -> Column:
         if column in ("token1", "token2"):
-            return e[f"label{column[-1]}"]
+            return F.col(f"label{column[-1]}")
         if column.startswith("raw_"):
-            return e[column[4:]]
+            return F.col(column[4:])
         if column == "unit_ids":
-            return config.unit_separator.join(e["unit_ids"] if e["unit_ids"] is not None else [])
+            return _units(config.unit_separator)
         if column in ("idf1", "idf2", "cw", "z"):
-            return f.g(e[column], config.precision)
-        return "-" if e[column] is None else str(int(e[column]))
+            return _g(column, config.precision)
+        return _int(column, "-")
 
-    return [cell(c) for c in config.columns]
+    return [cell(column) for column in config.columns]
 
 
 def table_lines(edges: DataFrame, config: Config) -> DataFrame:
@@ -140,24 +145,26 @@ def table_lines(edges: DataFrame, config: Config) -> DataFrame:
     spark = edges.sparkSession
     named = edges.withColumns({f"label{i}": label(F.col(f"token{i}"), config.table_label_fields, config.table_label_separator) for i in (1, 2)})
     titles = [*config.headers, *config.columns[len(config.headers) :]]
-    numeric = [c in NUMERIC for c in config.columns]
+    numeric = [column in NUMERIC for column in config.columns]
+    texts = cells(config)
     if config.format == "md":
-        row = lambda texts: "| " + " | ".join(map(f.markdown, texts)) + " |"
-        head, foot = [row(titles), "|" + "".join(" ---: |" if n else " :--- |" for n in numeric)], []
+        line = _text("| ", F.concat_ws(" | ", *map(c.markdown, texts)), " |")
+        head, foot = ["| " + " | ".join(map(f.markdown, titles)) + " |", "|" + "".join(" ---: |" if n else " :--- |" for n in numeric)], []
     elif config.format == "html":
-        cell = lambda tag, texts: "".join(f"<{tag}{' class="numeric"' * n}>{f.html(t)}</{tag}>" for t, n in zip(texts, numeric, strict=True))
-        row = lambda texts: f"    <tr>{cell('td', texts)}</tr>"
-        head = ["<table>", *([] if config.caption is None else [f"  <caption>{f.html(config.caption)}</caption>"]), f"  <thead><tr>{cell('th', titles)}</tr></thead>", "  <tbody>"]
+        opened = lambda tag, n: f'<{tag} class="numeric">' if n else f"<{tag}>"
+        line = _text("    <tr>", *(x for t, n in zip(texts, numeric, strict=True) for x in (opened("td", n), c.html(t), "</td>")), "</tr>")
+        top = "".join(f"{opened('th', n)}{f.html(t)}</th>" for t, n in zip(titles, numeric, strict=True))
+        head = ["<table>", *([] if config.caption is None else [f"  <caption>{f.html(config.caption)}</caption>"]), f"  <thead><tr>{top}</tr></thead>", "  <tbody>"]
         foot = ["  </tbody>", "</table>"]
     else:
-        row = lambda texts: " & ".join(map(f.tex, texts)) + r" \\"
+        line = _text(F.concat_ws(" & ", *map(c.tex, texts)), r" \\")
         floats = config.caption is not None or config.table_label is not None
-        head = [*[r"\begin{table}[htbp]", r"\centering"] * floats, r"\begin{tabular}{" + "".join("r" if n else "l" for n in numeric) + "}", r"\hline", row(titles), r"\hline"]
+        head = [*[r"\begin{table}[htbp]", r"\centering"] * floats, r"\begin{tabular}{" + "".join("r" if n else "l" for n in numeric) + "}", r"\hline", " & ".join(map(f.tex, titles)) + r" \\", r"\hline"]
         foot = [r"\hline", r"\end{tabular}"]
         foot += [] if config.caption is None else [rf"\caption{{{f.tex(config.caption)}}}"]
         foot += [] if config.table_label is None else [rf"\label{{{f.tex(config.table_label)}}}"]
         foot += [r"\end{table}"] * floats
-    parts = [_fixed(spark, 0, *head), _lines(named, 1, "row", lambda e: row(cells(e, config)))]
+    parts = [_fixed(spark, 0, *head), _lines(named, 1, "row", line)]
     return _union(*parts, *([_fixed(spark, 2, *foot)] if foot else []))
 
 
@@ -226,15 +233,11 @@ LENGTH_PIXELS, DEFAULT_PIXELS = 55, 78
 
 def page_lines(edges: DataFrame, config: Config) -> DataFrame:
     """An interactive page with the graph in it."""
-    spark, s = edges.sparkSession, f.script_string
-
-    def node(n: dict) -> str:
-        return f'{{"id":{s(n["id"])},"label":{s(n["label"])},"df":{_int(n["df"])},"idf":{f.g(n["idf"], 17)},"fq":{_int(n["fq"])},"degree":{_int(n["degree"])},"font_size":{f.g(n["font_size"], 17)}}}' + "," * (not n["last"])
-
-    def edge(e: dict) -> str:
-        units = ",".join(map(s, e["unit_ids"] if e["unit_ids"] is not None else []))
-        return f'{{"source":{s(e["token1"])},"target":{s(e["token2"])},"ctf":{_int(e["ctf"])},"cdf":{_int(e["cdf"])},"cw":{f.g(e["cw"], 17)},"z":{f.g(e["z"], 17)},"unit_ids":[{units}]}}' + "," * (not e["last"])
-
+    spark = edges.sparkSession
+    text = lambda column: c.script_string(F.col(column))
+    units = F.coalesce(F.array_join(F.transform("unit_ids", c.script_string), ","), F.lit(""))
+    node = _text('{"id":', text("id"), ',"label":', text("label"), ',"df":', _int("df"), ',"idf":', _g("idf"), ',"fq":', _int("fq"), ',"degree":', _int("degree"), ',"font_size":', _g("font_size"), "}", _comma())
+    edge = _text('{"source":', text("token1"), ',"target":', text("token2"), ',"ctf":', _int("ctf"), ',"cdf":', _int("cdf"), ',"cw":', _g("cw"), ',"z":', _g("z"), ',"unit_ids":[', units, "]}", _comma())
     length = DEFAULT_PIXELS if config.edge_length is None else config.edge_length * LENGTH_PIXELS
     head = [*PAGE_HEAD.split("\n"), f"const distance = {f.g(length, 17)};", f'const graph = {{"directed":{json.dumps(config.directed)},"nodes":[']
     return _union(
@@ -270,12 +273,9 @@ def pair_lines(pairs: DataFrame, rejected: str | None = None) -> DataFrame:
 
 def edge_lines(edges: DataFrame) -> DataFrame:
     """(row, line) of edges: idf with 12 digits, cw and z with 17, a hyphen for a missing fq, then the unit ids."""
-    def edge(e: dict) -> str:
-        fq = lambda x: "-" if x is None else str(int(x))
-        values = [e["token1"], e["token2"], _int(e["ctf"]), _int(e["cdf"]), _int(e["df1"]), f.g(e["idf1"], 12), fq(e["fq1"]), _int(e["df2"]), f.g(e["idf2"], 12), fq(e["fq2"]), f.g(e["cw"], 17), f.g(e["z"], 17)]
-        return "\t".join([*values, *(e["unit_ids"] if e["unit_ids"] is not None else [])])
-
-    return _lines(edges, 0, "row", edge).select("row", "line")
+    ends = [x for i in (1, 2) for x in (_int(f"df{i}"), _g(f"idf{i}", 12), _int(f"fq{i}", "-"))]
+    line = F.concat_ws("\t", "token1", "token2", _int("ctf"), _int("cdf"), *ends, _g("cw"), _g("z"), "unit_ids")
+    return _lines(edges, 0, "row", line).select("row", "line")
 
 
 def edge_pieces(edges: DataFrame, units: DataFrame) -> DataFrame:
