@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Decimal digits of a limb of a large number. A limb times a factor, with what is carried, fits a long.
@@ -55,29 +55,6 @@ def _integers(x: Column) -> Column:
     return _with(k, scaled)
 
 
-def _decimals(base: int, most: int, size: int, exponent: Column) -> Column:
-    """``base`` to the exponent, at most ``most``, as a decimal of ``size`` digits."""
-    return F.get(F.array(*(F.lit(Decimal(base**i)).cast(f"decimal({size},0)") for i in range(most + 1))), exponent)
-
-
-def _near(x: Column) -> Column:
-    """The same as ``_exact`` for a double from ``NEAR`` to ``FAR``: its first 18 or 19 digits, and a 1 if others follow;
-    null where a logarithm that is off by one leaves fewer."""
-    point = F.lit(17) - F.floor(F.log10(x)).cast("int")
-
-    def divided(s: Column) -> Column:
-        return F.struct(F.call_function("div", s["a"], s["b"]).cast("string").alias("head"), ((s["a"] % s["b"]) > 0).alias("more"), s["point"].alias("point"))
-
-    def found(q: Column) -> Column:
-        digits = F.concat(q["head"], F.when(q["more"], F.lit("1")).otherwise(F.lit("")))
-        return F.when(F.length(q["head"]) >= 18, F.struct(digits.alias("digits"), (q["point"] + q["more"].cast("int")).alias("point")))
-
-    def terms(n: Column, point: Column) -> Column:
-        return F.struct((n["m"].cast("decimal(17,0)") * _decimals(10, 21, 22, point)).alias("a"), _decimals(2, 68, 21, n["k"]).alias("b"), point.alias("point"))
-
-    return _with(_with(_with(_integers(x), lambda n: _with(point, lambda p: terms(n, p))), divided), found)
-
-
 def _exact(x: Column) -> Column:
     """(digits, point) of a positive double: all its decimal digits, of which ``point`` are behind the point: m / 2**k is
     m * 5**k / 10**k for a positive k."""
@@ -105,8 +82,7 @@ def _rounded(exact: Column, digits: int) -> Column:
     )
 
 
-def _written(r: Column, digits: int) -> Column:
-    text, power = r["text"], r["power"]
+def _written(text: Column, power: Column, digits: int) -> Column:
     n = F.length(text)
     fraction = F.when(n > 1, F.concat(F.lit("."), F.substring(text, 2, digits))).otherwise(F.lit(""))
     two = F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit(""))
@@ -123,13 +99,56 @@ def g(x: Column, digits: int) -> Column:
 
     def write(v: Column) -> Column:
         sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-        size = _with(F.abs(v), lambda a: _with(_with(F.coalesce(F.when((a >= NEAR) & (a < FAR), _near(a)), _exact(a)), lambda e: _rounded(e, digits)), lambda r: _written(r, digits)))
+        size = _with(F.abs(v), lambda a: _with(_with(_exact(a), lambda e: _rounded(e, digits)), lambda r: _written(r["text"], r["power"], digits)))
         plain = F.when(v == 0, F.lit("0")).when(F.abs(v) == float("inf"), F.lit("inf")).otherwise(size)
         return F.when(F.isnan(v), F.lit("nan")).otherwise(F.concat(sign, plain))
 
     return _with(x.cast("double"), lambda v: F.when(v.isNotNull(), write(v)))
 
 
+def _decimals(base: int, most: int, size: int, exponent: Column) -> Column:
+    """``base`` to the exponent, at most ``most``, as a decimal of ``size`` digits."""
+    return F.get(F.array(*(F.lit(Decimal(base**i)).cast(f"decimal({size},0)") for i in range(most + 1))), exponent)
+
+
+def with_g(df: DataFrame, numbers: Iterable[tuple[str, int]]) -> DataFrame:
+    """Adds the text of ``g`` for each column and number of digits, as ``g_name(column, digits)``.
+
+    Doubles from ``NEAR`` to ``FAR`` are m / 2**k with m * 10**p below 10**38, so that their first 18 or 19 digits are a
+    quotient of decimals; the steps are projections, which Spark compiles. ``g`` has the rest."""
+    asked = list(dict.fromkeys(numbers))
+    names = {n for n, _ in asked}
+    of = lambda step, name: F.col(f"_{step} {name}")
+
+    def add(df: DataFrame, step: str, write: Callable[[str], Column]) -> DataFrame:
+        return df.withColumns({f"_{step} {n}": write(n) for n in names})
+
+    out = add(df, "a", lambda n: F.abs(F.col(n).cast("double")))
+    out = add(out, "k", lambda n: F.when((of("a", n) >= NEAR) & (of("a", n) < FAR), F.lit(54) - F.floor(F.log2(of("a", n))).cast("int")))
+    out = add(out, "p", lambda n: F.when(of("k", n).isNotNull(), F.lit(17) - F.floor(F.log10(of("a", n))).cast("int")))
+    m = lambda n: (of("a", n) * F.pow(F.lit(2.0), of("k", n).cast("double"))).cast("bigint").cast("decimal(17,0)")
+    out = add(out, "m", lambda n: m(n) * _decimals(10, 21, 22, of("p", n)))
+    out = add(out, "d", lambda n: _decimals(2, 68, 21, of("k", n)))
+    out = add(out, "q", lambda n: F.call_function("div", of("m", n), of("d", n)))
+    for name, digits in asked:
+        shown, q = max(1, digits), of("q", name)
+        size = F.when(q >= 10**18, F.lit(19)).otherwise(F.lit(18))
+        out = out.withColumn("_c", F.when(q >= 10**18, F.lit(10 ** (19 - shown))).otherwise(F.lit(10 ** (18 - shown))).cast("bigint"))
+        cut = F.col("_c")
+        head, twice = F.call_function("div", q, cut), (q % cut) - (cut - q % cut)
+        up = (twice > 0) | ((twice == 0) & (((of("m", name) % of("d", name)) > 0) | (head % 2 == 1)))
+        out = out.withColumn("_r", F.when(q >= 10**17, (head + up.cast("int")).cast("string")))
+        out = out.withColumns({"_t": F.rtrim(F.col("_r"), F.lit("0")), "_w": size - 1 - of("p", name) + F.length("_r") - shown})
+        sign = F.when(F.col(name) < 0, F.lit("-")).otherwise(F.lit(""))
+        near = F.concat(sign, _written(F.col("_t"), F.col("_w"), shown))
+        out = out.withColumn(g_name(name, digits), F.when(F.col("_r").isNotNull(), near).otherwise(g(F.col(name), digits))).drop("_c", "_r", "_t", "_w")
+    return out.drop(*(f"_{step} {n}" for n in names for step in "akpmdq"))
+
+
+def g_name(column: str, digits: int) -> str:
+    return f"_g{digits} {column}"
+
+
 def _replaced(text: Column, pairs: dict[str, str]) -> Column:
     """Each key replaced by its value, one after the other."""
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs.items(), text)

@@ -22,6 +22,8 @@ from colligate.plans.config import Config
 from colligate.sinks.store import numbered
 
 FORMAT_NAME, FORMAT_VERSION = "colligate/graph", 1
+NODE_NUMBERS = [("idf", 17), ("font_size", 17)]
+SCORES = [("cw", 17), ("z", 17)]
 NUMERIC = frozenset("ctf cdf df1 idf1 fq1 df2 idf2 fq2 cw z".split())
 LINES = "section int, row long, line string"
 
@@ -31,8 +33,9 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def _lines(df: DataFrame, section: int, order: str, line: Column) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), F.col(order).cast("long").alias("row"), line.alias("line"))
+def _lines(df: DataFrame, section: int, order: str, line: Column, numbers: list[tuple[str, int]]) -> DataFrame:
+    """The line of each row, in which ``_g`` stands for these columns with these digits."""
+    return c.with_g(df, numbers).select(F.lit(section).alias("section"), F.col(order).cast("long").alias("row"), line.alias("line"))
 
 
 def _fixed(spark: SparkSession, section: int, *lines: str) -> DataFrame:
@@ -63,7 +66,7 @@ def _int(column: str, missing: str = "null") -> Column:
 
 
 def _g(column: str, digits: int = 17) -> Column:
-    return F.coalesce(c.g(F.col(column), digits), F.lit("null"))
+    return F.coalesce(F.col(f"`{c.g_name(column, digits)}`"), F.lit("null"))
 
 
 def _units(separator: str) -> Column:
@@ -94,13 +97,13 @@ def json_lines(edges: DataFrame, config: Config) -> DataFrame:
         *(x for i in (1, 2) for x in (f', "df{i}": ', _int(f"df{i}"), f', "idf{i}": ', _g(f"idf{i}"), f', "fq{i}": ', _int(f"fq{i}"))),
         ', "cw": ', _g("cw"), ', "z": ', _g("z"), ', "unit_ids": [', strings("unit_ids"), "]}", _comma(),
     )
-    parts = [_lines(_last(sized_nodes(edges, config)), 1, "row", node), _lines(_last(edges), 3, "row", edge)]
+    parts = [_lines(_last(sized_nodes(edges, config)), 1, "row", node, NODE_NUMBERS), _lines(_last(edges), 3, "row", edge, [("idf1", 17), ("idf2", 17), *SCORES])]
     return _union(_fixed(spark, 0, *head), parts[0], _fixed(spark, 2, "  ],", '  "edges": ['), parts[1], _fixed(spark, 4, "  ]", "}"))
 
 
 def _tooltip(config: Config) -> Column:
-    shown = {"ctf": _int("ctf"), "cdf": _int("cdf"), "cw": _g("cw"), "z": _g("z"), "unit_ids": _units(", ")}
-    return F.concat_ws("\n", *(_text(f"{name}: ", value) for name, value in shown.items() if name in config.tooltip))
+    shown = {"ctf": _int, "cdf": _int, "cw": _g, "z": _g, "unit_ids": lambda _: _units(", ")}
+    return F.concat_ws("\n", *(_text(f"{name}: ", write(name)) for name, write in shown.items() if name in config.tooltip))
 
 
 def dot_lines(edges: DataFrame, config: Config) -> DataFrame:
@@ -115,12 +118,15 @@ def dot_lines(edges: DataFrame, config: Config) -> DataFrame:
     quoted = lambda column: c.dot_string(F.col(column))
     node = _text("  ", quoted("id"), " [label=", quoted("label"), ", fontsize=", _g("font_size"), "];")
     about: list[Column] = []
+    numbers = [(n, 17) for n in ("cw", "z") if n in config.tooltip]
+    if config.edge_label in ("cw", "z"):
+        numbers.append((config.edge_label, 6))
     if config.edge_label != "none":
         about.append(_text('label="', _g(config.edge_label, 6) if config.edge_label in ("cw", "z") else _int(config.edge_label), '"'))
     if config.tooltip:
         about.append(_text("tooltip=", c.dot_string(_tooltip(config))))
     edge = _text("  ", quoted("token1"), joint, quoted("token2"), " [", F.concat_ws(", ", *about), "];")
-    return _union(_fixed(spark, 0, *head), _lines(sized_nodes(edges, config), 1, "row", node), _lines(edges, 2, "row", edge), _fixed(spark, 3, "}"))
+    return _union(_fixed(spark, 0, *head), _lines(sized_nodes(edges, config), 1, "row", node, [("font_size", 17)]), _lines(edges, 2, "row", edge, numbers), _fixed(spark, 3, "}"))
 
 
 def cells(config: Config) -> list[Column]:
@@ -164,7 +170,7 @@ def table_lines(edges: DataFrame, config: Config) -> DataFrame:
         foot += [] if config.caption is None else [rf"\caption{{{f.tex(config.caption)}}}"]
         foot += [] if config.table_label is None else [rf"\label{{{f.tex(config.table_label)}}}"]
         foot += [r"\end{table}"] * floats
-    parts = [_fixed(spark, 0, *head), _lines(named, 1, "row", line)]
+    parts = [_fixed(spark, 0, *head), _lines(named, 1, "row", line, [(n, config.precision) for n in config.columns if n in ("idf1", "idf2", "cw", "z")])]
     return _union(*parts, *([_fixed(spark, 2, *foot)] if foot else []))
 
 
@@ -241,7 +247,7 @@ def page_lines(edges: DataFrame, config: Config) -> DataFrame:
     length = DEFAULT_PIXELS if config.edge_length is None else config.edge_length * LENGTH_PIXELS
     head = [*PAGE_HEAD.split("\n"), f"const distance = {f.g(length, 17)};", f'const graph = {{"directed":{json.dumps(config.directed)},"nodes":[']
     return _union(
-        _fixed(spark, 0, *head), _lines(_last(sized_nodes(edges, config)), 1, "row", node), _fixed(spark, 2, '],"links":['), _lines(_last(edges), 3, "row", edge), _fixed(spark, 4, "]};", *PAGE_FOOT.split("\n"))
+        _fixed(spark, 0, *head), _lines(_last(sized_nodes(edges, config)), 1, "row", node, NODE_NUMBERS), _fixed(spark, 2, '],"links":['), _lines(_last(edges), 3, "row", edge, SCORES), _fixed(spark, 4, "]};", *PAGE_FOOT.split("\n"))
     )
 
 
@@ -275,7 +281,7 @@ def edge_lines(edges: DataFrame) -> DataFrame:
     """(row, line) of edges: idf with 12 digits, cw and z with 17, a hyphen for a missing fq, then the unit ids."""
     ends = [x for i in (1, 2) for x in (_int(f"df{i}"), _g(f"idf{i}", 12), _int(f"fq{i}", "-"))]
     line = F.concat_ws("\t", "token1", "token2", _int("ctf"), _int("cdf"), *ends, _g("cw"), _g("z"), "unit_ids")
-    return _lines(edges, 0, "row", line).select("row", "line")
+    return _lines(edges, 0, "row", line, [("idf1", 12), ("idf2", 12), *SCORES]).select("row", "line")
 
 
 def edge_pieces(edges: DataFrame, units: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def numbers(n, seed):
 def test_g(spark, digits):
     values = numbers(4_000, digits)
     df = spark.createDataFrame(list(enumerate(values)), "i int, x double").repartition(4)
-    got = {r["i"]: r["t"] for r in df.select("i", columns.g(F.col("x"), digits).alias("t")).collect()}
+    got = {r["i"]: r["t"] for r in columns.with_g(df, [("x", digits)]).withColumnRenamed(columns.g_name("x", digits), "t").collect()}
     for i, x in enumerate(values):
         assert got[i] == (None if x is None else formats.g(x, digits)), x
 
