@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from decimal import Decimal
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,135 +17,90 @@ FIVES, TWOS = 12, 29
 NEAR, FAR = 1e-4, 1e15
 
 
-def _with(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _div(x: Column, y: int) -> Column:
-    return F.call_function("div", x, F.lit(y).cast("bigint"))
-
-
-def _times(limbs: Column, factor: Column) -> Column:
+def _times(limbs: str, factor: str) -> str:
     """A number, as limbs from the lowest on, times a factor below ``BASE``."""
-    none = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("carry"))
-
-    def step(done: Column, limb: Column) -> Column:
-        return _with(limb * factor + done["carry"], lambda x: F.struct(F.array_append(done["out"], x % BASE).alias("out"), _div(x, BASE).alias("carry")))
+    step = _let("t", f"l * {factor} + s.carry", f"named_struct('out', array_append(s.out, t % {BASE}L), 'carry', t div {BASE}L)")
+    return f"aggregate({limbs}, named_struct('out', cast(array() as array<bigint>), 'carry', 0L), (s, l) -> {step}, s -> if(s.carry > 0, array_append(s.out, s.carry), s.out))"
 
-    return F.aggregate(limbs, none, step, lambda done: F.when(done["carry"] > 0, F.array_append(done["out"], done["carry"])).otherwise(done["out"]))
 
-
-def _powers(base: int, most: int, exponent: Column) -> Column:
+def _powers(base: int, most: int, exponent: str) -> str:
     """Factors whose product is ``base`` to the exponent, none above ``base ** most``."""
-    small = F.array(*(F.lit(base**i).cast("bigint") for i in range(most)))
-    return F.array_append(F.array_repeat(F.lit(base**most).cast("bigint"), _div(exponent, most).cast("int")), F.get(small, exponent % most))
-
-
-def _integers(x: Column) -> Column:
-    """(m, k): a positive double as m / 2**k. ``k`` is larger than it need be, so that a logarithm that is off by one does
-    no harm; scaling by powers of two is exact."""
-    k = F.lit(54) - F.floor(F.log2(x)).cast("int")
-
-    def scaled(k: Column) -> Column:
-        first = F.least(k, F.lit(1000))
-        return F.struct((x * F.pow(F.lit(2.0), first.cast("double")) * F.pow(F.lit(2.0), (k - first).cast("double"))).cast("bigint").alias("m"), k.alias("k"))
-
-    return _with(k, scaled)
-
+    return f"array_append(array_repeat({base**most}L, cast(({exponent}) div {most} as int)), cast(pow({base}D, ({exponent}) % {most}) as bigint))"
 
-def _exact(x: Column) -> Column:
-    """(digits, point) of a positive double: all its decimal digits, of which ``point`` are behind the point: m / 2**k is
-    m * 5**k / 10**k for a positive k."""
 
-    def scaled(n: Column) -> Column:
-        m, k = n["m"], n["k"]
-        factors = F.when(k > 0, _powers(5, FIVES, k)).otherwise(_powers(2, TWOS, F.abs(k)))
-        limbs = F.aggregate(factors, F.array(m % BASE, _div(m, BASE)), _times)
-        text = F.array_join(F.reverse(F.transform(limbs, lambda d: F.lpad(d.cast("string"), LIMB, "0"))), "")
-        return F.struct(F.ltrim(text, F.lit("0")).alias("digits"), F.greatest(k, F.lit(0)).alias("point"))
+def _exact(x: str) -> str:
+    """(digits, point) of a positive double: all its decimal digits, of which ``point`` are behind the point.
 
-    return _with(_integers(x), scaled)
+    A double is m / 2**k with integers, and for a positive k that is m * 5**k / 10**k. ``k`` is larger than it need be,
+    so that a logarithm that is off by one does no harm; scaling by powers of two is exact."""
+    m = f"cast({x} * pow(2D, least(k, 1000)) * pow(2D, k - least(k, 1000)) as bigint)"
+    factors = f"if(k > 0, {_powers(5, FIVES, 'k')}, {_powers(2, TWOS, '-k')})"
+    limbs = _let("m", m, f"aggregate({factors}, array(m % {BASE}L, m div {BASE}L), (n, f) -> {_times('n', 'f')})")
+    text = f"array_join(reverse(transform({limbs}, d -> lpad(cast(d as string), {LIMB}, '0'))), '')"
+    return _let("k", f"54 - cast(floor(log2({x})) as int)", f"named_struct('digits', trim(leading '0' from {text}), 'point', greatest(k, 0))")
 
 
-def _rounded(exact: Column, digits: int) -> Column:
+def _rounded(e: str, digits: int) -> str:
     """(text, power): the leading ``digits`` digits without trailing zeros, ties to even, and the power of ten of the first."""
-    power = F.length(exact["digits"]) - 1 - exact["point"]
-    head, rest = F.substring(exact["digits"], 1, digits), F.substring(exact["digits"], digits + 1, 2000)
-    half = F.rpad(F.lit("5"), F.length(rest), "0")
-    up = (rest > half) | ((rest == half) & (head.cast("bigint") % 2 == 1))
-    grown = head.cast("bigint") + F.when(F.length(rest) > 0, up.cast("int")).otherwise(F.lit(0))
-    return _with(
-        grown.cast("string"),
-        lambda text: F.struct(F.rtrim(text, F.lit("0")).alias("text"), (power + F.length(text) - F.length(head)).alias("power")),
-    )
+    head, rest = f"substring({e}.digits, 1, {digits})", f"substring({e}.digits, {digits + 1})"
+    up = f"case when {rest} = '' then 0 when {rest} > h then 1 when {rest} = h and cast({head} as bigint) % 2 = 1 then 1 else 0 end"
+    grown = _let("h", f"rpad('5', length({rest}), '0')", f"cast(cast({head} as bigint) + {up} as string)")
+    return _let("w", grown, f"named_struct('text', trim(trailing '0' from w), 'power', length({e}.digits) - 1 - {e}.point + length(w) - length({head}))")
 
 
-def _written(text: Column, power: Column, digits: int) -> Column:
-    n = F.length(text)
-    fraction = F.when(n > 1, F.concat(F.lit("."), F.substring(text, 2, digits))).otherwise(F.lit(""))
-    two = F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit(""))
-    raised = F.concat(F.substring(text, 1, 1), fraction, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), two, F.abs(power).cast("string"))
-    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), text)
-    whole = F.rpad(text, power + 1, F.lit("0"))
-    mixed = F.concat(F.substring(text, F.lit(1), power + 1), F.lit("."), F.substring(text, power + 2, F.lit(digits)))
-    return F.when((power < -4) | (power >= digits), raised).when(power < 0, below).when(n <= power + 1, whole).otherwise(mixed)
+def _written(text: str, power: str, digits: int) -> str:
+    fraction = f"if(length({text}) > 1, concat('.', substring({text}, 2)), '')"
+    raised = f"concat(substring({text}, 1, 1), {fraction}, if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), cast(abs({power}) as string))"
+    below = f"concat('0.', repeat('0', -{power} - 1), {text})"
+    mixed = f"concat(substring({text}, 1, {power} + 1), '.', substring({text}, {power} + 2))"
+    return f"case when {power} < -4 or {power} >= {digits} then {raised} when {power} < 0 then {below} when length({text}) <= {power} + 1 then rpad({text}, {power} + 1, '0') else {mixed} end"
 
 
-def g(x: Column, digits: int) -> Column:
-    """A double as C's ``%.*g`` writes it, from its exact value; null stays null."""
-    digits = max(1, digits)
+def _g(x: str, digits: int) -> str:
+    size = _let("a", "abs(v)", _let("e", _exact("a"), _let("r", _rounded("e", digits), _written("r.text", "r.power", digits))))
+    plain = f"case when v = 0 then '0' when abs(v) = double('inf') then 'inf' else {size} end"
+    return _let("v", f"cast({x} as double)", f"case when v is null then null when isnan(v) then 'nan' else concat(if(cast(v as string) like '-%', '-', ''), {plain}) end")
 
-    def write(v: Column) -> Column:
-        sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-        size = _with(F.abs(v), lambda a: _with(_with(_exact(a), lambda e: _rounded(e, digits)), lambda r: _written(r["text"], r["power"], digits)))
-        plain = F.when(v == 0, F.lit("0")).when(F.abs(v) == float("inf"), F.lit("inf")).otherwise(size)
-        return F.when(F.isnan(v), F.lit("nan")).otherwise(F.concat(sign, plain))
 
-    return _with(x.cast("double"), lambda v: F.when(v.isNotNull(), write(v)))
-
-
-def _decimals(base: int, most: int, size: int, exponent: Column) -> Column:
-    """``base`` to the exponent, at most ``most``, as a decimal of ``size`` digits."""
-    return F.get(F.array(*(F.lit(Decimal(base**i)).cast(f"decimal({size},0)") for i in range(most + 1))), exponent)
+def g_name(column: str, digits: int) -> str:
+    return f"_g{digits} {column}"
 
 
 def with_g(df: DataFrame, numbers: Iterable[tuple[str, int]]) -> DataFrame:
-    """Adds the text of ``g`` for each column and number of digits, as ``g_name(column, digits)``.
+    """Adds each column's text with so many digits, as C's ``%.*g`` writes it from the exact value, under the name
+    ``g_name(column, digits)``; null stays null.
 
     Doubles from ``NEAR`` to ``FAR`` are m / 2**k with m * 10**p below 10**38, so that their first 18 or 19 digits are a
-    quotient of decimals; the steps are projections, which Spark compiles. ``g`` has the rest."""
+    quotient of decimals; the steps are projections, which Spark compiles. Large numbers in limbs have the rest."""
     asked = list(dict.fromkeys(numbers))
     names = {n for n, _ in asked}
-    of = lambda step, name: F.col(f"_{step} {name}")
-
-    def add(df: DataFrame, step: str, write: Callable[[str], Column]) -> DataFrame:
-        return df.withColumns({f"_{step} {n}": write(n) for n in names})
-
-    out = add(df, "a", lambda n: F.abs(F.col(n).cast("double")))
-    out = add(out, "k", lambda n: F.when((of("a", n) >= NEAR) & (of("a", n) < FAR), F.lit(54) - F.floor(F.log2(of("a", n))).cast("int")))
-    out = add(out, "p", lambda n: F.when(of("k", n).isNotNull(), F.lit(17) - F.floor(F.log10(of("a", n))).cast("int")))
-    m = lambda n: (of("a", n) * F.pow(F.lit(2.0), of("k", n).cast("double"))).cast("bigint").cast("decimal(17,0)")
-    out = add(out, "m", lambda n: m(n) * _decimals(10, 21, 22, of("p", n)))
-    out = add(out, "d", lambda n: _decimals(2, 68, 21, of("k", n)))
-    out = add(out, "q", lambda n: F.call_function("div", of("m", n), of("d", n)))
-    for name, digits in asked:
-        shown, q = max(1, digits), of("q", name)
-        size = F.when(q >= 10**18, F.lit(19)).otherwise(F.lit(18))
-        out = out.withColumn("_c", F.when(q >= 10**18, F.lit(10 ** (19 - shown))).otherwise(F.lit(10 ** (18 - shown))).cast("bigint"))
-        cut = F.col("_c")
-        head, twice = F.call_function("div", q, cut), (q % cut) - (cut - q % cut)
-        up = (twice > 0) | ((twice == 0) & (((of("m", name) % of("d", name)) > 0) | (head % 2 == 1)))
-        out = out.withColumn("_r", F.when(q >= 10**17, (head + up.cast("int")).cast("string")))
-        out = out.withColumns({"_t": F.rtrim(F.col("_r"), F.lit("0")), "_w": size - 1 - of("p", name) + F.length("_r") - shown})
-        sign = F.when(F.col(name) < 0, F.lit("-")).otherwise(F.lit(""))
-        near = F.concat(sign, _written(F.col("_t"), F.col("_w"), shown))
-        out = out.withColumn(g_name(name, digits), F.when(F.col("_r").isNotNull(), near).otherwise(g(F.col(name), digits))).drop("_c", "_r", "_t", "_w")
-    return out.drop(*(f"_{step} {n}" for n in names for step in "akpmdq"))
 
-
-def g_name(column: str, digits: int) -> str:
-    return f"_g{digits} {column}"
+    def add(df: DataFrame, step: str, sql: str) -> DataFrame:
+        """A column for each number, in whose expression ``{a}`` stands for its column of step a."""
+        return df.withColumns({f"_{step} {n}": F.expr(sql.format(x=f"`{n}`", **{s: f"`_{s} {n}`" for s in "akpmdq"})) for n in names})
+
+    out = add(df, "a", "abs(cast({x} as double))")
+    out = add(out, "k", f"case when {{a}} >= {NEAR!r}D and {{a}} < {FAR!r}D then 54 - cast(floor(log2({{a}})) as int) end")
+    out = add(out, "p", "case when {k} is not null then 17 - cast(floor(log10({a})) as int) end")
+    out = add(out, "m", "cast(cast({a} * pow(2D, {k}) as bigint) as decimal(17,0)) * cast(rpad('1', {p} + 1, '0') as decimal(22,0))")
+    two = "cast(cast(pow(2D, {}) as bigint) as decimal(11,0))"
+    out = add(out, "d", f"{two.format('{k} div 2')} * {two.format('{k} - {k} div 2')}")
+    out = add(out, "q", "{m} div {d}")
+    for i, (name, digits) in enumerate(asked):
+        shown, q, c, r, t, w = max(1, digits), f"`_q {name}`", f"_c{i}", f"_r{i}", f"_t{i}", f"_w{i}"
+        out = out.withColumn(c, F.expr(f"if({q} >= {10**18}, {10 ** (19 - shown)}L, {10 ** (18 - shown)}L)"))
+        rest, head = f"({q} % {c})", f"{q} div {c}"
+        more = f"(`_m {name}` % `_d {name}` > 0 or ({head}) % 2 = 1)"
+        out = out.withColumn(r, F.expr(f"case when {q} >= {10**17} then cast({head} + if({rest} > {c} - {rest} or ({rest} = {c} - {rest} and {more}), 1, 0) as string) end"))
+        out = out.withColumns({t: F.expr(f"trim(trailing '0' from {r})"), w: F.expr(f"if({q} >= {10**18}, 19, 18) - 1 - `_p {name}` + length({r}) - {shown}")})
+        near = f"concat(if(`{name}` < 0, '-', ''), {_written(t, w, shown)})"
+        out = out.withColumn(g_name(name, digits), F.expr(f"case when {r} is not null then {near} else {_g(f'`{name}`', shown)} end")).drop(c, r, t, w)
+    return out.drop(*(f"_{step} {n}" for n in names for step in "akpmdq"))
 
 
 def _replaced(text: Column, pairs: dict[str, str]) -> Column:
@@ -156,7 +110,7 @@ def _replaced(text: Column, pairs: dict[str, str]) -> Column:
 
 def _quoted(text: Column, controls: dict[str, str]) -> Column:
     plain = _replaced(text, {"\\": "\\\\", '"': '\\"'})
-    return F.concat(F.lit('"'), _with(plain, lambda t: F.when(t.rlike(r"[\x00-\x1f]"), _replaced(t, controls)).otherwise(t)), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), _replaced(plain, controls)).otherwise(plain), F.lit('"'))
 
 
 def json_string(text: Column) -> Column:
