@@ -25,8 +25,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +40,8 @@ LEAST_PAGES, LEAST_SHARE = 2, 0.5
 CLASS_PAGES = 3
 #: Bytes of pivots and templates that are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Characters of attributes whose meaning is remembered.
+SHORT = 256
 #: Share of a block's text in links from which on the block is a list of links.
 LINK_SHARE = 0.5
 
@@ -74,22 +76,24 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    """An element: ``text`` holds its own texts, ``children`` both kinds in order."""
+    """An element: ``children`` holds its texts and elements in order, ``inner`` the elements alone."""
 
-    __slots__ = ("children", "dropped", "own", "shape", "size", "tag")
+    __slots__ = ("children", "dropped", "inner", "own", "shape", "size", "tag")
 
     def __init__(self, tag: str, dropped: int) -> None:
         self.tag, self.dropped = tag, dropped
         self.children: list[Node | str] = []
+        self.inner: list[Node] = []
         self.own: str | None = None
         self.shape, self.size = 0, 1
 
     def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
+        return self.inner
 
     def own_text(self) -> str:
         if self.own is None:
-            self.own = " ".join("".join(c for c in self.children if isinstance(c, str)).split())
+            texts = [c for c in self.children if c.__class__ is str] if self.inner else self.children
+            self.own = " ".join("".join(texts).split())
         return self.own
 
 
@@ -111,6 +115,12 @@ def drop_reason(tag: str, attributes: str) -> int:
     found = NAMED if tag == "form" else 0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return found
+    return (_reason_of if len(attributes) <= SHORT else _reason_of.__wrapped__)(tag, attributes, found)
+
+
+@lru_cache(maxsize=1 << 14)
+def _reason_of(tag: str, attributes: str, found: int) -> int:
+    """The same of a tag with attributes; pages of a site share most of them."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
@@ -137,12 +147,12 @@ def _keep_wrappers(root: Node, named: list[Node]) -> None:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [c for c in node.children if isinstance(c, Node) and c.dropped != ALWAYS]
+        todo += [c for c in node.inner if c.dropped != ALWAYS]
     sums: dict[int, tuple[int, int, int]] = {}
     for node in reversed(order):
         size = mains = articles = 0
         for c in node.children:
-            if isinstance(c, str):
+            if c.__class__ is str:
                 size += len(c.strip())
             elif id(c) in sums:
                 n = sums[id(c)]
@@ -155,53 +165,65 @@ def _keep_wrappers(root: Node, named: list[Node]) -> None:
             node.dropped = 0
 
 
-def parse(page: str) -> Node:
-    """A lenient tree of a page."""
+def parse(page: str, reasons: bool = True) -> Node:
+    """A lenient tree of a page; without ``reasons`` of its elements only, none of which is marked as dropped."""
     root, named = Node("#root", 0), []
     stack, at, n = [root], 0, len(page)
-    last, last_data, open_ = page.rfind(">") + 1, page.rfind("]]>"), Counter()
+    last, last_data, open_ = page.rfind(">") + 1, page.rfind("]]>"), {}
+    search, unescape = _TAG.search, entities.unescape
 
     def close(k: int) -> None:
-        open_.subtract(x.tag for x in stack[k:])
+        for x in stack[k:]:
+            open_[x.tag] -= 1
         del stack[k:]
 
     while at < n:
-        m = _TAG.search(page, at, last) if at < last else None
+        m = search(page, at, last) if at < last else None
         if m is None:
             comment = page.find("<!--", at)
-            stack[-1].children.append(entities.unescape(page[at : n if comment < 0 else comment]))
+            stack[-1].children.append(unescape(page[at : n if comment < 0 else comment]))
             break
-        if m.start() > at:
-            stack[-1].children.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end = m.span()
+        if start > at:
+            text = page[at:start]
+            stack[-1].children.append(unescape(text) if "&" in text else text)
+        at = end
+        closing, tag, attributes, closing_, tag_, attributes_ = m.groups()
+        if tag is None:
+            closing, tag, attributes = closing_, tag_, attributes_
         if tag is None:
             if m[0].startswith("<!--") and not m[0].endswith(">"):
                 break  # a comment that isn't closed
-            if m[0].startswith("<![CDATA[") and m.start() < last_data:
-                at = page.find("]]>", m.start()) + 3
-                stack[-1].children.append(page[m.start() + 9 : at - 3])
+            if m[0].startswith("<![CDATA[") and start < last_data:
+                at = page.find("]]>", start) + 3
+                stack[-1].children.append(page[start + 9 : at - 3])
             continue
         tag = tag.lower()
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+        if closing:
+            if stack[-1].tag == tag and len(stack) > 1:
+                stack.pop()
+                open_[tag] -= 1
+            elif open_.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
             continue
         for closed in ENDS.get(tag, ()):
-            for k in range(len(stack) - 1, 0, -1) if open_[closed] > 0 else ():
+            for k in range(len(stack) - 1, 0, -1) if open_.get(closed) else ():
                 if stack[k].tag == closed:
                     close(k)
                     break
                 if stack[k].tag in SCOPES and stack[k].tag != tag and (closed == "p" or stack[k].tag in ("ul", "ol", "dl", "table")):
                     break
         # what is pressed inside a paragraph is a word of it
-        node = Node(tag, 0 if tag == "button" and open_["p"] > 0 else drop_reason(tag, m[3] if m[2] else m[6]))
+        node = Node(tag, 0 if not reasons or tag == "button" and open_.get("p") else drop_reason(tag, attributes))
         if node.dropped > ALWAYS:
             named.append(node)
-        stack[-1].children.append(node)
-        if tag in VOID or (m[3] or m[6] or "").endswith("/"):
+        above = stack[-1]
+        above.children.append(node)
+        above.inner.append(node)
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*+>", re.IGNORECASE).search(page, at, last)
@@ -209,7 +231,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
-        open_[tag] += 1
+        open_[tag] = open_.get(tag, 0) + 1
     if named:
         _keep_wrappers(root, named)
     return root
@@ -223,8 +245,11 @@ def numbered(root: Node) -> list[Node]:
         order.append(node)
         todo += reversed(node.elements())
     for node in reversed(order):
-        inner = node.elements()
-        node.shape, node.size = hash((node.tag, *(c.shape for c in inner))), 1 + sum(c.size for c in inner)
+        inner = node.inner
+        if inner:
+            node.shape, node.size = hash((node.tag, *[c.shape for c in inner])), 1 + sum([c.size for c in inner])
+        else:
+            node.shape = hash((node.tag,))
     return order
 
 
@@ -296,7 +321,10 @@ def align(pivot: Node, page: Node) -> list[tuple[Node, Node]]:
     while todo:
         a, b = todo.pop()
         out.append((a, b))
-        todo += [(p, q) for p, q, w in _children(a, b, sizes) if w]
+        if a.shape == b.shape:
+            todo += zip(a.inner, b.inner, strict=True)
+        else:
+            todo += [(p, q) for p, q, w in _children(a, b, sizes) if w]
     return out
 
 
@@ -309,9 +337,11 @@ def _links(roots: list[Node]) -> dict[int, tuple[int, int]]:
         todo += x.elements()
     found: dict[int, tuple[int, int]] = {}
     for x in reversed(order):
-        inner = [found[id(c)] for c in x.elements()]
-        total = len(x.own_text()) + sum(n for _, n in inner)
-        found[id(x)] = (total if x.tag == "a" else sum(n for n, _ in inner)), total
+        linked, total = 0, len(x.own_text())
+        for c in x.inner:
+            below = found[id(c)]
+            linked, total = linked + below[0], total + below[1]
+        found[id(x)] = (total if x.tag == "a" else linked), total
     return found
 
 
@@ -378,7 +408,7 @@ def main_text(root: Node, template: set[int]) -> str:
     todo: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(chosen or [root])]
     while todo:
         x, article = todo.pop()
-        if isinstance(x, str):
+        if x.__class__ is str:
             out.append(x)
             continue
         if x.dropped:
@@ -469,7 +499,7 @@ def induce(paired: DataFrame) -> DataFrame:
                 source, tree, place = pivots.of(host, pivot)
                 if page == source or not page:
                     continue
-                root = parse(page)
+                root = parse(page, reasons=False)
                 numbered(root)
                 for a, b in align(tree, root):
                     if a.own_text():
