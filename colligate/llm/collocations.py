@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colligate.llm.common import discard, slices, stored, table, text_column
+from colligate.llm.common import arrow_batches, discard, slices, stored, table, text_column
 from colligate.llm.shingles import mix
 from colligate.llm.words import Words, joined, kinds, words_of
 
@@ -48,6 +48,8 @@ FILTER_BITS = 1 << 27
 _ROW_BITS = 1 << 15
 #: Bytes of text that are split at once; different keys, and bytes of n-grams, that a task sums before it writes them.
 SLICE_BYTES, KEYS, GRAM_BYTES = 1 << 20, 1 << 20, 32 << 20
+#: Rows that a task gets, and gives, at once; neither side of a Python worker holds more than these beside its sums.
+ROWS_IN, ROWS_OUT = 512, 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +81,45 @@ class Tally:
         return out
 
 
+class Grams:
+    """The different n-grams of a shard with their counts. Each n-gram's text is kept once, whatever number of batches have it."""
+
+    def __init__(self) -> None:
+        self.keys, self.at, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.langs: list[pa.Array] = []
+        self.phrases: list[pa.Array] = []
+        self.nbytes = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds counts of different sorted keys; whether each key is new, so that ``named`` must tell what it is."""
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        self.counts[self.at[place[known]]] += counts[known]
+        new = ~known
+        self.at = np.insert(self.at, place[new], len(self.counts) + np.arange(int(new.sum())))
+        self.keys = np.insert(self.keys, place[new], keys[new])
+        self.counts = np.concatenate([self.counts, counts[new]])
+        return new
+
+    def named(self, langs: pa.Array, phrases: pa.Array) -> None:
+        self.langs.append(langs)
+        self.phrases.append(phrases)
+        self.nbytes += phrases.nbytes
+
+    def empty(self) -> Iterator[pa.RecordBatch]:
+        """(lang, words, n) of all, sorted, ``ROWS_OUT`` at once."""
+        if len(self.counts):
+            counts, langs, phrases = self.counts, pa.concat_arrays(self.langs), pa.concat_arrays(self.phrases)
+            self.__init__()
+            order = pc.sort_indices(pa.table([langs, phrases], names=["lang", "phrase"]), sort_keys=[("lang", "ascending"), ("phrase", "ascending")])
+            for i in range(0, len(order), ROWS_OUT):
+                own = order.slice(i, ROWS_OUT)
+                n = pa.array(counts[own.to_numpy()], pa.int64())
+                yield pa.RecordBatch.from_arrays([langs.take(own), pc.split_pattern(phrases.take(own), " "), n], names=["lang", "words", "n"])
+
+
 def _words(part: pa.RecordBatch) -> tuple[Words, np.ndarray]:
     """The words of the texts of a batch, and their hashes with those of their languages."""
     words = words_of(part.column("text"), KINDS)
@@ -102,9 +143,11 @@ def _keyed(batches: Iterator[pa.RecordBatch], known: Broadcast | None) -> Iterat
     """(lang, key, n): counts of words' keys, or of pairs' of known words; without a key those of all words of a language."""
     tally, totals = Tally(), Counter()
 
-    def rows() -> pa.RecordBatch:
+    def rows() -> Iterator[pa.RecordBatch]:
         keys, counts = tally.empty()
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64), pa.int64()), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
+        for i in range(0, len(keys), ROWS_OUT):
+            own = keys[i : i + ROWS_OUT].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.string()), pa.array(own, pa.int64()), pa.array(counts[i : i + ROWS_OUT], pa.int64())], names=["lang", "key", "n"])
 
     for part in slices(batches, "text", SLICE_BYTES):
         words, keys = _words(part)
@@ -116,14 +159,15 @@ def _keyed(batches: Iterator[pa.RecordBatch], known: Broadcast | None) -> Iterat
             pairs, good = _pairs(words, keys, known.value)
             tally.add(pairs[good])
         if tally.full:
-            yield rows()
-    yield rows()
+            yield from rows()
+    yield from rows()
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["lang", "key", "n"])
 
 
 def _counted(rows: DataFrame, known: Broadcast | None, least: int) -> DataFrame:
     keyed = rows.mapInArrow(lambda batches: _keyed(batches, known), "lang string, key long, n long")
-    return stored(keyed.groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= least)), "counted")
+    with arrow_batches(rows.sparkSession, ROWS_IN):
+        return stored(keyed.groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= least)), "counted")
 
 
 def frequent_bits(counted: DataFrame, bits: int) -> np.ndarray:
@@ -140,8 +184,7 @@ def shard_ngrams(rows: DataFrame, words_known: Broadcast, pairs_known: Broadcast
     """(lang, words, n): the n-grams of each task's rows, sorted and summed; each starts with a frequent word and goes on
     as long as pairs are frequent."""
 
-    def grams(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-        """(keys, counts, languages, n-grams) of a batch."""
+    def gather(part: pa.RecordBatch, found: Grams) -> None:
         words, keys = _words(part)
         pairs, good = _pairs(words, keys, words_known.value)
         good[good] = is_set(pairs_known.value, pairs[good])
@@ -157,33 +200,17 @@ def shard_ngrams(rows: DataFrame, words_known: Broadcast, pairs_known: Broadcast
             size[at] += 1
         start = np.flatnonzero(is_set(words_known.value, keys))
         keys, first, counts = np.unique(whole[start], return_index=True, return_counts=True)
-        at = start[first]
+        at = start[first][found.add(keys, counts)]
         packed, starts = words.packed()
-        return keys, counts, part.column("lang").take(pa.array(words.text[at])), joined(packed, starts[at], starts[at + size[at]] - 1)
-
-    def united(parts: list) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-        keys, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        counts = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        return keys, counts, *(pa.concat_arrays([p[i] for p in parts]).take(pa.array(first)) for i in (2, 3))
-
-    def written(parts: list) -> Iterator[pa.RecordBatch]:
-        if parts:
-            _, counts, langs, phrases = united(parts)
-            made = pa.RecordBatch.from_arrays([langs, pc.split_pattern(phrases, " "), pa.array(counts, pa.int64())], names=["lang", "words", "n"])
-            yield made.take(pc.sort_indices(pa.table([langs, phrases], names=["lang", "phrase"]), sort_keys=[("lang", "ascending"), ("phrase", "ascending")]))
+        found.named(part.column("lang").take(pa.array(words.text[at])), joined(packed, starts[at], starts[at + size[at]] - 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, pending = [], 0
+        found = Grams()
         for part in slices(batches, "text", SLICE_BYTES):
-            parts.append(grams(part))
-            pending += parts[-1][3].nbytes
-            if pending > 2 * GRAM_BYTES:
-                parts = [united(parts)]
-                pending = parts[0][3].nbytes
-                if pending > GRAM_BYTES:
-                    yield from written(parts)
-                    parts, pending = [], 0
-        yield from written(parts)
+            gather(part, found)
+            if found.nbytes > GRAM_BYTES:
+                yield from found.empty()
+        yield from found.empty()
 
     return rows.mapInArrow(work, "lang string, words array<string>, n long")
 
@@ -240,7 +267,8 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     words_known = sc.broadcast(frequent_bits(words, filter_bits))
     pairs = _counted(rows, words_known, least)
     pairs_known = sc.broadcast(frequent_bits(pairs, filter_bits))
-    ngrams = stored(shard_ngrams(rows, words_known, pairs_known, longest), "ngrams")
+    with arrow_batches(docs.sparkSession, ROWS_IN):
+        ngrams = stored(shard_ngrams(rows, words_known, pairs_known, longest), "ngrams")
     found = stored(transducer(ngrams, longest, least), "phrases")
     discard(ngrams, pairs)
     return found, words.filter("key is null").select("lang", "n")
