@@ -18,8 +18,8 @@ from colligate.sinks.store import numbered, stored
 
 #: Places of a row that are paired with all behind them at once.
 STEP = 32
-#: Different tokens in a block of a unit, on average.
-BLOCK_TYPES = 1024
+#: Different tokens in a block of a unit, unless it has so many that there would be more than ``BLOCKS`` blocks; and the most then.
+BLOCK_TYPES, BLOCKS, LARGEST_BLOCK = 1024, 64, 16_384
 #: Rows of a unit whose ordered pairs are made; more are counted by what precedes them.
 LEAF_ROWS = 64
 #: Rows of a table that are walked in one piece.
@@ -121,19 +121,23 @@ def pair_table(df: DataFrame, unit: str, token: Column, order: Sequence[str], wi
 
 def pair_types(df: DataFrame, unit: str, token: Column, block_types: int = BLOCK_TYPES) -> DataFrame:
     """(unit_id, token1, token2, fq1, fq2): each unordered pair of different tokens of a unit once, of a table with a row per
-    token, where a unit may have more tokens than fit into a row. A unit's different tokens are dealt to blocks by their hash, its blocks in
-    pairs to the cells of a triangle, and a cell pairs the tokens of its two blocks."""
+    token, where a unit may have more tokens than fit into a row. A unit's different tokens are sorted and cut into blocks, its blocks in
+    pairs dealt to the cells of a triangle, and a cell pairs the tokens of its two blocks, of which those of the first are smaller.
+    Every block goes to as many cells as its unit has blocks; blocks grow with the unit, up to ``LARGEST_BLOCK``, so that these copies don't
+    grow with its pairs."""
     events = df.filter(F.col(unit).isNotNull() & token.isNotNull()).select(F.col(unit).cast("string").alias("unit_id"), token.alias("t"))
-    types = events.groupBy("unit_id", "t").agg(F.count("*").alias("c"))
-    sizes = types.groupBy("unit_id").agg(F.ceil(F.count("*") / block_types).cast("int").alias("k"))
-    dealt = types.join(sizes, "unit_id").withColumn("own", F.pmod(F.xxhash64("t"), F.col("k")).cast("int"))
-    cells = dealt.select("unit_id", "t", "c", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    held = cells.groupBy("unit_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.sort_array(F.collect_list(F.struct("t", "c", "own"))).alias("held"))
-    sides = held.select("unit_id", (F.col("i") == F.col("j")).alias("same"), F.filter("held", lambda x: x["own"] == F.col("i")).alias("left"), F.filter("held", lambda x: x["own"] == F.col("j")).alias("right"))
-    each = sides.select("unit_id", "right", "same", F.posexplode("left").alias("p", "a"))
+    placed = numbered(events.groupBy("unit_id", "t").agg(F.count("*").alias("c")), "unit_id", "t")
+    size = F.greatest(F.lit(block_types), F.least(F.ceil(F.count("*") / BLOCKS), F.lit(LARGEST_BLOCK)))
+    sizes = placed.groupBy("unit_id").agg(F.min("row").alias("first"), size.alias("size"), F.ceil(F.count("*") / size).cast("int").alias("k"))
+    dealt = placed.join(sizes, "unit_id").withColumn("own", F.floor((F.col("row") - F.col("first")) / F.col("size")).cast("int"))
+    blocks = dealt.groupBy("unit_id", "own", "k").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("held"))
+    cells = blocks.select("unit_id", "own", "held", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    # the number is given, so that cells aren't put together for being small: their pairs are many
+    spread = cells.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit_id", "i", "j")
+    sides = spread.groupBy("unit_id", "i", "j").agg(*(F.first(F.when(F.col("own") == F.col(x), F.col("held")), ignorenulls=True).alias(side) for x, side in (("i", "left"), ("j", "right"))))
+    each = sides.select("unit_id", "right", (F.col("i") == F.col("j")).alias("same"), F.posexplode("left").alias("p", "a"))
     both = each.select("unit_id", "a", F.explode(F.when(F.col("same"), F.slice("right", F.col("p") + 2, F.size("right"))).otherwise(F.col("right"))).alias("b"))
-    one, two = F.least("a", "b"), F.greatest("a", "b")  # by token, which is their first field
-    return both.select("unit_id", one["t"].alias("token1"), two["t"].alias("token2"), one["c"].alias("fq1"), two["c"].alias("fq2"))
+    return both.select("unit_id", F.col("a.t").alias("token1"), F.col("b.t").alias("token2"), F.col("a.c").alias("fq1"), F.col("b.c").alias("fq2"))
 
 
 def ordered_pair_counts(df: DataFrame, unit: str, token: Column, order: Sequence[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
