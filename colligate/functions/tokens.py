@@ -51,7 +51,11 @@ def field_equals(token: Column, n: int, value: str) -> Column:
 
 def project(token: Column, chosen: Sequence[int] = DEFAULT_FIELDS) -> Column:
     """The chosen fields that exist, in their order; the whole token if none does."""
-    parts = fields(token)
+    return projected(fields(token), token, chosen)
+
+
+def projected(parts: Column, token: Column, chosen: Sequence[int] = DEFAULT_FIELDS) -> Column:
+    """The same of a token whose ``fields`` are there already."""
     wanted = F.array_compact(F.array(*(F.get(parts, F.lit(n - 1)) for n in sorted(set(chosen)))))
     return F.when(F.size(parts) < min(chosen), token).otherwise(F.array_join(wanted, "/"))
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from colligate.errors import OptionError
 from colligate.functions.ere import to_java
-from colligate.functions.tokens import DEFAULT_FIELDS, project
+from colligate.functions.tokens import DEFAULT_FIELDS, fields as fields_of, project, projected
 from colligate.operators.pairs import behind, counted, let, run_counts
+from colligate.sinks.store import stored
 
 METHODS = (1, 7, 12, 16)
 KEYED = (7, 12)
@@ -30,9 +31,9 @@ class Corpus:
     (unit_id, pattern1, pattern2, ord) of pairs, both once per unit, and the number of units.
 
     Of units, ``patterns`` has rows (ord, unit_id, p, tokens) with their different patterns, so that a key's
-    units are known, and combined, before any pair is made. Where each unit is one row, a token's
-    ``first`` says whether it is the first one of its pattern in its unit, and a key is looked for in
-    each row, so that nothing is joined."""
+    units are known, and combined, before any pair is made. Where each unit is one row, these are a table in the shared
+    folder, whose tokens are counted and have their patterns; a token's ``first`` says whether it is the first one of its
+    pattern in its unit, and a key is looked for in each row, so that nothing is joined."""
 
     tokens: DataFrame
     pairs: DataFrame
@@ -57,20 +58,28 @@ def corpus_of_units(units: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS, on
     making raw pairs: patterns are combined once per row. With ``one_row`` a unit id has one row
     only (as ``units_from_table`` makes them), so that nothing need be told apart by unit ids."""
     rows = units.filter(F.size(F.array_distinct("tokens")) > 1)
-    patterns = rows.select("ord", "unit_id", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: project(t, fields)))).alias("p"), "tokens")
     if one_row:
-        return Corpus(_token_rows(patterns, fields), combined(patterns, True), rows.agg(F.count("*").alias("n")), patterns, True, fields)
+        # statistics, pairs and the number of units all read it, so that units are put together and their tokens sorted once
+        listed = rows.select("ord", "unit_id", _by_pattern(F.col("tokens"), fields).alias("tokens"))
+        patterns = stored(listed.select("ord", "unit_id", F.array_distinct("tokens.pattern").alias("p"), "tokens"), "units")
+        return Corpus(_token_rows(patterns), combined(patterns, True), patterns.agg(F.count("*").alias("n")), patterns, True, fields)
+    patterns = rows.select("ord", "unit_id", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: project(t, fields)))).alias("p"), "tokens")
     seen = rows.select("ord", "unit_id", F.explode(counted(F.col("tokens"))).alias("e")).select("ord", "unit_id", F.col("e.t").alias("token"), F.col("e.c").alias("cnt"))
     seen = seen.groupBy("unit_id", "token").agg(F.min("ord").alias("ord"), F.min_by("cnt", "ord").alias("cnt")).withColumn("pattern", project(F.col("token"), fields))
     return Corpus(seen, combined(patterns, False), rows.agg(F.countDistinct("unit_id").alias("n")), patterns, False, fields)
 
 
-def _token_rows(rows: DataFrame, fields: Sequence[int], *keep: str) -> DataFrame:
-    """(ord, unit_id, pattern, token, cnt, first) and the columns ``keep`` of units: their tokens by
-    pattern, so that each pattern has a first one."""
-    named = F.array_sort(F.transform(counted(F.col("tokens")), lambda x: F.struct(project(x["t"], fields).alias("pattern"), x["t"].alias("token"), x["c"].alias("cnt"))))
-    firsts = lambda s: F.transform(s, lambda x, i: F.struct(x["pattern"].alias("pattern"), x["token"].alias("token"), x["cnt"].alias("cnt"), ((i == 0) | (F.get(s, i - 1)["pattern"] != x["pattern"])).alias("first")))
-    return rows.select("ord", "unit_id", *keep, F.explode(let(named, firsts)).alias("e")).select("ord", "unit_id", *keep, "e.*")
+def _by_pattern(tokens: Column, fields: Sequence[int]) -> Column:
+    """The different tokens (pattern, token, cnt) sorted by pattern, so that each pattern has a first one."""
+    pattern = lambda t: let(fields_of(t), lambda parts: projected(parts, t, fields))
+    return F.array_sort(F.transform(counted(tokens), lambda x: F.struct(pattern(x["t"]).alias("pattern"), x["t"].alias("token"), x["c"].alias("cnt"))))
+
+
+def _token_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """(ord, unit_id, pattern, token, cnt, first) and the columns ``keep`` of units whose tokens are sorted by pattern."""
+    each = rows.select("ord", "unit_id", *keep, "tokens", F.posexplode("tokens").alias("_i", "e"))
+    first = (F.col("_i") == 0) | (F.get("tokens", F.col("_i") - 1)["pattern"] != F.col("e.pattern"))
+    return each.select("ord", "unit_id", *keep, "e.*", first.alias("first"))
 
 
 def combined(patterns: DataFrame, one_row: bool, *keep: str) -> DataFrame:
@@ -92,7 +101,7 @@ def token_stats(c: Corpus, selected: DataFrame | None = None, key: str | None =
     ``selected`` (unit_id) are the local units, or those of ``key`` where it is given and each unit
     is one row; without both, local is global."""
     if key is not None and c.one_row:
-        tokens = _token_rows(_marked(c, key), c.fields, "_sel")
+        tokens = _token_rows(_marked(c, key), "_sel")
     else:
         tokens = c.tokens.withColumn("_sel", F.lit(True)) if selected is None else c.tokens.join(selected.withColumn("_sel", F.lit(True)), "unit_id", "left").fillna(False, ["_sel"])
     firsts = F.count_if("first") if c.one_row else F.lit(0)
