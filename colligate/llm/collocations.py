@@ -5,7 +5,7 @@ n-grams; a state's weight is the number of n-grams that go through it, so that t
 phrase of up to ``LONGEST`` words is the weight of one state, and each word of the corpus adds one n-gram:
 itself and the words behind it in its piece.
 
-Tasks sum the n-grams of their shards and write them sorted. The n-grams of all shards are
+Tasks sum the n-grams of their shards, a few for each core, and write them sorted. The n-grams of all shards are
 dealt to ranges of prefixes and sorted; in each range the transducer is built from them incrementally, in batches: an n-gram
 shares the states of the prefix that it has in common with the one before it, and gets new states for the rest; a state is
 closed, and its weight final, when the next n-gram leaves it. Closed states that are too light are
@@ -13,9 +13,11 @@ dropped; those on the first and last path of a batch, which may go on in its nei
 passed on whatever their weight, and sums unite them. Weights make equal futures rare, so states aren't merged
 at their ends. Phrases' parts are looked up by composing: parts are joined with the states that read them.
 
-A phrase can't be more frequent than its words and pairs of words. Before n-grams are gathered, words and then
-pairs are counted by their hashes, and the frequent ones set bits of a table of fixed size. N-grams end where a bit isn't set. The
-table never loses a frequent phrase; the more frequent pairs there are for its size, the more n-grams are gathered for nothing.
+A phrase can't be more frequent than its words, pairs of words and triples of words. Before n-grams are gathered, words and then
+pairs are counted by their hashes, and the frequent ones set bits of a table of fixed size. Triples of frequent pairs are too many for a row
+each: their hashes share the cells of a table of counts, which grows with the corpus up to the size of the others, and cells that are heavy
+enough set bits. N-grams end where a bit isn't set. The tables never lose a frequent phrase; the more frequent pairs and heavy cells
+there are for their size, the more n-grams are gathered for nothing.
 
 Defined results: null texts are empty, a null language is ``und``; texts of any length are read whole (a slice has one at least);
 repeated rows count as often; a language without a frequent phrase has no row; other columns are ignored. Inside a shard equal 64-bit hashes
@@ -46,6 +48,10 @@ LONGEST, LEAST, BEST = 5, 100, 2000
 #: Bits of a table of frequent hashes (16 MB).
 FILTER_BITS = 1 << 27
 _ROW_BITS = 1 << 15
+#: Words of the corpus for a cell in which triples are counted; rows of cells that a task gives at once.
+CELL_WORDS, CELL_ROWS = 16, 64
+#: Shards for each core, at most.
+SHARDS = 2
 #: Bytes of text that are split at once; different keys, and bytes of n-grams, that a task sums before it writes them.
 SLICE_BYTES, KEYS, GRAM_BYTES = 1 << 20, 1 << 20, 32 << 20
 #: Rows that a task gets, and gives, at once; neither side of a Python worker holds more than these beside its sums.
@@ -174,26 +180,82 @@ def frequent_bits(counted: DataFrame, bits: int) -> np.ndarray:
     """A table of ``bits`` bits in which those of the keys of ``counted`` are set."""
     place = F.col("key").bitwiseAND(F.lit(bits - 1))
     rows = counted.filter("key is not null").groupBy(F.floor(place / _ROW_BITS).cast("long").alias("row")).agg(F.bitmap_construct_agg((place % _ROW_BITS).cast("long")).alias("bits"))
+    return _table(rows, bits)
+
+
+def _table(rows: DataFrame, bits: int) -> np.ndarray:
     out = np.zeros(bits // 8, np.uint8)
     for r in rows.toLocalIterator():  # at most bits / 2**15 rows of 4 KB
         out[r["row"] * (_ROW_BITS // 8) :][: _ROW_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def shard_ngrams(rows: DataFrame, words_known: Broadcast, pairs_known: Broadcast, longest: int) -> DataFrame:
+def _frequent_pairs(words: Words, keys: np.ndarray, words_known: np.ndarray, pairs_known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_pairs``; and the pair is frequent too."""
+    pairs, good = _pairs(words, keys, words_known)
+    good[good] = is_set(pairs_known, pairs[good])
+    return pairs, good
+
+
+def _triples(keys: np.ndarray, pairs: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each word with the next two, and whether both pairs in it are frequent."""
+    return mix(pairs[:-1] * _ODD + keys[2:]), good[:-1] & good[1:]
+
+
+def _shards(rows: DataFrame) -> DataFrame:
+    """The rows in so few partitions that what each task sums, and all have in common, doesn't come once for every piece of a file."""
+    return rows.coalesce(SHARDS * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def frequent_triples(rows: DataFrame, words_known: Broadcast, pairs_known: Broadcast, cells: int, least: int) -> np.ndarray:
+    """A table of ``cells`` bits, set where the triples of frequent pairs that have a cell in common occur ``least`` times together.
+    A task counts in a table and hands on those of its rows of cells that aren't empty."""
+    kind = np.min_scalar_type(least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(cells, kind)
+        for part in slices(batches, "text", SLICE_BYTES):
+            words, keys = _words(part)
+            triples, good = _triples(keys, *_frequent_pairs(words, keys, words_known.value, pairs_known.value))
+            at, n = np.unique(triples[good] & np.uint64(cells - 1), return_counts=True)
+            table[at] = np.minimum(table[at] + n, least)
+        table = table.reshape(-1, _ROW_BITS)
+        some = np.flatnonzero(table.any(axis=1))
+        for i in range(0, len(some), CELL_ROWS):
+            own = some[i : i + CELL_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([table[j].tobytes() for j in own], pa.binary())], names=["row", "cells"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, own in zip(batch.column("row").to_pylist(), batch.column("cells"), strict=True):
+                n = np.frombuffer(own.as_buffer(), kind)
+                sums[row] = np.minimum(sums[row].astype(np.int64) + n, least).astype(kind) if row in sums else n.copy()
+        for row, n in sums.items():
+            bits = np.packbits(n >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([bits], pa.binary())], names=["row", "bits"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = _shards(rows).mapInArrow(count, "row long, cells binary").repartition(parts, "row")
+    with arrow_batches(rows.sparkSession, ROWS_IN):
+        return _table(counted.mapInArrow(unite, "row long, bits binary"), cells)
+
+
+def shard_ngrams(rows: DataFrame, words_known: Broadcast, pairs_known: Broadcast, triples_known: Broadcast, longest: int) -> DataFrame:
     """(lang, words, n): the n-grams of each task's rows, sorted and summed; each starts with a frequent word and goes on
-    as long as pairs are frequent."""
+    as long as pairs and triples are frequent."""
 
     def gather(part: pa.RecordBatch, found: Grams) -> None:
         words, keys = _words(part)
-        pairs, good = _pairs(words, keys, words_known.value)
-        good[good] = is_set(pairs_known.value, pairs[good])
-        good = np.r_[good, False][: len(keys)]
+        pairs, good = _frequent_pairs(words, keys, words_known.value, pairs_known.value)
+        triples, sure = _triples(keys, pairs, good)
+        sure[sure] = is_set(triples_known.value, triples[sure])
         size, whole = np.ones(len(keys), np.int64), keys.copy()
         more = np.ones(len(keys), bool)
         for k in range(1, longest):  # whether the k-th next word goes on with it
+            goes = good if k == 1 else sure[k - 2 :]
             reach = np.zeros(len(keys), bool)
-            reach[: max(0, len(keys) - k + 1)] = good[k - 1 :]
+            reach[: len(goes)] = goes
             more &= reach
             at = np.flatnonzero(more)
             whole[at] = mix(whole[at] * _ODD + keys[at + k])
@@ -212,7 +274,7 @@ def shard_ngrams(rows: DataFrame, words_known: Broadcast, pairs_known: Broadcast
                 yield from found.empty()
         yield from found.empty()
 
-    return rows.mapInArrow(work, "lang string, words array<string>, n long")
+    return _shards(rows).mapInArrow(work, "lang string, words array<string>, n long")
 
 
 def states(batch: pa.RecordBatch, longest: int, least: int) -> pa.RecordBatch:
@@ -257,6 +319,12 @@ def transducer(ngrams: DataFrame, longest: int, least: int) -> DataFrame:
     return ranges.mapInArrow(work, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
+def _cells(totals: DataFrame, most: int) -> int:
+    """Cells for the triples of a corpus: one for ``CELL_WORDS`` words or more, as a power of 2."""
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    return min(most, max(_ROW_BITS, 1 << (total // CELL_WORDS).bit_length()))
+
+
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """The phrases of up to ``longest`` words with ``least`` occurrences, (lang, phrase, n), and the
     number of words of each language, (lang, n). Both are tables in the shared folder."""
@@ -267,11 +335,13 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     words_known = sc.broadcast(frequent_bits(words, filter_bits))
     pairs = _counted(rows, words_known, least)
     pairs_known = sc.broadcast(frequent_bits(pairs, filter_bits))
+    totals = words.filter("key is null").select("lang", "n")
+    triples_known = sc.broadcast(frequent_triples(rows, words_known, pairs_known, _cells(totals, filter_bits), least))
     with arrow_batches(docs.sparkSession, ROWS_IN):
-        ngrams = stored(shard_ngrams(rows, words_known, pairs_known, longest), "ngrams")
+        ngrams = stored(shard_ngrams(rows, words_known, pairs_known, triples_known, longest), "ngrams")
     found = stored(transducer(ngrams, longest, least), "phrases")
     discard(ngrams, pairs)
-    return found, words.filter("key is null").select("lang", "n")
+    return found, totals
 
 
 def _part(first: Column, many: Column) -> Column:

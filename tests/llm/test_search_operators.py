@@ -187,6 +187,26 @@ def test_collocations(spark, monkeypatch, bits, least, longest):
     assert sorted(map(tuple, got)) == sorted(mined(docs, longest, least, 40))
 
 
+@pytest.mark.parametrize(("kinds", "least"), [(12, 50), (5, 300)])
+def test_ngrams_end_where_triples_are_rare(spark, monkeypatch, kinds, least):
+    rng = random.Random(kinds)
+    docs = [("en", " ".join(f"w{rng.randrange(kinds)}" for _ in range(100))) for _ in range(200)]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(40)
+    made, stored = [], collocations.stored
+
+    def counted(rows, name):
+        out = stored(rows, name)
+        if name == "ngrams":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "stored", counted)
+    got = collocations.collocations(df, least=least, best=400).collect()
+    assert sorted(map(tuple, got)) == sorted(mined(docs, 5, least, 400))
+    # all pairs are frequent and no triple is, but for the few that share a cell; and rows don't come once for each of 40 partitions
+    assert made[0] <= 1.25 * collocations.SHARDS * spark.sparkContext.defaultParallelism * kinds * (kinds + 1)
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     big = 3_000_000_000_000
     found = spark.createDataFrame([("en", "a", big), ("en", "b", big - 7), ("en", "a b", big - 9)], "lang string, phrase string, n long")
