@@ -122,7 +122,8 @@ def pair_table(df: DataFrame, unit: str, token: Column, order: Sequence[str], wi
 def pair_types(df: DataFrame, unit: str, token: Column, block_types: int = BLOCK_TYPES) -> DataFrame:
     """(unit_id, token1, token2, fq1, fq2): each unordered pair of different tokens of a unit once, of a table with a row per
     token, where a unit may have more tokens than fit into a row. A unit's different tokens are sorted and cut into blocks, its blocks in
-    pairs dealt to the cells of a triangle, and a cell pairs the tokens of its two blocks, of which those of the first are smaller.
+    pairs dealt to the cells of a triangle, and the tokens of a cell's two blocks, of which those of the first are smaller, are joined: a
+    pair is made where it leaves, and is in no array.
     Every block goes to as many cells as its unit has blocks; blocks grow with the unit, up to ``LARGEST_BLOCK``, so that these copies don't
     grow with its pairs."""
     events = df.filter(F.col(unit).isNotNull() & token.isNotNull()).select(F.col(unit).cast("string").alias("unit_id"), token.alias("t"))
@@ -130,14 +131,17 @@ def pair_types(df: DataFrame, unit: str, token: Column, block_types: int = BLOCK
     size = F.greatest(F.lit(block_types), F.least(F.ceil(F.count("*") / BLOCKS), F.lit(LARGEST_BLOCK)))
     sizes = placed.groupBy("unit_id").agg(F.min("row").alias("first"), size.alias("size"), F.ceil(F.count("*") / size).cast("int").alias("k"))
     dealt = placed.join(sizes, "unit_id").withColumn("own", F.floor((F.col("row") - F.col("first")) / F.col("size")).cast("int"))
-    blocks = dealt.groupBy("unit_id", "own", "k").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("held"))
-    cells = blocks.select("unit_id", "own", "held", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     # the number is given, so that cells aren't put together for being small: their pairs are many
-    spread = cells.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit_id", "i", "j")
-    sides = spread.groupBy("unit_id", "i", "j").agg(*(F.first(F.when(F.col("own") == F.col(x), F.col("held")), ignorenulls=True).alias(side) for x, side in (("i", "left"), ("j", "right"))))
-    each = sides.select("unit_id", "right", (F.col("i") == F.col("j")).alias("same"), F.posexplode("left").alias("p", "a"))
-    both = each.select("unit_id", "a", F.explode(F.when(F.col("same"), F.slice("right", F.col("p") + 2, F.size("right"))).otherwise(F.col("right"))).alias("b"))
-    return both.select("unit_id", F.col("a.t").alias("token1"), F.col("b.t").alias("token2"), F.col("a.c").alias("fq1"), F.col("b.c").alias("fq2"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(n: int, own: str, other: str, others: Column) -> DataFrame:
+        cells = dealt.select("unit_id", F.col("own").alias(own), F.explode(others).alias(other), F.col("t").alias(f"token{n}"), F.col("c").alias(f"fq{n}"), F.col("row").alias(f"row{n}"))
+        return cells.repartition(tasks, "unit_id", "i", "j")
+
+    left, right = side(1, "i", "j", F.sequence("own", F.col("k") - 1)), side(2, "j", "i", F.sequence(F.lit(0), "own"))
+    # a merge join holds one block; the table is small, its copies aren't, so that they would be broadcast otherwise
+    both = left.join(right.hint("merge"), ["unit_id", "i", "j"]).filter("row1 < row2")
+    return both.select("unit_id", "token1", "token2", "fq1", "fq2")
 
 
 def ordered_pair_counts(df: DataFrame, unit: str, token: Column, order: Sequence[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
