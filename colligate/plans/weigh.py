@@ -17,7 +17,7 @@ from colligate.errors import OptionError
 from colligate.functions.ere import to_java
 from colligate.functions.tokens import DEFAULT_FIELDS, fields as fields_of, project, projected
 from colligate.operators.pairs import behind, counted, let, run_counts
-from colligate.sinks.store import stored
+from colligate.sinks.store import numbered, stored
 
 METHODS = (1, 7, 12, 16)
 KEYED = (7, 12)
@@ -230,6 +230,36 @@ def weigh_runs(pairs: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS, method:
     return scored_edges(stats, found.withColumnsRenamed({"runs": "gdf"}).withColumn("ctf", F.col("gdf")), method)
 
 
+def weigh_table(rows: DataFrame, unit: str, key: str, tokens: DataFrame, fields: Sequence[int] = DEFAULT_FIELDS, method: int = 16) -> DataFrame:
+    """Edges as ``weigh`` gives them without a key, of a table of rows (unit, key) whose tokens are rows (key, token) of another table.
+
+    Patterns and tokens are numbered in their order, so that units and pairs are numbers in all that is shuffled or stored;
+    text is met by the counted pairs only, and of a pair only its first token has to move with it."""
+    if method not in METHODS or method in KEYED:
+        raise OptionError(f"no method without a key: {method}")
+    named = tokens.filter(F.col("token").isNotNull()).select(key, "token", project(F.col("token"), fields).alias("pattern"))
+    placed = numbered(named.select("pattern", "token").distinct(), "pattern", "token").withColumnRenamed("row", "t")
+    # a pattern's number is that of its first token
+    terms = stored(placed.join(placed.groupBy("pattern").agg(F.min("t").alias("p")), "pattern"), "terms")
+    coded = rows.filter(F.col(unit).isNotNull()).select(unit, key).join(named.join(terms, ["pattern", "token"]).select(key, "p", "t"), key)
+    counts = coded.select(unit, "p", "t").repartition(unit).groupBy(unit, "p", "t").agg(F.count("*").alias("c"))
+    listed = counts.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("p", "t", "c"))).alias("tokens"))
+    units = stored(listed.filter(F.size("tokens") > 1).select("tokens"), "units")
+    n = F.lit(units.count())
+
+    first = (F.col("_i") == 0) | (F.get("tokens", F.col("_i") - 1)["p"] != F.col("e.p"))
+    each = units.select("tokens", F.posexplode("tokens").alias("_i", "e")).select("e.*", first.alias("first"))
+    variants = each.groupBy("p", "t").agg(F.count("*").alias("vdf"), F.sum("c").alias("fq"), F.count_if("first").alias("df"))
+    merged = variants.groupBy("p").agg(F.min_by("t", F.struct(-F.col("vdf"), "t")).alias("t"), F.sum("fq").alias("fq"), F.sum("df").alias("df"))
+    stats = stored(merged.join(terms.drop("p"), "t").select("p", "pattern", "token", "df", "fq"), "stats")
+
+    pairs = behind(units.select(F.array_distinct("tokens.p").alias("p")), "p", []).groupBy(F.col("a").alias("p1"), F.col("b").alias("p2")).agg(F.count("*").alias("gdf"))
+    one, two = (stats.toDF(*(f"{x}{i}" for x in stats.columns)) for i in (1, 2))
+    facts = pairs.join(one, "p1").join(two, "p2").withColumns({f"idf{i}": F.log(n / F.col(f"df{i}")) for i in (1, 2)})
+    cw = score(method, F.col("gdf"), F.col("gdf"), F.col("idf1"), F.col("idf2"), n, F.lit(None))
+    return standardized(facts.withColumns({"ctf": F.col("gdf"), "cdf": F.col("gdf"), "cw": cw})).select(*EDGE_COLUMNS, "pattern1", "pattern2", "gdf")
+
+
 def ordered(edges: DataFrame) -> DataFrame:
     """Edges by their patterns' bytes."""
     return edges.orderBy("pattern1", "pattern2")

@@ -29,11 +29,14 @@ SHARES = (0.0, 0.01, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0)
 STARTS = "%/Brand#11/%"
 
 
-def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     token = F.concat_ws("/", F.col("p_partkey").cast("string"), F.translate("p_name", " ", "_"), "p_brand", F.translate("p_type", " ", "_"))
-    tokens = parts.select(F.col("p_partkey").alias("l_partkey"), token.alias("token"))
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber").join(tokens, "l_partkey")
+    return parts.select(F.col("p_partkey").alias("l_partkey"), token.alias("token"))
+
+
+def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber").join(part_tokens(spark, sf_dir), "l_partkey")
     return units_from_table(items, "l_orderkey", F.col("token"), ["l_linenumber", "l_partkey"])
 
 
@@ -65,7 +68,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def edges(fields: Sequence[int], method: int, key: str | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = w.weigh(corpus_of_orders(spark, sf_dir, fields), key, method)
+        if key is None:
+            found = w.weigh_table(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_partkey", part_tokens(spark, sf_dir), fields, method)
+        else:
+            found = w.weigh(corpus_of_orders(spark, sf_dir, fields), key, method)
         return rounded(found.select(*w.EDGE_COLUMNS), *METRICS)
 
     return query

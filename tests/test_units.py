@@ -1,5 +1,12 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from colligate.errors import OptionError
 from colligate.plans import weigh as w
-from colligate.sources.text import parse_units
+from colligate.queries import QUERIES
+from colligate.sources.text import parse_units, units_from_table
 
 
 def test_units_are_put_together_once(spark):
@@ -15,3 +22,26 @@ def test_units_are_put_together_once(spark):
     for df in (c.tokens, c.pairs, c.units):
         assert {p.rsplit("/", 1)[0] for p in df.inputFiles()} == {p.rsplit("/", 1)[0] for p in c.patterns.inputFiles()} != set()
     assert sorted((r["unit_id"], r["token"], r["first"]) for r in c.tokens.collect() if r["unit_id"] == "u1") == [("u1", "a/x", True), ("u1", "b/y", True), ("u1", "c/x", False)]
+
+
+@pytest.mark.parametrize(("fields", "method"), [((2,), 16), ((1, 2), 1), ((2,), 1)])
+def test_numbered_tables_weigh_alike(spark, fields, method):
+    """Tokens that share a pattern, come twice or stand alone; a token of two keys, and rows without a unit or a token."""
+    named = {1: "b/x", 2: "a/x", 3: "é/y", 4: "c/z", 5: "a/x", 6: None, 7: "d/w", 8: "z/é"}
+    held = {1: [1, 2, 3, 3], 2: [2, 5], 3: [1, 3, 4, 6], 4: [4, 4, 7], 5: [8], 6: [5, 8, 3, 9], 7: [1, 4, 7, 8], 8: [2, 3], None: [1, 3]}
+    rows = spark.createDataFrame([(u, k) for u, own in held.items() for k in own], "u long, k long")
+    tokens = spark.createDataFrame(list(named.items()), "k long, token string")
+    units = units_from_table(rows.join(tokens, "k"), "u", F.col("token"), ["k"])
+    want = w.weigh(w.corpus_of_units(units, fields, one_row=True), None, method)
+    got = w.weigh_table(rows, "u", "k", tokens, fields, method)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert shown(got) == shown(want) != []
+    with pytest.raises(OptionError):
+        w.weigh_table(rows, "u", "k", tokens, fields, 7)
+
+
+def test_pairs_of_surface_forms_are_numbers(spark):
+    """What is gathered by pairs is not their text, of which there are some hundred bytes in each."""
+    plan = QUERIES["cw_surface"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[\w+#\d+L, \w+#\d+L\]", plan) and "Aggregate [pattern1" not in plan
