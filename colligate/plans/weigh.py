@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from colligate.sinks.store import numbered, stored
 
 METHODS = (1, 7, 12, 16)
 KEYED = (7, 12)
+#: Patterns, at most, whose pairs are counted before they are shuffled: those with more than this share of all units' patterns.
+OFTEN = 10_000
 NO_FREQUENCIES = "the key's patterns have no frequencies"
 EDGE_COLUMNS = ["token1", "token2", "ctf", "cdf", "df1", "idf1", "fq1", "df2", "idf2", "fq2", "cw", "z"]
 
@@ -253,9 +256,20 @@ def weigh_table(rows: DataFrame, unit: str, key: str, tokens: DataFrame, fields:
     merged = variants.groupBy("p").agg(F.min_by("t", F.struct(-F.col("vdf"), "t")).alias("t"), F.sum("fq").alias("fq"), F.sum("df").alias("df"))
     stats = stored(merged.join(terms.drop("p"), "t").select("p", "pattern", "token", "df", "fq"), "stats")
 
-    pairs = behind(units.select(F.array_distinct("tokens.p").alias("p")), "p", []).groupBy(F.col("a").alias("p1"), F.col("b").alias("p2")).agg(F.count("*").alias("gdf"))
     one, two = (stats.toDF(*(f"{x}{i}" for x in stats.columns)) for i in (1, 2))
-    facts = pairs.join(one, "p1").join(two, "p2").withColumns({f"idf{i}": F.log(n / F.col(f"df{i}")) for i in (1, 2)})
+    both = behind(units.select(F.array_distinct("tokens.p").alias("p")), "p", []).select(F.col("a").alias("p1"), F.col("b").alias("p2"))
+    # pairs of frequent patterns, at most OFTEN, are counted before they are shuffled; hardly any of the others come twice
+    # in a task, and they go where their first pattern's token is at once
+    often = stats.join(F.broadcast(stats.agg(F.sum("df").alias("_all"))), F.col("df") * OFTEN > F.col("_all")).select(F.col("p").alias("p1"))
+    n_often = often.count()
+    n_rest = stats.count() - n_often
+
+    def met(how: str) -> DataFrame:
+        return both.join(F.broadcast(often), "p1", how) if n_often and n_rest else both
+
+    kinds = ([met("left_semi")] if n_often else []) + ([met("left_anti").repartition("p1")] if n_rest or not n_often else [])
+    pairs = reduce(DataFrame.union, (k.groupBy("p1", "p2").agg(F.count("*").alias("gdf")).join(one, "p1") for k in kinds))
+    facts = pairs.join(two, "p2").withColumns({f"idf{i}": F.log(n / F.col(f"df{i}")) for i in (1, 2)})
     cw = score(method, F.col("gdf"), F.col("gdf"), F.col("idf1"), F.col("idf2"), n, F.lit(None))
     return standardized(facts.withColumns({"ctf": F.col("gdf"), "cdf": F.col("gdf"), "cw": cw})).select(*EDGE_COLUMNS, "pattern1", "pattern2", "gdf")
 

@@ -45,3 +45,19 @@ def test_pairs_of_surface_forms_are_numbers(spark):
     """What is gathered by pairs is not their text, of which there are some hundred bytes in each."""
     plan = QUERIES["cw_surface"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[\w+#\d+L, \w+#\d+L\]", plan) and "Aggregate [pattern1" not in plan
+
+
+@pytest.mark.parametrize(("often", "tasks"), [(1, 1), (6, 2), (10_000, 1)])
+def test_rare_pairs_are_shuffled_once(spark, monkeypatch, often, tasks):
+    """Pairs of rare patterns go to their first pattern's token without being counted before; those of frequent ones are combined first."""
+    monkeypatch.setattr(w, "OFTEN", often)
+    held = {1: "abcd", 2: "ab", 3: "ace", 4: "af", 5: "bcg", 6: "ah", 7: "bd"}
+    rows = spark.createDataFrame([(u, ord(k)) for u, own in held.items() for k in own], "u long, k long")
+    tokens = spark.createDataFrame([(ord(k), f"{k}/x{k}") for k in "abcdefghij"], "k long, token string")
+    want = w.weigh(w.corpus_of_units(units_from_table(rows.join(tokens, "k"), "u", F.col("token"), ["k"]), (1,), one_row=True), None, 16)
+    got = w.weigh_table(rows, "u", "k", tokens, (1,), 16)
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert shown(got) == shown(want) and len(shown(got)) == 12
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [p1") == 2 * (often < 10_000)  # of edges, and of their mean
+    assert plan.count("Aggregate [p1") == 2 * tasks
